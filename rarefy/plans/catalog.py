@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, metrics, sampling, votes
+from ..operators import detection, ensemble, importance, metrics, sampling, stumps, votes
+from . import experiment
 from ..functions.hashing import hash_uniform
 from ..operators.features import feature_arity
 from ..schema import IGNORE, feature_columns, labelled
@@ -201,6 +202,56 @@ def score_range(spark, d):
     return detection.score_range(_scored_lr(spark, d))
 
 
+# -- stumps, importances, ensemble -----------------------------------------
+
+def _balanced_binary(spark, d):
+    train = _train(spark, d)
+    keep = ["idn", "label", *fixtures.BINARY_FEATURES]
+    bal = sampling.balanced_sets(train, seed=BOOT_SEED, keep=keep)
+    return bal.withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+
+
+def stump_gini(spark, d):
+    return stumps.stump_splits(_balanced_binary(spark, d), fixtures.BINARY_FEATURES, "gini")
+
+
+def stump_entropy(spark, d):
+    return stumps.stump_splits(_balanced_binary(spark, d), fixtures.BINARY_FEATURES, "entropy")
+
+
+def importances_named(spark, d):
+    splits = stumps.stump_splits(_balanced_binary(spark, d), fixtures.BINARY_FEATURES, "gini")
+    return importance.named_importances(stumps.stump_nodes(splits), fixtures.BINARY_FEATURES)
+
+
+def _fitted(spark, d, params=None):
+    data, _, names = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
+    train, test = sampling.train_test(data, TRAIN, SPLIT_SEED)
+    model = ensemble.BalancedTreeEnsemble(params or ensemble.TreeParams("gini", 10, 64),
+                                          "indexedFeatures", names, seed=BOOT_SEED).fit(train)
+    return model, train, test
+
+
+def ensemble_predictions(spark, d):
+    model, _, test = _fitted(spark, d)
+    return model.predict(test, "soft").select("idn", "label", "n_trees", "n_votes",
+                                              "p0", "p1", "predicted_label")
+
+
+def ensemble_importances(spark, d):
+    model, _, _ = _fitted(spark, d)
+    from ..session import scratch_path
+    import uuid
+    nodes = ensemble.node_table(model, scratch_path(spark, f"model-{uuid.uuid4().hex}"))
+    return importance.named_importances(nodes, model.feature_names)
+
+
+def experiment_report(spark, d):
+    cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(10,), bins=(32,),
+                                      features=list(fixtures.FEATURES), filters=SCAN_FILTER)
+    return experiment.run_experiment(_tx(spark, d), cfg)["confusion"]
+
+
 QUERIES: dict[str, Query] = {
     "src_scan_filter": src_scan_filter,
     "src_numeric_drop": src_numeric_drop,
@@ -230,4 +281,10 @@ QUERIES: dict[str, Query] = {
     "eer_reference": eer_reference,
     "score_curves": score_curves,
     "score_range": score_range,
+    "stump_gini": stump_gini,
+    "stump_entropy": stump_entropy,
+    "importances_named": importances_named,
+    "ensemble_predictions": ensemble_predictions,
+    "ensemble_importances": ensemble_importances,
+    "experiment_report": experiment_report,
 }

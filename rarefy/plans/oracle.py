@@ -316,6 +316,56 @@ FROM labelled l, (VALUES {pairs}) p(run, grid_id)
 GROUP BY ALL"""
 
 
+BINARY = ["is_purchase", "is_click", "is_view", "fds", "madr", "morn", "tard", "noch"]
+
+
+def _stump_ctes(kind: str) -> str:
+    cells = "\nUNION ALL\n".join(
+        f"SELECT tree, w, y, {i} AS fi, CAST({c} AS INTEGER) AS x FROM bal" for i, c in enumerate(BINARY))
+
+    def imp(n, n1):
+        p1, p0 = f"({n1} / {n})", f"(({n} - {n1}) / {n})"
+        if kind == "gini":
+            return f"(1.0 - {p1} * {p1} - {p0} * {p0})"
+        t = lambda p: f"(CASE WHEN {p} > 0 THEN -{p} * log2({p}) ELSE 0.0 END)"
+        return f"({t(p1)} + {t(p0)})"
+    n, n1 = "(nl + nr)", "(n1l + n1r)"
+    gain = f"{imp(n, n1)} - nl / {n} * {imp('nl', 'n1l')} - nr / {n} * {imp('nr', 'n1r')}"
+    names = ", ".join(f"'{c}'" for c in BINARY)
+    return _boot_ctes() + f""",
+bal AS (
+  SELECT CAST(t.tree AS INTEGER) AS tree, 1 AS w, CASE WHEN l.label = 1 THEN 1.0 ELSE 0.0 END AS y, l.*
+  FROM train l, range(0, (SELECT n_trees FROM plan)) t(tree) WHERE l.label = 1
+  UNION ALL
+  SELECT wt.tree, wt.w, CASE WHEN l.label = 1 THEN 1.0 ELSE 0.0 END AS y, l.*
+  FROM weights wt JOIN train l ON l.idn = wt.idn),
+cells AS ({cells}),
+sides AS (
+  SELECT tree, fi,
+    CAST(sum(CASE WHEN x = 0 THEN w ELSE 0 END) AS DOUBLE) AS nl,
+    CAST(sum(CASE WHEN x = 0 THEN w * y ELSE 0 END) AS DOUBLE) AS n1l,
+    CAST(sum(CASE WHEN x <> 0 THEN w ELSE 0 END) AS DOUBLE) AS nr,
+    CAST(sum(CASE WHEN x <> 0 THEN w * y ELSE 0 END) AS DOUBLE) AS n1r
+  FROM cells GROUP BY tree, fi),
+gains AS (SELECT *, round({gain}, 12) AS gain FROM sides WHERE nl > 0 AND nr > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY gain DESC, fi) AS rk FROM gains),
+splits AS (
+  SELECT tree, fi AS feature_index, [{names}][fi + 1] AS feature, round(gain, 9) AS gain,
+         round(n1l / nl, 9) AS left_p1, round(n1r / nr, 9) AS right_p1
+  FROM best WHERE rk = 1 AND gain > 0)"""
+
+
+def _importances_sql() -> str:
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(BINARY))
+    return with_("train", extra=_stump_ctes("gini")) + f""",
+per AS (SELECT feature_index, count(*) AS c FROM splits GROUP BY feature_index),
+names(feature_index, variable) AS (VALUES {names})
+SELECT CAST(n.feature_index AS INTEGER) AS feature_index, n.variable,
+       round(coalesce(CAST(p.c AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM splits), 0.0), 9)
+         AS importance
+FROM names n LEFT JOIN per p ON p.feature_index = n.feature_index"""
+
+
 SQL: dict[str, str] = {
     "src_scan_filter": with_("transactions") + f"SELECT {', '.join(TX_COLS)} FROM transactions "
                        f"WHERE {C.SCAN_FILTER}",
@@ -357,4 +407,7 @@ FROM lrs WHERE lr IS NOT NULL GROUP BY flag""",
     "eer_reference": _eer_sql("reference"),
     "score_curves": _curves_sql(),
     "score_range": with_("lrs") + "SELECT min(lr) AS lo, max(lr) AS hi FROM lrs",
+    "stump_gini": with_("train", extra=_stump_ctes("gini")) + "SELECT * FROM splits",
+    "stump_entropy": with_("train", extra=_stump_ctes("entropy")) + "SELECT * FROM splits",
+    "importances_named": _importances_sql(),
 }
