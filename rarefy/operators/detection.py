@@ -76,7 +76,7 @@ def density(df: DataFrame, start: int = -10, end: int = 10, score: str = "lr",
     staged = groups.join(F.broadcast(bw), "flag")
     pts = F.array(*[F.lit(float(x)) for x in axis])
     contrib = F.transform(pts, lambda x: F.col("count") * F.exp(
-        -F.pow((x - F.col("s")) / F.col("h"), F.lit(2.0)) / F.lit(2.0)))
+        -F.pow(F.try_divide(x - F.col("s"), F.col("h")), F.lit(2.0)) / F.lit(2.0)))
     exploded = staged.select("flag", "n", "h", F.posexplode(contrib).alias("i", "k"))
     summed = exploded.groupBy("flag", "i").agg(F.sum("k").alias("k"),
                                                F.first("n").alias("n"), F.first("h").alias("h"))

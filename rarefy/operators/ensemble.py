@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..schema import FRAUD, ID, LABEL, LEGAL, to_binary
 from ..session import scratch_path
+from .kmeans_balance import check_strategy, kmeans_balanced_sets
 from .sampling import balance_plan, balanced_sets
 from .votes import combine
 
@@ -157,7 +158,8 @@ class BalancedTreeEnsemble:
     def __init__(self, params: TreeParams | None = None, features_col: str = "indexedFeatures",
                  feature_names: Sequence[str] | None = None, seed: str = "0",
                  minority: int = FRAUD, majority: int = LEGAL, parallelism: int = 4,
-                 workdir: str | None = None, plan: DataFrame | None = None):
+                 workdir: str | None = None, plan: DataFrame | None = None,
+                 balancing: str = "balanced", kmeans_k: int | None = None):
         self.params = params or TreeParams()
         self.features_col = features_col
         self.feature_names = list(feature_names or [])
@@ -167,6 +169,8 @@ class BalancedTreeEnsemble:
         self.parallelism = max(1, parallelism)
         self.workdir = workdir
         self.plan = plan
+        self.balancing = check_strategy(balancing)
+        self.kmeans_k = kmeans_k
 
     def balanced_table(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The long (tree, w, y, features) table and the tree count."""
@@ -175,8 +179,12 @@ class BalancedTreeEnsemble:
         if not row["n_minor"]:
             raise ValueError("no minority row: cannot plan a balanced ensemble")
         n_trees = int(row["n_trees"])
-        long = balanced_sets(df, plan, self.seed, LABEL, self.minority, ID,
-                             keep=[ID, LABEL, self.features_col])
+        keep = [ID, LABEL, self.features_col]
+        if self.balancing == "kmeans":
+            long = kmeans_balanced_sets(df, self.features_col, self.kmeans_k, n_trees, self.seed,
+                                        LABEL, self.minority, ID, keep=keep)
+        else:
+            long = balanced_sets(df, plan, self.seed, LABEL, self.minority, ID, keep=keep)
         long = long.select("tree", F.col("w").cast("double").alias("w"),
                            to_binary(LABEL, self.minority).alias("y"), self.features_col)
         return long, n_trees

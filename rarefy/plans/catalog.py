@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection, ensemble, importance, metrics, sampling, stumps, votes
+from ..operators import kmeans_balance as kmeans_balance_ops
 from . import experiment
 from ..functions.hashing import hash_uniform
 from ..operators.features import feature_arity
@@ -246,6 +247,16 @@ def ensemble_importances(spark, d):
     return importance.named_importances(nodes, model.feature_names)
 
 
+def kmeans_balance(spark, d):
+    """BAL2: nearest majority row to each of n_minor k-means centroids (train split)."""
+    data, _, _ = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
+    train, _ = sampling.train_test(data, TRAIN, SPLIT_SEED)
+    majority = train.where(F.col("label") != 1)
+    n_minor = train.where(F.col("label") == 1).count()
+    model = kmeans_balance_ops.fit_clusters(majority, int(n_minor))
+    return kmeans_balance_ops.nearest_to_centroids(majority, model)
+
+
 def experiment_report(spark, d):
     cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(10,), bins=(32,),
                                       features=list(fixtures.FEATURES), filters=SCAN_FILTER)
@@ -286,5 +297,6 @@ QUERIES: dict[str, Query] = {
     "importances_named": importances_named,
     "ensemble_predictions": ensemble_predictions,
     "ensemble_importances": ensemble_importances,
+    "kmeans_balance": kmeans_balance,
     "experiment_report": experiment_report,
 }
