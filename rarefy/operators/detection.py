@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import LR_DIGITS, rounded_lr
 from ..schema import FRAUD
+from ..sources.tables import materialise
 from .prefix import running_totals
 
 # Fixed values.
@@ -93,7 +94,8 @@ def density(df: DataFrame, start: int = -10, end: int = 10, score: str = "lr",
 def _eer_pick(rows: DataFrame, gap: Column, pfa: Column, n_fraud: Column, n_legal: Column,
               order: list, buckets: int) -> DataFrame:
     """Lower median (rank (cnt+1) div 2 in ``order``) of the rows minimising ``gap``."""
-    staged = rows.withColumn("_gap", gap).withColumn("_pfa", pfa)
+    # The running totals feed three passes (minimum, count, pick): cut lineage once.
+    staged = materialise(rows.withColumn("_gap", gap).withColumn("_pfa", pfa))
     min_gap = staged.select(F.min("_gap")).scalar()
     best = staged.where(F.col("_gap") == min_gap)
     cnt = best.select(F.count(F.lit(1))).scalar()
@@ -122,13 +124,14 @@ def eer(df: DataFrame, mode: str = "standard", score: str = "lr", flag: str = "f
     """
     base = df.where(F.col(score).isNotNull()).select(
         F.col(score).alias("lr"), F.col(flag).alias("flag"), F.col(idn).alias("idn"))
-    counts = class_counts(base)
-    n_f = counts.select("n_fraud").scalar()
-    n_l = counts.select("n_legal").scalar()
     dec = "decimal(38,0)"
     if mode == "standard":
-        g = base.groupBy("lr").agg(F.count_if(F.col("flag") == 1).alias("nf"),
-                                   F.count_if(F.col("flag") == 0).alias("nl"))
+        # Distinct scores only (map-side partial aggregation), written once.
+        g = materialise(base.groupBy("lr").agg(F.count_if(F.col("flag") == 1).alias("nf"),
+                                               F.count_if(F.col("flag") == 0).alias("nl")))
+        counts = g.select(F.struct(F.sum("nf").alias("n_fraud"),
+                                   F.sum("nl").alias("n_legal")).alias("c")).scalar()
+        n_f, n_l = counts["n_fraud"], counts["n_legal"]
         cum = running_totals(g, ["lr"], {"cf": "nf", "cl": "nl"}, buckets=buckets)
         a = F.col("cf").cast(dec)
         b = (n_l - F.col("cl")).cast(dec)
@@ -136,6 +139,11 @@ def eer(df: DataFrame, mode: str = "standard", score: str = "lr", flag: str = "f
         pfa = F.try_divide((n_l - F.col("cl")).cast("double"), n_l.cast("double"))
         order = ["lr"]
     elif mode == "reference":
+        base = materialise(base)
+        counts = base.select(F.struct(F.count_if(F.col("flag") == 1).alias("n_fraud"),
+                                      F.count_if(F.col("flag") == 0).alias("n_legal"))
+                             .alias("c")).scalar()
+        n_f, n_l = counts["n_fraud"], counts["n_legal"]
         order = ["lr", F.col("flag").desc(), "idn"]
         cum = running_totals(base, order, {"cf": "flag"}, buckets=buckets)
         i = F.col("pos") - F.lit(1)
@@ -166,9 +174,9 @@ def score_curves(df: DataFrame, points: int = CURVE_POINTS, score: str = "lr",
     (class x points) table.  A zero range puts every row in the last bucket.
     """
     s = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(flag).alias("flag"))
-    rng = score_range(s, "s")
-    lo = rng.select("lo").scalar()
-    hi = rng.select("hi").scalar()
+    # Two numbers, read once by the driver and used as literals.
+    rng = score_range(s, "s").first()
+    lo, hi = F.lit(rng["lo"]).cast("double"), F.lit(rng["hi"]).cast("double")
     last = points - 2
     width = (hi - lo) / F.lit(float(points - 1))
     bucket = F.when(width == 0, F.lit(last)).otherwise(

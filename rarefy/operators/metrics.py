@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import pct
 from ..schema import FRAUD, LEGAL
+from ..sources.tables import materialise
 from .prefix import running_totals
 
 DIGITS = 9
@@ -72,9 +73,11 @@ def roc_points(df: DataFrame, score: str, label: str = "label", positive: int =
     Frame points (0,0) at pos 0 and (1,1) after the last score are added, as
     in the classic binary-classification metrics.
     """
-    g = _score_groups(df, score, label, positive)
-    n_pos = g.select(F.sum("tp")).scalar()
-    n_neg = g.select(F.sum("fp")).scalar()
+    # Distinct scores only, written once: they feed the totals and the running sums.
+    g = materialise(_score_groups(df, score, label, positive))
+    stats = g.select(F.struct(F.sum("tp").alias("p"), F.sum("fp").alias("n"),
+                              F.count(F.lit(1)).alias("d")).alias("s")).scalar()
+    n_pos, n_neg, n_groups = stats["p"], stats["n"], stats["d"]
     cum = running_totals(g, [F.col("score").desc()], {"ctp": "tp", "cfp": "fp"},
                          buckets=buckets)
     spark = df.sparkSession
@@ -84,7 +87,6 @@ def roc_points(df: DataFrame, score: str, label: str = "label", positive: int =
     pts = cum.select(F.col("pos").cast("bigint").alias("pos"),
                      r(F.try_divide(F.col("cfp").cast("double"), n_neg)).alias("fpr"),
                      r(F.try_divide(F.col("ctp").cast("double"), n_pos)).alias("tpr"))
-    n_groups = g.select(F.count(F.lit(1))).scalar()
     frame = spark.range(2).select(
         F.when(F.col("id") == 0, F.lit(0).cast("bigint")).otherwise(n_groups + 1).alias("pos"),
         F.col("id").cast("double").alias("fpr"), F.col("id").cast("double").alias("tpr"))
@@ -99,7 +101,7 @@ def auc(df: DataFrame, score: str, label: str = "label", positive: int = FRAUD,
     previous point is the running total minus the group itself, so no lag
     window is needed, and the numerator is an exact integer sum.
     """
-    g = _score_groups(df, score, label, positive)
+    g = materialise(_score_groups(df, score, label, positive))
     cum = running_totals(g, [F.col("score").desc()], {"ctp": "tp"}, buckets=buckets)
     num = cum.agg(F.sum(F.col("fp").cast("decimal(38,0)")
                         * (F.lit(2) * F.col("ctp") - F.col("tp")).cast("decimal(38,0)"))

@@ -60,8 +60,19 @@ def balance_plan(df: DataFrame, label: str = LABEL, minority: int = FRAUD) -> Da
         (ratio + F.lit(1) - ratio % 2).cast("bigint").alias("n_trees"))
 
 
+def plan_values(plan: DataFrame) -> tuple[int, float]:
+    """(n_trees, fraction) of a balance plan: one tiny row read by the driver.
+
+    Raises when there is no minority row (the ratio is undefined).
+    """
+    row = plan.select("n_minor", "n_trees", "fraction").first()
+    if not row["n_minor"]:
+        raise ValueError("no minority row: cannot plan a balanced ensemble")
+    return int(row["n_trees"]), float(row["fraction"])
+
+
 def _tree_copies(df: DataFrame, plan: DataFrame, seed, idn: str):
-    """``df`` plus bootstrap columns ``_total`` and ``_per_tree``.
+    """``df`` plus bootstrap columns ``_total`` and ``_per_tree`` (rows with copies only).
 
     Each tree draws the majority with replacement at rate ``fraction``, i.e.
     a row's count in a tree is Poisson(fraction).  Independent Poisson
@@ -69,19 +80,19 @@ def _tree_copies(df: DataFrame, plan: DataFrame, seed, idn: str):
     uniformly among the trees, so every row draws one total by inverse CDF
     and sends each copy to tree floor(T*u_j).  Work is O(rows), not
     O(rows * trees), and nothing is shuffled.  ``_per_tree`` is an array of
-    (tree, w) structs.  The plan scalars (tree count, CDF table) are
-    projected as columns first, since lambdas cannot hold subqueries.
+    (tree, w) structs.  The plan (two numbers) and the CDF table (K+1
+    doubles) are small constants and enter the row expressions as literals.
     """
-    n_trees = plan.select("n_trees").scalar()
-    lam = plan.select((F.col("n_trees") * F.col("fraction")).alias("lam")).scalar()
-    cdf = poisson_cdf_frame(df.sparkSession, lam).select("cdf").scalar()
+    n_trees, fraction = plan_values(plan)
+    lam = n_trees * fraction
+    cdf = poisson_cdf_frame(df.sparkSession, F.lit(lam)).first()["cdf"]
     s = str(seed)
-    staged = df.withColumn("_T", n_trees).withColumn("_cdf", cdf)
-    total = poisson_count(hash_uniform("boot:", s, ":", F.col(idn)), F.col("_cdf"))
-    staged = staged.withColumn("_total", total)
+    total = poisson_count(hash_uniform("boot:", s, ":", F.col(idn)),
+                          F.array(*[F.lit(float(c)) for c in cdf]))
+    staged = df.withColumn("_total", total)
     copies = F.transform(
         F.sequence(F.lit(1), F.col("_total")),
-        lambda j: F.floor(F.col("_T") * hash_uniform("tree:", s, ":", F.col(idn), ":", j))
+        lambda j: F.floor(F.lit(n_trees) * hash_uniform("tree:", s, ":", F.col(idn), ":", j))
         .cast("int"))
     per_tree = F.transform(F.array_distinct(copies), lambda t: F.struct(
         t.alias("tree"), F.size(F.filter(copies, lambda c: c == t)).alias("w")))
@@ -107,9 +118,9 @@ def balanced_sets(df: DataFrame, plan: DataFrame | None = None, seed="0",
     """
     plan = plan if plan is not None else balance_plan(df, label, minority)
     keep = keep or df.columns
-    n_trees = plan.select("n_trees").scalar()
+    n_trees, _ = plan_values(plan)
     minor = (df.where(is_minority(label, minority))
-             .select(F.explode(F.sequence(F.lit(0), (n_trees - 1).cast("int"))).alias("tree"),
+             .select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
                      F.lit(1).alias("w"), *keep))
     staged = _tree_copies(df.where(~is_minority(label, minority)), plan, seed, idn)
     major = (staged.select(F.explode("_per_tree").alias("tw"), *keep)

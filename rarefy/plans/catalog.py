@@ -19,7 +19,7 @@ from ..functions.hashing import hash_uniform
 from ..operators.features import feature_arity
 from ..schema import IGNORE, feature_columns, labelled
 from ..sources import fixtures
-from ..sources.tables import numeric_view, scan
+from ..sources.tables import materialise, numeric_view, scan
 
 # Fixed parameters of the registered queries.
 SCAN_FILTER = "monto < 100000000"
@@ -41,7 +41,13 @@ def _tx(spark, d):
 
 
 def _lab(spark, d):
-    return labelled(_tx(spark, d))
+    """Labelled rows, written once and re-read (SRC6) so later passes scan a table."""
+    return materialise(labelled(_tx(spark, d)))
+
+
+def _scored(spark, d):
+    """The soft-voted fixture, materialised once: input of every evaluator."""
+    return materialise(fixtures.scored_from(_lab(spark, d)))
 
 
 def _train(spark, d):
@@ -51,7 +57,7 @@ def _train(spark, d):
 
 
 def _scored_lr(spark, d):
-    return detection.with_lr(fixtures.scored(spark, d))
+    return detection.with_lr(_scored(spark, d))
 
 
 # -- sources, filters ------------------------------------------------------
@@ -126,7 +132,7 @@ def runs_membership(spark, d):
 # -- votes -----------------------------------------------------------------
 
 def _votes(spark, d, strategy, strict=False):
-    v = votes.combine(fixtures.tree_vote_arrays(spark, d), strategy, strict=strict)
+    v = votes.combine(fixtures.vote_arrays_from(_lab(spark, d)), strategy, strict=strict)
     return v.select("idn", "label", F.round("p0", DIGITS).alias("p0"),
                     F.round("p1", DIGITS).alias("p1"), "n_votes", "predicted_label")
 
@@ -150,19 +156,19 @@ def mean_vote(spark, d):
 # -- evaluators ------------------------------------------------------------
 
 def confusion_metrics(spark, d):
-    return metrics.confusion_metrics(fixtures.scored(spark, d))
+    return metrics.confusion_metrics(_scored(spark, d))
 
 
 def roc_hard(spark, d):
-    return metrics.roc_points(fixtures.scored(spark, d), "predicted_label")
+    return metrics.roc_points(_scored(spark, d), "predicted_label")
 
 
 def auc_hard(spark, d):
-    return metrics.auc(fixtures.scored(spark, d), "predicted_label")
+    return metrics.auc(_scored(spark, d), "predicted_label")
 
 
 def _scored_p1(spark, d):
-    return fixtures.scored(spark, d).withColumn("score", F.round("p1", DIGITS))
+    return _scored(spark, d).withColumn("score", F.round("p1", DIGITS))
 
 
 def roc_score(spark, d):

@@ -26,7 +26,7 @@ from ..operators.importance import named_importances
 from ..operators.sampling import train_test
 from ..schema import FRAUD, IGNORE, LEGAL, feature_columns, labelled
 from ..session import scratch_path
-from ..sources.tables import scan
+from ..sources.tables import materialise, scan
 
 
 @dataclass(frozen=True)
@@ -54,12 +54,17 @@ def grid(impurities: Sequence[str], depths: Sequence[int], bins: Sequence[int])
 
 
 def prepare(df: DataFrame, features: Sequence[str] | None = None, fit_on: DataFrame | None = None):
-    """FLT1 -> FEA1 -> FEA3: (idn, label, features, indexedFeatures), indexer, names."""
+    """FLT1 -> FEA1 -> FEA3: (idn, label, features, indexedFeatures), indexer, names.
+
+    The labelled vectors and the indexed table are each written once and
+    re-read (SRC6): the indexer fit, the balance plan and every fit scan
+    them instead of recomputing the input.
+    """
     lab = labelled(df)
     names = list(features or feature_columns(lab, IGNORE))
-    assembled = assemble(lab, names).select("idn", "label", "features")
+    assembled = materialise(assemble(lab, names).select("idn", "label", "features"))
     indexer = fit_indexer(fit_on if fit_on is not None else assembled)
-    return indexer.transform(assembled), indexer, names
+    return materialise(indexer.transform(assembled)), indexer, names
 
 
 def _tag(df: DataFrame, k: int, p: TreeParams) -> DataFrame:

@@ -98,11 +98,15 @@ def vote_probabilities(trees: int = FIXTURE_TREES):
     return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), p1)
 
 
+def vote_arrays_from(labelled_rows: DataFrame, trees: int = FIXTURE_TREES) -> DataFrame:
+    """(idn, label, p1s array<double>) for already labelled rows."""
+    return labelled_rows.select("idn", "label", vote_probabilities(trees).alias("p1s"))
+
+
 def tree_vote_arrays(spark: SparkSession, sf_dir: str,
                      trees: int = FIXTURE_TREES) -> DataFrame:
     """(idn, label, p1s array<double>): votes of the labelled rows, wide form."""
-    return (labelled(transactions(spark, sf_dir))
-            .select("idn", "label", vote_probabilities(trees).alias("p1s")))
+    return vote_arrays_from(labelled(transactions(spark, sf_dir)), trees)
 
 
 def tree_votes(spark: SparkSession, sf_dir: str, trees: int = FIXTURE_TREES) -> DataFrame:
@@ -112,8 +116,12 @@ def tree_votes(spark: SparkSession, sf_dir: str, trees: int = FIXTURE_TREES) ->
             .withColumn("vote", (F.col("p1") > 0.5).cast("int")))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_from(labelled_rows: DataFrame) -> DataFrame:
     """Soft vote of the fixture votes: (idn, label, p0, p1, predicted_label)."""
     from ..operators.votes import combine
-    votes = tree_vote_arrays(spark, sf_dir)
+    votes = vote_arrays_from(labelled_rows)
     return combine(votes, "soft").select("idn", "label", "p0", "p1", "predicted_label")
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_from(labelled(transactions(spark, sf_dir)))
