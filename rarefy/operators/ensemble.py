@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..schema import FRAUD, ID, LABEL, LEGAL, to_binary
 from ..session import scratch_path
 from .kmeans_balance import check_strategy, kmeans_balanced_sets
-from .sampling import balance_plan, balanced_sets
+from .sampling import balance_plan, balanced_sets, plan_values
 from .votes import combine
 
 # Fixed value: Spark ML rejects deeper trees.
@@ -159,7 +159,8 @@ class BalancedTreeEnsemble:
                  feature_names: Sequence[str] | None = None, seed: str = "0",
                  minority: int = FRAUD, majority: int = LEGAL, parallelism: int = 4,
                  workdir: str | None = None, plan: DataFrame | None = None,
-                 balancing: str = "balanced", kmeans_k: int | None = None):
+                 balancing: str = "balanced", kmeans_k: int | None = None,
+                 engine: str = "ml"):
         self.params = params or TreeParams()
         self.features_col = features_col
         self.feature_names = list(feature_names or [])
@@ -171,6 +172,9 @@ class BalancedTreeEnsemble:
         self.plan = plan
         self.balancing = check_strategy(balancing)
         self.kmeans_k = kmeans_k
+        if engine not in ("ml", "levelwise"):
+            raise ValueError("engine must be 'ml' or 'levelwise'")
+        self.engine = engine
 
     def balanced_table(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The long (tree, w, y, features) table and the tree count."""
@@ -189,7 +193,26 @@ class BalancedTreeEnsemble:
                            to_binary(LABEL, self.minority).alias("y"), self.features_col)
         return long, n_trees
 
-    def fit(self, df: DataFrame) -> BalancedEnsembleModel:
+    def _fit_levelwise(self, df: DataFrame):
+        from .levelwise import LevelwiseEnsembleModel, expand_vector, grow
+        size = len(df.select(self.features_col).first()[0])
+        expanded, cols = expand_vector(df.select(ID, LABEL, self.features_col),
+                                       self.features_col, size)
+        expanded = expanded.drop(self.features_col)
+        plan = self.plan if self.plan is not None else balance_plan(expanded, LABEL, self.minority)
+        n_trees, _ = plan_values(plan)
+        keep = [ID, LABEL, *cols]
+        if self.balancing == "kmeans":
+            raise ValueError("k-means balancing runs with engine='ml'")
+        long = balanced_sets(expanded, plan, self.seed, LABEL, self.minority, ID, keep=keep)
+        long = long.select("tree", "w", to_binary(LABEL, self.minority).alias("y"), *cols)
+        model = grow(long, cols, self.params, threshold_source=expanded, n_trees=n_trees)
+        return LevelwiseEnsembleModel(model, self.features_col, self.feature_names,
+                                      self.minority, self.majority)
+
+    def fit(self, df: DataFrame):
+        if self.engine == "levelwise":
+            return self._fit_levelwise(df)
         spark = df.sparkSession
         long, n_trees = self.balanced_table(df)
         path = self.workdir or scratch_path(spark, f"balanced-{uuid.uuid4().hex}")

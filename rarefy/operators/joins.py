@@ -1,0 +1,21 @@
+"""Joins against model-sized tables with an explicit size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: model tables (a few ints/doubles per row) up to this many rows
+# are broadcast (well under 100 MB); larger ones use a shuffle join.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def join_model_table(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``big`` with a model-sized table, broadcasting it only when counted small.
+
+    ``small`` should be materialised (a counted scan of it is cheap).
+    """
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on, how)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detection, ensemble, importance, metrics, sampling, stumps, votes
 from ..operators import kmeans_balance as kmeans_balance_ops
+from ..operators import levelwise
 from . import experiment
 from ..functions.hashing import hash_uniform
 from ..operators.features import feature_arity
@@ -253,6 +254,35 @@ def ensemble_importances(spark, d):
     return importance.named_importances(nodes, model.feature_names)
 
 
+def levelwise_stumps(spark, d):
+    """Depth-1 level-wise grower on the binary features: equals the stump SQL."""
+    bal = _balanced_binary(spark, d)
+    lab = _train(spark, d)
+    model = levelwise.grow(bal, list(fixtures.BINARY_FEATURES), ensemble.TreeParams("gini", 1, 32),
+                           threshold_source=lab)
+    nodes = model.nodes
+    root = nodes.where("depth = 0 AND NOT is_leaf")
+    kids = nodes.where("depth = 1").select("tree", "node", "prediction")
+    left = kids.where("node = 2").select("tree", F.col("prediction").alias("left_p1"))
+    right = kids.where("node = 3").select("tree", F.col("prediction").alias("right_p1"))
+    names = F.element_at(F.array(*[F.lit(c) for c in fixtures.BINARY_FEATURES]),
+                         F.col("feature_index") + 1)
+    return (root.join(left, "tree").join(right, "tree")
+            .select(F.col("tree").cast("int").alias("tree"), "feature_index", names.alias("feature"),
+                    F.round("gain", DIGITS).alias("gain"), F.round("left_p1", DIGITS).alias("left_p1"),
+                    F.round("right_p1", DIGITS).alias("right_p1")))
+
+
+def levelwise_predictions(spark, d):
+    """All trees grown together, one aggregate job per depth level."""
+    data, _, names = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
+    train, test = sampling.train_test(data, TRAIN, SPLIT_SEED)
+    model = ensemble.BalancedTreeEnsemble(ensemble.TreeParams("gini", 10, 32), "indexedFeatures",
+                                          names, seed=BOOT_SEED, engine="levelwise").fit(train)
+    return model.predict(test, "soft").select("idn", "label", "n_trees", "n_votes",
+                                              "p0", "p1", "predicted_label")
+
+
 def kmeans_balance(spark, d):
     """BAL2: nearest majority row to each of n_minor k-means centroids (train split)."""
     data, _, _ = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
@@ -303,6 +333,8 @@ QUERIES: dict[str, Query] = {
     "importances_named": importances_named,
     "ensemble_predictions": ensemble_predictions,
     "ensemble_importances": ensemble_importances,
+    "levelwise_stumps": levelwise_stumps,
+    "levelwise_predictions": levelwise_predictions,
     "kmeans_balance": kmeans_balance,
     "experiment_report": experiment_report,
 }

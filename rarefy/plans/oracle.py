@@ -410,4 +410,5 @@ FROM lrs WHERE lr IS NOT NULL GROUP BY flag""",
     "stump_gini": with_("train", extra=_stump_ctes("gini")) + "SELECT * FROM splits",
     "stump_entropy": with_("train", extra=_stump_ctes("entropy")) + "SELECT * FROM splits",
     "importances_named": _importances_sql(),
+    "levelwise_stumps": with_("train", extra=_stump_ctes("gini")) + "SELECT * FROM splits",
 }

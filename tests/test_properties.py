@@ -332,3 +332,48 @@ def test_no_minority_raises(spark):
     df = spark.createDataFrame([(1, -1), (2, -1)], "idn long, label int")
     with pytest.raises(ValueError):
         BalancedTreeEnsemble().balanced_table(df)
+
+
+# -- level-wise grower -------------------------------------------------------------
+
+def test_levelwise_tree_invariants(spark, fitted):
+    _, tr, te = fitted
+    model = BalancedTreeEnsemble(TreeParams("entropy", 6, 16), "indexedFeatures",
+                                 seed="4", engine="levelwise").fit(tr)
+    nodes = model.nodes.toPandas()
+    plan = sampling.balance_plan(tr).first()
+    assert model.num_trees == plan["n_trees"]
+    assert sorted(nodes["tree"].unique()) == list(range(plan["n_trees"]))
+    # Leaves of a tree partition its weighted rows; children sum to their parent.
+    roots = nodes[nodes.node == 1].set_index("tree")
+    leaves = nodes[nodes.is_leaf].groupby("tree")[["n", "n1"]].sum()
+    assert np.allclose(leaves["n"], roots.loc[leaves.index, "n"])
+    assert np.allclose(leaves["n1"], roots.loc[leaves.index, "n1"])
+    by_id = nodes.set_index(["tree", "node"])
+    for (t, n), r in by_id[~by_id.is_leaf].iterrows():
+        kids = by_id.loc[[(t, 2 * n), (t, 2 * n + 1)]]
+        assert kids["n"].sum() == pytest.approx(r["n"])
+        assert r["gain"] > 0
+    assert nodes["depth"].max() <= 6
+    pred = model.predict(te).toPandas()
+    assert len(pred) == te.count()
+    assert (pred["n_trees"] == plan["n_trees"]).all()
+    assert ((pred["p1"] >= 0) & (pred["p1"] <= 1)).all()
+
+
+def test_levelwise_leaf_values_match_direct_routing(spark, fitted):
+    _, tr, te = fitted
+    model = BalancedTreeEnsemble(TreeParams("gini", 3, 8), "indexedFeatures",
+                                 seed="5", engine="levelwise").fit(tr)
+    nodes = model.nodes.toPandas().set_index(["tree", "node"])
+    from pyspark.ml.functions import vector_to_array
+    rows = (model.predict(te).select("idn", "p1s", vector_to_array("indexedFeatures").alias("x"))
+            .limit(50).collect())
+    for r in rows:
+        for t in range(model.num_trees):
+            node = 1
+            while not nodes.loc[(t, node), "is_leaf"]:
+                nd = nodes.loc[(t, node)]
+                go_right = r["x"][int(nd["feature_index"])] > nd["threshold"]
+                node = 2 * node + int(go_right)
+            assert r["p1s"][t] == pytest.approx(nodes.loc[(t, node), "prediction"], abs=0, rel=0)
