@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
 from .ensemble import TreeParams
-from .joins import join_model_table
+from .joins import BROADCAST_MAX_ROWS, join_model_table
 from .votes import combine
 
 GAIN_DIGITS = 12
@@ -111,8 +111,10 @@ class LevelwiseModel:
                            F.lit(1).cast("bigint").alias("node"))
         splits = materialise(self.nodes.where(~F.col("is_leaf")).select(
             "tree", "node", F.col("feature_index").alias("_f"), F.col("split_bin").alias("_b")))
+        # Counted once; every level joins the same (broadcast when small) table.
+        side = F.broadcast(splits) if splits.count() <= BROADCAST_MAX_ROWS else splits
         for _ in range(self.max_level):
-            step = join_model_table(walk, splits, ["tree", "node"], "left")
+            step = walk.join(side, ["tree", "node"], "left")
             child = (F.lit(2) * F.col("node")
                      + (F.element_at("_bins", F.col("_f") + 1) > F.col("_b")).cast("bigint"))
             walk = step.select(idn, "_bins", "tree",
@@ -155,12 +157,13 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
     levels = []
     depth = 0
     while True:
-        totals = state.groupBy("tree", "node").agg(F.sum("w").alias("n"),
-                                                   F.sum(F.col("w") * F.col("y")).alias("n1"))
         if depth < params.max_depth:
             cells = state.select("tree", "node", "w", "y", F.posexplode("bins").alias("f", "b"))
             hist = cells.groupBy("tree", "node", "f", "b").agg(
                 F.sum("w").alias("c"), F.sum(F.col("w") * F.col("y")).alias("c1"))
+            # Every row has a bin for feature 0: node totals come from the same histogram.
+            totals = (hist.where(F.col("f") == 0).groupBy("tree", "node")
+                      .agg(F.sum("c").alias("n"), F.sum("c1").alias("n1")))
             by_bin = Window.partitionBy("tree", "node", "f").orderBy("b")
             whole = Window.partitionBy("tree", "node", "f")
             cum = (hist.withColumn("nl", F.sum("c").over(by_bin))
@@ -181,6 +184,8 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
             best = best.where(F.col("gain") > F.lit(min_info_gain))
             level = totals.join(best, ["tree", "node"], "left")
         else:
+            totals = state.groupBy("tree", "node").agg(F.sum("w").alias("n"),
+                                                       F.sum(F.col("w") * F.col("y")).alias("n1"))
             level = totals.select("*", F.lit(None).cast("double").alias("gain"),
                                   F.lit(None).cast("int").alias("feature_index"),
                                   F.lit(None).cast("int").alias("split_bin"))
@@ -188,9 +193,11 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
                             .withColumn("is_leaf", F.col("feature_index").isNull()))
         levels.append(level)
         splits = level.where(~F.col("is_leaf")).select("tree", "node", "feature_index", "split_bin")
-        if depth >= params.max_depth or splits.isEmpty():
+        n_splits = splits.count() if depth < params.max_depth else 0
+        if n_splits == 0:
             break
-        moved = join_model_table(state, splits, ["tree", "node"])
+        side = F.broadcast(splits) if n_splits <= BROADCAST_MAX_ROWS else splits
+        moved = state.join(side, ["tree", "node"])
         child = (F.lit(2) * F.col("node")
                  + (F.element_at("bins", F.col("feature_index") + 1) > F.col("split_bin")).cast("bigint"))
         state = materialise(moved.select("tree", "w", "y", "bins", child.alias("node")))

@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+import uuid
+
 from ..schema import NON_NUMERIC
+from ..session import scratch_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,22 +38,22 @@ def numeric_view(df: DataFrame) -> DataFrame:
     return df.drop(*NON_NUMERIC)
 
 
-def materialise(df: DataFrame, path: str | None = None, table: str | None = None,
-                eager: bool = True) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None, table: str | None = None) -> DataFrame:
     """SRC5/SRC6: cut lineage by writing a table and reading it back.
 
-    ``path`` is a folder on shared storage (normally under
-    ``spark.checkpoint.dir``); ``table`` a catalog name.  Without either the
-    frame is checkpointed (reliable checkpoint, never a local one).
+    ``table``: a catalog name; ``path``: a folder on shared storage.  Without
+    either, a fresh folder under the shared ``spark.checkpoint.dir`` is used.
+    Writing Parquet computes the frame once (a reliable ``checkpoint()`` of
+    an unpersisted frame computes it twice) and the re-read scan carries file
+    sizes, so the planner sees real statistics.
     """
     spark = df.sparkSession
     if table:
         df.write.mode("overwrite").saveAsTable(table)
         return spark.table(table)
-    if path:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    return df.checkpoint(eager=eager)
+    target = path or scratch_path(spark, f"table-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def reuse_or_build(spark: SparkSession, table: str, build) -> DataFrame:
