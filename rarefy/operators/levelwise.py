@@ -27,6 +27,7 @@ into one array per row needs no further shuffle while the joins broadcast.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -244,7 +245,33 @@ class LevelwiseEnsembleModel:
         out = self.model.predict(expanded, strategy, self.minority, self.majority, strict)
         return out.select(*cols, "p1s", "n_trees", "n_votes", "p0", "p1", "predicted_label")
 
+    def save(self, path: str) -> None:
+        """SNK2: node table as Parquet plus a JSON manifest (binning, parameters)."""
+        path = path.rstrip("/")
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        m = self.model
+        manifest = {"features": m.features, "thresholds": m.thresholds,
+                    "impurity": m.params.impurity, "max_depth": m.params.max_depth,
+                    "max_bins": m.params.max_bins, "num_trees": m.num_trees,
+                    "max_level": m.max_level, "features_col": self.features_col,
+                    "feature_names": self.feature_names, "minority": self.minority,
+                    "majority": self.majority}
+        spark = self.nodes.sparkSession
+        (spark.createDataFrame([(json.dumps(manifest),)], "manifest string")
+         .coalesce(1).write.mode("overwrite").text(f"{path}/manifest"))
+
+    @classmethod
+    def load(cls, spark, path: str) -> LevelwiseEnsembleModel:
+        """SNK3: read back a saved level-wise ensemble."""
+        path = path.rstrip("/")
+        m = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+        model = LevelwiseModel(spark.read.parquet(f"{path}/nodes"), m["features"], m["thresholds"],
+                               TreeParams(m["impurity"], m["max_depth"], m["max_bins"]),
+                               m["num_trees"], m["max_level"])
+        return cls(model, m["features_col"], m["feature_names"], m["minority"], m["majority"])
+
     def to_debug_string(self) -> str:
+        """INS1 text form (the node table itself is the primary form)."""
         rows = self.nodes.orderBy("tree", "node").collect()
         lines = []
         for r in rows:

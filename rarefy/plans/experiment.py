@@ -43,6 +43,7 @@ class ExperimentConfig:
     seed: str = "0"
     split_per_grid_point: bool = True
     fit_indexer_on: str = "all"
+    engine: str = "ml"
     parallelism: int = 4
     curve_points: int = 150
     features: Sequence[str] | None = field(default=None)
@@ -53,16 +54,22 @@ def grid(impurities: Sequence[str], depths: Sequence[int], bins: Sequence[int])
     return [TreeParams(i, d, b) for i, d, b in itertools.product(impurities, depths, bins)]
 
 
+def assemble_labelled(df: DataFrame, features: Sequence[str] | None = None):
+    """FLT1 -> FEA1: (idn, label, features) written once and re-read; names."""
+    lab = labelled(df)
+    names = list(features or feature_columns(lab, IGNORE))
+    return materialise(assemble(lab, names).select("idn", "label", "features")), names
+
+
 def prepare(df: DataFrame, features: Sequence[str] | None = None, fit_on: DataFrame | None = None):
     """FLT1 -> FEA1 -> FEA3: (idn, label, features, indexedFeatures), indexer, names.
 
     The labelled vectors and the indexed table are each written once and
     re-read (SRC6): the indexer fit, the balance plan and every fit scan
-    them instead of recomputing the input.
+    them instead of recomputing the input.  The indexer is fitted on all
+    labelled rows unless ``fit_on`` is given.
     """
-    lab = labelled(df)
-    names = list(features or feature_columns(lab, IGNORE))
-    assembled = materialise(assemble(lab, names).select("idn", "label", "features"))
+    assembled, names = assemble_labelled(df, features)
     indexer = fit_indexer(fit_on if fit_on is not None else assembled)
     return materialise(indexer.transform(assembled)), indexer, names
 
@@ -98,10 +105,16 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
     """
     cfg = cfg or ExperimentConfig()
     spark = df.sparkSession
+    if cfg.fit_indexer_on not in ("all", "train"):
+        raise ValueError("fit_indexer_on must be 'all' or 'train'")
     base = scan(df, filters=cfg.filters)
-    data, indexer, names = prepare(base, cfg.features)
     work = scratch_path(spark, f"experiment-{uuid.uuid4().hex}")
-    data = data.select("idn", "label", "indexedFeatures")
+    if cfg.fit_indexer_on == "all":
+        # As the reference: indexer fitted on every labelled row, before the split.
+        data, _, names = prepare(base, cfg.features)
+        data = data.select("idn", "label", "indexedFeatures")
+    else:
+        data, names = assemble_labelled(base, cfg.features)
     reports: dict[str, list[DataFrame]] = {k: [] for k in
                                            ("confusion", "importances", "roc", "density_test",
                                             "density_train", "eer", "curves")}
@@ -111,9 +124,14 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
         for g, params in enumerate(points):
             seed = f"{k}:{g}" if cfg.split_per_grid_point else f"{k}"
             train, test = train_test(data, cfg.train, seed)
-            model = BalancedTreeEnsemble(params, "indexedFeatures", names, seed=seed,
-                                         parallelism=cfg.parallelism).fit(train)
             folder = f"{work}/k{k}_g{g}"
+            if cfg.fit_indexer_on == "train":
+                # No label-free leakage: categories are learnt from the training side only.
+                indexer = fit_indexer(train)
+                train = materialise(indexer.transform(train), path=f"{folder}/train_indexed")
+                test = indexer.transform(test)
+            model = BalancedTreeEnsemble(params, "indexedFeatures", names, seed=seed,
+                                         parallelism=cfg.parallelism, engine=cfg.engine).fit(train)
             scored = {}
             for side, part in (("test", test), ("train", train)):
                 pred = model.predict(part, cfg.strategy).select(
@@ -131,8 +149,12 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
             reports["eer"] += [_tag(ev_test["eer"], k, params), _tag(ev_train["eer"], k, params)]
             reports["curves"] += [_tag(ev_test["curves"], k, params),
                                   _tag(ev_train["curves"], k, params)]
-            nodes = node_table(model, f"{out}/modelos/{params.tag}_{k}" if out
-                               else f"{folder}/model")
+            model_path = f"{out}/modelos/{params.tag}_{k}" if out else f"{folder}/model"
+            if cfg.engine == "levelwise":
+                model.save(model_path)
+                nodes = model.nodes
+            else:
+                nodes = node_table(model, model_path)
             reports["importances"].append(_tag(named_importances(nodes, names, digits=None),
                                                k, params))
             dumps.append((k, params.impurity, params.max_depth, params.max_bins, model.num_trees,

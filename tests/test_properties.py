@@ -377,3 +377,32 @@ def test_levelwise_leaf_values_match_direct_routing(spark, fitted):
                 go_right = r["x"][int(nd["feature_index"])] > nd["threshold"]
                 node = 2 * node + int(go_right)
             assert r["p1s"][t] == pytest.approx(nodes.loc[(t, node), "prediction"], abs=0, rel=0)
+
+
+def test_levelwise_save_load_and_importances(spark, fitted):
+    from rarefy.operators.levelwise import LevelwiseEnsembleModel
+    _, tr, te = fitted
+    model = BalancedTreeEnsemble(TreeParams("gini", 4, 16), "indexedFeatures",
+                                 list(fixtures.FEATURES), seed="6", engine="levelwise").fit(tr)
+    path = scratch_path(spark, f"lw-{uuid.uuid4().hex}")
+    model.save(path)
+    again = LevelwiseEnsembleModel.load(spark, path)
+    a = model.predict(te).select("idn", "p1").orderBy("idn").collect()
+    b = again.predict(te).select("idn", "p1").orderBy("idn").collect()
+    assert a == b
+    imp = named_importances(model.nodes, model.feature_names, digits=None).toPandas()
+    assert (imp["importance"] >= 0).all() and imp["importance"].sum() == pytest.approx(1.0)
+
+
+def test_experiment_reports_levelwise_train_indexer(spark, small_dir):
+    cfg = experiment.ExperimentConfig(runs=1, impurities=("entropy",), depths=(3,), bins=(16,),
+                                      features=list(fixtures.FEATURES), engine="levelwise",
+                                      fit_indexer_on="train")
+    rep = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg)
+    assert set(rep) == {"confusion", "importances", "roc", "density_test", "density_train",
+                        "eer", "curves", "model"}
+    conf = rep["confusion"].toPandas()
+    assert sorted(conf["tipo"]) == ["test", "train"]
+    assert rep["eer"].count() == 2
+    assert rep["density_test"].count() == 2 * 41
+    assert rep["curves"].count() == 4 * 150
