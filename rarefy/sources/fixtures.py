@@ -75,7 +75,9 @@ def transactions_from_events(ev: DataFrame) -> DataFrame:
         ((hour >= 12) & (hour < 18)).cast("int").alias("tard"),
         (hour >= 18).cast("int").alias("noch"),
         "user_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+        # Microseconds since the epoch of the wall-clock value: no session time zone involved.
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+               "CAST(ts AS TIMESTAMP_NTZ))").alias("t_us"),
     )
     keep = ["idn", "resp_code", "label", "monto", "is_purchase", "is_click", "is_view",
             "fds", "madr", "morn", "tard", "noch"]
