@@ -189,7 +189,7 @@ class BalancedTreeEnsemble:
                                         LABEL, self.minority, ID, keep=keep)
         else:
             long = balanced_sets(df, plan, self.seed, LABEL, self.minority, ID, keep=keep)
-        long = long.select("tree", F.col("w").cast("double").alias("w"),
+        long = long.select("tree", ID, F.col("w").cast("double").alias("w"),
                            to_binary(LABEL, self.minority).alias("y"), self.features_col)
         return long, n_trees
 
@@ -217,7 +217,11 @@ class BalancedTreeEnsemble:
         long, n_trees = self.balanced_table(df)
         path = self.workdir or scratch_path(spark, f"balanced-{uuid.uuid4().hex}")
         # Written once, partitioned by tree: each fit below prunes to one folder.
-        long.write.mode("overwrite").partitionBy("tree").parquet(path)
+        # Range-partitioning on (tree, id) first gives every task a contiguous
+        # slice of one or two trees (files ~ tasks + trees, not tasks x trees),
+        # and a large tree still spreads over several tasks.
+        (long.repartitionByRange("tree", ID).drop(ID)
+         .write.mode("overwrite").partitionBy("tree").parquet(path))
         stored = spark.read.parquet(path)
         seed_int = int(hashlib.md5(self.seed.encode()).hexdigest()[:7], 16)
 
