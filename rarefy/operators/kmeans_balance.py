@@ -4,12 +4,15 @@ The majority rows are clustered with Spark ML KMeans (k defaults to the
 minority count, so one row per cluster balances the classes).
 
 * ``nearest``: the majority row closest to each centroid (ties -> lowest id);
-* ``stratified``: per tree, one row per cluster drawn by a hash of
-  (seed, tree, id), so every tree sees a different, cluster-stratified sample.
-
-Each pick is a per-cluster minimum of a (key, id) struct: a hash aggregate
-with map-side partial aggregation, so a cluster holding a third of all rows
-costs no more than any other (no window over a cluster, no collect).
+* ``stratified``: per tree, one row per cluster drawn uniformly by a hash of
+  (seed, tree, cluster), so every tree sees a different, cluster-stratified
+  sample.
+
+The nearest pick is a per-cluster minimum of a (distance, id) struct (a hash
+aggregate with map-side partial aggregation); the stratified draw numbers
+rows with distributed running totals (range-partitioned on (cluster, id)).
+Either way a cluster holding a third of all rows costs no more than any
+other: no window over a cluster, no collect.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
 from ..schema import FRAUD, ID, LABEL, is_minority
+from ..sources.tables import materialise
+from .prefix import running_totals
 from .sampling import balance_plan
 
 
@@ -55,15 +60,26 @@ def nearest_to_centroids(majority: DataFrame, model, features: str = "indexedFea
 
 def stratified_picks(majority: DataFrame, model, n_trees: int, seed: str = "0",
                      idn: str = ID) -> DataFrame:
-    """Per tree one row per cluster, drawn by hash: (tree, idn, w=1)."""
+    """Per tree one row per cluster, drawn uniformly: (tree, idn, w=1).
+
+    Rows get a global position in (cluster, id) order from distributed
+    running totals, so cluster c occupies positions start_c .. start_c+m_c-1.
+    Each (cluster, tree) draws one position from a hash of (seed, tree,
+    cluster), and an equi-join on the position fetches the row.  Work is
+    O(rows + clusters x trees), not O(rows x trees).
+    """
     assigned = model.transform(majority).select(idn, "cluster")
-    keys = [F.struct(hash_uniform("km:", seed, ":", t, ":", F.col(idn)).alias("u"),
-                     F.col(idn).alias("idn")) for t in range(n_trees)]
-    picks = (assigned.select("cluster", F.array(*keys).alias("ks"))
-             .select("cluster", F.posexplode("ks").alias("tree", "s"))
-             .groupBy("cluster", "tree").agg(F.min("s").alias("s")))
-    return picks.select(F.col("tree").cast("int").alias("tree"), F.col("s.idn").alias("idn"),
-                        F.lit(1).alias("w"))
+    # Used by two branches (cluster starts, the fetch join): written once.
+    numbered = materialise(running_totals(assigned, ["cluster", idn], {}, position="pos"))
+    starts = numbered.groupBy("cluster").agg(F.min("pos").alias("start"),
+                                             F.count(F.lit(1)).alias("m"))
+    u = hash_uniform("km:", seed, ":", F.col("tree"), ":", F.col("cluster"))
+    draws = (starts.select("cluster", "start", "m",
+                           F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+             .select(F.col("tree").cast("int").alias("tree"),
+                     (F.col("start") + F.floor(F.col("m") * u)).alias("pos")))
+    return (draws.join(numbered.select(F.col(idn).alias("idn"), "pos"), "pos")
+            .select("tree", "idn", F.lit(1).alias("w")))
 
 
 def kmeans_balanced_sets(df: DataFrame, features: str = "indexedFeatures", k: int | None = None,

@@ -406,3 +406,17 @@ def test_experiment_reports_levelwise_train_indexer(spark, small_dir):
     assert rep["eer"].count() == 2
     assert rep["density_test"].count() == 2 * 41
     assert rep["curves"].count() == 4 * 150
+
+
+def test_stratified_kmeans_picks_one_row_per_cluster_and_tree(spark, fitted):
+    from rarefy.operators import kmeans_balance as kb
+    _, tr, _ = fitted
+    majority = tr.where("label <> 1")
+    model = kb.fit_clusters(majority, 7)
+    picks = kb.stratified_picks(majority, model, 5, seed="9")
+    assigned = model.transform(majority).select("idn", "cluster")
+    joined = picks.join(assigned, "idn").toPandas()
+    sizes = assigned.groupBy("cluster").count().toPandas()
+    per = joined.groupby(["tree", "cluster"]).size()
+    assert (per == 1).all()
+    assert len(per) == 5 * len(sizes)
