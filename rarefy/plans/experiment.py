@@ -117,7 +117,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
         data, names = assemble_labelled(base, cfg.features)
     reports: dict[str, list[DataFrame]] = {k: [] for k in
                                            ("confusion", "importances", "roc", "density_test",
-                                            "density_train", "eer", "curves")}
+                                            "density_train", "eer", "curves", "nodes")}
     dumps = []
     points = grid(cfg.impurities, cfg.depths, cfg.bins)
     for k in range(1, cfg.runs + 1):
@@ -157,18 +157,32 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
                 nodes = node_table(model, model_path)
             reports["importances"].append(_tag(named_importances(nodes, names, digits=None),
                                                k, params))
-            dumps.append((k, params.impurity, params.max_depth, params.max_bins, model.num_trees,
-                          model.to_debug_string()))
+            reports["nodes"].append(_tag(_node_rows(nodes, cfg.engine), k, params))
+            if cfg.engine != "levelwise":
+                # Spark ML trees live on the driver already; their text dump is local.
+                dumps.append((k, params.impurity, params.max_depth, params.max_bins,
+                              model.num_trees, model.to_debug_string()))
     result = {name: reduce(DataFrame.unionByName, frames) for name, frames in reports.items()}
     result = _shape_reports(result)
     result["model"] = spark.createDataFrame(
         dumps, "k int, impurity string, depth int, bins int, trees int, dump string")
     if out:
         for name, frame in result.items():
-            frame.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+            frame.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
     return result
 
 
+def _node_rows(nodes: DataFrame, engine: str) -> DataFrame:
+    """O8 as a table: (tree, node, feature_index, threshold, gain, prediction, impurity, is_leaf)."""
+    if engine == "levelwise":
+        return nodes.select("tree", "node", "feature_index", "threshold", "gain", "prediction",
+                            "impurity", "is_leaf")
+    return nodes.select("tree", F.col("id").cast("bigint").alias("node"), "feature_index",
+                        F.when(F.col("num_categories") < 0,
+                               F.element_at("threshold_or_categories", 1)).alias("threshold"),
+                        "gain", "prediction", "impurity", (F.col("left_child") < 0).alias("is_leaf"))
+
+
 def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Column layouts of the reports (O1-O7)."""
     tail = ["impurity", "depth", "bins"]
@@ -184,8 +198,10 @@ def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
     eer = r["eer"].select("k", "type", F.col("eer").alias("EER"), F.col("lr").alias("LR"), "state",
                           *tail)
     curves = r["curves"].select(F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail)
+    nodes = r["nodes"].select("k", "tree", "node", "feature_index", "threshold", "gain",
+                              "prediction", "impurity", "is_leaf", *tail)
     return {"confusion": conf, "importances": imp, "roc": roc, "density_test": dens_t,
-            "density_train": dens_r, "eer": eer, "curves": curves}
+            "density_train": dens_r, "eer": eer, "curves": curves, "nodes": nodes}
 
 
 __all__ = ["ExperimentConfig", "grid", "prepare", "evaluate", "run_experiment",

@@ -400,7 +400,9 @@ def test_experiment_reports_levelwise_train_indexer(spark, small_dir):
                                       fit_indexer_on="train")
     rep = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg)
     assert set(rep) == {"confusion", "importances", "roc", "density_test", "density_train",
-                        "eer", "curves", "model"}
+                        "eer", "curves", "nodes", "model"}
+    assert rep["nodes"].where("depth > 3").count() == 0 if "depth" in rep["nodes"].columns else True
+    assert rep["nodes"].where("NOT is_leaf").count() > 0
     conf = rep["confusion"].toPandas()
     assert sorted(conf["tipo"]) == ["test", "train"]
     assert rep["eer"].count() == 2
