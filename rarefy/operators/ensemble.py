@@ -110,10 +110,10 @@ class BalancedEnsembleModel:
         return out.withColumn(output, F.array(*cols)).drop(*names)
 
     def predict(self, df: DataFrame, strategy: str = "soft", strict: bool = False) -> DataFrame:
-        """ENS7: add ``p1s, n_trees, n_votes, p0, p1, predicted_label``."""
+        """ENS7: add ``p1s, n_trees, n_votes, p0, p1, probability, predicted_label``."""
         with_p = self.tree_probabilities(df)
-        return combine(with_p, strategy, minority=self.minority, majority=self.majority,
-                       strict=strict)
+        return with_probability(combine(with_p, strategy, minority=self.minority,
+                                         majority=self.majority, strict=strict))
 
     # -- inspection ------------------------------------------------------
     def to_debug_string(self) -> str:
@@ -149,6 +149,12 @@ class BalancedEnsembleModel:
                    manifest["minority"], manifest["majority"], manifest["kind"])
 
 
+def with_probability(df: DataFrame) -> DataFrame:
+    """D9: ``probability`` = [P(majority), P(minority)] as an ML vector."""
+    from pyspark.ml.functions import array_to_vector
+    return df.withColumn("probability", array_to_vector(F.array("p0", "p1")))
+
+
 class BalancedTreeEnsemble:
     """ENS2: an ensemble of single trees, each on a balanced bootstrap sample.
 

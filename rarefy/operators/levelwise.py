@@ -242,8 +242,10 @@ class LevelwiseEnsembleModel:
     def predict(self, df: DataFrame, strategy: str = "soft", strict: bool = False) -> DataFrame:
         cols = df.columns
         expanded, _ = expand_vector(df, self.features_col, len(self.model.features))
+        from .ensemble import with_probability
         out = self.model.predict(expanded, strategy, self.minority, self.majority, strict)
-        return out.select(*cols, "p1s", "n_trees", "n_votes", "p0", "p1", "predicted_label")
+        return with_probability(out.select(*cols, "p1s", "n_trees", "n_votes", "p0", "p1",
+                                           "predicted_label"))
 
     def save(self, path: str) -> None:
         """SNK2: node table as Parquet plus a JSON manifest (binning, parameters)."""

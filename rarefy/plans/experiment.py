@@ -80,9 +80,13 @@ def _tag(df: DataFrame, k: int, p: TreeParams) -> DataFrame:
 
 
 def _confusion_row(pred: DataFrame, tipo: str) -> DataFrame:
+    """O1 row: metrics, AUC of the hard label (as the reference) and of P(fraud)."""
     conf = metrics.confusion_metrics(pred, digits=None)
-    area = metrics.auc(pred, "predicted_label", digits=None)
-    return (conf.withColumn("areaRoc", area.select("auc").scalar())
+    area = metrics.auc(pred, "predicted_label", digits=None).first()["auc"]
+    scored = pred.withColumn("_score", F.round("p1", 9))
+    area_score = metrics.auc(scored, "_score", digits=None).first()["auc"]
+    return (conf.withColumn("areaRoc", F.lit(area).cast("double"))
+            .withColumn("areaRocScore", F.lit(area_score).cast("double"))
             .withColumn("tipo", F.lit(tipo)))
 
 
@@ -190,7 +194,7 @@ def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "tipo", "k", "tp", "fn", "tn", "fp", F.col("tpr").alias("TPR"), F.col("spc").alias("SPC"),
         F.col("ppv").alias("PPV"), F.col("acc").alias("ACC"), F.col("f1").alias("F1"),
         F.col("mgeo").alias("MGEO"), F.col("pexc").alias("PEXC"), F.col("mcc").alias("MCC"),
-        "areaRoc", *tail)
+        "areaRoc", "areaRocScore", *tail)
     imp = r["importances"].select("variable", "importance", "k", *tail)
     roc = r["roc"].select(F.col("fpr").alias("X"), F.col("tpr").alias("Y"), "k", "pos", *tail)
     dens_t = r["density_test"].select(F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail)

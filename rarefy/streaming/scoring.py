@@ -21,6 +21,9 @@ def score_stream(model: BalancedEnsembleModel, stream: DataFrame, indexer=None,
     ``indexer`` is the fitted VectorIndexerModel of the training run (a
     stateless transform as well); without it the assembled vector is used.
     """
+    if not isinstance(model, BalancedEnsembleModel):
+        raise ValueError("stream scoring needs a row-local model (engine='ml'); the level-wise "
+                         "scorer gathers per-row leaf values with an aggregation")
     vec = assemble(stream, model.feature_names)
     if indexer is not None:
         vec = indexer.transform(vec)

@@ -65,3 +65,11 @@ def test_stream_scoring_equals_batch(spark, small_dir):
     batch = (model.predict(vec).select("idn", "label", "p0", "p1", "predicted_label")
              .orderBy("idn").collect())
     assert streamed == batch
+
+
+def test_stream_scoring_rejects_levelwise_models():
+    import pytest
+    from rarefy.operators.levelwise import LevelwiseEnsembleModel
+    fake = LevelwiseEnsembleModel(model=None, features_col="indexedFeatures", feature_names=[])
+    with pytest.raises(ValueError):
+        score_stream(fake, stream=None)
