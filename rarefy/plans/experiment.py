@@ -80,11 +80,14 @@ def _tag(df: DataFrame, k: int, p: TreeParams) -> DataFrame:
 
 
 def _confusion_row(pred: DataFrame, tipo: str) -> DataFrame:
-    """O1 row: metrics, AUC of the hard label (as the reference) and of P(fraud)."""
+    """O1 row: metrics, AUC of the hard label (as the reference) and of the score.
+
+    The score is the log-likelihood ratio ln(p1/p0): with near-pure leaves the
+    product rule pushes p1 itself to 0 or 1, while the ratio keeps the ranking.
+    """
     conf = metrics.confusion_metrics(pred, digits=None)
     area = metrics.auc(pred, "predicted_label", digits=None).first()["auc"]
-    scored = pred.withColumn("_score", F.round("p1", 9))
-    area_score = metrics.auc(scored, "_score", digits=None).first()["auc"]
+    area_score = metrics.auc(detection.with_lr(pred), "lr", digits=None).first()["auc"]
     return (conf.withColumn("areaRoc", F.lit(area).cast("double"))
             .withColumn("areaRocScore", F.lit(area_score).cast("double"))
             .withColumn("tipo", F.lit(tipo)))

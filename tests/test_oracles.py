@@ -28,4 +28,5 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 1
-    assert set(df.columns) >= {"tp", "fn", "tn", "fp", "mcc"}
+    assert set(df.columns) >= {"tp", "fn", "tn", "fp", "mcc", "area_roc", "n_trees"}
+    assert rows[0]["tp"] + rows[0]["fn"] > 0
