@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import LR_DIGITS, rounded_lr
+from ..functions.scores import rounded_lr
 from ..schema import FRAUD
 from ..sources.tables import materialise
 from .prefix import running_totals
