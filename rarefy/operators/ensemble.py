@@ -166,7 +166,7 @@ class BalancedTreeEnsemble:
                  minority: int = FRAUD, majority: int = LEGAL, parallelism: int = 4,
                  workdir: str | None = None, plan: DataFrame | None = None,
                  balancing: str = "balanced", kmeans_k: int | None = None,
-                 engine: str = "ml"):
+                 engine: str = "auto"):
         self.params = params or TreeParams()
         self.features_col = features_col
         self.feature_names = list(feature_names or [])
@@ -178,8 +178,12 @@ class BalancedTreeEnsemble:
         self.plan = plan
         self.balancing = check_strategy(balancing)
         self.kmeans_k = kmeans_k
-        if engine not in ("ml", "levelwise"):
-            raise ValueError("engine must be 'ml' or 'levelwise'")
+        if engine not in ("auto", "ml", "levelwise"):
+            raise ValueError("engine must be 'auto', 'ml' or 'levelwise'")
+        if engine == "auto":
+            # gini: Spark ML regressor (leaf value = P(minority)); entropy: the
+            # level-wise grower, since Spark's classifier merges equal-class leaves.
+            engine = "ml" if self.params.impurity.lower() == "gini" else "levelwise"
         self.engine = engine
 
     def balanced_table(self, df: DataFrame) -> tuple[DataFrame, int]:
@@ -202,17 +206,12 @@ class BalancedTreeEnsemble:
     def _fit_levelwise(self, df: DataFrame):
         from .levelwise import LevelwiseEnsembleModel, expand_vector, grow
         size = len(df.select(self.features_col).first()[0])
-        expanded, cols = expand_vector(df.select(ID, LABEL, self.features_col),
-                                       self.features_col, size)
-        expanded = expanded.drop(self.features_col)
-        plan = self.plan if self.plan is not None else balance_plan(expanded, LABEL, self.minority)
-        n_trees, _ = plan_values(plan)
-        keep = [ID, LABEL, *cols]
-        if self.balancing == "kmeans":
-            raise ValueError("k-means balancing runs with engine='ml'")
-        long = balanced_sets(expanded, plan, self.seed, LABEL, self.minority, ID, keep=keep)
-        long = long.select("tree", "w", to_binary(LABEL, self.minority).alias("y"), *cols)
-        model = grow(long, cols, self.params, threshold_source=expanded, n_trees=n_trees)
+        base = df.select(ID, LABEL, self.features_col)
+        long, n_trees = self.balanced_table(base)
+        long, cols = expand_vector(long, self.features_col, size)
+        long = long.drop(self.features_col, ID)
+        source, _ = expand_vector(base, self.features_col, size)
+        model = grow(long, cols, self.params, threshold_source=source, n_trees=n_trees)
         return LevelwiseEnsembleModel(model, self.features_col, self.feature_names,
                                       self.minority, self.majority)
 

@@ -23,6 +23,7 @@ from ..operators import detection, metrics
 from ..operators.ensemble import BalancedTreeEnsemble, TreeParams, node_table
 from ..operators.features import assemble, fit_indexer
 from ..operators.importance import named_importances
+from ..operators.levelwise import LevelwiseEnsembleModel
 from ..operators.sampling import train_test
 from ..schema import IGNORE, feature_columns, labelled
 from ..session import scratch_path
@@ -43,7 +44,7 @@ class ExperimentConfig:
     seed: str = "0"
     split_per_grid_point: bool = True
     fit_indexer_on: str = "all"
-    engine: str = "ml"
+    engine: str = "auto"
     parallelism: int = 4
     curve_points: int = 150
     features: Sequence[str] | None = field(default=None)
@@ -157,15 +158,16 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
             reports["curves"] += [_tag(ev_test["curves"], k, params),
                                   _tag(ev_train["curves"], k, params)]
             model_path = f"{out}/modelos/{params.tag}_{k}" if out else f"{folder}/model"
-            if cfg.engine == "levelwise":
+            levelwise = isinstance(model, LevelwiseEnsembleModel)
+            if levelwise:
                 model.save(model_path)
                 nodes = model.nodes
             else:
                 nodes = node_table(model, model_path)
             reports["importances"].append(_tag(named_importances(nodes, names, digits=None),
                                                k, params))
-            reports["nodes"].append(_tag(_node_rows(nodes, cfg.engine), k, params))
-            if cfg.engine != "levelwise":
+            reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params))
+            if not levelwise:
                 # Spark ML trees live on the driver already; their text dump is local.
                 dumps.append((k, params.impurity, params.max_depth, params.max_bins,
                               model.num_trees, model.to_debug_string()))
@@ -179,9 +181,9 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
     return result
 
 
-def _node_rows(nodes: DataFrame, engine: str) -> DataFrame:
+def _node_rows(nodes: DataFrame, levelwise: bool) -> DataFrame:
     """O8 as a table: (tree, node, feature_index, threshold, gain, prediction, impurity, is_leaf)."""
-    if engine == "levelwise":
+    if levelwise:
         return nodes.select("tree", "node", "feature_index", "threshold", "gain", "prediction",
                             "impurity", "is_leaf")
     return nodes.select("tree", F.col("id").cast("bigint").alias("node"), "feature_index",

@@ -422,3 +422,15 @@ def test_stratified_kmeans_picks_one_row_per_cluster_and_tree(spark, fitted):
     per = joined.groupby(["tree", "cluster"]).size()
     assert (per == 1).all()
     assert len(per) == 5 * len(sizes)
+
+
+def test_experiment_default_config_grid(spark, small_dir):
+    # Reference defaults (entropy -> level-wise under engine="auto") plus a gini point (ML).
+    cfg = experiment.ExperimentConfig(runs=1, impurities=("gini", "entropy"), depths=(3,),
+                                      bins=(16,), features=list(fixtures.FEATURES),
+                                      split_per_grid_point=False)
+    rep = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg)
+    conf = rep["confusion"].toPandas()
+    assert sorted(conf["impurity"]) == ["entropy", "entropy", "gini", "gini"]
+    assert set(rep["nodes"].select("impurity").distinct().toPandas()["impurity"]) == {"gini", "entropy"}
+    assert rep["model"].count() == 1  # text dump only for the Spark ML (gini) point
