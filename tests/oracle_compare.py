@@ -39,18 +39,28 @@ def rows_of(records, cols):
     return sorted((tuple(norm(r[c]) for c in cols) for r in records), key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT",
+                 "tinyint": "TINYINT"}
+
+
 def compare(spark, con, sf_dir, name, q, sql):
     t0 = time.time()
     sdf = q(spark, sf_dir)
     srows = [r.asDict() for r in sdf.collect()]
     t1 = time.time()
-    res = con.execute(sql)
-    dcols = [d[0] for d in res.description]
-    drows = [dict(zip(dcols, r)) for r in res.fetchall()]
-    t2 = time.time()
+    rel = con.sql(sql)
+    dcols = list(rel.columns)
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
     scols = sorted(sdf.columns)
     if scols != sorted(dcols):
         return False, f"columns differ: spark={sorted(sdf.columns)} duck={sorted(dcols)}", t1 - t0
+    bad = [(f.name, f.dataType.simpleString(), dtypes[f.name]) for f in sdf.schema.fields
+           if SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+           != dtypes[f.name]]
+    if bad:
+        return False, f"types differ: {bad}", t1 - t0
     if len(srows) != len(drows):
         return False, f"row count spark={len(srows)} duck={len(drows)}", t1 - t0
     a, b = rows_of(srows, scols), rows_of(drows, scols)
