@@ -2,9 +2,9 @@
 
 Likelihood ratios, per-class Gaussian KDE of the ratio, equal-error rate and
 per-class cumulative score curves.  Class roles: ``flag`` 1 = minority
-(fraud), 0 = majority (legal).  Every evaluator returns a lazy DataFrame;
-global scalars (class sizes, score range, minimum gap) reach the rows as
-scalar subqueries, and ordered scans use distributed running totals.
+(fraud), 0 = majority (legal).  Global scalars (class sizes, score range,
+minimum gap) are one-row aggregates of a written (materialised) table, read
+once and used as literals; ordered scans use distributed running totals.
 """
 
 from __future__ import annotations
@@ -96,9 +96,10 @@ def _eer_pick(rows: DataFrame, gap: Column, pfa: Column, n_fraud: Column, n_lega
     """Lower median (rank (cnt+1) div 2 in ``order``) of the rows minimising ``gap``."""
     # The running totals feed three passes (minimum, count, pick): cut lineage once.
     staged = materialise(rows.withColumn("_gap", gap).withColumn("_pfa", pfa))
-    min_gap = staged.select(F.min("_gap")).scalar()
+    # Two numbers from the written table, used as literals.
+    min_gap = F.lit(staged.select(F.min("_gap")).first()[0]).cast(staged.schema["_gap"].dataType)
     best = staged.where(F.col("_gap") == min_gap)
-    cnt = best.select(F.count(F.lit(1))).scalar()
+    cnt = F.lit(best.count())
     ranked = running_totals(best, order, {}, position="_rank", buckets=buckets)
     chosen = ranked.where(F.col("_rank") == F.floor((cnt + F.lit(1)) / F.lit(2)))
     scale = n_fraud.cast("double") * n_legal.cast("double")
@@ -129,9 +130,8 @@ def eer(df: DataFrame, mode: str = "standard", score: str = "lr", flag: str = "f
         # Distinct scores only (map-side partial aggregation), written once.
         g = materialise(base.groupBy("lr").agg(F.count_if(F.col("flag") == 1).alias("nf"),
                                                F.count_if(F.col("flag") == 0).alias("nl")))
-        counts = g.select(F.struct(F.sum("nf").alias("n_fraud"),
-                                   F.sum("nl").alias("n_legal")).alias("c")).scalar()
-        n_f, n_l = counts["n_fraud"], counts["n_legal"]
+        c = g.agg(F.sum("nf"), F.sum("nl")).first()
+        n_f, n_l = F.lit(c[0] or 0).cast("bigint"), F.lit(c[1] or 0).cast("bigint")
         cum = running_totals(g, ["lr"], {"cf": "nf", "cl": "nl"}, buckets=buckets)
         a = F.col("cf").cast(dec)
         b = (n_l - F.col("cl")).cast(dec)
@@ -140,10 +140,8 @@ def eer(df: DataFrame, mode: str = "standard", score: str = "lr", flag: str = "f
         order = ["lr"]
     elif mode == "reference":
         base = materialise(base)
-        counts = base.select(F.struct(F.count_if(F.col("flag") == 1).alias("n_fraud"),
-                                      F.count_if(F.col("flag") == 0).alias("n_legal"))
-                             .alias("c")).scalar()
-        n_f, n_l = counts["n_fraud"], counts["n_legal"]
+        c = base.agg(F.count_if(F.col("flag") == 1), F.count_if(F.col("flag") == 0)).first()
+        n_f, n_l = F.lit(c[0]).cast("bigint"), F.lit(c[1]).cast("bigint")
         order = ["lr", F.col("flag").desc(), "idn"]
         cum = running_totals(base, order, {"cf": "flag"}, buckets=buckets)
         i = F.col("pos") - F.lit(1)

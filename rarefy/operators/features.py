@@ -45,10 +45,10 @@ def feature_arity(df: DataFrame, features: Sequence[str] | None = None,
     cols = list(features or feature_columns(df, IGNORE))
     bounds = df.agg(*[F.min(c).cast("double").alias(f"lo_{i}") for i, c in enumerate(cols)],
                     *[F.max(c).cast("double").alias(f"hi_{i}") for i, c in enumerate(cols)])
-    # One struct-valued subquery: every use below shares a single execution.
-    b = bounds.select(F.struct(*bounds.columns).alias("b")).scalar()
-    lo = {i: b[f"lo_{i}"] for i in range(len(cols))}
-    hi = {i: b[f"hi_{i}"] for i in range(len(cols))}
+    # One row of 2 x features numbers, read once and used as literals.
+    b = bounds.first()
+    lo = {i: F.lit(b[f"lo_{i}"]).cast("double") for i in range(len(cols))}
+    hi = {i: F.lit(b[f"hi_{i}"]).cast("double") for i in range(len(cols))}
     third = df.agg(*[
         F.count_if((F.col(c).cast("double") != lo[i]) & (F.col(c).cast("double") != hi[i]))
          .alias(f"x_{i}") for i, c in enumerate(cols)])

@@ -75,9 +75,9 @@ def roc_points(df: DataFrame, score: str, label: str = "label", positive: int =
     """
     # Distinct scores only, written once: they feed the totals and the running sums.
     g = materialise(_score_groups(df, score, label, positive))
-    stats = g.select(F.struct(F.sum("tp").alias("p"), F.sum("fp").alias("n"),
-                              F.count(F.lit(1)).alias("d")).alias("s")).scalar()
-    n_pos, n_neg, n_groups = stats["p"], stats["n"], stats["d"]
+    st = g.agg(F.sum("tp"), F.sum("fp"), F.count(F.lit(1))).first()
+    n_pos, n_neg = F.lit(st[0] or 0).cast("bigint"), F.lit(st[1] or 0).cast("bigint")
+    n_groups = F.lit(st[2]).cast("bigint")
     cum = running_totals(g, [F.col("score").desc()], {"ctp": "tp", "cfp": "fp"},
                          buckets=buckets)
     spark = df.sparkSession
