@@ -18,18 +18,22 @@ def split_uniform(seed, idn: str = ID) -> Column:
     return hash_uniform("split:", str(seed), ":", F.col(idn))
 
 
+def in_train(train: float, seed, idn: str = ID) -> Column:
+    """u(seed, id) < train; a NULL id (NULL uniform) counts as test, never dropped."""
+    return F.coalesce(split_uniform(seed, idn) < F.lit(train), F.lit(False))
+
+
 def hash_split(df: DataFrame, train: float = 0.7, seed="0", idn: str = ID) -> DataFrame:
     """SMP3: add ``split`` = 'train' when u(seed, id) < train, else 'test'."""
     return df.withColumn(
-        "split", F.when(split_uniform(seed, idn) < F.lit(train), F.lit("train"))
-                  .otherwise(F.lit("test")))
+        "split", F.when(in_train(train, seed, idn), F.lit("train")).otherwise(F.lit("test")))
 
 
 def train_test(df: DataFrame, train: float = 0.7, seed="0",
                idn: str = ID) -> tuple[DataFrame, DataFrame]:
     """SMP1 (deterministic form): the two sides of :func:`hash_split`."""
-    u = split_uniform(seed, idn)
-    return df.where(u < F.lit(train)), df.where(u >= F.lit(train))
+    t = in_train(train, seed, idn)
+    return df.where(t), df.where(~t)
 
 
 def random_split(df: DataFrame, train: float = 0.7, seed: int | None = None):

@@ -434,3 +434,12 @@ def test_experiment_default_config_grid(spark, small_dir):
     assert sorted(conf["impurity"]) == ["entropy", "entropy", "gini", "gini"]
     assert set(rep["nodes"].select("impurity").distinct().toPandas()["impurity"]) == {"gini", "entropy"}
     assert rep["model"].count() == 1  # text dump only for the Spark ML (gini) point
+
+
+def test_split_sides_partition_rows_with_null_ids(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, 1) for i in range(200)], "idn long, label int")
+    tr, te = sampling.train_test(df, 0.7, "3")
+    assert tr.count() + te.count() == 200
+    labelled_split = sampling.hash_split(df, 0.7, "3").groupBy("split").count().toPandas()
+    assert dict(zip(labelled_split["split"], labelled_split["count"])) == {
+        "train": tr.count(), "test": te.count()}
