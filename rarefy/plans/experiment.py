@@ -182,14 +182,23 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
 
 
 def _node_rows(nodes: DataFrame, levelwise: bool) -> DataFrame:
-    """O8 as a table: (tree, node, feature_index, threshold, gain, prediction, impurity, is_leaf)."""
+    """O8 as a table: (tree, node, feature_index, threshold, gain, prediction, node_impurity,
+    is_leaf)."""
     if levelwise:
-        return nodes.select("tree", "node", "feature_index", "threshold", "gain", "prediction",
-                            "impurity", "is_leaf")
+        return nodes.select("tree", "node", "feature_index", "threshold",
+                            F.lit(None).cast("string").alias("left_categories"), "gain",
+                            "prediction", F.col("impurity").alias("node_impurity"), "is_leaf")
     return nodes.select("tree", F.col("id").cast("bigint").alias("node"), "feature_index",
-                        F.when(F.col("num_categories") < 0,
-                               F.element_at("threshold_or_categories", 1)).alias("threshold"),
-                        "gain", "prediction", "impurity", (F.col("left_child") < 0).alias("is_leaf"))
+                        # Continuous splits hold one threshold; leaves hold an empty array.
+                        F.when((F.col("left_child") >= 0) & (F.col("num_categories") < 0),
+                               F.try_element_at("threshold_or_categories", F.lit(1)))
+                        .alias("threshold"),
+                        # Categorical splits send these category codes left.
+                        F.when((F.col("left_child") >= 0) & (F.col("num_categories") > 0),
+                               F.array_join(F.col("threshold_or_categories").cast("array<string>"),
+                                            ",")).alias("left_categories"),
+                        "gain", "prediction", F.col("impurity").alias("node_impurity"),
+                        (F.col("left_child") < 0).alias("is_leaf"))
 
 
 def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -207,8 +216,9 @@ def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
     eer = r["eer"].select("k", "type", F.col("eer").alias("EER"), F.col("lr").alias("LR"), "state",
                           *tail)
     curves = r["curves"].select(F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail)
-    nodes = r["nodes"].select("k", "tree", "node", "feature_index", "threshold", "gain",
-                              "prediction", "impurity", "is_leaf", *tail)
+    nodes = r["nodes"].select("k", "tree", "node", "feature_index", "threshold",
+                              "left_categories", "gain",
+                              "prediction", "node_impurity", "is_leaf", *tail)
     return {"confusion": conf, "importances": imp, "roc": roc, "density_test": dens_t,
             "density_train": dens_r, "eer": eer, "curves": curves, "nodes": nodes}
 

@@ -73,3 +73,22 @@ def test_stream_scoring_rejects_levelwise_models():
     fake = LevelwiseEnsembleModel(model=None, features_col="indexedFeatures", feature_names=[])
     with pytest.raises(ValueError):
         score_stream(fake, stream=None)
+
+
+def test_experiment_writes_reports_and_models(spark, small_dir):
+    out = scratch_path(spark, f"exp-out-{uuid.uuid4().hex}")
+    cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(3,), bins=(16,),
+                                      features=list(fixtures.FEATURES))
+    rep = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg, out=out)
+    for name in rep:
+        back = spark.read.option("header", True).option("multiLine", True).csv(f"{out}/{name}")
+        assert back.count() == rep[name].count(), name
+        assert back.columns == rep[name].columns, name
+    from rarefy.operators.ensemble import BalancedEnsembleModel
+    model = BalancedEnsembleModel.load(f"{out}/modelos/gini316_1")
+    assert model.num_trees > 0
+    nodes = rep["nodes"].toPandas()
+    internal = nodes[~nodes.is_leaf]
+    # Every split has exactly one of: a threshold (continuous) or a category set.
+    assert (internal["threshold"].notna() ^ internal["left_categories"].notna()).all()
+    assert nodes.loc[nodes.is_leaf, "threshold"].isna().all()
