@@ -443,3 +443,33 @@ def test_split_sides_partition_rows_with_null_ids(spark):
     labelled_split = sampling.hash_split(df, 0.7, "3").groupBy("split").count().toPandas()
     assert dict(zip(labelled_split["split"], labelled_split["count"])) == {
         "train": tr.count(), "test": te.count()}
+
+
+def test_feature_arity_agrees_with_vector_indexer(spark, small_dir):
+    from rarefy.operators.features import assemble, category_arity, feature_arity, fit_indexer, labelled_points
+    lab = labelled(fixtures.transactions(spark, small_dir))
+    feats = list(fixtures.FEATURES)
+    ours = {r["feature_index"]: r["arity"] for r in feature_arity(lab, feats).collect()
+            if r["categorical"]}
+    idx = fit_indexer(assemble(lab, feats).select("features"))
+    assert ours == category_arity(idx)
+    pts = labelled_points(lab, feats)
+    assert pts.columns == ["idn", "label", "features"]
+    assert dict(pts.dtypes)["label"] == "double"
+
+
+def test_nearest_to_centroids_is_nearest(spark, fitted):
+    from pyspark.ml.functions import vector_to_array
+    from rarefy.operators import kmeans_balance as kb
+    _, tr, _ = fitted
+    majority = tr.where("label <> 1")
+    model = kb.fit_clusters(majority, 5)
+    picks = {r["cluster"]: (r["idn"], r["dist2"]) for r in kb.nearest_to_centroids(majority, model).collect()}
+    rows = (model.transform(majority)
+            .select("idn", "cluster", vector_to_array("indexedFeatures").alias("x")).toPandas())
+    centers = model.clusterCenters()
+    for c, grp in rows.groupby("cluster"):
+        d2 = grp["x"].apply(lambda v: float(((np.array(v) - centers[c]) ** 2).sum()))
+        best = grp.assign(d2=d2).sort_values(["d2", "idn"]).iloc[0]
+        assert picks[c][0] == best["idn"]
+        assert picks[c][1] == pytest.approx(best["d2"], rel=1e-12)
