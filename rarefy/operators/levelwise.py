@@ -30,7 +30,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
 from .ensemble import TreeParams
-from .joins import BROADCAST_MAX_ROWS, join_model_table
+from .joins import BROADCAST_MAX_ROWS
 from .votes import combine
 
 GAIN_DIGITS = 12
@@ -100,6 +100,19 @@ class LevelwiseModel:
     params: TreeParams
     num_trees: int
     max_level: int
+    _scoring: tuple | None = field(default=None, repr=False, compare=False)
+
+    def scoring_tables(self) -> tuple[DataFrame, DataFrame]:
+        """(split side, leaves): written and counted once per model, reused by every predict."""
+        if self._scoring is None:
+            splits = materialise(self.nodes.where(~F.col("is_leaf")).select(
+                "tree", "node", F.col("feature_index").alias("_f"), F.col("split_bin").alias("_b")))
+            leaves = materialise(self.nodes.where(F.col("is_leaf"))
+                                 .select("tree", "node", "prediction"))
+            side = F.broadcast(splits) if splits.count() <= BROADCAST_MAX_ROWS else splits
+            leaf_side = F.broadcast(leaves) if leaves.count() <= BROADCAST_MAX_ROWS else leaves
+            self._scoring = (side, leaf_side)
+        return self._scoring
 
     def tree_probabilities(self, df: DataFrame, idn: str = "idn", output: str = "p1s",
                            partitions: int | None = None) -> DataFrame:
@@ -110,10 +123,8 @@ class LevelwiseModel:
         walk = base.select(idn, "_bins",
                            F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1))).alias("tree"),
                            F.lit(1).cast("bigint").alias("node"))
-        splits = materialise(self.nodes.where(~F.col("is_leaf")).select(
-            "tree", "node", F.col("feature_index").alias("_f"), F.col("split_bin").alias("_b")))
-        # Counted once; every level joins the same (broadcast when small) table.
-        side = F.broadcast(splits) if splits.count() <= BROADCAST_MAX_ROWS else splits
+        # Counted once per model; every level joins the same (broadcast when small) table.
+        side, leaf_side = self.scoring_tables()
         for _ in range(self.max_level):
             step = walk.join(side, ["tree", "node"], "left")
             child = (F.lit(2) * F.col("node")
@@ -121,8 +132,7 @@ class LevelwiseModel:
             walk = step.select(idn, "_bins", "tree",
                                F.when(F.col("_f").isNull(), F.col("node")).otherwise(child)
                                .alias("node"))
-        leaves = materialise(self.nodes.where(F.col("is_leaf")).select("tree", "node", "prediction"))
-        at_leaf = join_model_table(walk, leaves, ["tree", "node"])
+        at_leaf = walk.join(leaf_side, ["tree", "node"])
         gathered = (at_leaf.groupBy(idn)
                     .agg(F.sort_array(F.collect_list(F.struct("tree", "prediction"))).alias("_tp")))
         p1s = gathered.select(idn, F.transform("_tp", lambda s: s["prediction"]).alias(output))
