@@ -1,4 +1,4 @@
-"""Joins against model-sized tables with an explicit size check."""
+"""Join sides for model-sized tables, broadcast only after an explicit size check."""
 
 from __future__ import annotations
 
@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def join_model_table(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a model-sized table, broadcasting it only when counted small.
+def model_side(small: DataFrame, rows: int | None = None,
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``small`` marked for broadcast when its row count is within ``max_rows``.
 
-    ``small`` should be materialised (a counted scan of it is cheap).
+    ``rows`` is the count when already known; otherwise ``small`` (normally a
+    written table) is counted.  Beyond the bound the plain frame is returned
+    and Spark plans a shuffle join.
     """
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+    n = small.count() if rows is None else rows
+    return F.broadcast(small) if n <= max_rows else small

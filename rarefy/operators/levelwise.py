@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
 from .ensemble import TreeParams
-from .joins import BROADCAST_MAX_ROWS
+from .joins import model_side
 from .votes import combine
 
 GAIN_DIGITS = 12
@@ -109,9 +109,7 @@ class LevelwiseModel:
                 "tree", "node", F.col("feature_index").alias("_f"), F.col("split_bin").alias("_b")))
             leaves = materialise(self.nodes.where(F.col("is_leaf"))
                                  .select("tree", "node", "prediction"))
-            side = F.broadcast(splits) if splits.count() <= BROADCAST_MAX_ROWS else splits
-            leaf_side = F.broadcast(leaves) if leaves.count() <= BROADCAST_MAX_ROWS else leaves
-            self._scoring = (side, leaf_side)
+            self._scoring = (model_side(splits), model_side(leaves))
         return self._scoring
 
     def tree_probabilities(self, df: DataFrame, idn: str = "idn", output: str = "p1s",
@@ -207,7 +205,7 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         n_splits = splits.count() if depth < params.max_depth else 0
         if n_splits == 0:
             break
-        side = F.broadcast(splits) if n_splits <= BROADCAST_MAX_ROWS else splits
+        side = model_side(splits, n_splits)
         moved = state.join(side, ["tree", "node"])
         child = (F.lit(2) * F.col("node")
                  + (F.element_at("bins", F.col("feature_index") + 1) > F.col("split_bin")).cast("bigint"))
