@@ -473,3 +473,24 @@ def test_nearest_to_centroids_is_nearest(spark, fitted):
         best = grp.assign(d2=d2).sort_values(["d2", "idn"]).iloc[0]
         assert picks[c][0] == best["idn"]
         assert picks[c][1] == pytest.approx(best["d2"], rel=1e-12)
+
+
+def test_minority_larger_than_majority_oversamples(spark):
+    # 300 minority vs 100 majority: ratio 0 -> one tree; bootstrap mean 3 per majority row.
+    rows = [(i, 1 if i < 300 else -1) for i in range(400)]
+    df = spark.createDataFrame(rows, "idn long, label int")
+    plan = sampling.balance_plan(df).first()
+    assert plan["ratio"] == 0 and plan["n_trees"] == 1
+    bal = sampling.balanced_sets(df, seed="2", keep=["idn", "label"])
+    major_weight = bal.where("label <> 1").agg(F.sum("w")).first()[0]
+    assert abs(major_weight - 300) <= 4 * math.sqrt(300)
+    assert bal.where("label = 1").count() == 300
+
+
+def test_eer_all_scores_equal(spark):
+    rows = [(i, 1 if i % 4 == 0 else -1, 0.5, 0.5) for i in range(40)]
+    df = detection.with_lr(_scores(spark, rows))
+    for mode in ("standard", "reference"):
+        got = detection.eer(df, mode).first()
+        pdf = df.toPandas()
+        assert (got["eer"], got["lr"], got["state"]) == _brute_eer(list(pdf["lr"]), list(pdf["flag"]), mode)
