@@ -494,3 +494,24 @@ def test_eer_all_scores_equal(spark):
         got = detection.eer(df, mode).first()
         pdf = df.toPandas()
         assert (got["eer"], got["lr"], got["state"]) == _brute_eer(list(pdf["lr"]), list(pdf["flag"]), mode)
+
+
+def test_undefined_lr_is_null_and_ignored(spark):
+    rows = [(1, 1, 0.0, 0.0), (2, 1, 0.2, 0.8), (3, -1, 0.9, 0.1), (4, -1, 0.6, 0.4), (5, 1, 1.0, 0.0)]
+    df = detection.with_lr(_scores(spark, rows))
+    lr = {r["idn"]: r["lr"] for r in df.collect()}
+    assert lr[1] is None
+    assert lr[5] == pytest.approx(round(math.log(1e-13 / 1.0), 9))
+    got = detection.eer(df).first()
+    pdf = df.toPandas().dropna(subset=["lr"])
+    assert (got["eer"], got["lr"], got["state"]) == _brute_eer(list(pdf["lr"]), list(pdf["flag"]), "standard")
+
+
+def test_null_feature_handling(spark):
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+    from rarefy.operators.features import assemble
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 3.0)], "idn long, a double, b double")
+    assert assemble(df, ["a", "b"], handle_invalid="skip").count() == 1
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        assemble(df, ["a", "b"]).collect()
