@@ -43,6 +43,7 @@ from .joins import model_side
 from .votes import combine
 
 GAIN_DIGITS = 12
+SIDE_SUMS = ("left_n", "left_n1", "right_n", "right_n1")
 QUANTILE_ACCURACY = 10000
 
 
@@ -184,12 +185,18 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
                     - F.col("nl") / F.col("nt") * _impurity(F.col("nl"), F.col("n1l"), kind)
                     - nr / F.col("nt") * _impurity(nr, n1r, kind))
             cand = (cum.where((F.col("nl") > 0) & (nr > 0))
-                    .select("tree", "node", "f", "b", F.round(gain, GAIN_DIGITS).alias("gain")))
+                    .select("tree", "node", "f", "b", F.round(gain, GAIN_DIGITS).alias("gain"),
+                            "nl", "n1l", "nt", "n1t"))
+            # Max over (gain, -feature, -bin): the split's side sums ride along, so the
+            # children of the last split level need no pass over the rows.
             best = (cand.groupBy("tree", "node")
-                    .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb")))
-                         .alias("s"))
+                    .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
+                                        "nl", "n1l", "nt", "n1t")).alias("s"))
                     .select("tree", "node", F.col("s.gain").alias("gain"),
-                            (-F.col("s.nf")).alias("feature_index"), (-F.col("s.nb")).alias("split_bin")))
+                            (-F.col("s.nf")).alias("feature_index"), (-F.col("s.nb")).alias("split_bin"),
+                            F.col("s.nl").alias("left_n"), F.col("s.n1l").alias("left_n1"),
+                            (F.col("s.nt") - F.col("s.nl")).alias("right_n"),
+                            (F.col("s.n1t") - F.col("s.n1l")).alias("right_n1")))
             best = best.where(F.col("gain") > F.lit(min_info_gain))
             level = totals.join(best, ["tree", "node"], "left")
         else:
@@ -197,7 +204,8 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
                                                        F.sum(F.col("w") * F.col("y")).alias("n1"))
             level = totals.select("*", F.lit(None).cast("double").alias("gain"),
                                   F.lit(None).cast("int").alias("feature_index"),
-                                  F.lit(None).cast("int").alias("split_bin"))
+                                  F.lit(None).cast("int").alias("split_bin"),
+                                  *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS])
         level = materialise(level.withColumn("depth", F.lit(depth))
                             .withColumn("is_leaf", F.col("feature_index").isNull()))
         levels.append(level)
@@ -205,6 +213,23 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         n_splits = splits.count() if depth < params.max_depth else 0
         if n_splits == 0:
             break
+        if depth + 1 == params.max_depth:
+            # Children of the last splits are leaves: their sums are the split's side sums.
+            parents = level.where(~F.col("is_leaf"))
+            kids = parents.select("tree", F.explode(F.array(
+                F.struct((F.lit(2) * F.col("node")).alias("node"), F.col("left_n").alias("n"),
+                         F.col("left_n1").alias("n1")),
+                F.struct((F.lit(2) * F.col("node") + 1).alias("node"), F.col("right_n").alias("n"),
+                         F.col("right_n1").alias("n1")))).alias("k"))
+            leaf_level = kids.select(
+                "tree", "k.node", "k.n", "k.n1", F.lit(None).cast("double").alias("gain"),
+                F.lit(None).cast("int").alias("feature_index"),
+                F.lit(None).cast("int").alias("split_bin"),
+                *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS],
+                F.lit(depth + 1).alias("depth"), F.lit(True).alias("is_leaf"))
+            levels.append(materialise(leaf_level.select(*level.columns)))
+            depth += 1
+            break
         side = model_side(splits, n_splits)
         moved = state.join(side, ["tree", "node"])
         child = (F.lit(2) * F.col("node")
