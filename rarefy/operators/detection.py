@@ -60,17 +60,23 @@ def axis_values(start: int, end: int) -> list[float]:
 
 
 def density(df: DataFrame, start: int = -10, end: int = 10, score: str = "lr",
-            flag: str = "flag", digits: int | None = 8) -> DataFrame:
+            flag: str = "flag", digits: int | None = 8,
+            fixed_bandwidth: float | None = None) -> DataFrame:
     """EVA14: Gaussian KDE of ``score`` per class at the axis points.
 
     Rows are first reduced to (class, distinct score, count).  Each distinct
     score then contributes to every axis point through an array generated
     from the (parameter-sized) axis, and the contributions are summed per
     (class, point) with a partial aggregate: no join against the axis.
-    Zero bandwidth (all scores equal) gives NULL densities.
+    Zero bandwidth (all scores equal) gives NULL densities unless
+    ``fixed_bandwidth`` replaces the rule-of-thumb h for every class.
     """
     axis = axis_values(start, end)
     bw = bandwidth(df, score, flag)
+    if fixed_bandwidth is not None:
+        if fixed_bandwidth <= 0:
+            raise ValueError("fixed_bandwidth must be positive")
+        bw = bw.withColumn("h", F.lit(float(fixed_bandwidth)))
     groups = (df.where(F.col(score).isNotNull())
               .groupBy(F.col(flag).alias("flag"), F.col(score).alias("s")).count())
     # bw has one row per class: a bounded table.

@@ -515,3 +515,14 @@ def test_null_feature_handling(spark):
     assert assemble(df, ["a", "b"], handle_invalid="skip").count() == 1
     with pytest.raises((PySparkException, Py4JJavaError)):
         assemble(df, ["a", "b"]).collect()
+
+
+def test_kde_fixed_bandwidth(spark):
+    rows = [(1, 1, 0.2, 0.8), (2, 1, 0.2, 0.8), (3, -1, 0.5, 0.5), (4, -1, 0.6, 0.4)]
+    df = detection.with_lr(_scores(spark, rows))
+    dens = {(r["type"], r["x"]): r["y"] for r in
+            detection.density(df, -1, 2, digits=None, fixed_bandwidth=0.1).collect()}
+    lr = round(math.log(0.8 / 0.2), 9)  # evaluators use the 9-digit LR
+    for x in (1.0, 1.5):
+        exp = math.exp(-((x - lr) / 0.1) ** 2 / 2) / (0.1 * math.sqrt(2 * math.pi))
+        assert dens[("Fraude", x)] == pytest.approx(exp, rel=1e-9, abs=1e-300)
