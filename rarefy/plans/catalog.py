@@ -184,6 +184,11 @@ def llr(spark, d):
     return _scored_lr(spark, d).select("idn", "label", "lr")
 
 
+def llr_inverse(spark, d):
+    """EVA12 with the other orientation: ln(p0/p1), zero sides clipped to 1e-13."""
+    return detection.with_lr(_scored(spark, d), inverse=False).select("idn", "label", "lr")
+
+
 def bandwidth(spark, d):
     bw = detection.bandwidth(_scored_lr(spark, d))
     return bw.select(F.when(F.col("flag") == 1, "Fraude").otherwise("Legal").alias("type"),
@@ -336,6 +341,7 @@ QUERIES: dict[str, Query] = {
     "roc_score": roc_score,
     "auc_score": auc_score,
     "llr": llr,
+    "llr_inverse": llr_inverse,
     "bandwidth": bandwidth,
     "density_kde": density_kde,
     "eer_standard": eer_standard,

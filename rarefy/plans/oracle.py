@@ -398,6 +398,12 @@ UNION ALL SELECT tree, w, idn, label FROM weights""",
     "roc_score": _roc_sql("round(p1, 9)"),
     "auc_score": _auc_sql("round(p1, 9)"),
     "llr": with_("lrs") + "SELECT idn, label, lr FROM lrs",
+    "llr_inverse": with_("scored") + """SELECT idn, label,
+  round(CASE WHEN p0 = 0 AND p1 = 0 THEN NULL
+             WHEN p0 = 0 THEN ln(1e-13 / p1)
+             WHEN p1 = 0 THEN ln(p0 / 1e-13)
+             ELSE ln(p0 / p1) END, 9) AS lr
+FROM scored""",
     "bandwidth": with_("lrs") + """SELECT CASE WHEN flag = 1 THEN 'Fraude' ELSE 'Legal' END AS type,
   count(lr) AS n, round(stddev_pop(lr), 9) AS sd,
   round(stddev_pop(lr) * pow(4.0 / (3.0 * count(lr)), 0.2), 9) AS h
