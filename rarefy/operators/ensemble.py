@@ -42,6 +42,8 @@ from .votes import combine
 
 # Fixed value: Spark ML rejects deeper trees.
 MAX_DEPTH_LIMIT = 30
+# Upper bound on concurrently fitted trees (driver threads).
+MAX_CONCURRENT_FITS = 32
 IMPURITIES = ("gini", "entropy")
 
 
@@ -163,7 +165,7 @@ class BalancedTreeEnsemble:
 
     def __init__(self, params: TreeParams | None = None, features_col: str = "indexedFeatures",
                  feature_names: Sequence[str] | None = None, seed: str = "0",
-                 minority: int = FRAUD, majority: int = LEGAL, parallelism: int = 4,
+                 minority: int = FRAUD, majority: int = LEGAL, parallelism: int | None = None,
                  workdir: str | None = None, plan: DataFrame | None = None,
                  balancing: str = "balanced", kmeans_k: int | None = None,
                  engine: str = "auto"):
@@ -173,7 +175,7 @@ class BalancedTreeEnsemble:
         self.seed = str(seed)
         self.minority = minority
         self.majority = majority
-        self.parallelism = max(1, parallelism)
+        self.parallelism = None if parallelism is None else max(1, parallelism)
         self.workdir = workdir
         self.plan = plan
         self.balancing = check_strategy(balancing)
@@ -234,7 +236,10 @@ class BalancedTreeEnsemble:
             part = stored.where(F.col("tree") == t)
             return _estimator(self.params, self.features_col, seed_int + t).fit(part)
 
-        with ThreadPoolExecutor(max_workers=min(self.parallelism, n_trees)) as pool:
+        # Concurrent fits: explicit, or follow the cluster's parallelism (capped,
+        # since each fit is a driver thread submitting its own jobs).
+        workers = self.parallelism or max(4, spark.sparkContext.defaultParallelism)
+        with ThreadPoolExecutor(max_workers=max(1, min(workers, MAX_CONCURRENT_FITS, n_trees))) as pool:
             trees = list(pool.map(fit_one, range(n_trees)))
         kind = "regressor" if self.params.impurity.lower() == "gini" else "classifier"
         return BalancedEnsembleModel(trees, self.params, self.features_col, self.feature_names,

@@ -45,7 +45,7 @@ class ExperimentConfig:
     split_per_grid_point: bool = True
     fit_indexer_on: str = "all"
     engine: str = "auto"
-    parallelism: int = 4
+    parallelism: int | None = None
     curve_points: int = 150
     features: Sequence[str] | None = field(default=None)
 
