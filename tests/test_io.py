@@ -92,3 +92,15 @@ def test_experiment_writes_reports_and_models(spark, small_dir):
     # Every split has exactly one of: a threshold (continuous) or a category set.
     assert (internal["threshold"].notna() ^ internal["left_categories"].notna()).all()
     assert nodes.loc[nodes.is_leaf, "threshold"].isna().all()
+
+
+def test_write_reports_csv_and_parquet(spark, small_dir):
+    conf = catalog.confusion_metrics(spark, small_dir)
+    curves = catalog.score_curves(spark, small_dir)
+    for fmt in ("csv", "parquet"):
+        out = scratch_path(spark, f"reports-{fmt}-{uuid.uuid4().hex}")
+        sinks.write_reports({"confusion": conf, "curves": curves}, out, fmt=fmt)
+        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+        for name, frame in (("confusion", conf), ("curves", curves)):
+            back = reader.format(fmt).load(f"{out}/{name}")
+            assert back.count() == frame.count() and back.columns == frame.columns
