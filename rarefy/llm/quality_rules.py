@@ -50,8 +50,8 @@ class Rule:
 RULES = (
     Rule("length", "n_words", low=MIN_WORDS),
     Rule("mean_word_length", "word_chars", "n_words", low=1.5, high=25.0),
-    Rule("symbols", "n_symbols", "n_words", high=0.5),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.01, from_words=100),
+    Rule("symbols", "n_symbols", "n_words", high=0.25),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.05, from_words=50),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
