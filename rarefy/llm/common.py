@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialise, read_table
 
 __all__ = ["WORD", "SPACE", "read_table", "materialise", "on_workers", "public_vocabulary",
-           "text_or_empty", "word_count", "with_row_id", "number_rows", "buckets_for"]
+           "text_or_empty", "word_count", "with_row_id", "number_rows", "buckets_for",
+           "free_name", "quoted"]
 
 # Fixed patterns of the contracts: a word and the ASCII white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +58,18 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names]
+
+
 def buckets_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -15,8 +15,9 @@
    that holds most of the free text, or else the deepest slot that holds most
    of it.  Free text excludes links and the parts that are no article (menus,
    headers, footers, sidebars, notices, adverts, forms, comments, ...).
-5. Each page's blocks in the main slot are its text; strings of the template
-   itself are left out unless they stand in an article element.
+5. Each page's blocks in the main slot are its text; blocks that hold nothing
+   but strings of the template are left out unless they stand in an article
+   element.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def _free_text(texts: list[Text]) -> dict[str, list]:
         last = t.around[-1]
         size = len(t.text.strip())
         if size and not last.outside and not last.link:
-            for n in t.around[1:]:
+            for n in t.around:
                 got = mass.setdefault(n.path, [0, n.tag in ARTICLE, n.depth])
                 got[0] += size
     return mass
@@ -232,15 +233,15 @@ def page_text(page: str, slot: str | None = None, template: frozenset[int] = fro
 
     def blocks(skip: frozenset[int]) -> str:
         parts: dict[int, list[str]] = {}
+        own: set[int] = set()  # blocks that hold more than template strings
         for t in texts:
             if t.around[-1].outside or not any(n.path == slot for n in t.around):
                 continue
-            if skip and not t.around[-1].article:
-                words = " ".join(t.text.split())
-                if words and _string_token(t, words) in skip:
-                    continue
             parts.setdefault(t.block, []).append(t.text)
-        lines = (" ".join("".join(p).split()) for _, p in sorted(parts.items()))
+            words = " ".join(t.text.split()) if skip else ""
+            if words and (t.around[-1].article or _string_token(t, words) not in skip):
+                own.add(t.block)
+        lines = (" ".join("".join(p).split()) for k, p in sorted(parts.items()) if k in own or not skip)
         return "\n".join(x for x in lines if x)
 
     # A slot that is template as a whole (a host of equal pages) is kept whole.

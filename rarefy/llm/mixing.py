@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import free_name, materialise, quoted, word_count
 
 # Fixed values of the query: weights of the sources in order, repeated.
 WEIGHTS = (5, 2, 1)
@@ -135,7 +135,7 @@ def mixture_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Every row decides by its source's settings alone (a few numbers per source).
     others = [c for c in dict.fromkeys(keep) if c not in (doc_id,)]
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(source).alias("_source"),
-                       word_count(text).alias("_size"), *[F.col(f"`{c}`").alias(f"_k_{c}") for c in others])
+                       word_count(text).alias("_size"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(others)])
     joined = rows.join(settings.withColumnsRenamed({c: f"_s_{c}" for c in settings.columns}),
                        F.col("_source").eqNullSafe(F.col("_s_source")))
     joined = joined.select("*", F.when(F.col("_size") < short_words, LEVELS[1]).otherwise(LEVELS[0]).alias("_level"))
@@ -150,7 +150,7 @@ def mixture_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return decided.select(F.col("_doc").alias(doc_id), F.col("_size").alias("size"),
                           F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"),
                           copies.cast("int").alias("copies"),
-                          *[F.col(f"_k_{c}").alias(f"kept_{c}") for c in others])
+                          *[F.col(f"_k{i}").alias(f"kept_{c}") for i, c in enumerate(others)])
 
 
 def _ranked(rows: DataFrame, seed: str, max_copies: int) -> DataFrame:
@@ -204,5 +204,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = mixture_plan(docs, keep=names, **options)
     doc_id = options.get("doc_id", "doc_id")
     cols = [F.col(doc_id) if c == doc_id else F.col(f"`kept_{c}`").alias(c) for c in names]
-    return (plan.where("copies > 0")
-            .select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy"))
+    copy = free_name(docs, "_copy")
+    repeated = plan.where("copies > 0").select(
+        *cols, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
+    return repeated.select(*quoted(names))

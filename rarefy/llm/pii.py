@@ -256,5 +256,8 @@ def redact_documents(docs: DataFrame, text: str = "text", n_chars: str | None =
     ``n_chars`` (where the column exists) follows the new text.  Null texts
     stay null, no row is dropped, all columns are kept.
     """
-    size_at = docs.columns.index(n_chars) if n_chars in docs.columns else -1
-    return docs.mapInArrow(on_workers(_redact, docs.columns.index(text), size_at), docs.schema)
+    names = docs.columns
+    size_at = names.index(n_chars) if n_chars in names else -1
+    # Plain names inside: mapInArrow does not take names with dots.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(on_workers(_redact, names.index(text), size_at), plain.schema).toDF(*names)

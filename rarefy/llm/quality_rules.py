@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, free_name, quoted
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -161,9 +161,9 @@ def quality_verdicts(docs: DataFrame, text: str = "text", rules: Sequence[Rule]
     shuffle.  Columns of ``docs`` that share a name with the result matter only
     if they are in ``keep``.
     """
-    same = [F.col(f"`{c}`") for c in keep]
-    staged = docs.select(*same, statistics(F.col(text)).alias("_q"))
-    q = F.col("_q")
+    same, name = quoted(keep), free_name(docs, "_q")
+    staged = docs.select(*same, statistics(F.col(text)).alias(name))
+    q = F.col(name)
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name))
                                        for name, ok in compile_rules(rules, q).items()]))
     return staged.select(*same, *[stat(q, name).alias(name) for name in STATISTICS],

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, on_workers, text_or_empty, with_row_id
+from .common import free_name, materialise, on_workers, quoted, text_or_empty, with_row_id
 from .components import connected_components
 
 SHINGLE = 4
@@ -220,15 +220,17 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows of the same id are told apart by a row id, so repeated rows leave one.
     All columns of ``docs`` are returned.
     """
-    staged = materialise(with_row_id(docs))
+    row = free_name(docs, "_row")
+    staged = materialise(with_row_id(docs, row))
     kind = docs.schema[doc_id].dataType.simpleString()
     prints = materialise(
-        staged.select("_row", F.col(doc_id).alias("doc"), text_or_empty(text).alias("text"))
+        staged.select(F.col(row).alias("_row"), F.col(doc_id).alias("doc"),
+                      text_or_empty(text).alias("text"))
         .mapInArrow(on_workers(_fingerprints, shingle, seed), f"_row bigint, doc {kind}, fp bigint"))
     fps = materialise(prints.groupBy("fp").agg(
         F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "_row")).alias("first")))
     roots = connected_components(links(fps.select("fp"), radius, chunk))
     kept = (fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-            .select(F.col("first._row").alias("_row")))
-    return staged.join(kept, "_row", "left_semi").select(*docs.columns)
+            .select(F.col("first._row").alias(row)))
+    return staged.join(kept, row, "left_semi").select(*quoted(docs.columns))
