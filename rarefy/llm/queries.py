@@ -38,7 +38,8 @@ def op5_exact_top_k(spark, d):
 
 
 def op6_quality_rules(spark, d):
-    return quality_rules.quality_verdicts(read_table(spark, d, "documents"))
+    verdicts = quality_rules.quality_verdicts(read_table(spark, d, "documents"))
+    return verdicts.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op7_pii(spark, d):
