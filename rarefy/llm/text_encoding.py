@@ -12,14 +12,17 @@ vocabularies of another kind are encoded whole.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable, Sequence
 from itertools import chain
 
 import numpy as np
 
-# Texts with these are encoded whole.
-IRREGULAR = re.compile(r"\s\s|[\x00\x01\x1c-\x1f\x85\u180e\u200b\ufeff]")
+# Texts with these are encoded whole: neighbouring white space, control
+# characters, and white space other than single spaces and line ends.
+NEIGHBOURS = ("  ", " \n", "\n ", "\n\n")
+CONTROLS = "\x00\x01\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACES = ("\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u200b\u2028\u2029\u202f\u205f\u3000\ufeff")
 UNIT = "\x00"
 # Chunks given to the library in one string.
 PER_CALL = 16
@@ -58,6 +61,11 @@ def _cut_rule(path: str) -> str:
     return "whole"
 
 
+def irregular(text: str) -> bool:
+    return (any(x in text for x in NEIGHBOURS) or any(x in text for x in CONTROLS)
+            or not text.isascii() and any(x in text for x in WIDE_SPACES))
+
+
 class Encoder:
     """ids (and character spans) of whole texts as little-endian bytes."""
 
@@ -74,12 +82,15 @@ class Encoder:
         self.mark_id = one[0] if one else None
         if len(one) != 1 or offsets:
             self.mark = None
+        self.points: dict[str, bytes] = {}
+        if self.mark:
+            self.points = dict(zip(".,", self._encode_whole([".", ","])))
         if self.rule == "spaces":
             self.cache["\n"] = self._encode_whole(["\n"])[0]
 
     def chunks(self, text: str) -> list[str] | None:
         """The chunks of a text, or None where it has to be encoded whole."""
-        if self.rule == "whole" or IRREGULAR.search(text):
+        if self.rule == "whole" or irregular(text):
             return None
         if self.rule == "words":
             return text.split()
@@ -106,25 +117,34 @@ class Encoder:
                 at = end + 4
             yield data[at:]
 
-    def _pieces(self, texts: Sequence[str]) -> list[list[bytes]]:
-        """Per text, the data of its chunks in order."""
-        cut = [self.chunks(t) for t in texts]
+    def _lookup(self, cut: Iterable[list[str]]) -> dict[str, bytes]:
+        """The data of all chunks: known ones, and new ones from the library."""
         known = self.cache
-        got = [None if c is None else list(map(known.get, c)) for c in cut]
-        new = dict.fromkeys(x for c, g in zip(cut, got) if g and None in g
-                            for x, d in zip(c, g) if d is None)
-        words = list(new)
-        new.update(zip(words, self._encode_new(words)))
-        for c, g in zip(cut, got):
-            if g and None in g:
-                g[:] = [new[x] if d is None else d for x, d in zip(c, g)]
+        distinct = list(dict.fromkeys(chain.from_iterable(cut)))
+        found = dict(zip(distinct, map(known.get, distinct)))
+        new = [x for x, d in found.items() if d is None]
+        if self.points:
+            # A word and its closing point or comma are encoded apart by these rules.
+            stems = {x: x[:-1] for x in new if x[-1] in self.points and x[-2:-1].isalpha()}
+            new = [x for x in new if x not in stems]
+            more = {w: known.get(w) for w in stems.values() if w not in found}
+            new += [w for w, d in more.items() if d is None]
+            found.update(more)
+        found.update(zip(new, self._encode_new(new)))
+        if self.points:
+            found.update((x, found[w] + self.points[x[-1]]) for x, w in stems.items())
         room = CACHE_ENTRIES - len(known)
         if room > 0:
-            known.update((x, new[x]) for x in words[:room] if len(x) <= CACHE_CHUNK)
-        whole = [i for i, g in enumerate(got) if g is None]
-        for i, data in zip(whole, self._encode_whole([texts[i] for i in whole])):
-            got[i] = [data]
-        return got
+            known.update((x, found[x]) for x in new[:room] if len(x) <= CACHE_CHUNK)
+        return found
+
+    def _pieces(self, texts: Sequence[str]) -> Iterable[list[bytes]]:
+        """Per text, the data of its chunks in order."""
+        cut = [self.chunks(t) for t in texts]
+        get = self._lookup(c for c in cut if c is not None).__getitem__
+        whole = iter(self._encode_whole([t for t, c in zip(texts, cut) if c is None]))
+        for c in cut:
+            yield [next(whole)] if c is None else list(map(get, c))
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
