@@ -110,24 +110,26 @@ def mixture_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sized = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"),
                         word_count(text).alias("size")).withColumn("level", level)
     sized = materialise(sized.where("size > 0"))
-    per_level = materialise(sized.groupBy("source", "level").agg(F.sum("size").alias("level_size")))
+    # From here on, tables of a row per source: recomputed from the narrow
+    # sized table where two plans need them, written only once they are final.
+    per_level = sized.groupBy("source", "level").agg(F.sum("size").alias("level_size"))
     present = docs.select(F.col(source).alias("source")).distinct()
     totals = per_level.groupBy("source").agg(F.sum("level_size").alias("source_size"))
     sizes = (present.alias("p").join(totals.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left")
              .select("p.source", F.coalesce("t.source_size", F.lit(0)).cast("bigint").alias("source_size")))
-    targets = materialise(source_targets(sizes, weights, share_percent, max_copies))
+    targets = source_targets(sizes, weights, share_percent, max_copies)
     with_target = per_level.alias("l").join(
         targets.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select(
         "l.source", "l.level", "l.level_size", "t.target")
-    params = materialise(
-        targets.alias("t").join(_rates(with_target, max_copies).alias("r"),
-                                F.col("t.source").eqNullSafe(F.col("r.source")), "left")
-        .select("t.source", "t.source_size", "t.target", "r.rate"))
+    params = (targets.alias("t").join(_rates(with_target, max_copies).alias("r"),
+                                      F.col("t.source").eqNullSafe(F.col("r.source")), "left")
+              .select("t.source", "t.source_size", "t.target", "r.rate"))
+    params = materialise(params)
 
     ranked = _ranked(sized.alias("d").join(params.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
                      .select("d.doc", "p.source", "d.size", "d.level", "p.target", "p.rate"),
                      seed, max_copies)
-    cuts = materialise(_cuts(ranked, bins))
+    cuts = _cuts(ranked, bins)
     settings = materialise(
         params.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
         .select("p.*", "c.cut_rank", "c.cut_key"))
@@ -169,9 +171,9 @@ def _ranked(rows: DataFrame, seed: str, max_copies: int) -> DataFrame:
 def _cuts(ranked: DataFrame, bins: int) -> DataFrame:
     """``source, cut_rank, cut_key``: the last document of each source that gets a further copy."""
     binned = ranked.withColumn("bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("int"))
-    sums = materialise(binned.groupBy("source", "bin").agg(
+    sums = binned.groupBy("source", "bin").agg(
         F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"),
-        F.max("target").alias("target")))
+        F.max("target").alias("target"))
     whole = Window.partitionBy("source")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     run = sums.select(
