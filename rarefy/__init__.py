@@ -5,8 +5,9 @@ sub-sample of the majority per tree), soft / hard / mean voting, and
 detection-score evaluation (confusion metrics, ROC/AUC, likelihood-ratio
 densities, equal-error rate, cumulative score curves, importances).
 
-Every operator takes and returns DataFrames; scalars flow between steps as
-scalar subqueries, never through the driver.
+Every operator takes and returns DataFrames.  Scalars (counts, ranges, minima)
+are one-row aggregates that the driver reads once; they enter later plans as
+literals.
 """
 
 __version__ = "0.1.0"

@@ -10,29 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 8 hex digits of md5 give a 32-bit integer, scaled by 2^32.
-HEX_DIGITS = 8
-TWO_POW_32 = 4294967296.0
+# 13 hex digits of md5 give a 52-bit integer, scaled by 2^52.
+HEX_DIGITS = 13
+TWO_POW_52 = 4503599627370496.0
 
 
 def _as_col(part) -> Column:
     if isinstance(part, Column):
-        return part.cast("string")
+        return F.coalesce(part.cast("string"), F.lit(""))
     return F.lit(str(part))
 
 
 def hash_uniform(*parts) -> Column:
-    """u in [0, 1): ``conv(substr(md5(concat(parts)), 1, 8), 16, 10) / 2^32``.
+    """u in [0, 1): ``conv(substr(md5(concat(parts)), 1, 13), 16, 10) / 2^52``.
 
-    Strings are literal tags (``'label:'``), Columns are row values.
+    Strings are literal tags (``'label:'``), Columns are row values; a NULL
+    value counts as empty, so rows without an id share one draw and are never
+    dropped by a comparison with NULL.
     """
     text = F.concat(*[_as_col(p) for p in parts])
     return (F.conv(F.substr(F.md5(text), F.lit(1), F.lit(HEX_DIGITS)), 16, 10)
-            .cast("double") / F.lit(TWO_POW_32))
+            .cast("double") / F.lit(TWO_POW_52))
 
 
 def hash_uniform_sql(*parts: str) -> str:
     """DuckDB form of :func:`hash_uniform`; ``parts`` are SQL expressions."""
     inner = ", ".join(parts)
     return (f"(('0x' || substr(md5(concat({inner})), 1, {HEX_DIGITS}))::BIGINT::DOUBLE"
-            f" / {TWO_POW_32}::DOUBLE)")
+            f" / {TWO_POW_52}::DOUBLE)")

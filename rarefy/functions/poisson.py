@@ -1,17 +1,30 @@
 """Poisson counts by inverse CDF of a per-row uniform.
 
 The CDF table depends only on the mean, so it is computed once (a one-row
-frame holding K+1 doubles) and reaches every row as a scalar subquery; a row's
-count is the number of CDF values <= u.  K is chosen so that the CDF equals
-1.0 in double precision, so no tail is cut off.
+frame holding K+1 doubles) and enters the rows' expression as literals; a
+row's count is the number of CDF values <= u.  K is chosen so that the CDF
+equals 1.0 in double precision, so no tail is cut off.  A large mean would
+underflow exp(-mean): its count is the sum of independent draws of equal
+smaller means (:func:`draws_for`).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Largest mean of a single draw: exp(-256) is far from underflow.
+MAX_MEAN = 256.0
+
+
+def draws_for(mean: float) -> int:
+    """Independent draws whose means add up to ``mean`` and are at most ``MAX_MEAN``."""
+    return max(1, math.ceil(mean / MAX_MEAN))
+
+
 def cdf_length(lam: Column) -> Column:
     """Number of terms after which the Poisson CDF is 1.0 in doubles."""
     return F.ceil(lam + F.lit(12.0) * F.sqrt(lam) + F.lit(30.0)).cast("int")

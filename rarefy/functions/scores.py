@@ -37,7 +37,3 @@ def rounded_lr(p0: Column, p1: Column, inverse: bool = True) -> Column:
 def pct(num: Column, den: Column) -> Column:
     """(num / den) * 100 as double (ratio first); NULL when den is 0."""
     return F.try_divide(num.cast("double"), den.cast("double")) * F.lit(100.0)
-
-
-def nan_to_null(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)

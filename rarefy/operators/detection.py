@@ -98,7 +98,7 @@ def density(df: DataFrame, start: int = -10, end: int = 10, score: str = "lr",
 
 
 def _eer_pick(rows: DataFrame, gap: Column, pfa: Column, n_fraud: Column, n_legal: Column,
-              order: list, buckets: int) -> DataFrame:
+              order: list, buckets: int | None) -> DataFrame:
     """Lower median (rank (cnt+1) div 2 in ``order``) of the rows minimising ``gap``."""
     # The running totals feed three passes (minimum, count, pick): cut lineage once.
     staged = materialise(rows.withColumn("_gap", gap).withColumn("_pfa", pfa))
@@ -117,7 +117,7 @@ def _eer_pick(rows: DataFrame, gap: Column, pfa: Column, n_fraud: Column, n_lega
 
 
 def eer(df: DataFrame, mode: str = "standard", score: str = "lr", flag: str = "flag",
-        idn: str = "idn", buckets: int = 64) -> DataFrame:
+        idn: str = "idn", buckets: int | None = None) -> DataFrame:
     """EVA16: equal-error rate -> one row (eer [percent], lr, state).
 
     standard: over distinct scores in ascending order, Pmiss = cumFraud/nF,

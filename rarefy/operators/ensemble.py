@@ -14,14 +14,15 @@ its leaf value is the leaf's P(minority)); entropy uses
 DecisionTreeClassifier, whose leaf probabilities survive except where Spark
 merges sibling leaves with the same predicted class.
 
-Scoring (ENS3/ENS7) chains the tree models' ``transform``; each adds one
-JVM-side column, they are gathered into ``p1s`` and combined by a vote
-(ENS4-ENS6, ENS8) inside the row: no shuffle.
+Scoring (ENS3/ENS7) walks all trees inside the row (:mod:`.treewalk`); the
+leaf values are gathered into ``p1s`` and combined by a vote (ENS4-ENS6, ENS8):
+no shuffle, and a plan that does not grow with the trees.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import uuid
 from collections.abc import Sequence
@@ -35,14 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FRAUD, ID, LABEL, LEGAL, to_binary
-from ..session import scratch_path
+from ..session import delete_folder, scratch_path
 from .kmeans_balance import check_strategy, kmeans_balanced_sets
 from .sampling import balance_plan, balanced_sets, plan_values
+from .treewalk import TreeGroup, category_mask, group_trees, with_tree_values
 from .votes import combine
 
 # Fixed value: Spark ML rejects deeper trees.
 MAX_DEPTH_LIMIT = 30
-# Upper bound on concurrently fitted trees (driver threads).
+# Default bound on concurrently fitted trees (driver threads).
 MAX_CONCURRENT_FITS = 32
 IMPURITIES = ("gini", "entropy")
 
@@ -85,6 +87,8 @@ class BalancedEnsembleModel:
     minority: int = FRAUD
     majority: int = LEGAL
     kind: str = field(default="regressor")
+    saved: str | None = None
+    _groups: list[TreeGroup] | None = field(default=None, repr=False, compare=False)
 
     @property
     def num_trees(self) -> int:
@@ -92,24 +96,19 @@ class BalancedEnsembleModel:
         return len(self.trees)
 
     # -- scoring ---------------------------------------------------------
+    def groups(self) -> list[TreeGroup]:
+        """The trees as constant arrays, read from the saved node table once per model."""
+        if self._groups is None:
+            if self.saved is None:
+                raise ValueError("the model has no saved trees; call save() first")
+            rows = _saved_nodes(self.saved).orderBy("tree", "id").toLocalIterator()
+            by_tree = itertools.groupby(rows, key=lambda r: r["tree"])
+            self._groups = group_trees([_walk_node(r) for r in nodes] for _, nodes in by_tree)
+        return self._groups
+
     def tree_probabilities(self, df: DataFrame, output: str = "p1s") -> DataFrame:
         """ENS3: add ``p1s``, the P(minority) of every tree, in tree order."""
-        tmp = f"_t{uuid.uuid4().hex[:8]}_"
-        out = df
-        cols = []
-        for i, m in enumerate(self.trees):
-            if self.kind == "regressor":
-                name = f"{tmp}{i}"
-                out = m.copy().setPredictionCol(name).setFeaturesCol(self.features_col).transform(out)
-                cols.append(F.col(name))
-            else:
-                name = f"{tmp}{i}"
-                mm = (m.copy().setFeaturesCol(self.features_col).setProbabilityCol(name)
-                      .setRawPredictionCol("").setPredictionCol(""))
-                out = mm.transform(out)
-                cols.append(vector_to_array(F.col(name))[1])
-        names = [c for c in out.columns if c.startswith(tmp)]
-        return out.withColumn(output, F.array(*cols)).drop(*names)
+        return with_tree_values(df, vector_to_array(F.col(self.features_col)), self.groups(), output)
 
     def predict(self, df: DataFrame, strategy: str = "soft", strict: bool = False) -> DataFrame:
         """ENS7: add ``p1s, n_trees, n_votes, p0, p1, probability, predicted_label``."""
@@ -120,8 +119,7 @@ class BalancedEnsembleModel:
     # -- inspection ------------------------------------------------------
     def to_debug_string(self) -> str:
         """INS1 (text form)."""
-        sep = "********Other Tree********\n"
-        return sep.join(m.toDebugString for m in self.trees)
+        return "\n".join(f"-- tree {i} --\n{m.toDebugString}" for i, m in enumerate(self.trees))
 
     # -- persistence -----------------------------------------------------
     def save(self, path: str) -> None:
@@ -136,6 +134,7 @@ class BalancedEnsembleModel:
                     "minority": self.minority, "majority": self.majority, "kind": self.kind}
         (spark.createDataFrame([(json.dumps(manifest),)], "manifest string")
          .coalesce(1).write.mode("overwrite").text(f"{path}/manifest"))
+        self.saved = path
 
     @classmethod
     def load(cls, path: str) -> BalancedEnsembleModel:
@@ -148,7 +147,7 @@ class BalancedEnsembleModel:
         trees = [reader.load(f"{path}/tree_{i}") for i in range(manifest["num_trees"])]
         params = TreeParams(manifest["impurity"], manifest["max_depth"], manifest["max_bins"])
         return cls(trees, params, manifest["features_col"], manifest["feature_names"],
-                   manifest["minority"], manifest["majority"], manifest["kind"])
+                   manifest["minority"], manifest["majority"], manifest["kind"], path)
 
 
 def with_probability(df: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ class BalancedTreeEnsemble:
                  minority: int = FRAUD, majority: int = LEGAL, parallelism: int | None = None,
                  workdir: str | None = None, plan: DataFrame | None = None,
                  balancing: str = "balanced", kmeans_k: int | None = None,
-                 engine: str = "auto"):
+                 engine: str = "auto", max_concurrent_fits: int = MAX_CONCURRENT_FITS):
         self.params = params or TreeParams()
         self.features_col = features_col
         self.feature_names = list(feature_names or [])
@@ -182,11 +181,9 @@ class BalancedTreeEnsemble:
         self.kmeans_k = kmeans_k
         if engine not in ("auto", "ml", "levelwise"):
             raise ValueError("engine must be 'auto', 'ml' or 'levelwise'")
-        if engine == "auto":
-            # gini: Spark ML regressor (leaf value = P(minority)); entropy: the
-            # level-wise grower, since Spark's classifier merges equal-class leaves.
-            engine = "ml" if self.params.impurity.lower() == "gini" else "levelwise"
-        self.engine = engine
+        # One learner for every impurity, so that a grid compares impurities, not engines.
+        self.engine = "levelwise" if engine == "auto" else engine
+        self.max_concurrent_fits = max_concurrent_fits
 
     def balanced_table(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The long (tree, w, y, features) table and the tree count."""
@@ -207,13 +204,13 @@ class BalancedTreeEnsemble:
 
     def _fit_levelwise(self, df: DataFrame):
         from .levelwise import LevelwiseEnsembleModel, expand_vector, grow
-        size = len(df.select(self.features_col).first()[0])
-        base = df.select(ID, LABEL, self.features_col)
-        long, n_trees = self.balanced_table(base)
+        size = len(self.feature_names)
+        if not size:
+            first = df.select(self.features_col).first()
+            size = len(first[0]) if first else 0
+        long, n_trees = self.balanced_table(df.select(ID, LABEL, self.features_col))
         long, cols = expand_vector(long, self.features_col, size)
-        long = long.drop(self.features_col, ID)
-        source, _ = expand_vector(base, self.features_col, size)
-        model = grow(long, cols, self.params, threshold_source=source, n_trees=n_trees)
+        model = grow(long.drop(self.features_col, ID), cols, self.params, n_trees=n_trees)
         return LevelwiseEnsembleModel(model, self.features_col, self.feature_names,
                                       self.minority, self.majority)
 
@@ -231,19 +228,49 @@ class BalancedTreeEnsemble:
          .write.mode("overwrite").partitionBy("tree").parquet(path))
         stored = spark.read.parquet(path)
         seed_int = int(hashlib.md5(self.seed.encode()).hexdigest()[:7], 16)
+        models = scratch_path(spark, f"trees-{uuid.uuid4().hex}")
 
         def fit_one(t: int):
             part = stored.where(F.col("tree") == t)
-            return _estimator(self.params, self.features_col, seed_int + t).fit(part)
+            tree = _estimator(self.params, self.features_col, seed_int + t).fit(part)
+            # Scoring and the node table read the written nodes.
+            tree.write().overwrite().save(f"{models}/tree_{t}")
+            return tree
 
-        # Concurrent fits: explicit, or follow the cluster's parallelism (capped,
-        # since each fit is a driver thread submitting its own jobs).
+        # Concurrent fits: explicit, or follow the cluster's parallelism up to a
+        # parameter, since each fit is a driver thread submitting its own jobs.
         workers = self.parallelism or max(4, spark.sparkContext.defaultParallelism)
-        with ThreadPoolExecutor(max_workers=max(1, min(workers, MAX_CONCURRENT_FITS, n_trees))) as pool:
+        with ThreadPoolExecutor(max_workers=max(1, min(workers, self.max_concurrent_fits,
+                                                       n_trees))) as pool:
             trees = list(pool.map(fit_one, range(n_trees)))
+        if not self.workdir:
+            delete_folder(spark, path)
         kind = "regressor" if self.params.impurity.lower() == "gini" else "classifier"
         return BalancedEnsembleModel(trees, self.params, self.features_col, self.feature_names,
-                                     self.minority, self.majority, kind)
+                                     self.minority, self.majority, kind, models)
+
+
+def _saved_nodes(path: str) -> DataFrame:
+    """The nodes of the Spark ML trees saved under ``path``, with their tree number."""
+    spark = SparkSession.getActiveSession()
+    nodes = spark.read.parquet(f"{path.rstrip('/')}/tree_*/data")
+    return nodes.withColumn("tree", F.regexp_extract(
+        F.col("_metadata.file_path"), r"tree_(\d+)/data", 1).cast("int"))
+
+
+def _walk_node(r) -> tuple:
+    """A saved node as the row-local walk takes it."""
+    stats = r["impurityStats"]
+    # A regressor's leaf value is the mean of the 0/1 label; a classifier's is in the class counts.
+    value = r["prediction"] if len(stats) != 2 else (stats[1] / sum(stats) if sum(stats) else 0.0)
+    if r["leftChild"] < 0:
+        return r["id"], None, None, 0, -1, -1, value
+    split = r["split"]
+    kept = split["leftCategoriesOrThreshold"]
+    if split["numCategories"] < 0:
+        return r["id"], split["featureIndex"], kept[0], 0, r["leftChild"], r["rightChild"], value
+    return (r["id"], split["featureIndex"], None, category_mask(kept), r["leftChild"], r["rightChild"],
+            value)
 
 
 def node_table(model: BalancedEnsembleModel, path: str) -> DataFrame:
@@ -253,11 +280,9 @@ def node_table(model: BalancedEnsembleModel, path: str) -> DataFrame:
     feature_index, threshold_or_categories, num_categories)
     """
     model.save(path)
-    spark = SparkSession.getActiveSession()
-    nodes = spark.read.parquet(f"{path.rstrip('/')}/tree_*/data")
-    tree = F.regexp_extract(F.col("_metadata.file_path"), r"tree_(\d+)/data", 1).cast("int")
+    nodes = _saved_nodes(path)
     return nodes.select(
-        tree.alias("tree"), F.col("id"), F.col("prediction"), F.col("impurity"),
+        "tree", F.col("id"), F.col("prediction"), F.col("impurity"),
         F.col("gain"), F.col("leftChild").alias("left_child"),
         F.col("rightChild").alias("right_child"),
         F.col("split.featureIndex").alias("feature_index"),

@@ -67,10 +67,13 @@ def feature_arity(df: DataFrame, features: Sequence[str] | None = None,
 
 
 def fit_indexer(df: DataFrame, input_col: str = "features", output_col: str = "indexedFeatures",
-                max_categories: int = 2):
-    """FEA3 with Spark's VectorIndexer (category maps per feature index)."""
-    return VectorIndexer(inputCol=input_col, outputCol=output_col,
-                         maxCategories=max_categories).fit(df)
+                max_categories: int = 2, handle_invalid: str = "error"):
+    """FEA3 with Spark's VectorIndexer (category maps per feature index).
+
+    ``handle_invalid="keep"`` gives a value unseen in ``df`` a category of its own.
+    """
+    return VectorIndexer(inputCol=input_col, outputCol=output_col, maxCategories=max_categories,
+                         handleInvalid=handle_invalid).fit(df)
 
 
 def category_arity(model) -> dict[int, int]:

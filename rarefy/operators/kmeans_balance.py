@@ -1,25 +1,25 @@
 """K-means sub-sampling of the majority class (BAL2) and the strategy switch (BAL5).
 
-The majority rows are clustered with Spark ML KMeans (k defaults to the
-minority count, so one row per cluster balances the classes).
-
-* ``nearest``: the majority row closest to each centroid (ties -> lowest id);
-* ``stratified``: per tree, one row per cluster drawn uniformly by a hash of
-  (seed, tree, cluster), so every tree sees a different, cluster-stratified
-  sample.
-
-The nearest pick is a per-cluster minimum of a (distance, id) struct (a hash
-aggregate with map-side partial aggregation); the stratified draw numbers
-rows with distributed running totals (range-partitioned on (cluster, id)).
-Either way a cluster holding a third of all rows costs no more than any
-other: no window over a cluster, no collect.
+The majority rows are clustered with Spark ML KMeans.  ``k`` is a parameter
+that does not follow the class sizes, so the work stays rows x k.  Every
+cluster gets a quota in proportion to its size; the quotas sum to the number
+of minority rows, so each sample balances the classes.
+
+* ``nearest``: the quota rows closest to the cluster's mean (ties -> lowest id);
+* ``stratified``: per tree, quota rows per cluster drawn with replacement by a
+  hash of (seed, tree, cluster, draw), so every tree sees a different sample.
+
+Centroids are the means of the assigned rows, one aggregate.  Rows are numbered
+by distributed running totals (range-partitioned on the cluster first), so a
+cluster holding a third of all rows costs no more than any other: no window
+over a cluster, no collect.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
@@ -28,65 +28,97 @@ from ..sources.tables import materialise
 from .prefix import running_totals
 from .sampling import balance_plan
 
+DIGITS = 9
 
-def fit_clusters(majority: DataFrame, k: int, features: str = "indexedFeatures",
+
+# Clusters when the caller does not say: independent of the class sizes.
+DEFAULT_K = 32
+
+
+def fit_clusters(majority: DataFrame, k: int = DEFAULT_K, features: str = "indexedFeatures",
                  seed: int = 1, max_iter: int = 20):
     return KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed,
                   maxIter=max_iter).fit(majority)
 
 
-def centroid_frame(model, spark) -> DataFrame:
-    """(cluster, center array<double>): one row per cluster."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster int, center array<double>")
+def assigned_rows(majority: DataFrame, model, features: str = "indexedFeatures",
+                  idn: str = ID) -> DataFrame:
+    """(idn, cluster, x) of the majority rows under a fitted model, written once."""
+    return materialise(model.transform(majority).select(
+        F.col(idn).alias("idn"), "cluster", vector_to_array(features).alias("x")))
 
 
-def nearest_to_centroids(majority: DataFrame, model, features: str = "indexedFeatures",
-                         idn: str = ID) -> DataFrame:
-    """One majority row per cluster: the closest to the centroid.
+def cluster_quotas(assigned: DataFrame, n_minor: int) -> DataFrame:
+    """(cluster, m, quota): sizes and quotas by largest remainder, summing to ``n_minor``.
 
-    Output: (cluster, idn, dist2).
+    One row per cluster (a parameter), so the ordered windows are small.
     """
-    spark = majority.sparkSession
-    assigned = model.transform(majority).select(idn, "cluster", vector_to_array(features).alias("x"))
-    # Equi-join on the cluster id; the centroid table has k rows.
-    joined = assigned.join(centroid_frame(model, spark), "cluster")
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = sizes.withColumn("total", F.sum("m").over(every)).select(
+        "cluster", "m", F.expr(f"({n_minor} * m) div total").alias("whole"),
+        F.expr(f"({n_minor} * m) % total").alias("rest"))
+    rank = F.row_number().over(Window.orderBy(F.col("rest").desc(), "cluster"))
+    left = F.lit(n_minor) - F.sum("whole").over(every)
+    return share.select("cluster", "m",
+                        (F.col("whole") + F.when(rank <= left, 1).otherwise(0)).cast("bigint").alias("quota"))
+
+
+def cluster_means(assigned: DataFrame) -> DataFrame:
+    """(cluster, center): mean of every coordinate."""
+    cells = assigned.select("cluster", F.posexplode("x").alias("i", "v"))
+    means = cells.groupBy("cluster", "i").agg(F.avg("v").alias("v"))
+    return (means.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c"))
+            .select("cluster", F.transform("c", lambda s: s["v"]).alias("center")))
+
+
+def nearest_picks(assigned: DataFrame, n_minor: int) -> DataFrame:
+    """(cluster, idn, dist2): each cluster's quota of rows closest to its mean.
+
+    ``assigned``: a written (idn, cluster, x) table.
+    """
+    joined = assigned.join(cluster_means(assigned), "cluster")
     d2 = F.aggregate(F.zip_with("x", "center", lambda a, b: (a - b) * (a - b)),
                      F.lit(0.0), lambda acc, v: acc + v)
-    best = (joined.select("cluster", F.struct(d2.alias("dist2"), F.col(idn).alias("idn")).alias("s"))
-            .groupBy("cluster").agg(F.min("s").alias("s")))
-    return best.select("cluster", "s.idn", "s.dist2")
+    far = joined.select("cluster", "idn", F.round(d2, DIGITS).alias("dist2"))
+    placed = materialise(running_totals(far, ["cluster", "dist2", "idn"], {}, position="pos"))
+    starts = placed.groupBy("cluster").agg(F.min("pos").alias("start"))
+    limits = starts.join(cluster_quotas(assigned, n_minor), "cluster")
+    return (placed.join(limits, "cluster").where(F.col("pos") < F.col("start") + F.col("quota"))
+            .select("cluster", "idn", "dist2"))
 
 
-def stratified_picks(majority: DataFrame, model, n_trees: int, seed: str = "0",
-                     idn: str = ID) -> DataFrame:
-    """Per tree one row per cluster, drawn uniformly: (tree, idn, w=1).
+def stratified_picks(assigned: DataFrame, n_minor: int, n_trees: int, seed: str = "0") -> DataFrame:
+    """Per tree, each cluster's quota of rows drawn with replacement: (tree, idn, w).
 
     Rows get a global position in (cluster, id) order from distributed
     running totals, so cluster c occupies positions start_c .. start_c+m_c-1.
-    Each (cluster, tree) draws one position from a hash of (seed, tree,
-    cluster), and an equi-join on the position fetches the row.  Work is
-    O(rows + clusters x trees), not O(rows x trees).
+    Each draw is a position from a hash of (seed, tree, cluster, draw number),
+    and an equi-join on the position fetches the row.  Work is
+    O(rows + n_minor x trees), not O(rows x trees).
     """
-    assigned = model.transform(majority).select(idn, "cluster")
-    # Used by two branches (cluster starts, the fetch join): written once.
-    numbered = materialise(running_totals(assigned, ["cluster", idn], {}, position="pos"))
-    starts = numbered.groupBy("cluster").agg(F.min("pos").alias("start"),
-                                             F.count(F.lit(1)).alias("m"))
-    u = hash_uniform("km:", seed, ":", F.col("tree"), ":", F.col("cluster"))
-    draws = (starts.select("cluster", "start", "m",
-                           F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-             .select(F.col("tree").cast("int").alias("tree"),
-                     (F.col("start") + F.floor(F.col("m") * u)).alias("pos")))
-    return (draws.join(numbered.select(F.col(idn).alias("idn"), "pos"), "pos")
-            .select("tree", "idn", F.lit(1).alias("w")))
+    numbered = materialise(running_totals(assigned.select("cluster", "idn"), ["cluster", "idn"], {},
+                                          position="pos"))
+    starts = numbered.groupBy("cluster").agg(F.min("pos").alias("start"))
+    limits = starts.join(cluster_quotas(assigned, n_minor), "cluster").where("quota > 0")
+    per_tree = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    draws = per_tree.select("cluster", "start", "m", "tree",
+                            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("quota"))).alias("j"))
+    u = hash_uniform("km:", seed, ":", F.col("tree"), ":", F.col("cluster"), ":", F.col("j"))
+    at = draws.select(F.col("tree").cast("int").alias("tree"),
+                      (F.col("start") + F.floor(F.col("m") * u)).alias("pos"))
+    counted = at.groupBy("tree", "pos").agg(F.count(F.lit(1)).cast("int").alias("w"))
+    return counted.join(numbered.select("idn", "pos"), "pos").select("tree", "idn", "w")
 
 
 def kmeans_balanced_sets(df: DataFrame, features: str = "indexedFeatures", k: int | None = None,
                          n_trees: int | None = None, seed: str = "0", label: str = LABEL,
                          minority: int = FRAUD, idn: str = ID,
                          keep: list[str] | None = None) -> DataFrame:
-    """Long table (tree, w, <keep>) with the k-means sample as each tree's majority."""
+    """Long table (tree, w, <keep>) with the k-means sample as each tree's majority.
+
+    The weights of a tree's majority sum to the number of minority rows.
+    """
     keep = keep or df.columns
     plan = balance_plan(df, label, minority).first()
     n_minor = int(plan["n_minor"] or 0)
@@ -94,9 +126,10 @@ def kmeans_balanced_sets(df: DataFrame, features: str = "indexedFeatures", k: in
         raise ValueError("no minority row: cannot plan a balanced ensemble")
     trees = n_trees if n_trees is not None else int(plan["n_trees"])
     majority = df.where(~is_minority(label, minority))
-    model = fit_clusters(majority, k or n_minor, features)
-    picks = stratified_picks(majority, model, trees, seed, idn)
-    major = picks.join(majority.select(*keep), idn).select("tree", "w", *keep)
+    model = fit_clusters(majority, k or DEFAULT_K, features)
+    picks = stratified_picks(assigned_rows(majority, model, features, idn), n_minor, trees, seed)
+    major = (picks.withColumnRenamed("idn", "_pick")
+             .join(majority.select(*keep), F.col("_pick").eqNullSafe(F.col(idn))).select("tree", "w", *keep))
     minor = (df.where(is_minority(label, minority))
              .select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
                      F.lit(1).alias("w"), *keep))

@@ -3,30 +3,31 @@
 State: the balanced long table (tree, w, y, bins) with the current node of
 every row (heap numbering: root 1, children 2n and 2n+1).  Per level:
 
-1. unpivot the bin codes -> group by (tree, node, feature, bin): weighted
-   counts (map-side partial aggregation; the result has at most
-   trees x nodes x features x bins rows and shrinks as nodes get small);
-2. running sums over bins inside (tree, node, feature) -> left/right counts
-   of every threshold (a window whose partitions hold at most ``max_bins``
-   rows);
+1. rows in the smaller child of every split are unpivoted and grouped by
+   (tree, node, feature, bin) into weighted counts: one scan and one
+   generator, map-side partial aggregation; the sibling's histogram is the
+   parent's minus these (the root counts all rows);
+2. running sums over bins inside (tree, node, feature) give the left and right
+   counts of every threshold (windows of at most ``max_bins`` rows);
 3. gain (gini or entropy), best split per (tree, node) by a max aggregate
    over (gain rounded to 12 digits, lowest feature, lowest bin);
-4. rows of split nodes move to a child through an equi-join on
-   (tree, node) with the level's split table (its size is the model's, and
-   Spark broadcasts it only when its measured size allows); the new state is
-   checkpointed, so a lost executor never replays earlier levels.
-
-Features are binned once: thresholds are the distinct approximate quantiles
-of every feature (one aggregate for all features), and ``Bucketizer`` maps a
-value to the number of thresholds below it, so ``bin <= j`` is ``x <= t_j``.
-
-Scoring walks (row, tree) pairs down the levels with the same joins; rows
-are hash-partitioned by id first, so gathering the per-tree leaf values back
-into one array per row needs no further shuffle while the joins broadcast.
+4. rows of split nodes move to a child through an equi-join on (tree, node)
+   with the level's split table (Spark broadcasts it when its bytes allow);
+   the new state is written, and the one before is dropped.
+
+Node totals are the side sums of the parent's split, so no pass computes them.
+
+Candidate thresholds come from the balanced rows: a feature with at most
+``max_bins`` distinct values (a binary one, say) keeps a threshold between any
+two neighbours, however rare a value is; other features use distinct
+approximate quantiles.
+
+Scoring walks the trees inside the row (:mod:`rarefy.operators.treewalk`).
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Sequence
@@ -37,9 +38,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard
 from ..sources.tables import materialise
 from .ensemble import TreeParams
-from .joins import model_side
+from .impurity import impurity as _impurity
+from .treewalk import TreeGroup, group_trees, with_tree_values
 from .votes import combine
 
 GAIN_DIGITS = 12
@@ -47,30 +50,33 @@ SIDE_SUMS = ("left_n", "left_n1", "right_n", "right_n1")
 QUANTILE_ACCURACY = 10000
 
 
-def _impurity(n: Column, n1: Column, kind: str) -> Column:
-    p1 = F.try_divide(n1, n)
-    p0 = F.try_divide(n - n1, n)
-    if kind == "gini":
-        return F.lit(1.0) - p1 * p1 - p0 * p0
-
-    def term(p):
-        return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-    return term(p1) + term(p0)
-
-
 def feature_thresholds(df: DataFrame, features: Sequence[str], max_bins: int) -> list[list[float]]:
-    """Distinct approximate quantiles per feature (at most max_bins - 1 each).
+    """Per feature, at most ``max_bins - 1`` split thresholds (``x <= t`` goes left).
 
-    One aggregate for all features; the result (features x bins doubles) is
-    model metadata, read by the driver.
+    Midpoints between all distinct values where there are at most ``max_bins``
+    of them, else distinct approximate quantiles.  The distinct values are
+    listed only for features whose approximate count is small, so what the
+    driver reads is bounded by features x max_bins.
     """
+    cols = [F.col(c).cast("double") for c in features]
     qs = [i / max_bins for i in range(1, max_bins)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), qs, QUANTILE_ACCURACY).alias(f"q{i}")
-                   for i, c in enumerate(features)]).first()
+    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
+                 *[F.percentile_approx(c, qs, QUANTILE_ACCURACY).alias(f"q{i}")
+                   for i, c in enumerate(cols)]).first()
+    few = [i for i in range(len(features)) if row[f"d{i}"] <= 2 * max_bins]
+    values: dict[int, list[float]] = {i: [] for i in few}
+    if few:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), cols[i].alias("v")) for i in few]))
+        found = df.select(cells.alias("c")).select("c.*").where("v is not null and not isnan(v)")
+        for r in found.distinct().collect():
+            values[r["f"]].append(r["v"])
     out = []
     for i in range(len(features)):
-        vals = row[f"q{i}"] or []
-        out.append(sorted({float(v) for v in vals if v is not None and not math.isnan(v)}))
+        vals = sorted(values.get(i, []))
+        if i in values and len(vals) <= max_bins:
+            out.append([a + (b - a) / 2 for a, b in zip(vals, vals[1:])])
+        else:
+            out.append(sorted({float(v) for v in row[f"q{i}"] or [] if v is not None and not math.isnan(v)}))
     return out
 
 
@@ -101,42 +107,24 @@ class LevelwiseModel:
     params: TreeParams
     num_trees: int
     max_level: int
-    _scoring: tuple | None = field(default=None, repr=False, compare=False)
-
-    def scoring_tables(self) -> tuple[DataFrame, DataFrame]:
-        """(split side, leaves): written and counted once per model, reused by every predict."""
-        if self._scoring is None:
-            splits = materialise(self.nodes.where(~F.col("is_leaf")).select(
-                "tree", "node", F.col("feature_index").alias("_f"), F.col("split_bin").alias("_b")))
-            leaves = materialise(self.nodes.where(F.col("is_leaf"))
-                                 .select("tree", "node", "prediction"))
-            self._scoring = (model_side(splits), model_side(leaves))
-        return self._scoring
-
-    def tree_probabilities(self, df: DataFrame, idn: str = "idn", output: str = "p1s",
-                           partitions: int | None = None) -> DataFrame:
-        """Add ``p1s`` (leaf P(minority) of every tree, tree order) to ``df``."""
-        spark = df.sparkSession
-        n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        base = bin_columns(df, self.features, self.thresholds, "_bins").repartition(n_parts, idn)
-        walk = base.select(idn, "_bins",
-                           F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1))).alias("tree"),
-                           F.lit(1).cast("bigint").alias("node"))
-        # Counted once per model; every level joins the same (broadcast when small) table.
-        side, leaf_side = self.scoring_tables()
-        for _ in range(self.max_level):
-            step = walk.join(side, ["tree", "node"], "left")
-            child = (F.lit(2) * F.col("node")
-                     + (F.element_at("_bins", F.col("_f") + 1) > F.col("_b")).cast("bigint"))
-            walk = step.select(idn, "_bins", "tree",
-                               F.when(F.col("_f").isNull(), F.col("node")).otherwise(child)
-                               .alias("node"))
-        at_leaf = walk.join(leaf_side, ["tree", "node"])
-        gathered = (at_leaf.groupBy(idn)
-                    .agg(F.sort_array(F.collect_list(F.struct("tree", "prediction"))).alias("_tp")))
-        p1s = gathered.select(idn, F.transform("_tp", lambda s: s["prediction"]).alias(output))
-        # Both sides are hash-partitioned by the id already: no further exchange.
-        return base.join(p1s, idn).drop("_bins")
+    _groups: list[TreeGroup] | None = field(default=None, repr=False, compare=False)
+
+    def groups(self) -> list[TreeGroup]:
+        """The trees as constant arrays, read from the node table once per model."""
+        if self._groups is None:
+            rows = (self.nodes.select("tree", "node", "is_leaf", "feature_index", "threshold", "prediction")
+                    .orderBy("tree", "node").toLocalIterator())
+            by_tree = itertools.groupby(rows, key=lambda r: r["tree"])
+            self._groups = group_trees(
+                [(r["node"], None if r["is_leaf"] else r["feature_index"], r["threshold"], 0,
+                  2 * r["node"], 2 * r["node"] + 1, r["prediction"]) for r in nodes]
+                for _, nodes in by_tree)
+        return self._groups
+
+    def tree_probabilities(self, df: DataFrame, output: str = "p1s") -> DataFrame:
+        """Add ``p1s`` (leaf P(minority) of every tree, tree order) to every row of ``df``."""
+        x = F.array(*[F.col(c).cast("double") for c in self.features])
+        return with_tree_values(df, x, self.groups(), output)
 
     def predict(self, df: DataFrame, strategy: str = "soft", minority: int = 1,
                 majority: int = -1, strict: bool = False) -> DataFrame:
@@ -144,107 +132,137 @@ class LevelwiseModel:
                        majority=majority, strict=strict)
 
 
+def _histogram(state: DataFrame) -> DataFrame:
+    """(tree, node, f, b, c, c1): weighted counts, one scan and one generator."""
+    cells = state.select("tree", "node", "w", "y", F.posexplode("bins").alias("f", "b"))
+    return cells.groupBy("tree", "node", "f", "b").agg(
+        F.sum("w").alias("c"), F.sum(F.col("w") * F.col("y")).alias("c1"))
+
+
+def _best_splits(hist: DataFrame, kind: str, min_info_gain: float) -> DataFrame:
+    """Best threshold per (tree, node), with the sums of its two sides."""
+    by_bin = Window.partitionBy("tree", "node", "f").orderBy("b")
+    whole = Window.partitionBy("tree", "node", "f")
+    cum = (hist.withColumn("nl", F.sum("c").over(by_bin)).withColumn("n1l", F.sum("c1").over(by_bin))
+           .withColumn("nt", F.sum("c").over(whole)).withColumn("n1t", F.sum("c1").over(whole)))
+    nr, n1r = F.col("nt") - F.col("nl"), F.col("n1t") - F.col("n1l")
+    gain = (_impurity(F.col("nt"), F.col("n1t"), kind)
+            - F.col("nl") / F.col("nt") * _impurity(F.col("nl"), F.col("n1l"), kind)
+            - nr / F.col("nt") * _impurity(nr, n1r, kind))
+    cand = (cum.where((F.col("nl") > 0) & (nr > 0))
+            .select("tree", "node", "f", "b", F.round(gain, GAIN_DIGITS).alias("gain"), "nl", "n1l", "nt", "n1t"))
+    # Max over (gain, -feature, -bin); the side sums ride along.
+    best = (cand.groupBy("tree", "node")
+            .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
+                                "nl", "n1l", "nt", "n1t")).alias("s"))
+            .select("tree", "node", F.col("s.gain").alias("gain"),
+                    (-F.col("s.nf")).alias("feature_index"), (-F.col("s.nb")).alias("split_bin"),
+                    F.col("s.nl").alias("left_n"), F.col("s.n1l").alias("left_n1"),
+                    (F.col("s.nt") - F.col("s.nl")).alias("right_n"),
+                    (F.col("s.n1t") - F.col("s.n1l")).alias("right_n1")))
+    return best.where(F.col("gain") > F.lit(min_info_gain))
+
+
+def _children(level: DataFrame) -> DataFrame:
+    """(tree, node, n, n1) of the nodes below a level's splits."""
+    return (level.where(~F.col("is_leaf"))
+            .select("tree", F.explode(F.array(
+                F.struct((F.lit(2) * F.col("node")).alias("node"), F.col("left_n").alias("n"),
+                         F.col("left_n1").alias("n1")),
+                F.struct((F.lit(2) * F.col("node") + 1).alias("node"), F.col("right_n").alias("n"),
+                         F.col("right_n1").alias("n1")))).alias("k"))
+            .select("tree", "k.node", "k.n", "k.n1"))
+
+
+def _next_histogram(small: DataFrame, parent: DataFrame, splits: DataFrame) -> DataFrame:
+    """Histograms of all children: the counted ones, and their siblings by subtraction."""
+    odd = F.when(F.col("left_n") <= F.col("right_n"), F.lit(1)).otherwise(F.lit(0))
+    sides = splits.select("tree", F.col("node").alias("up"), (F.lit(2) * F.col("node") + 1 - odd).alias("mine"),
+                          (F.lit(2) * F.col("node") + odd).alias("node"))
+    counted = small.select("tree", F.col("node").alias("mine"), "f", "b", F.col("c").alias("sc"),
+                           F.col("c1").alias("sc1"))
+    other = (parent.withColumnRenamed("node", "up").join(sides, ["tree", "up"])
+             .join(counted, ["tree", "mine", "f", "b"], "left")
+             .select("tree", "node", "f", "b", (F.col("c") - F.coalesce("sc", F.lit(0.0))).alias("c"),
+                     (F.col("c1") - F.coalesce("sc1", F.lit(0.0))).alias("c1"))
+             .where(F.col("c") > 0))
+    return small.select(*other.columns).unionByName(other)
+
+
+def _leaves(totals: DataFrame) -> DataFrame:
+    return totals.select("tree", "node", "n", "n1", F.lit(None).cast("double").alias("gain"),
+                         F.lit(None).cast("int").alias("feature_index"),
+                         F.lit(None).cast("int").alias("split_bin"),
+                         *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS])
+
+
 def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
-         thresholds: list[list[float]] | None = None, threshold_source: DataFrame | None = None,
-         min_info_gain: float = 0.0, n_trees: int | None = None) -> LevelwiseModel:
+         thresholds: list[list[float]] | None = None, min_info_gain: float = 0.0,
+         n_trees: int | None = None) -> LevelwiseModel:
     """Grow every tree of ``balanced`` (tree, w, y, <features>) level by level."""
     kind = params.impurity.lower()
     features = list(features)
+    cols = [F.col("w").cast("double").alias("w"), F.col("y").cast("double").alias("y")]
+    written = []
+    if thresholds is None or params.max_depth > 1:
+        # Several passes follow: thresholds, and a histogram and a move per level.
+        balanced = materialise(balanced.select("tree", *cols, *features))
+        written.append(balanced)
     if thresholds is None:
-        thresholds = feature_thresholds(threshold_source if threshold_source is not None
-                                        else balanced, features, params.max_bins)
+        thresholds = feature_thresholds(balanced, features, params.max_bins)
     if n_trees is None:
         top = balanced.agg(F.max("tree")).first()[0]
         n_trees = 0 if top is None else int(top) + 1
-    state = materialise(
-        bin_columns(balanced, features, thresholds, "bins")
-        .select("tree", F.col("w").cast("double").alias("w"), F.col("y").cast("double").alias("y"),
-                "bins", F.lit(1).cast("bigint").alias("node")))
+    state = (bin_columns(balanced, features, thresholds, "bins")
+             .select("tree", *cols, "bins", F.lit(1).cast("bigint").alias("node")))
     spark = balanced.sparkSession
     thr = spark.createDataFrame(
         [(f, b, t) for f, ts in enumerate(thresholds) for b, t in enumerate(ts)],
         "feature_index int, split_bin int, threshold double")
-    levels = []
-    depth = 0
+    hist = materialise(_histogram(state))
+    root = hist.where("f = 0").groupBy("tree", "node").agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"))
+    levels, depth, totals = [], 0, root
     while True:
-        if depth < params.max_depth:
-            cells = state.select("tree", "node", "w", "y", F.posexplode("bins").alias("f", "b"))
-            hist = cells.groupBy("tree", "node", "f", "b").agg(
-                F.sum("w").alias("c"), F.sum(F.col("w") * F.col("y")).alias("c1"))
-            # Every row has a bin for feature 0: node totals come from the same histogram.
-            totals = (hist.where(F.col("f") == 0).groupBy("tree", "node")
-                      .agg(F.sum("c").alias("n"), F.sum("c1").alias("n1")))
-            by_bin = Window.partitionBy("tree", "node", "f").orderBy("b")
-            whole = Window.partitionBy("tree", "node", "f")
-            cum = (hist.withColumn("nl", F.sum("c").over(by_bin))
-                   .withColumn("n1l", F.sum("c1").over(by_bin))
-                   .withColumn("nt", F.sum("c").over(whole))
-                   .withColumn("n1t", F.sum("c1").over(whole)))
-            nr, n1r = F.col("nt") - F.col("nl"), F.col("n1t") - F.col("n1l")
-            gain = (_impurity(F.col("nt"), F.col("n1t"), kind)
-                    - F.col("nl") / F.col("nt") * _impurity(F.col("nl"), F.col("n1l"), kind)
-                    - nr / F.col("nt") * _impurity(nr, n1r, kind))
-            cand = (cum.where((F.col("nl") > 0) & (nr > 0))
-                    .select("tree", "node", "f", "b", F.round(gain, GAIN_DIGITS).alias("gain"),
-                            "nl", "n1l", "nt", "n1t"))
-            # Max over (gain, -feature, -bin): the split's side sums ride along, so the
-            # children of the last split level need no pass over the rows.
-            best = (cand.groupBy("tree", "node")
-                    .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
-                                        "nl", "n1l", "nt", "n1t")).alias("s"))
-                    .select("tree", "node", F.col("s.gain").alias("gain"),
-                            (-F.col("s.nf")).alias("feature_index"), (-F.col("s.nb")).alias("split_bin"),
-                            F.col("s.nl").alias("left_n"), F.col("s.n1l").alias("left_n1"),
-                            (F.col("s.nt") - F.col("s.nl")).alias("right_n"),
-                            (F.col("s.n1t") - F.col("s.n1l")).alias("right_n1")))
-            best = best.where(F.col("gain") > F.lit(min_info_gain))
-            level = totals.join(best, ["tree", "node"], "left")
+        if depth == params.max_depth:
+            level = _leaves(totals)
         else:
-            totals = state.groupBy("tree", "node").agg(F.sum("w").alias("n"),
-                                                       F.sum(F.col("w") * F.col("y")).alias("n1"))
-            level = totals.select("*", F.lit(None).cast("double").alias("gain"),
-                                  F.lit(None).cast("int").alias("feature_index"),
-                                  F.lit(None).cast("int").alias("split_bin"),
-                                  *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS])
+            level = totals.join(_best_splits(hist, kind, min_info_gain), ["tree", "node"], "left")
         level = materialise(level.withColumn("depth", F.lit(depth))
                             .withColumn("is_leaf", F.col("feature_index").isNull()))
         levels.append(level)
-        splits = level.where(~F.col("is_leaf")).select("tree", "node", "feature_index", "split_bin")
-        n_splits = splits.count() if depth < params.max_depth else 0
-        if n_splits == 0:
-            break
-        if depth + 1 == params.max_depth:
-            # Children of the last splits are leaves: their sums are the split's side sums.
-            parents = level.where(~F.col("is_leaf"))
-            kids = parents.select("tree", F.explode(F.array(
-                F.struct((F.lit(2) * F.col("node")).alias("node"), F.col("left_n").alias("n"),
-                         F.col("left_n1").alias("n1")),
-                F.struct((F.lit(2) * F.col("node") + 1).alias("node"), F.col("right_n").alias("n"),
-                         F.col("right_n1").alias("n1")))).alias("k"))
-            leaf_level = kids.select(
-                "tree", "k.node", "k.n", "k.n1", F.lit(None).cast("double").alias("gain"),
-                F.lit(None).cast("int").alias("feature_index"),
-                F.lit(None).cast("int").alias("split_bin"),
-                *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS],
-                F.lit(depth + 1).alias("depth"), F.lit(True).alias("is_leaf"))
-            levels.append(materialise(leaf_level.select(*level.columns)))
-            depth += 1
+        splits = level.where(~F.col("is_leaf"))
+        if depth == params.max_depth or splits.isEmpty():
             break
-        side = model_side(splits, n_splits)
-        moved = state.join(side, ["tree", "node"])
-        child = (F.lit(2) * F.col("node")
-                 + (F.element_at("bins", F.col("feature_index") + 1) > F.col("split_bin")).cast("bigint"))
-        state = materialise(moved.select("tree", "w", "y", "bins", child.alias("node")))
-        depth += 1
+        totals, depth = _children(level), depth + 1
+        if depth == params.max_depth:
+            continue  # these are leaves: their sums are known
+        side = splits.select("tree", "node", "feature_index", "split_bin",
+                             (F.col("left_n") <= F.col("right_n")).alias("left_small"))
+        right = F.element_at("bins", F.col("feature_index") + 1) > F.col("split_bin")
+        moved = state.join(side, ["tree", "node"]).select(
+            "tree", "w", "y", "bins", (F.lit(2) * F.col("node") + right.cast("bigint")).alias("node"),
+            (right != F.col("left_small")).alias("small"))
+        before, state = written, materialise(moved)
+        written = [state]
+        small = materialise(_histogram(state.where("small")))
+        joined = materialise(_next_histogram(small, hist, splits))
+        for old in (*before, small, hist):
+            discard(old)
+        hist = joined
+    for old in (*written, hist):
+        discard(old)
     nodes = reduce(DataFrame.unionByName, levels)
     imp = _impurity(F.col("n"), F.col("n1"), kind)
-    nodes = (nodes.join(thr, ["feature_index", "split_bin"], "left")
-             .select("tree", "node", "depth", "n", "n1",
-                     F.try_divide(F.col("n1"), F.col("n")).alias("prediction"),
-                     imp.alias("impurity"), "is_leaf", "feature_index", "split_bin",
-                     "threshold", "gain",
-                     F.when(F.col("is_leaf"), F.lit(-1)).otherwise(F.lit(1)).alias("left_child")))
-    return LevelwiseModel(materialise(nodes), features, thresholds, params, n_trees, depth)
+    nodes = materialise(
+        nodes.join(thr, ["feature_index", "split_bin"], "left")
+        .select("tree", "node", "depth", "n", "n1",
+                F.try_divide(F.col("n1"), F.col("n")).alias("prediction"),
+                imp.alias("impurity"), "is_leaf", "feature_index", "split_bin",
+                "threshold", "gain",
+                F.when(F.col("is_leaf"), F.lit(-1)).otherwise(F.lit(1)).alias("left_child")))
+    for old in levels:
+        discard(old)
+    return LevelwiseModel(nodes, features, thresholds, params, n_trees, depth)
 
 
 def expand_vector(df: DataFrame, vector_col: str, size: int, prefix: str = "_v") -> tuple[DataFrame, list[str]]:

@@ -67,7 +67,7 @@ def _score_groups(df: DataFrame, score: str, label: str, positive: int) -> DataF
 
 
 def roc_points(df: DataFrame, score: str, label: str = "label", positive: int = FRAUD,
-               digits: int | None = DIGITS, buckets: int = 64) -> DataFrame:
+               digits: int | None = DIGITS, buckets: int | None = None) -> DataFrame:
     """EVA10: ROC points (pos, fpr, tpr) over distinct scores, high to low.
 
     Frame points (0,0) at pos 0 and (1,1) after the last score are added, as
@@ -94,7 +94,7 @@ def roc_points(df: DataFrame, score: str, label: str = "label", positive: int =
 
 
 def auc(df: DataFrame, score: str, label: str = "label", positive: int = FRAUD,
-        digits: int | None = DIGITS, buckets: int = 64) -> DataFrame:
+        digits: int | None = DIGITS, buckets: int | None = None) -> DataFrame:
     """EVA11: trapezoid area under the ROC of ``score`` (one row, ``auc``).
 
     Each distinct score contributes fp * (2*cum_tp - tp) / (2 * P * N): the

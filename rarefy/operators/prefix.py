@@ -15,23 +15,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-
+from ..sources.tables import materialise
 
 def running_totals(df: DataFrame, order: Sequence[Column | str],
                    sums: Mapping[str, Column | str] | None = None,
-                   position: str = "pos", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   position: str = "pos", buckets: int | None = None) -> DataFrame:
     """Add ``position`` (1-based global row number) and inclusive running sums.
 
     ``order`` must be a total order (append a unique key to break ties).
-    ``sums`` maps output column name -> column to accumulate.
+    ``sums`` maps output column name -> column to accumulate.  ``buckets``
+    defaults to the session's shuffle partitions.
+
+    The ranged rows are written once, bucket number included: bucket totals and
+    bucket rows are then read from one table.  Derived from the lazy frame,
+    each would sample its own range bounds and offsets would belong to other
+    buckets than the rows.
     """
     sums = dict(sums or {})
+    n = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     vals = {name: (F.col(v) if isinstance(v, str) else v) for name, v in sums.items()}
     staged = df.select("*", *[v.alias(f"_v_{name}") for name, v in vals.items()])
-    ranged = (staged.repartitionByRange(buckets, *order_cols)
-              .withColumn("_bucket", F.spark_partition_id()))
+    ranged = materialise(staged.repartitionByRange(n, *order_cols)
+                         .withColumn("_bucket", F.spark_partition_id()))
     totals = ranged.groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_t_n"),
         *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in vals])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
-from ..functions.poisson import poisson_cdf_frame, poisson_count
+from ..functions.poisson import draws_for, poisson_cdf_frame, poisson_count
 from ..schema import FRAUD, ID, LABEL, is_minority
 
 
@@ -19,8 +19,8 @@ def split_uniform(seed, idn: str = ID) -> Column:
 
 
 def in_train(train: float, seed, idn: str = ID) -> Column:
-    """u(seed, id) < train; a NULL id (NULL uniform) counts as test, never dropped."""
-    return F.coalesce(split_uniform(seed, idn) < F.lit(train), F.lit(False))
+    """u(seed, id) < train; rows without an id share one draw."""
+    return split_uniform(seed, idn) < F.lit(train)
 
 
 def hash_split(df: DataFrame, train: float = 0.7, seed="0", idn: str = ID) -> DataFrame:
@@ -36,11 +36,6 @@ def train_test(df: DataFrame, train: float = 0.7, seed="0",
     return df.where(t), df.where(~t)
 
 
-def random_split(df: DataFrame, train: float = 0.7, seed: int | None = None):
-    """SMP1 as Spark's seeded ``randomSplit`` (changes with partitioning)."""
-    return df.randomSplit([train, 1.0 - train], seed)
-
-
 def hash_sample(df: DataFrame, rate: float, seed="0", idn: str = ID) -> DataFrame:
     """SMP2 (deterministic form): Bernoulli sample without replacement."""
     return df.where(hash_uniform("sample:", str(seed), ":", F.col(idn)) < F.lit(rate))
@@ -89,10 +84,13 @@ def _tree_copies(df: DataFrame, plan: DataFrame, seed, idn: str):
     """
     n_trees, fraction = plan_values(plan)
     lam = n_trees * fraction
-    cdf = poisson_cdf_frame(df.sparkSession, F.lit(lam)).first()["cdf"]
+    draws = draws_for(lam)
+    cdf = poisson_cdf_frame(df.sparkSession, F.lit(lam / draws)).first()["cdf"]
+    steps = F.array(*[F.lit(float(c)) for c in cdf])
     s = str(seed)
-    total = poisson_count(hash_uniform("boot:", s, ":", F.col(idn)),
-                          F.array(*[F.lit(float(c)) for c in cdf]))
+    total = poisson_count(hash_uniform("boot:", s, ":", F.col(idn)), steps)
+    for j in range(1, draws):
+        total = total + poisson_count(hash_uniform("boot:", s, ":", F.col(idn), ":", str(j)), steps)
     staged = df.withColumn("_total", total)
     copies = F.transform(
         F.sequence(F.lit(1), F.col("_total")),

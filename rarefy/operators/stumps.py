@@ -13,21 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GAIN_DIGITS = 12
-
+from .impurity import impurity as _impurity
 
-def _impurity(n: Column, n1: Column, kind: str) -> Column:
-    p1 = n1 / n
-    p0 = (n - n1) / n
-    if kind == "gini":
-        return F.lit(1.0) - p1 * p1 - p0 * p0
-
-    def term(p):
-        return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-    return term(p1) + term(p0)
+GAIN_DIGITS = 12
 
 
 def stump_splits(balanced: DataFrame, features: Sequence[str], impurity: str = "gini",

@@ -20,10 +20,12 @@ from ..functions.hashing import hash_uniform
 from ..operators.features import feature_arity
 from ..schema import IGNORE, feature_columns, labelled
 from ..sources import fixtures
-from ..sources.tables import materialise, numeric_view, scan
+from ..sources.tables import materialise, numeric_view, read_table, scan
 
 # Fixed parameters of the registered queries.
-SCAN_FILTER = "monto < 100000000"
+SCAN_FILTER = "monto < 60"
+RAW_FILTER = "value < 60"
+RAW_COLUMNS = ("event_id", "event_type", "value")
 TRAIN = 0.7
 SPLIT_SEED = "0"
 SAMPLE_RATE = 0.3
@@ -33,6 +35,10 @@ RUNS = 5
 GRID_POINTS = 2
 AXIS = (-10, 10)
 DIGITS = 9
+HASH_CLUSTERS = 7
+PICK_TREES = 3
+# Binary features with one value on 1 of 100 rows: rarer than 1 / max_bins.
+RARE_FEATURES = {"rare_one": "cast(idn % 100 = 7 as int)", "rare_zero": "cast(idn % 100 <> 11 as int)"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +48,7 @@ def _tx(spark, d):
 
 
 def _lab(spark, d):
-    """Labelled rows, written once and re-read (SRC6) so later passes scan a table."""
+    """Labelled rows, written once and re-read (SRC6) for queries of several passes."""
     return materialise(labelled(_tx(spark, d)))
 
 
@@ -67,18 +73,26 @@ def src_scan_filter(spark, d):
     return scan(_tx(spark, d), filters=SCAN_FILTER)
 
 
+def src_scan_pushed(spark, d):
+    """SRC2 on a raw table: columns and filter reach the Parquet reader.
+
+    ``src_scan_filter`` filters after the fixture's rolling windows, which need
+    the rows the filter drops; so its filter stays above them.
+    """
+    return scan(read_table(spark, d, "events"), list(RAW_COLUMNS), RAW_FILTER)
+
+
 def src_numeric_drop(spark, d):
     return numeric_view(_tx(spark, d))
 
 
 def labelled_filter(spark, d):
-    return _lab(spark, d)
+    return labelled(_tx(spark, d))
 
 
 def csv_export_rows(spark, d):
     """SNK1 row set: labelled -> sample -> drop non-feature columns."""
-    lab = _lab(spark, d)
-    sample = sampling.hash_sample(lab, SAMPLE_RATE, SAMPLE_SEED)
+    sample = sampling.hash_sample(labelled(_tx(spark, d)), SAMPLE_RATE, SAMPLE_SEED)
     return sample.select(*feature_columns(sample, IGNORE))
 
 
@@ -90,7 +104,7 @@ def feature_columns_binary(spark, d):
 # -- sampling, balance -----------------------------------------------------
 
 def class_counts(spark, d):
-    lab = _lab(spark, d)
+    lab = labelled(_tx(spark, d))
     return lab.agg(F.count_if(F.col("label") == 1).alias("n_fraud"),
                    F.count_if(F.col("label") == -1).alias("n_legal"))
 
@@ -100,11 +114,11 @@ def balance_plan(spark, d):
 
 
 def hash_split(spark, d):
-    return sampling.hash_split(_lab(spark, d), TRAIN, SPLIT_SEED).select("idn", "label", "split")
+    return sampling.hash_split(labelled(_tx(spark, d)), TRAIN, SPLIT_SEED).select("idn", "label", "split")
 
 
 def hash_sample(spark, d):
-    return sampling.hash_sample(_lab(spark, d), SAMPLE_RATE, SAMPLE_SEED).select("idn", "label")
+    return sampling.hash_sample(labelled(_tx(spark, d)), SAMPLE_RATE, SAMPLE_SEED).select("idn", "label")
 
 
 def bootstrap_weights(spark, d):
@@ -241,7 +255,8 @@ def _fitted(spark, d, params=None):
     data, _, names = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
     train, test = sampling.train_test(data, TRAIN, SPLIT_SEED)
     model = ensemble.BalancedTreeEnsemble(params or ensemble.TreeParams("gini", 10, 64),
-                                          "indexedFeatures", names, seed=BOOT_SEED).fit(train)
+                                          "indexedFeatures", names, seed=BOOT_SEED,
+                                          engine="ml").fit(train)
     return model, train, test
 
 
@@ -262,22 +277,65 @@ def ensemble_importances(spark, d):
 def levelwise_stumps(spark, d):
     """Depth-1 level-wise grower on the binary features: equals the stump SQL."""
     bal = _balanced_binary(spark, d)
-    lab = _train(spark, d)
-    model = levelwise.grow(bal, list(fixtures.BINARY_FEATURES), ensemble.TreeParams("gini", 1, 32),
-                           threshold_source=lab)
+    model = levelwise.grow(bal, list(fixtures.BINARY_FEATURES), ensemble.TreeParams("gini", 1, 32))
+    return _stump_rows(model, fixtures.BINARY_FEATURES)
+
+
+def _stump_rows(model, features):
+    """Depth-1 trees of the level-wise grower in the layout of the stumps."""
     nodes = model.nodes
     root = nodes.where("depth = 0 AND NOT is_leaf")
     kids = nodes.where("depth = 1").select("tree", "node", "prediction")
     left = kids.where("node = 2").select("tree", F.col("prediction").alias("left_p1"))
     right = kids.where("node = 3").select("tree", F.col("prediction").alias("right_p1"))
-    names = F.element_at(F.array(*[F.lit(c) for c in fixtures.BINARY_FEATURES]),
-                         F.col("feature_index") + 1)
+    names = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("feature_index") + 1)
     return (root.join(left, "tree").join(right, "tree")
             .select(F.col("tree").cast("int").alias("tree"), "feature_index", names.alias("feature"),
                     F.round("gain", DIGITS).alias("gain"), F.round("left_p1", DIGITS).alias("left_p1"),
                     F.round("right_p1", DIGITS).alias("right_p1")))
 
 
+def levelwise_rare_stumps(spark, d):
+    """Depth-1 trees on binary features rarer than 1 / max_bins, low and high."""
+    train = _train(spark, d).select("idn", "label", *[F.expr(e).alias(c) for c, e in RARE_FEATURES.items()])
+    bal = sampling.balanced_sets(train, seed=BOOT_SEED, keep=["idn", "label", *RARE_FEATURES])
+    bal = bal.withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+    model = levelwise.grow(bal, list(RARE_FEATURES), ensemble.TreeParams("gini", 1, 32))
+    return _stump_rows(model, list(RARE_FEATURES))
+
+
+def _depth2(spark, d, kind="gini"):
+    bal = _balanced_binary(spark, d)
+    return levelwise.grow(bal, list(fixtures.BINARY_FEATURES), ensemble.TreeParams(kind, 2, 32))
+
+
+def levelwise_depth2_nodes(spark, d):
+    """INS1: the node tables of all depth-2 trees on the binary features."""
+    return _depth2(spark, d).nodes.select(
+        F.col("tree").cast("int").alias("tree"), "node", "depth", "n", "n1",
+        F.round("prediction", DIGITS).alias("prediction"), "is_leaf", "feature_index",
+        F.round("gain", DIGITS).alias("gain"))
+
+
+def levelwise_depth2_entropy(spark, d):
+    return _depth2(spark, d, "entropy").nodes.select(
+        F.col("tree").cast("int").alias("tree"), "node", "is_leaf", "feature_index",
+        F.round("gain", DIGITS).alias("gain"))
+
+
+def levelwise_depth2_predictions(spark, d):
+    """ENS3 + ENS7: the held-out rows scored by the depth-2 trees."""
+    _, test = sampling.train_test(_lab(spark, d), TRAIN, SPLIT_SEED)
+    return _depth2(spark, d).predict(test, "soft").select(
+        "idn", "label", "n_trees", "n_votes", F.round("p0", DIGITS).alias("p0"),
+        F.round("p1", DIGITS).alias("p1"), "predicted_label")
+
+
+def levelwise_depth2_importances(spark, d):
+    """IMP1 + IMP2 on trees of several splits."""
+    return importance.named_importances(_depth2(spark, d).nodes, list(fixtures.BINARY_FEATURES))
+
+
 def levelwise_predictions(spark, d):
     """All trees grown together, one aggregate job per depth level."""
     data, _, names = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
@@ -289,13 +347,36 @@ def levelwise_predictions(spark, d):
 
 
 def kmeans_balance(spark, d):
-    """BAL2: nearest majority row to each of n_minor k-means centroids (train split)."""
+    """BAL2: each k-means cluster's quota of rows nearest to its mean (train split)."""
     data, _, _ = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
     train, _ = sampling.train_test(data, TRAIN, SPLIT_SEED)
     majority = train.where(F.col("label") != 1)
     n_minor = train.where(F.col("label") == 1).count()
-    model = kmeans_balance_ops.fit_clusters(majority, int(n_minor))
-    return kmeans_balance_ops.nearest_to_centroids(majority, model)
+    assigned = kmeans_balance_ops.assigned_rows(majority, kmeans_balance_ops.fit_clusters(majority))
+    return kmeans_balance_ops.nearest_picks(assigned, n_minor)
+
+
+def _hash_assigned(spark, d):
+    """(assigned majority rows, n_minor) with clusters from a hash of the id."""
+    train = _train(spark, d)
+    cluster = F.floor(hash_uniform("cluster:", F.col("idn")) * HASH_CLUSTERS).cast("int")
+    x = F.array(*[F.col(c).cast("double") for c in fixtures.BINARY_FEATURES])
+    assigned = materialise(train.where(F.col("label") != 1).select("idn", cluster.alias("cluster"), x.alias("x")))
+    return assigned, train.where(F.col("label") == 1).count()
+
+
+def kmeans_quotas(spark, d):
+    return kmeans_balance_ops.cluster_quotas(*_hash_assigned(spark, d))
+
+
+def kmeans_nearest_pick(spark, d):
+    """BAL2's pick step on clusters that SQL can form too."""
+    return kmeans_balance_ops.nearest_picks(*_hash_assigned(spark, d))
+
+
+def kmeans_stratified_pick(spark, d):
+    assigned, n_minor = _hash_assigned(spark, d)
+    return kmeans_balance_ops.stratified_picks(assigned, n_minor, PICK_TREES, BOOT_SEED)
 
 
 def flagship(spark, d):
@@ -312,6 +393,59 @@ def flagship(spark, d):
             .withColumn("n_trees", F.lit(model.num_trees)))
 
 
+def _depth2_experiment(spark, d):
+    """One run of one grid point on the binary features, all reports."""
+    cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(2,), bins=(32,),
+                                      features=list(fixtures.BINARY_FEATURES))
+    return experiment.run_experiment(_tx(spark, d), cfg)
+
+
+def _rounded(df, *names):
+    return df.withColumns({c: F.round(c, DIGITS) for c in names})
+
+
+def report_confusion(spark, d):
+    """O1 on the depth-2 experiment."""
+    return _rounded(_depth2_experiment(spark, d)["confusion"], "TPR", "SPC", "PPV", "ACC", "F1", "MGEO",
+                    "PEXC", "MCC", "areaRoc", "areaRocScore")
+
+
+def report_importances(spark, d):
+    """O2."""
+    return _rounded(_depth2_experiment(spark, d)["importances"], "importance")
+
+
+def report_roc(spark, d):
+    """O3."""
+    return _rounded(_depth2_experiment(spark, d)["roc"], "X", "Y")
+
+
+def report_density_test(spark, d):
+    """O4."""
+    return _rounded(_depth2_experiment(spark, d)["density_test"], "X", "Y")
+
+
+def report_density_train(spark, d):
+    """O5."""
+    return _rounded(_depth2_experiment(spark, d)["density_train"], "X", "Y")
+
+
+def report_eer(spark, d):
+    """O6."""
+    return _depth2_experiment(spark, d)["eer"]
+
+
+def report_curves(spark, d):
+    """O7."""
+    return _rounded(_depth2_experiment(spark, d)["curves"], "X", "Y")
+
+
+def report_nodes(spark, d):
+    """O8 as a node table."""
+    nodes = _rounded(_depth2_experiment(spark, d)["nodes"], "gain", "prediction", "node_impurity")
+    return nodes.withColumn("tree", F.col("tree").cast("int"))
+
+
 def experiment_report(spark, d):
     cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(10,), bins=(32,),
                                       features=list(fixtures.FEATURES), filters=SCAN_FILTER)
@@ -356,5 +490,22 @@ QUERIES: dict[str, Query] = {
     "levelwise_stumps": levelwise_stumps,
     "levelwise_predictions": levelwise_predictions,
     "kmeans_balance": kmeans_balance,
+    "src_scan_pushed": src_scan_pushed,
+    "levelwise_rare_stumps": levelwise_rare_stumps,
+    "levelwise_depth2_nodes": levelwise_depth2_nodes,
+    "levelwise_depth2_entropy": levelwise_depth2_entropy,
+    "levelwise_depth2_predictions": levelwise_depth2_predictions,
+    "levelwise_depth2_importances": levelwise_depth2_importances,
+    "kmeans_quotas": kmeans_quotas,
+    "kmeans_nearest_pick": kmeans_nearest_pick,
+    "kmeans_stratified_pick": kmeans_stratified_pick,
+    "report_confusion": report_confusion,
+    "report_importances": report_importances,
+    "report_roc": report_roc,
+    "report_density_test": report_density_test,
+    "report_density_train": report_density_train,
+    "report_eer": report_eer,
+    "report_curves": report_curves,
+    "report_nodes": report_nodes,
     "experiment_report": experiment_report,
 }

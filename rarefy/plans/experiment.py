@@ -26,7 +26,7 @@ from ..operators.importance import named_importances
 from ..operators.levelwise import LevelwiseEnsembleModel
 from ..operators.sampling import train_test
 from ..schema import IGNORE, feature_columns, labelled
-from ..session import scratch_path
+from ..session import scratch_path, scratch_scope
 from ..sources.tables import materialise, scan
 
 
@@ -45,6 +45,7 @@ class ExperimentConfig:
     split_per_grid_point: bool = True
     fit_indexer_on: str = "all"
     engine: str = "auto"
+    eer_mode: str = "reference"
     parallelism: int | None = None
     curve_points: int = 150
     features: Sequence[str] | None = field(default=None)
@@ -98,7 +99,7 @@ def evaluate(pred: DataFrame, tipo: str, cfg: ExperimentConfig) -> dict[str, Dat
     """All evaluators of one scored set (test or train)."""
     lr = detection.with_lr(pred)
     dens = detection.density(lr, *cfg.axis, digits=None)
-    eer = detection.eer(lr, "reference").withColumn("type", F.lit(tipo))
+    eer = detection.eer(lr, cfg.eer_mode).withColumn("type", F.lit(tipo))
     curves = detection.score_curves(lr, cfg.curve_points, digits=None)
     curves = curves.withColumn("type", F.concat(F.lit(f"{tipo}-"), F.col("type")))
     return {"confusion": _confusion_row(pred, tipo), "density": dens, "eer": eer, "curves": curves}
@@ -109,14 +110,30 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
     """GRD3: every (run, grid point) -> reports O1-O8 as DataFrames.
 
     ``out``: optional folder; each report is also written there as CSV
-    with a header (SNK4), and models under ``out/modelos``.
+    with a header (SNK4), and models under ``out/models``.  The returned
+    reports are read from a written folder; everything else the run wrote to
+    scratch space is deleted at its end.
     """
     cfg = cfg or ExperimentConfig()
     spark = df.sparkSession
     if cfg.fit_indexer_on not in ("all", "train"):
         raise ValueError("fit_indexer_on must be 'all' or 'train'")
+    kept = scratch_path(spark, f"reports-{uuid.uuid4().hex}")
+    with scratch_scope(spark) as work:
+        result = _reports(df, cfg, work, out)
+        for name, frame in result.items():
+            frame.write.mode("overwrite").parquet(f"{kept}/{name}")
+    stored = {name: spark.read.parquet(f"{kept}/{name}") for name in result}
+    if out:
+        for name, frame in stored.items():
+            frame.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+    return stored
+
+
+def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -> dict[str, DataFrame]:
+    """The reports as plans over tables in the run's folder ``work``."""
+    spark = df.sparkSession
     base = scan(df, filters=cfg.filters)
-    work = scratch_path(spark, f"experiment-{uuid.uuid4().hex}")
     if cfg.fit_indexer_on == "all":
         # As the reference: indexer fitted on every labelled row, before the split.
         data, _, names = prepare(base, cfg.features)
@@ -135,7 +152,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
             folder = f"{work}/k{k}_g{g}"
             if cfg.fit_indexer_on == "train":
                 # No label-free leakage: categories are learnt from the training side only.
-                indexer = fit_indexer(train)
+                indexer = fit_indexer(train, handle_invalid="keep")
                 train = materialise(indexer.transform(train), path=f"{folder}/train_indexed")
                 test = indexer.transform(test)
             model = BalancedTreeEnsemble(params, "indexedFeatures", names, seed=seed,
@@ -157,7 +174,7 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
             reports["eer"] += [_tag(ev_test["eer"], k, params), _tag(ev_train["eer"], k, params)]
             reports["curves"] += [_tag(ev_test["curves"], k, params),
                                   _tag(ev_train["curves"], k, params)]
-            model_path = f"{out}/modelos/{params.tag}_{k}" if out else f"{folder}/model"
+            model_path = f"{out}/models/{params.tag}_{k}" if out else f"{folder}/model"
             levelwise = isinstance(model, LevelwiseEnsembleModel)
             if levelwise:
                 model.save(model_path)
@@ -175,9 +192,6 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
     result = _shape_reports(result)
     result["model"] = spark.createDataFrame(
         dumps, "k int, impurity string, depth int, bins int, trees int, dump string")
-    if out:
-        for name, frame in result.items():
-            frame.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
     return result
 
 
@@ -221,5 +235,3 @@ def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
                               "prediction", "node_impurity", "is_leaf", *tail)
     return {"confusion": conf, "importances": imp, "roc": roc, "density_test": dens_t,
             "density_train": dens_r, "eer": eer, "curves": curves, "nodes": nodes}
-
-

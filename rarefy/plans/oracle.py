@@ -136,10 +136,12 @@ def _plan_cte(src: str = "train") -> str:
                count(*) FILTER (WHERE label <> 1) AS n_major FROM {src}))"""
 
 
-def _boot_ctes() -> str:
-    """Bootstrap: Poisson(T*f) total by inverse CDF, copies to uniform trees."""
-    seed = C.BOOT_SEED
-    return _plan_cte() + f""",
+def _boot_ctes(src: str = "train", seed: str = C.BOOT_SEED) -> str:
+    """Bootstrap: Poisson(T*f) total by inverse CDF, copies to uniform trees.
+
+    One Poisson draw, as for means of at most 256 (here T*f is about 1).
+    """
+    return _plan_cte(src) + f""",
 lam AS (SELECT n_trees * fraction AS lam, n_trees,
                CAST(ceil(n_trees * fraction + 12.0 * sqrt(n_trees * fraction) + 30.0) AS INTEGER) AS kmax
         FROM plan),
@@ -150,8 +152,8 @@ cdf_rec(k, pmf, cdf) AS (
   FROM cdf_rec c, lam l WHERE c.k + 1 <= l.kmax),
 maj AS (
   SELECT idn, label,
-         (SELECT count(*) FROM cdf_rec WHERE cdf <= {U("'boot:'", f"'{seed}'", "':'", "train.idn")}) AS total
-  FROM train WHERE label <> 1),
+         (SELECT count(*) FROM cdf_rec WHERE cdf <= {U("'boot:'", f"'{seed}'", "':'", "s.idn")}) AS total
+  FROM {src} s WHERE label <> 1),
 copies AS (
   SELECT m.idn, m.label,
          CAST(floor((SELECT n_trees FROM lam) * {U("'tree:'", f"'{seed}'", "':'", "m.idn", "':'", "j.j")}) AS INTEGER) AS tree
@@ -319,10 +321,8 @@ GROUP BY ALL"""
 BINARY = ["is_purchase", "is_click", "is_view", "fds", "madr", "morn", "tard", "noch"]
 
 
-def _stump_ctes(kind: str) -> str:
-    cells = "\nUNION ALL\n".join(
-        f"SELECT tree, w, y, {i} AS fi, CAST({c} AS INTEGER) AS x FROM bal" for i, c in enumerate(BINARY))
-
+def _gain(kind: str) -> str:
+    """Gain of a split with sides (nl, n1l) and (nr, n1r)."""
     def imp(n, n1):
         p1, p0 = f"({n1} / {n})", f"(({n} - {n1}) / {n})"
         if kind == "gini":
@@ -330,15 +330,27 @@ def _stump_ctes(kind: str) -> str:
         t = lambda p: f"(CASE WHEN {p} > 0 THEN -{p} * log2({p}) ELSE 0.0 END)"
         return f"({t(p1)} + {t(p0)})"
     n, n1 = "(nl + nr)", "(n1l + n1r)"
-    gain = f"{imp(n, n1)} - nl / {n} * {imp('nl', 'n1l')} - nr / {n} * {imp('nr', 'n1r')}"
-    names = ", ".join(f"'{c}'" for c in BINARY)
-    return _boot_ctes() + f""",
+    return f"{imp(n, n1)} - nl / {n} * {imp('nl', 'n1l')} - nr / {n} * {imp('nr', 'n1r')}"
+
+
+def _balanced_ctes(src: str = "train", seed: str = C.BOOT_SEED) -> str:
+    return _boot_ctes(src, seed) + f""",
 bal AS (
   SELECT CAST(t.tree AS INTEGER) AS tree, 1 AS w, CASE WHEN l.label = 1 THEN 1.0 ELSE 0.0 END AS y, l.*
-  FROM train l, range(0, (SELECT n_trees FROM plan)) t(tree) WHERE l.label = 1
+  FROM {src} l, range(0, (SELECT n_trees FROM plan)) t(tree) WHERE l.label = 1
   UNION ALL
   SELECT wt.tree, wt.w, CASE WHEN l.label = 1 THEN 1.0 ELSE 0.0 END AS y, l.*
-  FROM weights wt JOIN train l ON l.idn = wt.idn),
+  FROM weights wt JOIN {src} l ON l.idn = wt.idn)"""
+
+
+def _stump_ctes(kind: str, features: dict[str, str] | None = None) -> str:
+    """``features``: name -> SQL expression (default: the binary features)."""
+    features = features or {c: c for c in BINARY}
+    cells = "\nUNION ALL\n".join(f"SELECT tree, w, y, {i} AS fi, CAST({e} AS INTEGER) AS x FROM bal"
+                                 for i, e in enumerate(features.values()))
+    gain = _gain(kind)
+    names = ", ".join(f"'{c}'" for c in features)
+    return _balanced_ctes() + f""",
 cells AS ({cells}),
 sides AS (
   SELECT tree, fi,
@@ -366,6 +378,170 @@ SELECT CAST(n.feature_index AS INTEGER) AS feature_index, n.variable,
 FROM names n LEFT JOIN per p ON p.feature_index = n.feature_index"""
 
 
+def _depth2_ctes(kind: str, src: str = "train", seed: str = C.BOOT_SEED) -> str:
+    """Two levels of every tree, unrolled: ``nodes`` (heap numbering, root 1)."""
+    gain = _gain(kind)
+
+    def level(k: int, rows: str) -> str:
+        cells = "\nUNION ALL\n".join(
+            f"SELECT tree, node, w, y, {i} AS fi, CAST({c} AS INTEGER) AS x FROM {rows}"
+            for i, c in enumerate(BINARY))
+        return f"""cells{k} AS ({cells}),
+sides{k} AS (
+  SELECT tree, node, fi,
+    CAST(sum(CASE WHEN x = 0 THEN w ELSE 0 END) AS DOUBLE) AS nl,
+    CAST(sum(CASE WHEN x = 0 THEN w * y ELSE 0 END) AS DOUBLE) AS n1l,
+    CAST(sum(CASE WHEN x <> 0 THEN w ELSE 0 END) AS DOUBLE) AS nr,
+    CAST(sum(CASE WHEN x <> 0 THEN w * y ELSE 0 END) AS DOUBLE) AS n1r
+  FROM cells{k} GROUP BY tree, node, fi),
+best{k} AS (
+  SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, fi) AS rk
+  FROM (SELECT *, round({gain}, 12) AS gain FROM sides{k} WHERE nl > 0 AND nr > 0)),
+split{k} AS (SELECT tree, node, fi, gain FROM best{k} WHERE rk = 1 AND gain > 0)"""
+
+    value = "[" + ", ".join(f"CAST({c} AS INTEGER)" for c in BINARY) + "][s.fi + 1]"
+    return _balanced_ctes(src, seed) + f""",
+rows0 AS (SELECT *, 1 AS node FROM bal),
+{level(0, "rows0")},
+rows1 AS (SELECT b.* EXCLUDE (node), 2 * b.node + (CASE WHEN {value} > 0 THEN 1 ELSE 0 END) AS node
+          FROM rows0 b JOIN split0 s USING (tree, node)),
+{level(1, "rows1")},
+rows2 AS (SELECT b.* EXCLUDE (node), 2 * b.node + (CASE WHEN {value} > 0 THEN 1 ELSE 0 END) AS node
+          FROM rows1 b JOIN split1 s USING (tree, node)),
+nodes AS (
+  SELECT tree, node, CAST(floor(log2(node)) AS INTEGER) AS depth, n, n1, n1 / n AS prediction,
+         fi IS NULL AS is_leaf, CAST(fi AS INTEGER) AS feature_index, gain
+  FROM (SELECT tree, node, CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w * y) AS DOUBLE) AS n1
+        FROM (SELECT tree, node, w, y FROM rows0 UNION ALL SELECT tree, node, w, y FROM rows1
+              UNION ALL SELECT tree, node, w, y FROM rows2) GROUP BY tree, node)
+  LEFT JOIN (SELECT * FROM split0 UNION ALL SELECT * FROM split1) USING (tree, node))"""
+
+
+def _walk_ctes(side: str) -> str:
+    """``votes`` (idn, label, tree, p1): the rows of ``side`` at their leaves."""
+    def value(split: str) -> str:
+        return "[" + ", ".join(f"CAST(r.{c} AS INTEGER)" for c in BINARY) + f"][{split}.feature_index + 1]"
+
+    def step(name: str, before: str) -> str:
+        return f"""{name} AS (
+  SELECT r.*, n.tree AS at_tree, CASE WHEN n.is_leaf THEN n.node
+         ELSE 2 * n.node + (CASE WHEN {value("n")} > 0 THEN 1 ELSE 0 END) END AS at_node
+  FROM {before})"""
+    return f"""side AS (SELECT * FROM {side}),
+{step("walk1", "side r JOIN nodes n ON n.node = 1")},
+{step("walk2", "(SELECT * FROM walk1) w JOIN nodes n ON n.tree = w.at_tree AND n.node = w.at_node JOIN side r ON r.idn = w.idn")},
+votes AS (
+  SELECT w.idn, w.label, w.at_tree AS tree, n.prediction AS p1
+  FROM walk2 w JOIN nodes n ON n.tree = w.at_tree AND n.node = w.at_node)"""
+
+
+TEST = f"""test AS (SELECT * FROM labelled
+  WHERE NOT ({U("'split:'", f"'{C.SPLIT_SEED}'", "':'", "idn")} < {_d(C.TRAIN)}))"""
+# Run 1, grid point 0 of an experiment: its seed drives the split and the bootstrap.
+EXP_SEED = "1:0"
+EXP_SPLIT = f"{U(chr(39) + 'split:' + chr(39), chr(39) + EXP_SEED + chr(39), chr(39) + ':' + chr(39), 'idn')} < {_d(C.TRAIN)}"
+EXP_SIDES = {"train": f"SELECT * FROM labelled WHERE {EXP_SPLIT}",
+             "test": f"SELECT * FROM labelled WHERE NOT ({EXP_SPLIT})"}
+
+
+def _exp_ctes() -> str:
+    return f"exp_train AS ({EXP_SIDES['train']}),\n" + _depth2_ctes("gini", "exp_train", EXP_SEED)
+
+
+def _on_experiment(sql: str, side: str) -> str:
+    """A query over the votes fixture, over the experiment's votes instead."""
+    votes = _exp_ctes() + ",\n" + _walk_ctes(f"({EXP_SIDES[side]})")
+    assert CTE["votes"] in sql
+    return sql.replace(CTE["votes"], votes).replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+GRID_TAIL = "'gini' AS impurity, 2 AS depth, 32 AS bins"
+
+
+def _both_sides(select) -> str:
+    """``select(sql of one side, its name)`` for test and train, in one result."""
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({select(side)})" for side in ("test", "train"))
+
+
+def _report_confusion() -> str:
+    def one(side):
+        hard = _on_experiment(_auc_sql("predicted_label"), side)
+        by_lr = _on_experiment(_auc_sql("(SELECT x.lr FROM lrs x WHERE x.idn = scored.idn)"), side)
+        by_lr = by_lr.replace(CTE["scored"], CTE["scored"] + ",\n" + CTE["lrs"], 1)
+        return f"""SELECT '{side}' AS tipo, 1 AS k, tp, fn, tn, fp, tpr AS "TPR", spc AS "SPC", ppv AS "PPV",
+  acc AS "ACC", f1 AS "F1", mgeo AS "MGEO", pexc AS "PEXC", mcc AS "MCC",
+  (SELECT auc FROM ({hard})) AS "areaRoc", (SELECT auc FROM ({by_lr})) AS "areaRocScore", {GRID_TAIL}
+FROM ({_on_experiment(_confusion_sql(), side)})"""
+    return _both_sides(one)
+
+
+def _report_importances() -> str:
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(BINARY))
+    return with_("labelled", extra=_exp_ctes()) + _importance_rows(names) + f"""
+SELECT variable, importance, 1 AS k, {GRID_TAIL} FROM named"""
+
+
+def _importance_rows(names: str) -> str:
+    return f""", per AS (SELECT tree, feature_index, sum(gain) AS g FROM nodes WHERE NOT is_leaf
+                 GROUP BY tree, feature_index),
+share AS (SELECT feature_index, sum(g / t) AS v
+          FROM (SELECT *, sum(g) OVER (PARTITION BY tree) AS t FROM per) WHERE t <> 0 GROUP BY feature_index),
+names(feature_index, variable) AS (VALUES {names}),
+named AS (
+  SELECT CAST(n.feature_index AS INTEGER) AS feature_index, n.variable,
+         round(coalesce(v / (SELECT sum(v) FROM share), 0.0), 9) AS importance
+  FROM names n LEFT JOIN share s ON s.feature_index = n.feature_index)"""
+
+
+def _report_density(side: str) -> str:
+    sql = _kde_sql().replace("* b.h) / 2.0", "* b.h) / 2.0")
+    sql = sql.replace("* sqrt(2.0 * pi())) END, 8) AS y", "* sqrt(2.0 * pi())) END, 9) AS y")
+    return f"""SELECT x AS "X", y AS "Y", 1 AS k, type, {GRID_TAIL} FROM ({_on_experiment(sql, side)})"""
+
+
+def _report_nodes() -> str:
+    return with_("labelled", extra=_exp_ctes()) + f"""SELECT 1 AS k, CAST(tree AS INTEGER) AS tree,
+  CAST(node AS BIGINT) AS node, feature_index,
+  CASE WHEN NOT is_leaf THEN 0.5::DOUBLE END AS threshold, CAST(NULL AS VARCHAR) AS left_categories,
+  round(gain, 9) AS gain, round(prediction, 9) AS prediction,
+  round(1.0 - (n1 / n) * (n1 / n) - ((n - n1) / n) * ((n - n1) / n), 9) AS node_impurity, is_leaf, {GRID_TAIL}
+FROM nodes"""
+
+
+def _hash_assigned_ctes() -> str:
+    x = ", ".join(f"CAST({c} AS DOUBLE)" for c in BINARY)
+    return f"""assigned AS (
+  SELECT idn, CAST(floor({U("'cluster:'", "idn")} * {C.HASH_CLUSTERS}) AS INTEGER) AS cluster, [{x}] AS x
+  FROM train WHERE label <> 1),
+n_minor AS (SELECT count(*) AS n FROM train WHERE label = 1),
+shares AS (
+  SELECT cluster, m, ((SELECT n FROM n_minor) * m) // total AS whole, ((SELECT n FROM n_minor) * m) % total AS rest
+  FROM (SELECT cluster, count(*) AS m, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM assigned GROUP BY cluster)),
+quotas AS (
+  SELECT cluster, m, CAST(whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, cluster)
+         <= (SELECT n FROM n_minor) - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM shares)"""
+
+
+def _nearest_pick_sql() -> str:
+    means = ", ".join(f"avg(x[{i + 1}])" for i in range(len(BINARY)))
+    d2 = " + ".join(f"(x[{i + 1}] - c[{i + 1}]) * (x[{i + 1}] - c[{i + 1}])" for i in range(len(BINARY)))
+    return with_("train", extra=_hash_assigned_ctes()) + f""", means AS (
+  SELECT cluster, [{means}] AS c FROM assigned GROUP BY cluster),
+far AS (SELECT cluster, idn, round(0.0::DOUBLE + {d2}, 9) AS dist2 FROM assigned JOIN means USING (cluster)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist2, idn) AS r FROM far)
+SELECT cluster, idn, dist2 FROM placed JOIN quotas USING (cluster) WHERE r <= quota"""
+
+
+def _stratified_pick_sql() -> str:
+    u = U("'km:'", f"'{C.BOOT_SEED}'", "':'", "t.tree", "':'", "q.cluster", "':'", "j.j")
+    return with_("train", extra=_hash_assigned_ctes()) + f""", placed AS (
+  SELECT cluster, idn, row_number() OVER (PARTITION BY cluster ORDER BY idn) - 1 AS r FROM assigned),
+draws AS (
+  SELECT CAST(t.tree AS INTEGER) AS tree, q.cluster, CAST(floor(q.m * {u}) AS BIGINT) AS r
+  FROM quotas q, range(0, {C.PICK_TREES}) t(tree), LATERAL (SELECT * FROM range(1, q.quota + 1) g(j)) j)
+SELECT tree, idn, CAST(count(*) AS INTEGER) AS w FROM draws JOIN placed USING (cluster, r) GROUP BY tree, idn"""
+
+
 SQL: dict[str, str] = {
     "src_scan_filter": with_("transactions") + f"SELECT {', '.join(TX_COLS)} FROM transactions "
                        f"WHERE {C.SCAN_FILTER}",
@@ -417,4 +593,30 @@ FROM lrs WHERE lr IS NOT NULL GROUP BY flag""",
     "stump_entropy": with_("train", extra=_stump_ctes("entropy")) + "SELECT * FROM splits",
     "importances_named": _importances_sql(),
     "levelwise_stumps": with_("train", extra=_stump_ctes("gini")) + "SELECT * FROM splits",
+    "src_scan_pushed": f"SELECT {', '.join(C.RAW_COLUMNS)} FROM events WHERE {C.RAW_FILTER}",
+    "levelwise_rare_stumps": with_("train", extra=_stump_ctes("gini", C.RARE_FEATURES)) + "SELECT * FROM splits",
+    "levelwise_depth2_nodes": with_("train", extra=_depth2_ctes("gini")) + """SELECT tree, CAST(node AS BIGINT) AS node,
+  depth, n, n1, round(prediction, 9) AS prediction, is_leaf, feature_index, round(gain, 9) AS gain FROM nodes""",
+    "levelwise_depth2_entropy": with_("train", extra=_depth2_ctes("entropy")) + """SELECT tree,
+  CAST(node AS BIGINT) AS node, is_leaf, feature_index, round(gain, 9) AS gain FROM nodes""",
+    "levelwise_depth2_predictions": with_("train", extra=TEST + ",\n" + _depth2_ctes("gini") + ",\n"
+                                          + _walk_ctes("test") + ",\n" + CTE["logs"] + ",\n" + CTE["scored"]) + """
+SELECT s.idn, s.label, CAST(n AS INTEGER) AS n_trees, n_votes, round(p0, 9) AS p0, round(p1, 9) AS p1,
+  predicted_label FROM scored s JOIN logs l USING (idn)""",
+    "levelwise_depth2_importances": with_("train", extra=_depth2_ctes("gini"))
+        + _importance_rows(", ".join(f"({i}, '{c}')" for i, c in enumerate(BINARY))) + "\nSELECT * FROM named",
+    "kmeans_quotas": with_("train", extra=_hash_assigned_ctes()) + "SELECT cluster, m, quota FROM quotas",
+    "kmeans_nearest_pick": _nearest_pick_sql(),
+    "kmeans_stratified_pick": _stratified_pick_sql(),
+    "report_confusion": _report_confusion(),
+    "report_importances": _report_importances(),
+    "report_roc": f"""SELECT fpr AS "X", tpr AS "Y", 1 AS k, pos, {GRID_TAIL}
+FROM ({_on_experiment(_roc_sql("predicted_label"), "test")})""",
+    "report_density_test": _report_density("test"),
+    "report_density_train": _report_density("train"),
+    "report_eer": _both_sides(lambda side: f"""SELECT 1 AS k, '{side}' AS type, eer AS "EER", lr AS "LR", state, {GRID_TAIL}
+FROM ({_on_experiment(_eer_sql("reference"), side)})"""),
+    "report_curves": _both_sides(lambda side: f"""SELECT x AS "X", y AS "Y", 1 AS k, '{side}-' || type AS type, {GRID_TAIL}
+FROM ({_on_experiment(_curves_sql(), side)})"""),
+    "report_nodes": _report_nodes(),
 }

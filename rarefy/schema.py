@@ -42,8 +42,3 @@ def is_minority(label: Column | str = LABEL, minority: int = FRAUD) -> Column:
 def to_binary(label: Column | str = LABEL, minority: int = FRAUD) -> Column:
     """RLB1: minority -> 1.0, anything else -> 0.0 (the training label)."""
     return F.when(is_minority(label, minority), F.lit(1.0)).otherwise(F.lit(0.0))
-
-
-def from_binary(y: Column, minority: int = FRAUD, majority: int = LEGAL) -> Column:
-    """RLB1 inverse: 1 -> minority label, otherwise majority label."""
-    return F.when(y == 1, F.lit(minority)).otherwise(F.lit(majority))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-import uuid
-
 from ..schema import NON_NUMERIC
 from ..session import scratch_path
 
@@ -45,7 +44,8 @@ def materialise(df: DataFrame, path: str | None = None, table: str | None = None
     either, a fresh folder under the shared ``spark.checkpoint.dir`` is used.
     Writing Parquet computes the frame once (a reliable ``checkpoint()`` of
     an unpersisted frame computes it twice) and the re-read scan carries file
-    sizes, so the planner sees real statistics.
+    sizes, so the planner sees real statistics.  A table in that folder is
+    deleted by ``session.discard`` or at the end of a ``scratch_scope``.
     """
     spark = df.sparkSession
     if table:
@@ -53,7 +53,10 @@ def materialise(df: DataFrame, path: str | None = None, table: str | None = None
         return spark.table(table)
     target = path or scratch_path(spark, f"table-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    out = spark.read.parquet(target)
+    if not path:
+        out._scratch = target  # what session.discard deletes
+    return out
 
 
 def reuse_or_build(spark: SparkSession, table: str, build) -> DataFrame:

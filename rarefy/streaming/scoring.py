@@ -10,20 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.ensemble import BalancedEnsembleModel
 from ..operators.features import assemble
 
 
-def score_stream(model: BalancedEnsembleModel, stream: DataFrame, indexer=None,
+def score_stream(model, stream: DataFrame, indexer=None,
                  strategy: str = "soft") -> DataFrame:
     """Streaming DataFrame of transactions -> (idn, label, p0, p1, predicted_label).
 
-    ``indexer`` is the fitted VectorIndexerModel of the training run (a
+    ``model`` is a fitted ensemble of either engine.  ``indexer`` is the fitted VectorIndexerModel of the training run (a
     stateless transform as well); without it the assembled vector is used.
     """
-    if not isinstance(model, BalancedEnsembleModel):
-        raise ValueError("stream scoring needs a row-local model (engine='ml'); the level-wise "
-                         "scorer gathers per-row leaf values with an aggregation")
     vec = assemble(stream, model.feature_names)
     if indexer is not None:
         vec = indexer.transform(vec)

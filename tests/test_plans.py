@@ -4,15 +4,16 @@ import contextlib
 import io
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from rarefy.operators import sampling
+from rarefy.operators import levelwise, sampling
 from rarefy.operators.ensemble import BalancedTreeEnsemble, TreeParams
 from rarefy.operators.prefix import running_totals
 from rarefy.plans import experiment
 from rarefy.session import scratch_path
 from rarefy.sources import fixtures
-from rarefy.sources.tables import read_table, scan
+from rarefy.sources.tables import materialise, read_table, scan
 
 
 def plan_of(df, mode="formatted"):
@@ -41,8 +42,9 @@ def test_running_totals_window_is_partitioned(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     p = plan_of(running_totals(df, ["k", "id"], {"c": F.lit(1)}), "simple")
     # The row-level window is partitioned by the range bucket; only the
-    # bucket-offset table (one row per bucket) is ordered globally.
-    assert "rangepartitioning(k" in p
+    # bucket-offset table (one row per bucket) is ordered globally.  Both read
+    # the one written table of ranged rows: no second range exchange.
+    assert "rangepartitioning" not in p
     assert re.search(r"Window \[.*\], \[_bucket#\d+\]", p)
 
 
@@ -58,14 +60,26 @@ def fixtures_exchange_count(spark, small_dir):
     return plan_of(fixtures.tree_vote_arrays(spark, small_dir).select("p1s"), "simple").count("Exchange")
 
 
-def test_levelwise_scoring_shape(spark, small_dir):
+def _fit(spark, small_dir, engine, **params):
     data, _, names = experiment.prepare(fixtures.transactions(spark, small_dir),
                                         list(fixtures.FEATURES))
     tr, te = sampling.train_test(data, 0.7, "0")
-    model = BalancedTreeEnsemble(TreeParams("gini", 3, 8), "indexedFeatures", names,
-                                 engine="levelwise").fit(tr)
-    p = plan_of(model.predict(te), "simple")
-    # The walk is hash-partitioned by id once; level joins broadcast the split table.
-    assert "BroadcastHashJoin" in p
-    assert "SortMergeJoin" not in p or p.count("hashpartitioning(idn") <= 2
-    assert "hashpartitioning(tree" not in p
+    return BalancedTreeEnsemble(TreeParams("gini", 3, 8), "indexedFeatures", names, engine=engine,
+                                **params).fit(tr), te
+
+
+@pytest.mark.parametrize("engine", ["levelwise", "ml"])
+def test_scoring_is_row_local(spark, small_dir, engine):
+    model, te = _fit(spark, small_dir, engine)
+    before, after = plan_of(te, "simple"), plan_of(model.predict(te), "simple")
+    for node in ("Exchange", "Generate", "Join", "Subquery"):
+        assert after.count(node) == before.count(node)
+    assert after.count("Project") <= before.count("Project") + 5  # no step per tree
+
+
+def test_level_plan_reads_the_state_once(spark):
+    rows = [(i % 3, 1.0, float(i % 2), [i % 4, i % 2], 1) for i in range(60)]
+    state = materialise(spark.createDataFrame(
+        rows, "tree int, w double, y double, bins array<int>, node bigint"))
+    p = plan_of(levelwise._histogram(state), "simple")
+    assert p.count("FileScan") == 1 and p.count("Generate") == 1 and p.count("Exchange") == 1

@@ -265,7 +265,7 @@ def fitted(spark, small_dir):
                                         list(fixtures.FEATURES))
     tr, te = sampling.train_test(data, 0.7, "0")
     model = BalancedTreeEnsemble(TreeParams("gini", 5, 32), "indexedFeatures", names,
-                                 seed="1").fit(tr)
+                                 seed="1", engine="ml").fit(tr)
     return model, tr, te
 
 
@@ -401,7 +401,7 @@ def test_experiment_reports_levelwise_train_indexer(spark, small_dir):
     rep = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg)
     assert set(rep) == {"confusion", "importances", "roc", "density_test", "density_train",
                         "eer", "curves", "nodes", "model"}
-    assert rep["nodes"].where("depth > 3").count() == 0 if "depth" in rep["nodes"].columns else True
+    assert rep["nodes"].where("floor(log2(node)) > 3").count() == 0
     assert rep["nodes"].where("NOT is_leaf").count() > 0
     conf = rep["confusion"].toPandas()
     assert sorted(conf["tipo"]) == ["test", "train"]
@@ -410,22 +410,25 @@ def test_experiment_reports_levelwise_train_indexer(spark, small_dir):
     assert rep["curves"].count() == 4 * 150
 
 
-def test_stratified_kmeans_picks_one_row_per_cluster_and_tree(spark, fitted):
+def test_stratified_kmeans_picks_balance_every_tree(spark, fitted):
     from rarefy.operators import kmeans_balance as kb
     _, tr, _ = fitted
-    majority = tr.where("label <> 1")
-    model = kb.fit_clusters(majority, 7)
-    picks = kb.stratified_picks(majority, model, 5, seed="9")
-    assigned = model.transform(majority).select("idn", "cluster")
-    joined = picks.join(assigned, "idn").toPandas()
-    sizes = assigned.groupBy("cluster").count().toPandas()
-    per = joined.groupby(["tree", "cluster"]).size()
-    assert (per == 1).all()
-    assert len(per) == 5 * len(sizes)
+    majority, n_minor = tr.where("label <> 1"), tr.where("label = 1").count()
+    assigned = kb.assigned_rows(majority, kb.fit_clusters(majority, 7))
+    quotas = {r["cluster"]: r["quota"] for r in kb.cluster_quotas(assigned, n_minor).collect()}
+    assert sum(quotas.values()) == n_minor
+    picks = kb.stratified_picks(assigned, n_minor, 5, seed="9").join(assigned, "idn").toPandas()
+    per = picks.groupby(["tree", "cluster"])["w"].sum()
+    assert set(picks["tree"]) == set(range(5))
+    for t in range(5):
+        assert {c: per.get((t, c), 0) for c in quotas} == quotas
+    bal = kb.kmeans_balanced_sets(tr, k=7, n_trees=3, keep=["idn", "label"])
+    major = bal.where("label <> 1").groupBy("tree").agg(F.sum("w").alias("w")).collect()
+    assert {r["tree"]: r["w"] for r in major} == dict.fromkeys(range(3), n_minor)
 
 
 def test_experiment_default_config_grid(spark, small_dir):
-    # Reference defaults (entropy -> level-wise under engine="auto") plus a gini point (ML).
+    # One engine for both impurities under engine="auto".
     cfg = experiment.ExperimentConfig(runs=1, impurities=("gini", "entropy"), depths=(3,),
                                       bins=(16,), features=list(fixtures.FEATURES),
                                       split_per_grid_point=False)
@@ -433,7 +436,7 @@ def test_experiment_default_config_grid(spark, small_dir):
     conf = rep["confusion"].toPandas()
     assert sorted(conf["impurity"]) == ["entropy", "entropy", "gini", "gini"]
     assert set(rep["nodes"].select("impurity").distinct().toPandas()["impurity"]) == {"gini", "entropy"}
-    assert rep["model"].count() == 1  # text dump only for the Spark ML (gini) point
+    assert rep["model"].count() == 0  # text dumps exist for Spark ML trees only
 
 
 def test_split_sides_partition_rows_with_null_ids(spark):
@@ -458,21 +461,18 @@ def test_feature_arity_agrees_with_vector_indexer(spark, small_dir):
     assert dict(pts.dtypes)["label"] == "double"
 
 
-def test_nearest_to_centroids_is_nearest(spark, fitted):
-    from pyspark.ml.functions import vector_to_array
+def test_nearest_picks_are_nearest_to_the_means(spark, fitted):
     from rarefy.operators import kmeans_balance as kb
     _, tr, _ = fitted
     majority = tr.where("label <> 1")
-    model = kb.fit_clusters(majority, 5)
-    picks = {r["cluster"]: (r["idn"], r["dist2"]) for r in kb.nearest_to_centroids(majority, model).collect()}
-    rows = (model.transform(majority)
-            .select("idn", "cluster", vector_to_array("indexedFeatures").alias("x")).toPandas())
-    centers = model.clusterCenters()
-    for c, grp in rows.groupby("cluster"):
-        d2 = grp["x"].apply(lambda v: float(((np.array(v) - centers[c]) ** 2).sum()))
-        best = grp.assign(d2=d2).sort_values(["d2", "idn"]).iloc[0]
-        assert picks[c][0] == best["idn"]
-        assert picks[c][1] == pytest.approx(best["d2"], rel=1e-12)
+    assigned = kb.assigned_rows(majority, kb.fit_clusters(majority, 5))
+    quotas = {r["cluster"]: r["quota"] for r in kb.cluster_quotas(assigned, 23).collect()}
+    picks = kb.nearest_picks(assigned, 23).toPandas()
+    for c, grp in assigned.toPandas().groupby("cluster"):
+        x = np.stack(grp["x"].to_numpy())
+        d2 = ((x - x.mean(axis=0)) ** 2).sum(axis=1).round(9)
+        best = grp.assign(d2=d2).sort_values(["d2", "idn"]).head(quotas[c])
+        assert sorted(picks.loc[picks.cluster == c, "idn"]) == sorted(best["idn"])
 
 
 def test_minority_larger_than_majority_oversamples(spark):
@@ -526,3 +526,160 @@ def test_kde_fixed_bandwidth(spark):
     for x in (1.0, 1.5):
         exp = math.exp(-((x - lr) / 0.1) ** 2 / 2) / (0.1 * math.sqrt(2 * math.pi))
         assert dens[("Fraude", x)] == pytest.approx(exp, rel=1e-9, abs=1e-300)
+
+
+# -- many distinct scores ------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def many_scores(spark):
+    """600k distinct scores in a written table, and the exact evaluator values."""
+    from rarefy.sources.tables import materialise
+    n = 600_000
+    rng = np.random.default_rng(11)
+    y = rng.random(n) < 0.2
+    lr = np.round(rng.permutation(n) / n * 6 - 3 + y * 0.8, 9)
+    pdf = pd.DataFrame({"idn": np.arange(n), "lr": lr, "flag": y.astype("int32"),
+                        "label": np.where(y, 1, -1).astype("int32")})
+    df = materialise(spark.createDataFrame(pdf).repartition(24, "idn"))
+    order = np.lexsort((pdf.idn, -pdf.flag, pdf.lr))
+    return df, pdf.iloc[order].reset_index(drop=True)
+
+
+def _exact_eer(rows, mode):
+    nf, nl = int(rows.flag.sum()), int((1 - rows.flag).sum())
+    if mode == "reference":
+        cf = rows.flag.cumsum().to_numpy().astype(object)
+        a, b, v = np.arange(len(rows)).astype(object) - cf, nl - cf, rows.lr.to_numpy()
+    else:
+        g = rows.groupby("lr").flag.agg(["sum", "count"])
+        cf = g["sum"].cumsum().to_numpy().astype(object)
+        a, b, v = cf, nl - (g["count"] - g["sum"]).cumsum().to_numpy().astype(object), g.index.to_numpy()
+    gap = np.abs(a * nl - b * nf)
+    best = np.flatnonzero(gap == gap.min())
+    k = best[(len(best) + 1) // 2 - 1]
+    return round(float(b[k]) / nl * 100, 6), v[k], int(gap[k] / (nf * nl) <= 1e-5)
+
+
+def test_running_totals_are_exact_and_repeatable_at_many_scores(spark, many_scores):
+    df, rows = many_scores
+    g = rows.groupby("lr").flag.agg(["sum", "count"]).sort_index(ascending=False)
+    tp, fp = g["sum"].to_numpy(), (g["count"] - g["sum"]).to_numpy()
+    area = int((fp.astype(object) * (2 * tp.cumsum() - tp).astype(object)).sum()) / (2.0 * tp.sum() * fp.sum())
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    spark.conf.set(name, "1")
+    try:
+        for _ in range(3):
+            assert metrics.auc(df, "lr", digits=None).first()["auc"] == pytest.approx(area, rel=1e-12)
+            for mode in ("standard", "reference"):
+                got = detection.eer(df, mode).first()
+                assert (got["eer"], got["lr"], got["state"]) == _exact_eer(rows, mode)
+        roc = metrics.roc_points(df, "lr", digits=None).orderBy("pos").toPandas().iloc[1:-1]
+    finally:
+        spark.conf.unset(name)
+    assert np.allclose(roc["tpr"], tp.cumsum() / tp.sum(), rtol=0, atol=1e-12)
+    assert np.allclose(roc["fpr"], fp.cumsum() / fp.sum(), rtol=0, atol=1e-12)
+
+
+# -- thresholds, scoring, limits -----------------------------------------------------
+
+@pytest.mark.parametrize("rare", [0.0, 1.0])
+def test_rare_values_split(spark, rare):
+    from rarefy.operators import levelwise
+    rows = [(0, 1.0, 1.0 if i < 20 else 0.0, rare if i < 20 else 1.0 - rare) for i in range(4000)]
+    df = spark.createDataFrame(rows, "tree int, w double, y double, a double")
+    model = levelwise.grow(df, ["a"], TreeParams("gini", 2, 64))
+    assert model.thresholds == [[0.5]]
+    leaves = {r["n"]: r["prediction"] for r in model.nodes.where("is_leaf").collect()}
+    assert leaves == {20.0: 1.0, 3980.0: 0.0}
+
+
+def test_low_cardinality_splits_match_spark_ml(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from rarefy.operators import levelwise
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, [2, 5, 9], size=(3000, 3)).astype(float)
+    y = (rng.random(3000) < 0.1 + 0.25 * (x[:, 1] > 2) + 0.2 * x[:, 0] + 0.05 * (x[:, 2] < 3)).astype(float)
+    df = spark.createDataFrame([(0, 1.0, float(b), *map(float, a)) for a, b in zip(x, y)],
+                               "tree int, w double, y double, a double, b double, c double")
+    ours = levelwise.grow(df, ["a", "b", "c"], TreeParams("gini", 3, 32))
+    vec = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(df)
+    theirs = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=3, maxBins=32).fit(vec)
+    got = {r["idn"]: r["p1s"][0] for r in ours.tree_probabilities(
+        df.withColumn("idn", F.monotonically_increasing_id())).select("idn", "p1s").collect()}
+    want = {r["idn"]: r["p"] for r in theirs.setPredictionCol("p").transform(
+        vec.withColumn("idn", F.monotonically_increasing_id())).select("idn", "p").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-12) for i in got)
+
+
+@pytest.mark.parametrize("engine", ["levelwise", "ml"])
+def test_scoring_keeps_null_and_repeated_ids(spark, fitted, engine):
+    _, tr, te = fitted
+    model = BalancedTreeEnsemble(TreeParams("gini", 3, 16), "indexedFeatures", list(fixtures.FEATURES),
+                                 seed="3", engine=engine).fit(tr)
+    odd = te.limit(20).unionByName(te.limit(20).withColumn("idn", F.lit(None).cast("bigint"))).unionByName(
+        te.limit(40).withColumn("idn", F.lit(7).cast("bigint")))
+    pred = model.predict(odd)
+    assert pred.count() == odd.count()
+    assert {r["n_trees"] for r in pred.select("n_trees").collect()} == {model.num_trees}
+    by_vector = {str(r["indexedFeatures"]): r["p1s"] for r in model.predict(te).collect()}
+    assert all(r["p1s"] == by_vector[str(r["indexedFeatures"])] for r in pred.collect())
+
+
+@pytest.mark.parametrize("kind", ["gini", "entropy"])
+def test_row_walk_equals_spark_ml_transform(spark, fitted, kind):
+    from pyspark.ml.functions import vector_to_array
+    _, tr, te = fitted
+    model = BalancedTreeEnsemble(TreeParams(kind, 4, 16), "indexedFeatures", list(fixtures.FEATURES),
+                                 seed="8", engine="ml").fit(tr)
+    got = {r["idn"]: r["p1s"] for r in model.predict(te).select("idn", "p1s").collect()}
+    for t, tree in enumerate(model.trees):
+        out = tree.copy().setFeaturesCol("indexedFeatures").transform(te)
+        p1 = F.col("prediction") if kind == "gini" else vector_to_array("probability")[1]
+        for r in out.select("idn", p1.alias("p")).collect():
+            assert got[r["idn"]][t] == pytest.approx(r["p"], abs=1e-12)
+
+
+def test_tree_groups_split_by_nodes(spark):
+    from rarefy.operators.treewalk import group_trees, with_tree_values
+    trees = [[(1, 0, float(t), 0, 2, 3, 0.5), (2, None, None, 0, 0, 0, 0.1 * t), (3, None, None, 0, 0, 0, 1.0)]
+             for t in range(5)] + [[(1, None, None, 0, 0, 0, 0.25)]]
+    groups = group_trees(trees, max_nodes=6)
+    assert [len(g.roots) for g in groups] == [2, 2, 2]
+    df = spark.createDataFrame([(2.0,), (None,), (float("nan"),)], "x double")
+    got = [r["p1s"] for r in with_tree_values(df, F.array("x"), groups).collect()]
+    assert got[0] == [1.0, 1.0, 0.2, 0.1 * 3, 0.4, 0.25]
+    assert got[1] == got[2] == [1.0] * 5 + [0.25]
+
+
+def test_poisson_with_a_large_mean(spark):
+    rows = [(i, 1 if i < 9000 else -1) for i in range(9010)]
+    df = spark.createDataFrame(rows, "idn long, label int")  # 900 copies of each majority row
+    bal = sampling.balanced_sets(df, seed="2", keep=["idn", "label"])
+    w = [r["w"] for r in bal.where("label <> 1").collect()]
+    assert len(w) == 10 and abs(sum(w) - 9000) <= 5 * math.sqrt(9000) and len(set(w)) > 1
+
+
+def test_null_ids_take_part_in_split_sample_and_bootstrap(spark):
+    df = spark.createDataFrame([(None, 1), (1, 1), (2, -1), (None, -1), (3, -1)], "idn long, label int")
+    assert sampling.hash_sample(df, 1.0).count() == 5
+    tr, te = sampling.train_test(df, 0.5, "1")
+    assert tr.count() + te.count() == 5
+    counts = [sampling.balanced_sets(df, seed=str(s), keep=["idn", "label"])
+              .where("label <> 1 and idn is null").count() for s in range(6)]
+    assert any(counts)
+
+
+def test_hash_uniform_uses_52_bits(spark):
+    from rarefy.functions.hashing import hash_uniform
+    u = [r[0] for r in spark.range(2000).select(hash_uniform("x:", F.col("id"))).collect()]
+    assert any((v * 2 ** 32) % 1 for v in u) and 0 <= min(u) and max(u) < 1
+
+
+def test_unseen_category_with_a_train_only_indexer(spark):
+    from rarefy.operators.features import assemble, fit_indexer
+    df = spark.createDataFrame([(float(i % 2), float(i)) for i in range(10)], "a double, b double")
+    new = spark.createDataFrame([(7.0, 1.0)], "a double, b double")
+    model = fit_indexer(assemble(df, ["a", "b"]), handle_invalid="keep")
+    assert model.transform(assemble(new, ["a", "b"])).select("indexedFeatures").count() == 1
