@@ -9,8 +9,8 @@ until the words of the source's target are reached: a sample of fixed size
 with unequal probabilities, the same on every run.
 
 No source is sorted as a whole.  The rank's range is cut into bins, words are
-summed per (source, bin), and only the bin in which a source's target is
-reached is put in order.
+summed per (source, bin), the bin in which a source's target is reached is cut
+again, and only what lies in that last bin is put in order.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ MAX_COPIES = 2
 # Documents of fewer words are half as likely to get a further copy.
 SHORT_WORDS = 64
 LEVELS = (2, 1)
-BINS = 4096
+# Bins of a round: a power of two, so that a bin's edge is an exact double.
+BINS = 128
 # Fixed value: 13 hex digits of md5 give a 52-bit integer.
 HEX_DIGITS = 13
 
@@ -168,24 +169,48 @@ def _ranked(rows: DataFrame, seed: str, max_copies: int) -> DataFrame:
             .drop("_copies", "_u"))
 
 
-def _cuts(ranked: DataFrame, bins: int) -> DataFrame:
-    """``source, cut_rank, cut_key``: the last document of each source that gets a further copy."""
-    binned = ranked.withColumn("bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("int"))
+def _reached(binned: DataFrame) -> DataFrame:
+    """``source, bin, before``: the bin in which a source's need is reached.
+
+    ``binned``: rows with ``source, bin, size, need, before`` (words taken
+    before the first bin).  A source has at most ``bins`` sums.
+    """
     sums = binned.groupBy("source", "bin").agg(
-        F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"),
-        F.max("target").alias("target"))
-    whole = Window.partitionBy("source")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    run = sums.select(
-        "source", "bin", "words", (F.col("target") - F.sum("certain").over(whole)).alias("need"),
-        F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
-    # The bin in which the need is reached; with less need than any document, the first.
-    last = run.where(F.col("before") < F.col("need")).groupBy("source").agg(
-        F.max(F.struct("bin", "need", "before")).alias("s")).select("source", "s.*")
-    inside = (binned.alias("d").join(last.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))
-                                     & (F.col("d.bin") == F.col("c.bin")))
+        F.sum("size").alias("words"), F.first("need").alias("need"), F.first("before").alias("before"))
+    upto = (Window.partitionBy("source").orderBy("bin")
+            .rowsBetween(Window.unboundedPreceding, -1))
+    run = sums.select("source", "bin", "need",
+                      (F.col("before") + F.coalesce(F.sum("words").over(upto), F.lit(0))).alias("before"))
+    return (run.where(F.col("before") < F.col("need")).groupBy("source")
+            .agg(F.max(F.struct("bin", "before")).alias("s")).select("source", "s.*"))
+
+
+def _cuts(ranked: DataFrame, bins: int) -> DataFrame:
+    """``source, cut_rank, cut_key``: the last document of each source that gets a further copy.
+
+    Two rounds of bins, the second inside the bin found by the first, leave
+    about 1 / bins^2 of a source to be put in order.
+    """
+    certain = ranked.groupBy("source").agg(
+        (F.max("target") - F.sum(F.col("size") * F.col("whole"))).alias("need"))
+    rows = (ranked.alias("d").join(certain.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
+            .select("c.source", "d.doc", "d.size", "d.rank", "c.need", F.lit(0).cast("bigint").alias("before")))
+
+    def bin_of(n: int) -> Column:
+        return F.least(F.floor(F.col("rank") * n), F.lit(n - 1)).cast("bigint")
+
+    last = None
+    for n in (bins, bins * bins):
+        if last is not None:
+            found = last.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.col("before").alias("f"))
+            rows = (rows.join(found, F.col("source").eqNullSafe(F.col("s")) & (bin_of(bins) == F.col("b")))
+                    .select("source", "doc", "size", "rank", "need", F.col("f").alias("before")))
+        last = materialise(_reached(rows.withColumn("bin", bin_of(n))))
+    inside = (rows.withColumn("bin", bin_of(bins * bins)).alias("d")
+              .join(last.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))
+                    & (F.col("d.bin") == F.col("c.bin")))
               .select("c.source", "d.rank", F.coalesce(F.col("d.doc").cast("string"), F.lit("")).alias("key"),
-                      "d.size", "c.need", "c.before"))
+                      "d.size", "d.need", "c.before"))
     # Rows of one id stand or fall together.
     units = inside.groupBy("source", "rank", "key", "need", "before").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("source").orderBy("rank", "key")
@@ -196,7 +221,7 @@ def _cuts(ranked: DataFrame, bins: int) -> DataFrame:
     best = near.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("s"))
     # A source whose cut bin takes nothing still takes all bins before it.
     return last.alias("l").join(best.alias("b"), F.col("l.source").eqNullSafe(F.col("b.source")), "left").select(
-        "l.source", F.coalesce("b.s.rank", F.col("l.bin") / F.lit(float(bins))).alias("cut_rank"),
+        "l.source", F.coalesce("b.s.rank", F.col("l.bin") / F.lit(float(bins * bins))).alias("cut_rank"),
         F.coalesce("b.s.key", F.lit("")).alias("cut_key"))
 
 
