@@ -12,6 +12,7 @@ vocabularies of another kind are encoded whole.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Sequence
 from itertools import chain
 
@@ -70,6 +71,8 @@ class Encoder:
     """ids (and character spans) of whole texts as little-endian bytes."""
 
     def __init__(self, path: str, offsets: bool = False):
+        # A task owns one core: threads of the library would only contend.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens inside a document are ordinary text.
