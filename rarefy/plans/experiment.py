@@ -49,6 +49,10 @@ class ExperimentConfig:
     parallelism: int | None = None
     curve_points: int = 150
     features: Sequence[str] | None = field(default=None)
+    reports: Sequence[str] | None = None
+
+
+REPORTS = ("confusion", "importances", "roc", "density_test", "density_train", "eer", "curves", "nodes")
 
 
 def grid(impurities: Sequence[str], depths: Sequence[int], bins: Sequence[int]) -> list[TreeParams]:
@@ -96,13 +100,24 @@ def _confusion_row(pred: DataFrame, tipo: str) -> DataFrame:
 
 
 def evaluate(pred: DataFrame, tipo: str, cfg: ExperimentConfig) -> dict[str, DataFrame]:
-    """All evaluators of one scored set (test or train)."""
+    """The requested evaluators of one scored set (test or train)."""
     lr = detection.with_lr(pred)
-    dens = detection.density(lr, *cfg.axis, digits=None)
-    eer = detection.eer(lr, cfg.eer_mode).withColumn("type", F.lit(tipo))
-    curves = detection.score_curves(lr, cfg.curve_points, digits=None)
-    curves = curves.withColumn("type", F.concat(F.lit(f"{tipo}-"), F.col("type")))
-    return {"confusion": _confusion_row(pred, tipo), "density": dens, "eer": eer, "curves": curves}
+
+    def curves():
+        c = detection.score_curves(lr, cfg.curve_points, digits=None)
+        return c.withColumn("type", F.concat(F.lit(f"{tipo}-"), F.col("type")))
+
+    build = {"confusion": lambda: _confusion_row(pred, tipo),
+             f"density_{tipo}": lambda: detection.density(lr, *cfg.axis, digits=None),
+             "eer": lambda: detection.eer(lr, cfg.eer_mode).withColumn("type", F.lit(tipo)),
+             "curves": curves}
+    if tipo == "test":
+        build["roc"] = lambda: metrics.roc_points(pred, "predicted_label", digits=None)
+    return {name: make() for name, make in build.items() if name in wanted(cfg)}
+
+
+def wanted(cfg: ExperimentConfig) -> tuple[str, ...]:
+    return REPORTS if cfg.reports is None else tuple(cfg.reports)
 
 
 def run_experiment(df: DataFrame, cfg: ExperimentConfig | None = None,
@@ -140,9 +155,7 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
         data = data.select("idn", "label", "indexedFeatures")
     else:
         data, names = assemble_labelled(base, cfg.features)
-    reports: dict[str, list[DataFrame]] = {k: [] for k in
-                                           ("confusion", "importances", "roc", "density_test",
-                                            "density_train", "eer", "curves", "nodes")}
+    reports: dict[str, list[DataFrame]] = {k: [] for k in wanted(cfg)}
     dumps = []
     points = grid(cfg.impurities, cfg.depths, cfg.bins)
     for k in range(1, cfg.runs + 1):
@@ -163,17 +176,9 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
                     "idn", "label", "p0", "p1", "predicted_label")
                 pred.write.mode("overwrite").parquet(f"{folder}/{side}")
                 scored[side] = spark.read.parquet(f"{folder}/{side}")
-            ev_test = evaluate(scored["test"], "test", cfg)
-            ev_train = evaluate(scored["train"], "train", cfg)
-            reports["confusion"] += [_tag(ev_test["confusion"], k, params),
-                                     _tag(ev_train["confusion"], k, params)]
-            reports["roc"].append(_tag(metrics.roc_points(scored["test"], "predicted_label",
-                                                          digits=None), k, params))
-            reports["density_test"].append(_tag(ev_test["density"], k, params))
-            reports["density_train"].append(_tag(ev_train["density"], k, params))
-            reports["eer"] += [_tag(ev_test["eer"], k, params), _tag(ev_train["eer"], k, params)]
-            reports["curves"] += [_tag(ev_test["curves"], k, params),
-                                  _tag(ev_train["curves"], k, params)]
+            for side, pred in scored.items():
+                for name, frame in evaluate(pred, side, cfg).items():
+                    reports[name].append(_tag(frame, k, params))
             model_path = f"{out}/models/{params.tag}_{k}" if out else f"{folder}/model"
             levelwise = isinstance(model, LevelwiseEnsembleModel)
             if levelwise:
@@ -181,9 +186,10 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
                 nodes = model.nodes
             else:
                 nodes = node_table(model, model_path)
-            reports["importances"].append(_tag(named_importances(nodes, names, digits=None),
-                                               k, params))
-            reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params))
+            if "importances" in reports:
+                reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params))
+            if "nodes" in reports:
+                reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params))
             if not levelwise:
                 # Spark ML trees live on the driver already; their text dump is local.
                 dumps.append((k, params.impurity, params.max_depth, params.max_bins,
@@ -216,22 +222,19 @@ def _node_rows(nodes: DataFrame, levelwise: bool) -> DataFrame:
 
 
 def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Column layouts of the reports (O1-O7)."""
+    """Column layouts of the reports (O1-O8)."""
     tail = ["impurity", "depth", "bins"]
-    conf = r["confusion"].select(
-        "tipo", "k", "tp", "fn", "tn", "fp", F.col("tpr").alias("TPR"), F.col("spc").alias("SPC"),
-        F.col("ppv").alias("PPV"), F.col("acc").alias("ACC"), F.col("f1").alias("F1"),
-        F.col("mgeo").alias("MGEO"), F.col("pexc").alias("PEXC"), F.col("mcc").alias("MCC"),
-        "areaRoc", "areaRocScore", *tail)
-    imp = r["importances"].select("variable", "importance", "k", *tail)
-    roc = r["roc"].select(F.col("fpr").alias("X"), F.col("tpr").alias("Y"), "k", "pos", *tail)
-    dens_t = r["density_test"].select(F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail)
-    dens_r = r["density_train"].select(F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail)
-    eer = r["eer"].select("k", "type", F.col("eer").alias("EER"), F.col("lr").alias("LR"), "state",
-                          *tail)
-    curves = r["curves"].select(F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail)
-    nodes = r["nodes"].select("k", "tree", "node", "feature_index", "threshold",
-                              "left_categories", "gain",
-                              "prediction", "node_impurity", "is_leaf", *tail)
-    return {"confusion": conf, "importances": imp, "roc": roc, "density_test": dens_t,
-            "density_train": dens_r, "eer": eer, "curves": curves, "nodes": nodes}
+    point = [F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail]
+    layout = {
+        "confusion": ["tipo", "k", "tp", "fn", "tn", "fp", F.col("tpr").alias("TPR"), F.col("spc").alias("SPC"),
+                      F.col("ppv").alias("PPV"), F.col("acc").alias("ACC"), F.col("f1").alias("F1"),
+                      F.col("mgeo").alias("MGEO"), F.col("pexc").alias("PEXC"), F.col("mcc").alias("MCC"),
+                      "areaRoc", "areaRocScore", *tail],
+        "importances": ["variable", "importance", "k", *tail],
+        "roc": [F.col("fpr").alias("X"), F.col("tpr").alias("Y"), "k", "pos", *tail],
+        "density_test": point, "density_train": point, "curves": point,
+        "eer": ["k", "type", F.col("eer").alias("EER"), F.col("lr").alias("LR"), "state", *tail],
+        "nodes": ["k", "tree", "node", "feature_index", "threshold", "left_categories", "gain",
+                  "prediction", "node_impurity", "is_leaf", *tail],
+    }
+    return {name: frame.select(*layout[name]) for name, frame in r.items()}
