@@ -4,6 +4,9 @@ A byte-level or word-end BPE vocabulary first cuts a text at fixed places
 (``pre_tokenizer``) and then encodes every cut part on its own.  Parts repeat:
 a text is cut at single spaces and line ends, where those pre-tokenizers
 always cut, and only chunks the worker has not met are given to the library.
+Cutting, finding the distinct chunks of a batch (Arrow dictionary encoding) and
+putting the ids together (one numpy gather) work on whole batches; Python
+touches distinct chunks only.
 The result equals encoding the whole text in one call; texts where the cuts
 could differ (white space next to white space, rare space characters) and
 vocabularies of another kind are encoded whole.
@@ -14,9 +17,10 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Sequence
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Texts with these are encoded whole: neighbouring white space, control
 # characters, and white space other than single spaces and line ends.
@@ -24,14 +28,15 @@ NEIGHBOURS = ("  ", " \n", "\n ", "\n\n")
 CONTROLS = "\x00\x01\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 WIDE_SPACES = ("\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                "\u200b\u2028\u2029\u202f\u205f\u3000\ufeff")
-UNIT = "\x00"
+# Stands between chunks while a batch is cut (texts that hold it are irregular).
+UNIT = "\x01"
 # Chunks given to the library in one string.
-PER_CALL = 16
+PER_CALL = 64
 # Bounds of the per-worker memory: entries, and the longest chunk kept.
 CACHE_ENTRIES = 600_000
 CACHE_CHUNK = 48
 # Characters encoded together (bounds the memory of one step).
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 16_000_000
 
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -91,14 +96,6 @@ class Encoder:
         if self.rule == "spaces":
             self.cache["\n"] = self._encode_whole(["\n"])[0]
 
-    def chunks(self, text: str) -> list[str] | None:
-        """The chunks of a text, or None where it has to be encoded whole."""
-        if self.rule == "whole" or irregular(text):
-            return None
-        if self.rule == "words":
-            return text.split()
-        return (text.replace(" ", UNIT + " ").replace("\n", UNIT + "\n" + UNIT).split(UNIT))
-
     def _encode_whole(self, texts: Sequence[str]) -> list[bytes]:
         if self.offsets:
             return [np.array(e.offsets, dtype="<i4").tobytes()
@@ -120,38 +117,82 @@ class Encoder:
                 at = end + 4
             yield data[at:]
 
-    def _lookup(self, cut: Iterable[list[str]]) -> dict[str, bytes]:
-        """The data of all chunks: known ones, and new ones from the library."""
+    def _lookup(self, distinct: list[str]) -> list[bytes]:
+        """The data of distinct chunks: known ones, and new ones from the library."""
         known = self.cache
-        distinct = list(dict.fromkeys(chain.from_iterable(cut)))
-        found = dict(zip(distinct, map(known.get, distinct)))
-        new = [x for x, d in found.items() if d is None]
+        data = list(map(known.get, distinct))
+        missing = [i for i, d in enumerate(data) if d is None]
+        new = {distinct[i]: b"" for i in missing}
+        stems = {}
         if self.points:
             # A word and its closing point or comma are encoded apart by these rules.
             stems = {x: x[:-1] for x in new if x[-1] in self.points and x[-2:-1].isalpha()}
-            new = [x for x in new if x not in stems]
-            more = {w: known.get(w) for w in stems.values() if w not in found}
-            new += [w for w, d in more.items() if d is None]
-            found.update(more)
-        found.update(zip(new, self._encode_new(new)))
-        if self.points:
-            found.update((x, found[w] + self.points[x[-1]]) for x, w in stems.items())
+            for x, w in stems.items():
+                del new[x]
+                if w not in new and w not in known:
+                    new[w] = b""
+        words = list(new)
+        new = dict(zip(words, self._encode_new(words)))
+        for i in missing:
+            x = distinct[i]
+            w = stems.get(x)
+            if w is None:
+                data[i] = new[x]
+            else:
+                data[i] = (new.get(w) or known[w]) + self.points[x[-1]]
         room = CACHE_ENTRIES - len(known)
         if room > 0:
-            known.update((x, found[x]) for x in new[:room] if len(x) <= CACHE_CHUNK)
-        return found
+            known.update((x, new[x]) for x in words[:room] if len(x) <= CACHE_CHUNK)
+        return data
 
-    def _pieces(self, texts: Sequence[str]) -> Iterable[list[bytes]]:
-        """Per text, the data of its chunks in order."""
-        cut = [self.chunks(t) for t in texts]
-        get = self._lookup(c for c in cut if c is not None).__getitem__
-        whole = iter(self._encode_whole([t for t, c in zip(texts, cut) if c is None]))
-        for c in cut:
-            yield [next(whole)] if c is None else list(map(get, c))
+    def _cut(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Chunks of regular texts: ends per text, chunk numbers, the distinct chunks."""
+        batch = pa.array(texts, pa.string())
+        if self.rule == "words":
+            cut = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
+        else:
+            marked = pc.replace_substring(pc.replace_substring(batch, " ", UNIT + " "),
+                                          "\n", UNIT + "\n" + UNIT)
+            cut = pc.split_pattern(marked, UNIT)
+        chunks = cut.flatten().dictionary_encode()
+        return (np.asarray(cut.offsets)[1:], chunks.indices.to_numpy(zero_copy_only=False),
+                chunks.dictionary.to_pylist())
+
+    def _gather(self, texts: Sequence[str], width: int):
+        """Per text, the int32 rows (``width`` numbers a token) of its tokens, and
+        the start of the chunk each token is in."""
+        odd = [self.rule == "whole" or irregular(t) for t in texts]
+        regular = [t for t, x in zip(texts, odd) if not x]
+        parts = []
+        if regular:
+            ends, numbers, distinct = self._cut(regular)
+            data = self._lookup(distinct)
+            table = np.frombuffer(b"".join(data), dtype="<i4").reshape(-1, width)
+            size = np.fromiter(map(len, data), dtype=np.int32, count=len(data)) // (4 * width)
+            first = np.cumsum(size, dtype=np.int32) - size
+            chars = None
+            if width > 1:
+                chars = np.fromiter(map(len, distinct), dtype=np.int32, count=len(distinct))
+            start = 0
+            for end in ends.tolist():
+                chunk = numbers[start:end]
+                start, n = end, size[chunk]
+                done = np.cumsum(n, dtype=np.int32)
+                total = int(done[-1]) if len(done) else 0
+                at = np.repeat(first[chunk] - done + n, n) + np.arange(total, dtype=np.int32)
+                begin = None
+                if width > 1:
+                    wide = chars[chunk]
+                    begin = np.repeat(np.cumsum(wide, dtype=np.int32) - wide, n)
+                parts.append((table[at], begin))
+        parts = iter(parts)
+        whole = iter(self._encode_whole([t for t, x in zip(texts, odd) if x]))
+        for x in odd:
+            yield (np.frombuffer(next(whole), dtype="<i4").reshape(-1, width), None) if x else next(parts)
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
-        return [b"".join(g) for g in self._pieces(texts)]
+        return [rows.tobytes() for rows, _ in self._gather(texts, 1)]
 
     def spans(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Per text, an (n, 2) array of its tokens' character spans, end exclusive.
@@ -160,14 +201,8 @@ class Encoder:
         """
         if self.rule == "words":
             self.rule = "whole"
-        out = []
-        for text, data in zip(texts, self._pieces(texts)):
-            c = self.chunks(text) or [text]
-            flat = np.frombuffer(b"".join(data), dtype="<i4").reshape(-1, 2)
-            at = np.cumsum([0] + [len(x) for x in c[:-1]])
-            n = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 8
-            out.append(flat + np.repeat(at, n)[:, None].astype(np.int32))
-        return out
+        return [rows if starts is None else rows + starts[:, None]
+                for rows, starts in self._gather(texts, 2)]
 
 
 def grouped(texts: Sequence[str], chars: int = GROUP_CHARS) -> Iterable[tuple[int, int]]:

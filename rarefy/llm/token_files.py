@@ -36,7 +36,7 @@ def writer_options(row_group_bytes: int = ROW_GROUP_BYTES,
     """Parquet settings of the token files."""
     delta = {f"parquet.enable.dictionary#{c}": "false"
              for c in ("doc_id", "part", "first", "n_tokens")}
-    return {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd",
+    return {"parquet.writer.version": "PARQUET_2_0", "compression": "snappy",
             "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
             "parquet.block.size": str(row_group_bytes),
             "parquet.page.row.count.limit": str(page_rows), **delta}
