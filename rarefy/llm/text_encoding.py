@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,10 @@ PER_CALL = 64
 # Bounds of the per-worker memory: entries, and the longest chunk kept.
 CACHE_ENTRIES = 500_000
 CACHE_CHUNK = 48
-# Characters encoded together (bounds the memory of one step).
-GROUP_CHARS = 4_000_000
+# Characters whose chunks are looked up together (bounds the memory of one step).
+GROUP_CHARS = 12_000_000
+# Characters whose results are handed on together.
+OUTPUT_CHARS = 2_000_000
 
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -125,8 +127,10 @@ class Encoder:
         new = {distinct[i]: b"" for i in missing}
         stems = {}
         if self.points:
-            # A word and its closing point or comma are encoded apart by these rules.
-            stems = {x: x[:-1] for x in new if x[-1] in self.points and x[-2:-1].isalpha()}
+            # A letter and a closing point or comma are encoded apart by these rules
+            # (a few letters end in a mark once they are in lower case).
+            stems = {x: x[:-1] for x in new
+                     if x[-1] in self.points and x[-2:-1].lower()[-1:].isalpha()}
             for x, w in stems.items():
                 del new[x]
                 if w not in new and w not in known:
@@ -158,12 +162,16 @@ class Encoder:
         return (np.asarray(cut.offsets)[1:], chunks.indices.to_numpy(zero_copy_only=False),
                 chunks.dictionary.to_pylist())
 
-    def _gather(self, texts: Sequence[str], width: int):
+    def _gather(self, texts: Sequence[str], width: int) -> Iterator[tuple]:
         """Per text, the int32 rows (``width`` numbers a token) of its tokens, and
-        the start of the chunk each token is in."""
+        the start of the chunk each token is in.
+
+        Distinct chunks are looked up for all texts together; the rows of one
+        text exist at a time.
+        """
         odd = [self.rule == "whole" or irregular(t) for t in texts]
         regular = [t for t, x in zip(texts, odd) if not x]
-        parts = []
+        start, last = 0, iter(())
         if regular:
             ends, numbers, distinct = self._cut(regular)
             data = self._lookup(distinct)
@@ -173,36 +181,37 @@ class Encoder:
             chars = None
             if width > 1:
                 chars = np.fromiter(map(len, distinct), dtype=np.int32, count=len(distinct))
-            start = 0
-            for end in ends.tolist():
-                chunk = numbers[start:end]
-                start, n = end, size[chunk]
-                done = np.cumsum(n, dtype=np.int32)
-                total = int(done[-1]) if len(done) else 0
-                at = np.repeat(first[chunk] - done + n, n) + np.arange(total, dtype=np.int32)
-                begin = None
-                if width > 1:
-                    wide = chars[chunk]
-                    begin = np.repeat(np.cumsum(wide, dtype=np.int32) - wide, n)
-                parts.append((table[at], begin))
-        parts = iter(parts)
-        whole = iter(self._encode_whole([t for t, x in zip(texts, odd) if x]))
-        for x in odd:
-            yield (np.frombuffer(next(whole), dtype="<i4").reshape(-1, width), None) if x else next(parts)
-
-    def ids(self, texts: Sequence[str]) -> list[bytes]:
+            last = iter(ends.tolist())
+            del data, distinct, regular
+        for text, alone in zip(texts, odd):
+            if alone:
+                yield np.frombuffer(self._encode_whole([text])[0], dtype="<i4").reshape(-1, width), None
+                continue
+            end = next(last)
+            chunk = numbers[start:end]
+            start, n = end, size[chunk]
+            done = np.cumsum(n, dtype=np.int32)
+            at = np.repeat(first[chunk] - done + n, n) + np.arange(int(n.sum()), dtype=np.int32)
+            begin = None
+            if width > 1:
+                wide = chars[chunk]
+                begin = np.repeat(np.cumsum(wide, dtype=np.int32) - wide, n)
+            yield table[at], begin
+
+    def ids(self, texts: Sequence[str]) -> Iterator[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
-        return [rows.tobytes() for rows, _ in self._gather(texts, 1)]
+        for rows, _ in self._gather(texts, 1):
+            yield rows.tobytes()
 
-    def spans(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def spans(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         """Per text, an (n, 2) array of its tokens' character spans, end exclusive.
 
         Only for vocabularies whose chunks join to the text (``spaces``, ``whole``).
         """
         if self.rule == "words":
             self.rule = "whole"
-        return [rows if starts is None else rows + starts[:, None]
-                for rows, starts in self._gather(texts, 2)]
+        for rows, starts in self._gather(texts, 2):
+            yield rows if starts is None else rows + starts[:, None]
 
 
 def grouped(texts: Sequence[str], chars: int = GROUP_CHARS) -> Iterable[tuple[int, int]]:

@@ -16,6 +16,7 @@ Sections must not overlap.  A token that touches none is not counted.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_workers, public_vocabulary, text_or_empty
-from .text_encoding import encoder, grouped
+from .text_encoding import OUTPUT_CHARS, encoder, grouped
 
 RULES = ("largest", "start", "split")
 # Default sections: lines, cut where they are longer than this many characters.
@@ -82,20 +83,22 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, rule: str,
         texts = batch.column(1).to_pylist()
         spans = batch.column(2).to_pylist() if given else None
         for a, b in grouped(texts):
-            sections = ([[(s["start"], s["end"]) for s in (x or [])] for x in spans[a:b]] if given
-                        else [line_sections(t) for t in texts[a:b]])
-            counted = [attribute(t, s, rule) for t, s in zip(enc.spans(texts[a:b]), sections)]
-            n = np.array([len(s) for s in sections])
-            if not n.sum():
-                continue
-            flat = np.concatenate([np.asarray(s, dtype=np.int64).reshape(-1, 2) for s in sections])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), n))),
-                pa.array(np.concatenate([np.arange(k) for k in n]), pa.int32()),
-                pa.array(flat[:, 0]), pa.array(flat[:, 1]),
-                pa.array(np.concatenate([c for c, _ in counted])).cast(whole),
-                pa.array(np.concatenate([x for _, x in counted]))],
-                names=["doc", "section", "start", "end", "n_tokens", "n_crossing"])
+            tokens = enc.spans(texts[a:b])
+            for c, d in grouped(texts[a:b], OUTPUT_CHARS):
+                sections = ([[(s["start"], s["end"]) for s in (x or [])] for x in spans[a + c:a + d]]
+                            if given else [line_sections(t) for t in texts[a + c:a + d]])
+                counted = [attribute(t, s, rule) for t, s in zip(islice(tokens, d - c), sections)]
+                n = np.array([len(s) for s in sections])
+                if not n.sum():
+                    continue
+                flat = np.concatenate([np.asarray(s, dtype=np.int64).reshape(-1, 2) for s in sections])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a + c, d - c).take(pa.array(np.repeat(np.arange(d - c), n))),
+                    pa.array(np.concatenate([np.arange(k) for k in n]), pa.int32()),
+                    pa.array(flat[:, 0]), pa.array(flat[:, 1]),
+                    pa.array(np.concatenate([x for x, _ in counted])).cast(whole),
+                    pa.array(np.concatenate([x for _, x in counted]))],
+                    names=["doc", "section", "start", "end", "n_tokens", "n_crossing"])
 
 
 def section_token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import on_workers, public_vocabulary, text_or_empty
-from .text_encoding import encoder, grouped
+from .text_encoding import OUTPUT_CHARS, encoder, grouped
 
 END_ID = 2
 # Bytes of a row group before compression, documents on a page.
@@ -50,16 +51,19 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in grouped(texts):
-            found = [x + end for x in enc.ids(texts[a:b])]
-            n = np.array([len(x) // 4 for x in found], dtype=np.int64)
-            ends = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], ends]), pa.int32()),
-                pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(total + ends - n), pa.array(n), lists],
-                names=["doc_id", "first", "n_tokens", "ids"])
-            total += int(ends[-1])
+            ids = enc.ids(texts[a:b])
+            for c, d in grouped(texts[a:b], OUTPUT_CHARS):
+                found = list(islice(ids, d - c))
+                n = np.array([len(x) // 4 + 1 for x in found], dtype=np.int64)
+                ends = np.cumsum(n)
+                flat = b"".join(part for x in found for part in (x, end))
+                del found
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
+                                                 pa.array(np.frombuffer(flat, dtype="<i4")))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a + c, d - c), pa.array(total + ends - n), pa.array(n), lists],
+                    names=["doc_id", "first", "n_tokens", "ids"])
+                total += int(ends[-1])
 
 
 def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
