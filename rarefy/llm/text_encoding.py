@@ -63,8 +63,8 @@ def _cut_rule(path: str) -> str:
     steps = pre.get("pretokenizers", [])
     if pre.get("type") == "Sequence" and steps and steps[0].get("type") == "Split" \
             and steps[0].get("behavior") == "Removed" and steps[0].get("invert") \
-            and {n["type"] for n in (norm or {}).get("normalizers", [])} <= {"NFC", "Replace",
-                                                                            "Lowercase"}:
+            and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace",
+                                                                            "Lowercase"]:
         return "words"
     return "whole"
 
@@ -74,6 +74,18 @@ def irregular(text: str) -> bool:
             or not text.isascii() and any(x in text for x in WIDE_SPACES))
 
 
+def lower_latin(text: str) -> str:
+    """Latin-1 texts in lower case, where a lower-casing vocabulary gives the same ids.
+
+    Their capitals map one to one and none composes anew; others stay as they are.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """ids (and character spans) of whole texts as little-endian bytes."""
 
@@ -151,6 +163,8 @@ class Encoder:
 
     def _cut(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Chunks of regular texts: ends per text, chunk numbers, the distinct chunks."""
+        if self.rule == "words":
+            texts = [lower_latin(t) for t in texts]
         batch = pa.array(texts, pa.string())
         if self.rule == "words":
             cut = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")

@@ -97,7 +97,7 @@ def test_token_counts_odd_rows(odd, none):
 # -- encoding --------------------------------------------------------------
 
 PARTS = ["a", "the", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "é", "ß", "日本", ".", "...", "'s", "12", " ",
-         " ", "\x1c", "\x00", "\x01", "<|endoftext|>", "WORD", "Σ", "İ", "🙂"]
+         " ", "\x1c", "\x00", "\x01", "<|endoftext|>", "WORD", "Word", "ÀÉß", "ÿµÞ", "\u0301", "Σ", "İ", "🙂"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
