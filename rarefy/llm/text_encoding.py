@@ -36,7 +36,7 @@ PER_CALL = 64
 CACHE_ENTRIES = 500_000
 CACHE_CHUNK = 48
 # Characters whose chunks are looked up together (bounds the memory of one step).
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 8_000_000
 # Characters whose results are handed on together.
 OUTPUT_CHARS = 2_000_000
 
@@ -197,6 +197,8 @@ class Encoder:
                 chars = np.fromiter(map(len, distinct), dtype=np.int32, count=len(distinct))
             last = iter(ends.tolist())
             del data, distinct, regular
+            # What the cut has used goes back to the system, not to the worker's pool.
+            pa.default_memory_pool().release_unused()
         for text, alone in zip(texts, odd):
             if alone:
                 yield np.frombuffer(self._encode_whole([text])[0], dtype="<i4").reshape(-1, width), None

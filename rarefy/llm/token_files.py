@@ -30,6 +30,9 @@ END_ID = 2
 # Bytes of a row group before compression, documents on a page.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
+# Characters looked up together: fewer than elsewhere, since the writer's row
+# groups and the sort share the executor's memory.
+GROUP_CHARS = 4_000_000
 
 
 def writer_options(row_group_bytes: int = ROW_GROUP_BYTES,
@@ -50,7 +53,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     total = 0
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in grouped(texts):
+        for a, b in grouped(texts, GROUP_CHARS):
             ids = enc.ids(texts[a:b])
             for c, d in grouped(texts[a:b], OUTPUT_CHARS):
                 found = list(islice(ids, d - c))
