@@ -12,8 +12,9 @@
    nest by their paths: that is the host's template.
 4. The elements of valid classes that stand once on a page are the template's
    slots.  The host's main slot is the article element (``article``, ``main``)
-   that holds most of the free text, or else the deepest slot that holds most
-   of it.  Free text excludes links and the parts that are no article (menus,
+   that holds most of the free text, or else the lowest container that holds
+   all free text of all pages but strings of the template.  Free text excludes
+   links (not linked headings) and the parts that are no article (menus,
    headers, footers, sidebars, notices, adverts, forms, comments, ...).
 5. Each page's blocks in the main slot are its text; blocks that hold nothing
    but strings of the template are left out unless they stand in an article
@@ -51,6 +52,10 @@ INLINE = frozenset(
 OUTSIDE = frozenset("nav footer aside form head script style noscript template button select menu "
                     "dialog iframe svg fieldset".split())
 ARTICLE = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Parts of a text: the main slot is an element around them.
+PARTS = INLINE | HEADINGS | frozenset(
+    "p hgroup ul ol li dl dt dd pre blockquote figure figcaption address".split())
 # An opening tag ends open elements of these kinds first.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -63,7 +68,6 @@ OUTSIDE_NAMES = re.compile(
     r"|recommended|widget|popup|modal|login|signup|pagination|pager|complementary|contentinfo"
     r"|search)(?:$|[\s_-])", re.I)
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
-MAIN_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -75,6 +79,7 @@ class Node:
     outside: bool
     article: bool
     link: bool
+    heading: bool = False
 
 
 @dataclass(frozen=True)
@@ -97,8 +102,9 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
         # A heading part inside an article belongs to it.
         outside = bool(found) and not (article and HEADERS.fullmatch(found.group()))
     sign = tag + ("." + ".".join(sorted(NUMBERED.sub("0", names).split())) if names else "")
-    return Node(tag, f"{parent.path}>{sign}", parent.depth + 1, outside, article,
-                parent.link or tag == "a")
+    heading = parent.heading or tag in HEADINGS
+    return Node(tag, f"{parent.path}>{sign.replace('>', '_')}", parent.depth + 1, outside, article,
+                (parent.link or tag == "a") and not heading, heading)
 
 
 def read_page(page: str) -> tuple[list[Text], list[str]]:
@@ -153,15 +159,20 @@ def read_page(page: str) -> tuple[list[Text], list[str]]:
     return texts, opened
 
 
+def _free_size(t: Text) -> int:
+    """Characters of free text."""
+    last = t.around[-1]
+    return 0 if last.outside or last.link else len(t.text.strip())
+
+
 def _free_text(texts: list[Text]) -> dict[str, list]:
-    """Path -> [characters of free text under it, in an article element]."""
+    """Path -> [characters of free text under it, is an article element, depth, may be a slot]."""
     mass: dict[str, list] = {}
     for t in texts:
-        last = t.around[-1]
-        size = len(t.text.strip())
-        if size and not last.outside and not last.link:
+        size = _free_size(t)
+        if size:
             for n in t.around:
-                got = mass.setdefault(n.path, [0, n.tag in ARTICLE, n.depth])
+                got = mass.setdefault(n.path, [0, n.tag in ARTICLE, n.depth, n.tag not in PARTS])
                 got[0] += size
     return mass
 
@@ -176,7 +187,7 @@ def _signed(x: int) -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and distinct token: count; for elements also path, depth and free text."""
+    """Per page and distinct token: count and free text; path and depth of elements; where a string stands."""
     from xxhash import xxh64_intdigest
     for batch in batches:
         rows, hosts, pages = [], batch.column(1), batch.column(2)
@@ -188,38 +199,38 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in opened:
                 count[path] = count.get(path, 0) + 1
             for path, n in count.items():
-                size, article, depth = mass.get(path, (0, False, 0))
-                rows.append((_signed(xxh64_intdigest(path)), n, path, depth, size, article))
+                size, article, depth, slot = mass.get(path, (0, False, 0, False))
+                rows.append((_signed(xxh64_intdigest(path)), n, path, depth, size, article, slot, None))
                 at.append(i)
-            strings: dict[int, int] = {}
+            strings: dict[int, list] = {}
             for t in texts:
                 words = " ".join(t.text.split())
                 if words:
-                    token = _string_token(t, words)
-                    strings[token] = strings.get(token, 0) + 1
-            for token, n in strings.items():
-                rows.append((token, n, None, 0, 0, False))
+                    got = strings.setdefault(_string_token(t, words), [0, 0, t.around[-1].path])
+                    got[0] += 1
+                    got[1] += _free_size(t)
+            for token, (n, size, inside) in strings.items():
+                rows.append((token, n, None, 0, size, False, False, inside))
                 at.append(i)
-        cols = list(zip(*rows)) if rows else [()] * 6
+        cols = list(zip(*rows)) if rows else [()] * 8
         take = pa.array(at, pa.int64())
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(),
+                 pa.string())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(take), hosts.take(take),
              *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-            names=["_row", "host", "token", "n", "path", "depth", "free", "article"])
+            names=["_row", "host", "token", "n", "path", "depth", "free", "article", "slot", "inside"])
 
 
-def main_slot(mass: dict[str, list], slots=None) -> str | None:
+def main_slot(mass: dict[str, list]) -> str | None:
     """The path that holds a page's article, by the rule for hosts."""
-    found = {p: m for p, m in mass.items() if m[0] and (slots is None or p in slots)}
-    if not found:
+    if not mass:
         return None
-    articles = {p: m for p, m in found.items() if m[1]}
+    articles = {p: m for p, m in mass.items() if m[1]}
     if articles:
         return max(articles, key=lambda p: (articles[p][0], -articles[p][2], p))
-    most = max(m[0] for m in found.values())
-    return max((p for p, m in found.items() if m[0] >= MAIN_SHARE * most),
-               key=lambda p: (found[p][2], found[p][0], p))
+    # The root holds all; those that do stand in each other.
+    return max((p for p, m in mass.items() if m[3] and m[0] == mass[""][0]), key=lambda p: mass[p][2])
 
 
 def page_text(page: str, slot: str | None = None, template: frozenset[int] = frozenset()) -> str:
@@ -227,7 +238,9 @@ def page_text(page: str, slot: str | None = None, template: frozenset[int] = fro
     texts, _ = read_page(page)
     here = {n.path for t in texts for n in t.around}
     if slot is None or slot not in here:
-        slot = main_slot(_free_text(texts))
+        own = [t for t in texts if not template or t.around[-1].article
+               or _string_token(t, " ".join(t.text.split())) not in template]
+        slot = main_slot(_free_text(own) or _free_text(texts))
     if slot is None:
         return ""
 
@@ -267,7 +280,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     per_token = materialise(tokens.groupBy("host", "token").agg(
         vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"),
         F.max("path").alias("path"), F.max("depth").alias("depth"),
-        F.sum("free").alias("free"), F.max("article").alias("article")))
+        F.sum("free").alias("free"), F.max("article").alias("article"), F.max("slot").alias("slot"),
+        F.max("inside").alias("inside")))
     classes = per_token.groupBy("host", "vector").agg(
         F.count("path").alias("elements"), F.max("pages").alias("pages"))
     hosts = per_token.groupBy("host").agg(F.max("pages").alias("host_pages"))
@@ -277,17 +291,24 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     inside = materialise(per_token.join(valid, ["host", "vector"]))
     # Slots: elements of valid classes that stand once on a page.
     slots = inside.where("path is not null and most = 1 and free > 0")
-    most = slots.groupBy("host").agg(F.max("free").alias("most_free"))
-    ranked = slots.join(most, "host").select(
-        "host", "path", F.struct("article",
-                                 F.when(F.col("article"), F.col("free")).otherwise(F.col("depth")).alias("x"),
-                                 F.when(F.col("article"), -F.col("depth")).otherwise(F.col("free")).alias("y"),
-                                 "path").alias("score"),
-        (F.col("article") | (F.col("free") >= F.lit(MAIN_SHARE) * F.col("most_free"))).alias("ok"))
-    main = ranked.where("ok").groupBy("host").agg(F.max_by("path", "score").alias("slot"))
+    articles = slots.where("article").groupBy("host").agg(
+        F.max_by("path", F.struct("free", -F.col("depth"), "path")).alias("article_slot"))
+    # Free text that is not template, summed up to every element around it.
+    template = inside.where("path is null and pages >= 2").select("host", "token")
+    parts = F.split("inside", ">")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                         lambda i: F.array_join(F.slice(parts, 1, i), ">"))
+    own = (per_token.where("path is null and free > 0").join(template, ["host", "token"], "left_anti")
+           .groupBy("host", "inside").agg(F.sum("free").alias("free")))
+    held = (own.select("host", "free", F.explode(around).alias("path"))
+            .groupBy("host", "path").agg(F.sum("free").alias("held")))
+    every = own.groupBy("host").agg(F.sum("free").alias("every"))
+    lowest = (slots.where("slot").join(held, ["host", "path"]).join(every, "host").where("held = every")
+              .groupBy("host").agg(F.max_by("path", "depth").alias("lowest")))
+    main = (articles.join(lowest, "host", "full")
+            .select("host", F.coalesce("article_slot", "lowest").alias("slot")))
     # Each of these stands on every page its class stands on: a page bounds their number.
-    strings = (inside.where("path is null and pages >= 2").groupBy("host")
-               .agg(F.collect_list("token").alias("strings")))
+    strings = template.groupBy("host").agg(F.collect_list("token").alias("strings"))
     return hosts.select("host").join(main, "host", "left").join(strings, "host", "left")
 
 
@@ -305,7 +326,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
                         page.alias("html"))
     tokens = with_row_id(rows).select("_row", "host", "html").mapInArrow(
         on_workers(_tokens), "_row bigint, host string, token bigint, n int, path string, "
-                             "depth int, free bigint, article boolean")
+                             "depth int, free bigint, article boolean, slot boolean, inside string")
     templates = materialise(host_templates(tokens))
     kinds = dict(rows.dtypes)
     out = (rows.join(templates, "host", "left").select("page", "url", "html", "slot", "strings")

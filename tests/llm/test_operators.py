@@ -267,6 +267,29 @@ def test_html_odd_rows(spark):
     assert html_template.extract_main_text(df.limit(0)).count() == 0
 
 
+def site_texts(spark, layout, n=8, **more):
+    rows = [(i, f"http://host.example/{i}", layout.format(i=i)) for i in range(n)]
+    rows += [(k, "http://host.example/" + k, v) for k, v in more.items()]
+    pages = spark.createDataFrame([(str(i), u, h) for i, u, h in rows], "page_id string, url string, html string")
+    return {r.page_id: r.text for r in html_template.extract_main_text(pages).collect()}
+
+
+@pytest.mark.parametrize("post,want", [
+    ("<div class=post><h2>Title {i}</h2><p>One paragraph {i} that holds far more than half of the text.</p></div>",
+     "Title {i}\nOne paragraph {i} that holds far more than half of the text."),
+    ("<div class=post><div class=head><h2><a href=/{i}>Title {i}</a></h2></div><div class=text>A long text {i} alone</div></div>",
+     "Title {i}\nA long text {i} alone"),
+    ("<div class=content><div class=body><p>Sixty percent {i} of the text, sixty percent</p></div>"
+     "<div class=more><p>Forty percent {i} of the text</p></div></div>",
+     "Sixty percent {i} of the text, sixty percent\nForty percent {i} of the text"),
+])
+def test_html_no_part_of_an_article_is_cut(spark, post, want):
+    around = "<html><body><div class=top><a href=/>Home</a></div>" + post + "<div>Owned by the owner</div></body></html>"
+    got = site_texts(spark, around)
+    assert got == {str(i): want.format(i=i) for i in range(8)}
+    assert html_template.page_text(post.format(i=1)) == want.format(i=1)
+
+
 # -- 5: top k --------------------------------------------------------------
 
 def check_top_k(rows, vectors, is_query, k, scale):
