@@ -15,7 +15,10 @@
    that holds most of the free text, or else the lowest container that holds
    all free text of all pages but strings of the template.  Free text excludes
    links (not linked headings) and the parts that are no article (menus,
-   headers, footers, sidebars, notices, adverts, forms, comments, ...).
+   headers, footers, sidebars, notices, adverts, forms, comments, ...): elements
+   of such a tag, or of such a class, id or role.  A name alone excludes no
+   element around the main slot and none that holds most of the free text of
+   the pages it stands on.
 5. Each page's blocks in the main slot are its text; blocks that hold nothing
    but strings of the template are left out unless they stand in an article
    element.
@@ -61,13 +64,16 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body article main section div td th ul ol table dl blockquote nav aside "
                    "header footer form".split())
+# Names are whole words of a class, id or role.
 OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert"
+    r"ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert"
     r"|newsletter|subscribe|subscription|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?"
     r"|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|related"
     r"|recommended|widget|popup|modal|login|signup|pagination|pager|complementary|contentinfo"
-    r"|search)(?:$|[\s_-])", re.I)
-HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
+    r"|search", re.I)
+HEADERS = frozenset(["header", "masthead", "banner"])
+# Named elements on fewer of a host's pages (in hundredths) are judged on each page.
+NAMED_PERCENT = 1
 
 
 @dataclass(frozen=True)
@@ -80,6 +86,7 @@ class Node:
     article: bool
     link: bool
     heading: bool = False
+    named: tuple[str, ...] = ()  # paths of the elements around with a name of OUTSIDE_NAMES
 
 
 @dataclass(frozen=True)
@@ -97,14 +104,15 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
     names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
     article = parent.article or tag in ARTICLE
     outside = parent.outside or tag in OUTSIDE or (tag == "header" and not article)
-    if names and tag not in ("html", "body") and not outside:
-        found = OUTSIDE_NAMES.search(names)
-        # A heading part inside an article belongs to it.
-        outside = bool(found) and not (article and HEADERS.fullmatch(found.group()))
+    # A heading part inside an article belongs to it.
+    named = tag not in ("html", "body") and any(
+        OUTSIDE_NAMES.fullmatch(x) and not (article and x.lower() in HEADERS) for x in names.split())
     sign = tag + ("." + ".".join(sorted(NUMBERED.sub("0", names).split())) if names else "")
     heading = parent.heading or tag in HEADINGS
-    return Node(tag, f"{parent.path}>{sign.replace('>', '_')}", parent.depth + 1, outside, article,
-                (parent.link or tag == "a") and not heading, heading)
+    path = f"{parent.path}>{sign.replace('>', '_')}"
+    return Node(tag, path, parent.depth + 1, outside, article,
+                (parent.link or tag == "a") and not heading, heading,
+                (*parent.named, path) if named else parent.named)
 
 
 def read_page(page: str) -> tuple[list[Text], list[str]]:
@@ -160,7 +168,7 @@ def read_page(page: str) -> tuple[list[Text], list[str]]:
 
 
 def _free_size(t: Text) -> int:
-    """Characters of free text."""
+    """Characters of free text, whatever the names around it."""
     last = t.around[-1]
     return 0 if last.outside or last.link else len(t.text.strip())
 
@@ -177,6 +185,14 @@ def _free_text(texts: list[Text]) -> dict[str, list]:
     return mass
 
 
+def excluded(texts: list[Text], slot: str | None, judged: dict[str, bool]) -> set[str]:
+    """Paths whose name excludes them on a page; ``judged``: the host's verdicts."""
+    mass = _free_text(texts)
+    named = {p for t in texts for p in t.around[-1].named}
+    out = {p for p in named if judged.get(p, 2 * mass.get(p, (0,))[0] <= mass.get("", (0,))[0])}
+    return {p for p in out if slot is None or not f"{slot}>".startswith(f"{p}>")}
+
+
 def _string_token(t: Text, words: str) -> int:
     from xxhash import xxh64_intdigest
     return _signed(xxh64_intdigest(f"{t.around[-1].path}\n{words}"))
@@ -187,7 +203,10 @@ def _signed(x: int) -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and distinct token: count and free text; path and depth of elements; where a string stands."""
+    """Per page and distinct token: count and free text; path and depth of elements; where a string stands.
+
+    Elements with a name of OUTSIDE_NAMES have the page's free text, too.
+    """
     from xxhash import xxh64_intdigest
     for batch in batches:
         rows, hosts, pages = [], batch.column(1), batch.column(2)
@@ -195,12 +214,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, page in enumerate(pages):
             texts, opened = read_page(page.as_py())
             mass = _free_text(texts)
+            whole = mass[""][0] if mass else 0
+            named = {p for t in texts for p in t.around[-1].named}
             count: dict[str, int] = {}
             for path in opened:
                 count[path] = count.get(path, 0) + 1
             for path, n in count.items():
                 size, article, depth, slot = mass.get(path, (0, False, 0, False))
-                rows.append((_signed(xxh64_intdigest(path)), n, path, depth, size, article, slot, None))
+                rows.append((_signed(xxh64_intdigest(path)), n, path, depth, size, article, slot, None,
+                             whole if path in named else None))
                 at.append(i)
             strings: dict[int, list] = {}
             for t in texts:
@@ -210,16 +232,16 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     got[0] += 1
                     got[1] += _free_size(t)
             for token, (n, size, inside) in strings.items():
-                rows.append((token, n, None, 0, size, False, False, inside))
+                rows.append((token, n, None, 0, size, False, False, inside, None))
                 at.append(i)
-        cols = list(zip(*rows)) if rows else [()] * 8
+        cols = list(zip(*rows)) if rows else [()] * 9
         take = pa.array(at, pa.int64())
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(),
-                 pa.string())
+                 pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(take), hosts.take(take),
              *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-            names=["_row", "host", "token", "n", "path", "depth", "free", "article", "slot", "inside"])
+            names=["_row", "host", "token", "n", "path", "depth", "free", "article", "slot", "inside", "whole"])
 
 
 def main_slot(mass: dict[str, list]) -> str | None:
@@ -233,11 +255,24 @@ def main_slot(mass: dict[str, list]) -> str | None:
     return max((p for p, m in mass.items() if m[3] and m[0] == mass[""][0]), key=lambda p: mass[p][2])
 
 
-def page_text(page: str, slot: str | None = None, template: frozenset[int] = frozenset()) -> str:
+def page_text(page: str, slot: str | None = None, template: frozenset[int] = frozenset(),
+              judged: dict[str, bool] | None = None) -> str:
     """The blocks of the main slot, one per line."""
     texts, _ = read_page(page)
-    here = {n.path for t in texts for n in t.around}
-    if slot is None or slot not in here:
+    texts = [t for t in texts if not t.around[-1].outside]
+    judged = judged or {}
+    if slot is None or not any(n.path == slot for t in texts for n in t.around):
+        # An article element is the slot whatever the names around it.
+        mass = _free_text(texts)
+        slot = main_slot(mass) if any(m[1] for m in mass.values()) else None
+    out = excluded(texts, slot, judged)
+    named = [t for t in texts if out.isdisjoint(t.around[-1].named)]
+    # A page of which the names or the template leave nothing is kept whole.
+    return _slot_text(named, slot, template) or (_slot_text(texts, slot, template) if out else "")
+
+
+def _slot_text(texts: list[Text], slot: str | None, template: frozenset[int]) -> str:
+    if slot is None:
         own = [t for t in texts if not template or t.around[-1].article
                or _string_token(t, " ".join(t.text.split())) not in template]
         slot = main_slot(_free_text(own) or _free_text(texts))
@@ -248,7 +283,7 @@ def page_text(page: str, slot: str | None = None, template: frozenset[int] = fro
         parts: dict[int, list[str]] = {}
         own: set[int] = set()  # blocks that hold more than template strings
         for t in texts:
-            if t.around[-1].outside or not any(n.path == slot for n in t.around):
+            if not any(n.path == slot for n in t.around):
                 continue
             parts.setdefault(t.block, []).append(t.text)
             words = " ".join(t.text.split()) if skip else ""
@@ -257,14 +292,14 @@ def page_text(page: str, slot: str | None = None, template: frozenset[int] = fro
         lines = (" ".join("".join(p).split()) for k, p in sorted(parts.items()) if k in own or not skip)
         return "\n".join(x for x in lines if x)
 
-    # A slot that is template as a whole (a host of equal pages) is kept whole.
     return blocks(template) or blocks(frozenset())
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots, template = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        found = [page_text(p.as_py(), slots[i], frozenset(template[i] or ()))
+        slots, template, judged = (batch.column(k).to_pylist() for k in (3, 4, 5))
+        found = [page_text(p.as_py(), slots[i], frozenset(template[i] or ()),
+                           {x["path"]: x["out"] for x in judged[i] or ()})
                  for i, p in enumerate(batch.column(2))]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:2], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],
@@ -272,7 +307,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_templates(tokens: DataFrame) -> DataFrame:
-    """``host, slot, strings``: the main slot and template strings of every host.
+    """``host, slot, strings, judged``: the main slot, template strings and verdicts on named elements.
 
     ``tokens``: the rows of :func:`_tokens`.
     """
@@ -281,7 +316,7 @@ def host_templates(tokens: DataFrame) -> DataFrame:
         vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"),
         F.max("path").alias("path"), F.max("depth").alias("depth"),
         F.sum("free").alias("free"), F.max("article").alias("article"), F.max("slot").alias("slot"),
-        F.max("inside").alias("inside")))
+        F.max("inside").alias("inside"), F.sum("whole").alias("whole")))
     classes = per_token.groupBy("host", "vector").agg(
         F.count("path").alias("elements"), F.max("pages").alias("pages"))
     hosts = per_token.groupBy("host").agg(F.max("pages").alias("host_pages"))
@@ -300,6 +335,12 @@ def host_templates(tokens: DataFrame) -> DataFrame:
                          lambda i: F.array_join(F.slice(parts, 1, i), ">"))
     own = (per_token.where("path is null and free > 0").join(template, ["host", "token"], "left_anti")
            .groupBy("host", "inside").agg(F.sum("free").alias("free")))
+    named = (per_token.where("whole is not null").join(hosts, "host")
+             .select("host", "path", (2 * F.col("free") <= F.col("whole")).alias("out"),
+                     (100 * F.col("pages") >= NAMED_PERCENT * F.col("host_pages")).alias("often")))
+    up = own.select("host", "inside", "free", F.explode(around).alias("path"))
+    outside = up.join(named.where("out"), ["host", "path"], "left_semi").select("host", "inside").distinct()
+    own = own.join(outside, ["host", "inside"], "left_anti")
     held = (own.select("host", "free", F.explode(around).alias("path"))
             .groupBy("host", "path").agg(F.sum("free").alias("held")))
     every = own.groupBy("host").agg(F.sum("free").alias("every"))
@@ -309,7 +350,10 @@ def host_templates(tokens: DataFrame) -> DataFrame:
             .select("host", F.coalesce("article_slot", "lowest").alias("slot")))
     # Each of these stands on every page its class stands on: a page bounds their number.
     strings = template.groupBy("host").agg(F.collect_list("token").alias("strings"))
-    return hosts.select("host").join(main, "host", "left").join(strings, "host", "left")
+    judged = named.where("often").groupBy("host").agg(
+        F.collect_list(F.struct("path", "out")).alias("judged"))
+    return (hosts.select("host").join(main, "host", "left").join(strings, "host", "left")
+            .join(judged, "host", "left"))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url",
@@ -326,10 +370,10 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
                         page.alias("html"))
     tokens = with_row_id(rows).select("_row", "host", "html").mapInArrow(
         on_workers(_tokens), "_row bigint, host string, token bigint, n int, path string, "
-                             "depth int, free bigint, article boolean, slot boolean, inside string")
+                             "depth int, free bigint, article boolean, slot boolean, inside string, whole bigint")
     templates = materialise(host_templates(tokens))
     kinds = dict(rows.dtypes)
-    out = (rows.join(templates, "host", "left").select("page", "url", "html", "slot", "strings")
+    out = (rows.join(templates, "host", "left").select("page", "url", "html", "slot", "strings", "judged")
            .mapInArrow(on_workers(_extract),
                        f"page {kinds['page']}, url {kinds['url']}, text string, n_chars bigint"))
     return out.withColumnsRenamed({"page": page_id, "url": url})

@@ -290,6 +290,20 @@ def test_html_no_part_of_an_article_is_cut(spark, post, want):
     assert html_template.page_text(post.format(i=1)) == want.format(i=1)
 
 
+@pytest.mark.parametrize("start,end", [
+    ("<div class='content has-sidebar'><div>", "</div></div>"), ("<div class=no-sidebar><p>", "</p></div>"),
+    ("<article class='post category-social'>", "</article>"), ("<article class='post social'>", "</article>"),
+    ("<div id=search><article>", "</article></div>"), ("<div class='page search'><div>", "</div></div>"),
+])
+def test_html_names_do_not_exclude_the_article(spark, start, end):
+    page = start + "<h2>Title {i}</h2><p>The article's own text number {i}.</p>" + end
+    got = site_texts(spark, "<body>" + page + "<div class=comments><p>Reader {i} says</p></div></body>")
+    assert got == {str(i): f"Title {i}\nThe article's own text number {i}." for i in range(8)}
+    assert html_template.page_text(page.format(i=1)) == got["1"]
+    halves = "<div class=search><p>Same size</p></div><div class=social><p>Size same</p></div>"
+    assert html_template.page_text(halves) == "Same size\nSize same"
+
+
 # -- 5: top k --------------------------------------------------------------
 
 def check_top_k(rows, vectors, is_query, k, scale):
