@@ -9,7 +9,9 @@
 3. Tokens of a host with equal vectors form an equivalence class.  A class is
    valid if it is large (two element tokens at least) and frequent (on two
    pages at least; a host of one page is its own evidence).  Valid classes
-   nest by their paths: that is the host's template.
+   nest by their paths: that is the host's template.  A string is template
+   only if its class stands on nearly all pages of the host, three at least:
+   what a few near copies share is their own text.
 4. The elements of valid classes that stand once on a page are the template's
    slots.  The host's main slot is the article element (``article``, ``main``)
    that holds most of the free text, or else the lowest container that holds
@@ -74,6 +76,9 @@ OUTSIDE_NAMES = re.compile(
 HEADERS = frozenset(["header", "masthead", "banner"])
 # Named elements on fewer of a host's pages (in hundredths) are judged on each page.
 NAMED_PERCENT = 1
+# Strings of the template stand on so many of a host's pages (in hundredths), and on so many at least.
+TEMPLATE_PERCENT = 90
+TEMPLATE_PAGES = 3
 
 
 @dataclass(frozen=True)
@@ -329,7 +334,10 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     articles = slots.where("article").groupBy("host").agg(
         F.max_by("path", F.struct("free", -F.col("depth"), "path")).alias("article_slot"))
     # Free text that is not template, summed up to every element around it.
-    template = inside.where("path is null and pages >= 2").select("host", "token")
+    template = (inside.where("path is null")
+                .where((F.col("pages") >= TEMPLATE_PAGES)
+                       & (100 * F.col("pages") >= TEMPLATE_PERCENT * F.col("host_pages")))
+                .select("host", "token"))
     parts = F.split("inside", ">")
     around = F.transform(F.sequence(F.lit(1), F.size(parts)),
                          lambda i: F.array_join(F.slice(parts, 1, i), ">"))
@@ -348,7 +356,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
               .groupBy("host").agg(F.max_by("path", "depth").alias("lowest")))
     main = (articles.join(lowest, "host", "full")
             .select("host", F.coalesce("article_slot", "lowest").alias("slot")))
-    # Each of these stands on every page its class stands on: a page bounds their number.
+    # Each of these stands on TEMPLATE_PERCENT of the host's pages: there are at most
+    # 100 / TEMPLATE_PERCENT times as many as an average page of the host has strings.
     strings = template.groupBy("host").agg(F.collect_list("token").alias("strings"))
     judged = named.where("often").groupBy("host").agg(
         F.collect_list(F.struct("path", "out")).alias("judged"))

@@ -304,6 +304,24 @@ def test_html_names_do_not_exclude_the_article(spark, start, end):
     assert html_template.page_text(halves) == "Same size\nSize same"
 
 
+def test_html_near_copies_keep_what_they_share(spark):
+    layout = "<body><div class=post><p>Text {i} of the page</p></div><div>Owned by the owner</div></body>"
+    copy = ("<body><div class=post><div class=gallery><span class=item></span><p>Shared by the copies</p><p>Copy %s</p>"
+            "</div></div><div>Owned by the owner</div></body>")
+    got = site_texts(spark, layout, a=copy % "a", b=copy % "b")
+    assert got == {str(i): f"Text {i} of the page" for i in range(8)} | {
+        x: f"Shared by the copies\nCopy {x}" for x in "ab"}
+
+
+def test_html_many_groups_of_near_copies(spark):
+    # Twenty groups of copies, each with paths of its own.
+    rows = [(2 * k + j, "<body><div class=%s><p class=%s>Shared by group %d</p><p>Copy %d</p></div><div>Owner</div></body>"
+             % (chr(97 + k), chr(97 + k), k, j)) for k in range(20) for j in range(2)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in rows], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract_main_text(pages).collect()}
+    assert got == {i: f"Shared by group {i // 2}\nCopy {i % 2}" for i, _ in rows}
+
+
 # -- 5: top k --------------------------------------------------------------
 
 def check_top_k(rows, vectors, is_query, k, scale):
