@@ -27,6 +27,7 @@ from .common import on_workers, text_or_empty
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "ssn", "account", "secret")
 RANK = {k: i for i, k in enumerate(KINDS)}
+UPPER = re.compile(r"[A-Z]+")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,7 +47,7 @@ SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{8,4096}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
-# Cue -> parser.  Each is looked for in lower, capitalised and upper case.
+# Cue -> parser, in any case.
 CUES = {
     "account": "account", "acct": "account", "konto": "account", "cuenta": "account",
     "compte": "account", "passport": "account", "ssn": "ssn", "social security": "ssn",
@@ -68,14 +69,19 @@ def _automaton():
         machine.add_word("+" + d, ("plus", 2))
     for s in SCHEMES:
         machine.add_word(s, ("scheme", len(s)))
-        machine.add_word(s.upper(), ("scheme", len(s)))
     for cue, parser in CUES.items():
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            machine.add_word(form, (parser, len(form)))
+        machine.add_word(cue, (parser, len(cue)))
     machine.make_automaton()
     return machine
 
 
+def ascii_lower(text: str) -> str:
+    """ASCII letters in lower case: as long as the text, unlike ``str.lower``."""
+    if text.isascii():
+        return text.lower()
+    return UPPER.sub(lambda m: m.group().lower(), text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -145,7 +151,7 @@ def find_spans(text: str) -> list[Span]:
     out: list[Span] = []
     email_end = number_end = card_end = url_end = 0
     cue_end: dict[str, int] = {}
-    for last, (kind, size) in _automaton().iter(text):
+    for last, (kind, size) in _automaton().iter(ascii_lower(text)):
         at = last - size + 1
         if kind == "digit":
             if at >= number_end:

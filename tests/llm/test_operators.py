@@ -437,6 +437,15 @@ def test_pii_base_spans_equal_the_patterns(text):
     ("token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" x", "secret:9:49"),
     ("the token is a word, the account was fine, secretary: abc12345678", ""),
     ("SSN 123-45-6789.", "ssn:4:15"),
+    ("Social Security number: 123-45-6789", "ssn:24:35"),
+    ("SOCIAL Security 123-45-6789", "ssn:16:27"),
+    ("API key: abcdefgh1", "secret:9:18"),
+    ("API Key = abcdefgh1", "secret:10:19"),
+    ("Access Key: abcdefgh1", "secret:12:21"),
+    ("apiKey=abcdefgh1", "secret:7:16"),
+    ("Api_Key: 'abcdefgh1'", "secret:10:19"),
+    ("\u0130\u212a API Key: abcdefgh1", "secret:12:21"),
+    ("Https://user:pw@host.example/x", "url:0:30"),
 ])
 def test_pii_added_spans(text, want):
     added = [s for s in pii.find_spans(text) if s[0] not in pii.BASE_KINDS]
