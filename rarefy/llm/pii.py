@@ -31,6 +31,7 @@ UPPER = re.compile(r"[A-Z]+")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DIGIT = re.compile(r"[0-9]")
 NUMBERS = re.compile(r"[0-9.]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -41,9 +42,9 @@ IDENTITY_PARAMETER = re.compile(r"[?&](?:email|e-mail|user|username|login|token|
 # Between a cue and its value: an optional word such as "no.", then : = or #.
 JOIN = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key))?\.?[\"']?[ \t]{0,3}(?:[:=#]|is\b)[ \t]{0,3}[\"']?",
                   re.I)
-ACCOUNT = re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]?[0-9]){5,29}")
+ACCOUNT = re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]?[0-9]){5,}")
 SSN = re.compile(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![0-9])")
-SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{8,4096}")
+SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{8,}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
@@ -113,8 +114,12 @@ def _iban(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
-def _cue_span(text: str, kind: str, after: int) -> Span | None:
-    """The value assigned to a cue that ends at ``after``."""
+def _cue_span(text: str, kind: str, after: int, digitless: list[int]) -> Span | None:
+    """The value assigned to a cue that ends at ``after``.
+
+    ``digitless`` holds the end of the last run read that is no secret for want
+    of a digit: cues inside it do not read it again.
+    """
     join = JOIN.match(text, after)
     at = join.end() if join else after
     if kind == "iban":
@@ -138,10 +143,12 @@ def _cue_span(text: str, kind: str, after: int) -> Span | None:
     if kind == "account":
         found = ACCOUNT.match(text, at)
         return ("account", at, found.end()) if found else None
-    found = SECRET.match(text, at)
+    found = SECRET.match(text, at) if at >= digitless[0] else None
     if found:
-        value = text[at:found.end()].rstrip(".=")
-        if len(value) >= 8 and any(c.isdigit() for c in value):
+        value = found.group().rstrip(".=")
+        if not DIGIT.search(value):
+            digitless[0] = found.end()
+        elif len(value) >= 8:
             return "secret", at, at + len(value)
     return None
 
@@ -151,6 +158,7 @@ def find_spans(text: str) -> list[Span]:
     out: list[Span] = []
     email_end = number_end = card_end = url_end = 0
     cue_end: dict[str, int] = {}
+    digitless = [0]
     for last, (kind, size) in _automaton().iter(ascii_lower(text)):
         at = last - size + 1
         if kind == "digit":
@@ -185,7 +193,7 @@ def find_spans(text: str) -> list[Span]:
                     out.append(("url", at, url_end))
         elif not text[last + 1:last + 2].isalpha() and not text[max(at - 1, 0):at].isalpha() \
                 and at >= cue_end.get(kind, 0):
-            span = _cue_span(text, kind, last + 1)
+            span = _cue_span(text, kind, last + 1, digitless)
             if span:
                 out.append(span)
                 cue_end[kind] = span[2]

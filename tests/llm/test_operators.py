@@ -1,6 +1,7 @@
 """The ten operators against plain Python, on the small tables and on odd rows."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -452,6 +453,21 @@ def test_pii_added_spans(text, want):
     assert pii.spans_text(added) == want
 
 
+@pytest.mark.parametrize("cue,value,kind", [
+    ("token=", "a1" * 10_000, "secret"), ("token=", "a" * 5000 + "1", "secret"), ("account: ", "12" * 40, "account")])
+def test_pii_long_values_are_whole(cue, value, kind):
+    text = f"{cue}{value} end"
+    assert (kind, len(cue), len(cue) + len(value)) in pii.find_spans(text)
+    assert pii.redact(text, pii.find_spans(text)) == f"{cue}<{kind.upper()}> end"
+
+
+def test_pii_many_cues_in_one_run():
+    start = time.process_time()
+    assert pii.find_spans("token=" * 100_000) == []
+    assert time.process_time() - start < 20
+    assert pii.find_spans("token=abcdefgh/token = abcdefgh1") == [("secret", 23, 32)]
+
+
 # -- 8: mixing -------------------------------------------------------------
 
 def check_mixture(rows, docs):
