@@ -24,6 +24,8 @@ from ..sources.tables import materialise, numeric_view, read_table, scan
 
 # Fixed parameters of the registered queries.
 SCAN_FILTER = "monto < 60"
+# The reference's filter: every row.
+EXPERIMENT_FILTER = "monto < 100000000"
 RAW_FILTER = "value < 60"
 RAW_COLUMNS = ("event_id", "event_type", "value")
 TRAIN = 0.7
@@ -448,7 +450,15 @@ def report_nodes(spark, d):
 
 def experiment_report(spark, d):
     cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(10,), bins=(32,),
-                                      features=list(fixtures.FEATURES), filters=SCAN_FILTER,
+                                      features=list(fixtures.FEATURES), filters=EXPERIMENT_FILTER,
+                                      reports=("confusion",))
+    return experiment.run_experiment(_tx(spark, d), cfg)["confusion"]
+
+
+def experiment_grid(spark, d):
+    """GRD3: O1 of every run at every grid point, on the binary features."""
+    cfg = experiment.ExperimentConfig(runs=RUNS, impurities=("gini", "entropy"), depths=(2,), bins=(32,),
+                                      features=list(fixtures.BINARY_FEATURES), filters=EXPERIMENT_FILTER,
                                       reports=("confusion",))
     return experiment.run_experiment(_tx(spark, d), cfg)["confusion"]
 
@@ -509,4 +519,5 @@ QUERIES: dict[str, Query] = {
     "report_curves": report_curves,
     "report_nodes": report_nodes,
     "experiment_report": experiment_report,
+    "experiment_grid": experiment_grid,
 }

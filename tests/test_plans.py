@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rarefy.operators import levelwise, sampling
 from rarefy.operators.ensemble import BalancedTreeEnsemble, TreeParams
 from rarefy.operators.prefix import running_totals
-from rarefy.plans import experiment
+from rarefy.plans import catalog, experiment
 from rarefy.session import scratch_path
 from rarefy.sources import fixtures
 from rarefy.sources.tables import materialise, read_table, scan
@@ -83,3 +83,16 @@ def test_level_plan_reads_the_state_once(spark):
         rows, "tree int, w double, y double, bins array<int>, node bigint"))
     p = plan_of(levelwise._histogram(state), "simple")
     assert p.count("FileScan") == 1 and p.count("Generate") == 1 and p.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name,points", [
+    ("experiment_report", {(1, "gini")}),
+    ("experiment_grid", {(k, i) for k in range(1, catalog.RUNS + 1) for i in ("gini", "entropy")})])
+def test_experiments_score_every_labelled_row(spark, small_dir, name, points):
+    rows = catalog.QUERIES[name](spark, small_dir).collect()
+    assert {(r.k, r.impurity) for r in rows} == points and len(rows) == 2 * len(points)
+    n = catalog.QUERIES["labelled_filter"](spark, small_dir).count()
+    scored = dict.fromkeys(points, 0)
+    for r in rows:
+        scored[r.k, r.impurity] += r.tp + r.fn + r.tn + r.fp
+    assert set(scored.values()) == {n}
