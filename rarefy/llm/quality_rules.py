@@ -20,7 +20,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-# Frequent function words of English, French, German and Spanish.
+# Frequent function words of English, French, German and Spanish, and these languages' codes.
+STOP_LANGS = ("en", "eng", "fr", "fra", "fre", "de", "deu", "ger", "es", "spa")
 STOP_WORDS = (
     "the", "of", "and", "to", "a", "in", "is", "it", "that", "was", "for", "on", "are", "with",
     "this", "be", "at", "or", "from", "by", "an", "not", "have", "has",
@@ -37,7 +38,8 @@ class Rule:
     """``low <= numerator / denominator <= high`` once ``n_words >= from_words``.
 
     Statistics are named; a missing denominator is 1.  A document with a zero
-    denominator passes.
+    denominator passes, and so does one of a null or another language than
+    ``langs``, if these are given.
     """
     name: str
     numerator: str
@@ -45,13 +47,14 @@ class Rule:
     low: float | None = None
     high: float | None = None
     from_words: int = 0
+    langs: tuple[str, ...] = ()
 
 
 RULES = (
     Rule("length", "n_words", low=MIN_WORDS),
     Rule("mean_word_length", "word_chars", "n_words", low=1.5, high=25.0),
     Rule("symbols", "n_symbols", "n_words", high=0.25),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.05, from_words=50),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.05, from_words=50, langs=STOP_LANGS),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
@@ -126,8 +129,15 @@ def stat(q: Column, name: str) -> Column:
     return q
 
 
-def compile_rules(rules: Sequence[Rule], q: Column) -> dict[str, Column]:
-    """Rule name -> boolean column over the statistics struct ``q``."""
+def _language(docs: DataFrame, lang: str) -> Column:
+    """The primary part of the language tag in lower case (``en`` of ``en-GB``); null if there is none."""
+    if lang not in docs.columns:
+        return F.lit(None).cast("string")
+    return F.lower(F.regexp_extract(F.col(f"`{lang}`"), "^[A-Za-z]+", 0))
+
+
+def compile_rules(rules: Sequence[Rule], q: Column, lang: Column) -> dict[str, Column]:
+    """Rule name -> boolean column over the statistics struct ``q`` and the row's language."""
     out = {}
     for r in rules:
         under = stat(q, r.denominator) if r.denominator else F.lit(1)
@@ -138,6 +148,8 @@ def compile_rules(rules: Sequence[Rule], q: Column) -> dict[str, Column]:
         if r.high is not None:
             ok = ok & ((stat(q, r.numerator) <= F.lit(r.high) * under) | (under == 0))
         out[r.name] = ok | (stat(q, "n_words") < r.from_words)
+        if r.langs:
+            out[r.name] = out[r.name] | ~F.coalesce(lang.isin(*r.langs), F.lit(False))
     return out
 
 
@@ -146,35 +158,37 @@ def _base_failed(q: Column) -> Column:
             | (100 * stat(q, "n_repeat_words") > MAX_REPEAT_PERCENT * stat(q, "n_words")))
 
 
-def _kept(q: Column, rules: Sequence[Rule]) -> Column:
+def _kept(q: Column, rules: Sequence[Rule], lang: Column) -> Column:
     kept = ~_base_failed(q)
-    for ok in compile_rules(rules, q).values():
+    for ok in compile_rules(rules, q, lang).values():
         kept = kept & ok
     return kept
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
-                     keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+                     keep: Sequence[str] = ("doc_id",), lang: str = "lang") -> DataFrame:
     """``keep`` columns, the statistics, ``base_failed``, ``kept`` and ``failed_rules``.
 
     Null and empty texts have zero words and fail.  One row per input row; no
     shuffle.  Columns of ``docs`` that share a name with the result matter only
-    if they are in ``keep``.
+    if they are in ``keep``.  Rules of some languages need the column ``lang``.
     """
     same, name = quoted(keep), free_name(docs, "_q")
-    staged = docs.select(*same, statistics(F.col(text)).alias(name))
-    q = F.col(name)
+    code = free_name(docs, "_lang")
+    staged = docs.select(*same, statistics(F.col(text)).alias(name), _language(docs, lang).alias(code))
+    q, spoken = F.col(name), F.col(code)
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name))
-                                       for name, ok in compile_rules(rules, q).items()]))
+                                       for name, ok in compile_rules(rules, q, spoken).items()]))
     return staged.select(*same, *[stat(q, name).alias(name) for name in STATISTICS],
-                         _base_failed(q).alias("base_failed"), _kept(q, rules).alias("kept"),
+                         _base_failed(q).alias("base_failed"), _kept(q, rules, spoken).alias("kept"),
                          failed.alias("failed_rules"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES,
+              lang: str = "lang") -> DataFrame:
     """The rows whose verdict is ``kept``, all columns unchanged.
 
     The verdict is one bound expression: pushed into a filter, it still
     computes the statistics once per row.
     """
-    return docs.where(_bind(statistics(F.col(text)), lambda q: _kept(q, rules)))
+    return docs.where(_bind(statistics(F.col(text)), lambda q: _kept(q, rules, _language(docs, lang))))

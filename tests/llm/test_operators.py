@@ -397,6 +397,16 @@ def test_quality_has_no_python_in_its_plan(spark, small_dir):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_stop_words_of_known_languages_only(spark):
+    text = " ".join(f"слово{i}" for i in range(60))
+    langs = ["ru", "zh", None, "", "xx", "en", "EN-gb", "deu", "fr_FR"]
+    docs = spark.createDataFrame([(i, text, x) for i, x in enumerate(langs)], "doc_id int, text string, lang string")
+    got = {r.doc_id: (r.kept, r.failed_rules) for r in quality_rules.quality_verdicts(docs).collect()}
+    assert got == {i: (True, []) if i < 5 else (False, ["stop_words"]) for i in range(9)}
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == set(range(5))
+    assert quality_rules.keep_good(docs.drop("lang")).count() == 9
+
+
 # -- 7: personal data ------------------------------------------------------
 
 def check_pii(rows, docs):
