@@ -4,9 +4,9 @@ Documents are encoded, closed with an end id and cut into pieces of at most
 ``capacity`` tokens.  Full pieces are sequences of their own.  The others are
 dealt by a hash of their row into groups of some thousand pieces, which are
 packed independently: best fit in decreasing order, then a local search that
-moves single pieces and exchanges one for one, two for one or one for two
-between underfull bins whenever that increases the sum of squared fills, until
-bins run empty.  A group's size does not depend on the table's, and a group
+moves one or two pieces and exchanges one for one or two for one, from the
+emptier to the fuller of underfull bins, whenever that increases the sum of
+squared fills, until nothing does or no bin can be saved.  A group's size does not depend on the table's, and a group
 ends with few bins that are not full, so the loss stays at a fraction of a
 bin per thousands of pieces at any scale.
 """
@@ -27,9 +27,8 @@ from .text_encoding import encoder, grouped
 
 CAPACITY = 1024
 END_ID = 2
-# Pieces packed together, and passes of the local search over a group's bins.
+# Pieces packed together.
 GROUP_PIECES = 8192
-PASSES = 4
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -56,15 +55,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int,
-                 passes: int = PASSES) -> list[list[int]]:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty bins by exchanges among the underfull ones; every bin stays within capacity.
 
     The emptiest bin gives one or two pieces to another underfull bin and takes
     none (a move) or one back (one for one, two for one).  Giving d more tokens
     than it takes changes the sum of squared fills by 2 d (fill_b - fill_a + d);
     the exchange of the largest increase is made, until none helps, and the
-    next bin's turn comes.  The sum only grows, so the search ends.
+    next bin's turn comes.  Sweeps go on until one changes nothing or the bins
+    are as few as can be.  The sum only grows, so the search ends.
     """
     least = -(-int(lengths.sum()) // capacity)
     fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
@@ -72,9 +71,8 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int,
     for k, b in enumerate(bins):
         home[b] = k
     bins = [list(b) for b in bins]
-    for _ in range(passes):
-        if np.count_nonzero(fill) <= least:
-            break
+    changed = True
+    while changed and np.count_nonzero(fill) > least:
         under = np.flatnonzero((fill > 0) & (fill < capacity))
         under = under[np.argsort(fill[under], kind="stable")]
         items = np.concatenate([bins[k] for k in under.tolist()]).astype(np.int64)
@@ -107,15 +105,12 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int,
                 fill[k] -= step
                 fill[to] += step
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY,
-                 passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of every item."""
-    bins = local_search(lengths, best_fit_decreasing(lengths, capacity), capacity, passes)
+    bins = local_search(lengths, best_fit_decreasing(lengths, capacity), capacity)
     number = np.zeros(len(lengths), dtype=np.int64)
     offset = np.zeros(len(lengths), dtype=np.int64)
     for k, b in enumerate(bins):
@@ -168,9 +163,9 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("doc", doc_id)
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int, passes: int) -> pd.DataFrame:
+def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["_row", "piece"], kind="stable").reset_index(drop=True)
-    number, offset = pack_lengths(pdf["length"].to_numpy(), capacity, passes)
+    number, offset = pack_lengths(pdf["length"].to_numpy(), capacity)
     pdf["sequence_id"] = 2 * ((pdf["_group"].to_numpy() << 32) + number)
     pdf["offset"] = offset
     return pdf
@@ -178,8 +173,7 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, passes: int) -> pd.DataFrame:
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    vocabulary: str | None = None, capacity: int = CAPACITY,
-                   end_id: int = END_ID, group_pieces: int = GROUP_PIECES,
-                   passes: int = PASSES) -> DataFrame:
+                   end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     Null and empty texts are a single piece holding the end id.  Repeated rows
@@ -201,6 +195,6 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kinds = dict(dealt.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "_group"])
     packed = dealt.select(*names, "_group").groupBy("_group").applyInPandas(
-        on_workers(_pack_group, capacity, passes), schema + ", sequence_id bigint, offset bigint")
+        on_workers(_pack_group, capacity), schema + ", sequence_id bigint, offset bigint")
     cols = [doc_id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return packed.select(*cols).unionByName(alone.select(*cols))

@@ -156,6 +156,14 @@ def test_packing_groups_odd_rows(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_local_search_goes_on_until_nothing_helps():
+    # A fifth sweep saves a bin here.
+    lengths = np.random.default_rng(607523).integers(12, 67, 90)
+    bins = packing.local_search(lengths, packing.best_fit_decreasing(lengths, 100), 100)
+    assert sorted(i for b in bins for i in b) == list(range(90)) and len(bins) == 35
+    assert max(int(lengths[b].sum()) for b in bins) <= 100
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(0)
     better = 0
