@@ -7,6 +7,8 @@ import sys
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,14 @@ from ..sources.tables import materialise, read_table
 
 __all__ = ["WORD", "SPACE", "read_table", "materialise", "on_workers", "public_vocabulary",
            "text_or_empty", "word_count", "with_row_id", "number_rows", "buckets_for",
-           "free_name", "quoted"]
+           "free_name", "quoted", "scaled_components", "finite_vector", "list_matrix"]
 
 # Fixed patterns of the contracts: a word and the ASCII white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+EXACT_DOUBLE = float(1 << 53)
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -96,3 +100,31 @@ def number_rows(df: DataFrame, within: Sequence[str], row: str, name: str,
     return (ranked.join(offsets, [*within, "_bucket"])
             .withColumn(name, (F.col("_offset") + F.col("_in")).cast("bigint"))
             .drop("_bucket", "_in", "_offset"))
+
+
+def scaled_components(embedding: str, scale: int) -> Column:
+    """floor(scale * x) of every component, as whole doubles."""
+    def floor(v):
+        # From 2^53 on every double is whole (and may be beyond 64 bits).
+        scaled = F.lit(float(scale)) * v.cast("double")
+        return F.when(F.abs(scaled) < EXACT_DOUBLE, F.floor(scaled).cast("double")).otherwise(scaled)
+    return F.transform(F.col(embedding), floor)
+
+
+def finite_vector(embedding: str) -> Column:
+    """No component is null, infinite or no number."""
+    return F.forall(F.col(embedding), lambda v: F.coalesce(
+        F.abs(v.cast("double")) < F.lit(float("inf")), F.lit(False)))
+
+
+def list_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column; shorter vectors count as padded with zeros."""
+    offsets = np.asarray(column.offsets)
+    values = np.asarray(column.values).astype(np.float64, copy=False)
+    n = np.diff(offsets)
+    if len(n) and (n == width).all():
+        return values[offsets[0]:offsets[-1]].reshape(-1, width)
+    out = np.zeros((len(n), width))
+    for i, (s, e) in enumerate(zip(offsets[:-1], offsets[1:])):
+        out[i, :e - s] = values[s:e]
+    return out

@@ -6,7 +6,7 @@ tests/llm hold those operators against brute force.
 
 from __future__ import annotations
 
-from . import mixing, queries, quality_rules, voronoi_knn
+from . import hard_negatives, mixing, queries, quality_rules, voronoi_knn
 
 BLANKS = r"[^\x20\x09-\x0D]+"
 
@@ -135,8 +135,37 @@ FROM (SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_i
 WHERE rank <= {voronoi_knn.K}"""
 
 
+def _hard_negatives() -> str:
+    h = hard_negatives
+    finite = "list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))"
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({h.SCALE} * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {finite}),
+scores AS (
+  SELECT a.r AS a_row, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS same,
+         list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % {h.ANCHOR_EVERY} = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY a_row ORDER BY score DESC, vec_id, r) AS place
+  FROM scores WHERE same),
+found AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+         n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a_row, p.r ORDER BY n.score DESC, n.vec_id, n.r) AS rank
+  FROM positives p JOIN scores n USING (a_row)
+  WHERE place <= {h.POSITIVES} AND NOT n.same
+    AND {h.LOW}::HUGEINT * p.score <= 100::HUGEINT * n.score
+    AND 100::HUGEINT * n.score <= {h.HIGH}::HUGEINT * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= {h.NEGATIVES}"""
+
+
 SQL: dict[str, str] = {
     "op5_exact_top_k": _top_k(),
     "op6_quality_rules": _quality(),
     "op8_mixing": _mixing(),
+    "op11_hard_negatives": _hard_negatives(),
 }

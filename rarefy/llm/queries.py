@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (html_template, mixing, packing, pii, quality_rules, sharding, simhash, token_counts,
-               token_files, voronoi_knn)
+from . import (hard_negatives, html_template, importance_resampling, mixing, packing, pii, quality_rules,
+               sharding, simhash, token_counts, token_files, tokenization_automaton, voronoi_knn)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,21 @@ def op10_simhash_dedup(spark, d):
     return simhash.simhash_components(read_table(spark, d, "documents"))
 
 
+def op11_hard_negatives(spark, d):
+    moved = "if(vec_id % 7 = 0, (label + 1) % 10, label)"
+    return hard_negatives.mine_hard_negatives(read_table(spark, d, "embeddings"), label=moved,
+                                              anchor=f"vec_id % {hard_negatives.ANCHOR_EVERY} = 0")
+
+
+def op12_importance_resampling(spark, d):
+    return importance_resampling.resample(read_table(spark, d, "documents"),
+                                          read_table(spark, d, "benchmark"))
+
+
+def op13_tokenization_automaton(spark, d):
+    return tokenization_automaton.round_trip_digest(read_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,4 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_tokenization_automaton": op13_tokenization_automaton,
 }

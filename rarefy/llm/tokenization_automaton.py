@@ -39,12 +39,12 @@ from .text_encoding import grouped
 VOCABULARY = "word_bpe_49k.json"
 # Bounds of the per-worker memory: arcs, chunks and words kept, and the longest of them.
 TABLE_ARCS = 400_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
 # Characters encoded together.
 GROUP_CHARS = 2_000_000
 # White space at which every pre-tokenizer of this kind cuts.
-CUT_AT = str.maketrans("\n\t", "  ")
+CUT_AT = ("\n", "\t")
 # A chunk the pre-tokenizer cuts after its letters only (probed when a file is loaded).
 PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
 
@@ -71,15 +71,21 @@ class MergeAutomaton:
         self.gadget: dict[int, int] = {}  # (owner, removed label) -> state
         self.table: dict[int, bool] = {}
         self.width = len(names)
-        # Labels by their spelling; the longest bounds the walk.
+        # Labels by their spelling.
         self.label = {t: number[t] for t in symbols}
         for k, (u, v) in enumerate(merges, 1):
             u, v, w = number[u], number[v], len(symbols) + k - 1
             if max(u, v) >= w:
                 raise ValueError("a merge comes before one of its parts")
             self._add_gadget(k, u, v, w)
-        self.longest = max(map(len, self.label), default=1)
-        self.table.clear()
+        # Per prefix of a label, the longest label it begins with (-1: none); per label, the next.
+        self.prefix: dict[str, int] = {}
+        self.shorter = [-1] * len(names)
+        for t in sorted(self.label, key=len):
+            longest = -1
+            for size in range(1, len(t)):
+                longest = self.prefix.setdefault(t[:size], longest)
+            self.prefix[t], self.shorter[self.label[t]] = self.label[t], longest
 
     def _add_gadget(self, k: int, u: int, v: int, w: int) -> None:
         self.left[w], self.made[w] = u, k
@@ -119,24 +125,36 @@ class MergeAutomaton:
         one = self.label.get(word)
         if one is not None:  # the first state has every arc
             return [one]
-        label, end = self.label, len(word)
-        at, state, longest = 0, 0, self.longest
+        prefix, shorter, target, table, width = (self.prefix, self.shorter, self.target, self.table,
+                                                 self.width)
+        at, state, end = 0, 0, len(word)
         path: list[tuple[int, int, int]] = []
         closed = set()
+        t = None
         while at < end:
-            for size in range(min(longest, end - at), 0, -1):
-                t = label.get(word[at:at + size])
-                if t is not None and at + size not in closed and self.arc(state, t):
-                    path.append((at, state, t))
-                    at, state, longest = at + size, self.target[t], self.longest
+            if t is None:  # the longest label from here on
+                t, size = -1, 1
+                while at + size <= end and (longer := prefix.get(word[at:at + size])) is not None:
+                    t, size = longer, size + 1
+            while t >= 0:
+                if closed and at + len(self.names[t]) in closed:
+                    t = shorter[t]
+                    continue
+                found = table.get(state * width + t)
+                if found is None:
+                    found = self.arc(state, t)
+                if found:
                     break
-            else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
+                t = shorter[t]
+            if t >= 0:
+                path.append((at, state, t))
+                at, state, t = at + len(self.names[t]), target[t], None
+            elif path:
                 closed.add(at)
-                size = at - path[-1][0]
-                at, state, _ = path.pop()
-                longest = size - 1
+                at, state, t = path.pop()
+                t = shorter[t]
+            else:
+                raise ValueError(f"no path spells {word!r}")
         return [t for _, _, t in path]
 
 
@@ -186,7 +204,7 @@ class Codec:
                       == [["ab"], ["ab", "."], ["ab", ","]])
         if self._cut("a\nb\tc d") != ["a", "b", "c", "d"]:
             raise ValueError("the pre-tokenizer must drop white space")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
     def _cut(self, text: str) -> list[str]:
@@ -194,11 +212,12 @@ class Codec:
             text = self.normalizer.normalize_str(text)
         return [w for w, _ in self.pre.pre_tokenize_str(text)]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
             spelled = word[:-1] + self.ends[word[-1]] if self.ends else word
-            found = [self.id[t] for t in self.automaton.path(spelled)]
+            path = self.automaton.path(spelled)
+            found = pack(f"<{len(path)}I", *map(self.id.__getitem__, path))
             if len(self.words) < CACHE_ENTRIES and len(word) <= CACHE_CHARS:
                 self.words[word] = found
         return found
@@ -207,18 +226,10 @@ class Codec:
         """ids of a chunk without white space of the cut."""
         if self.plain and (m := PLAIN.fullmatch(chunk)):
             ids = self._word(m[1].lower())
-            if m[2]:
-                ids = ids + self._word(m[2])
-            return pack(f"<{len(ids)}I", *ids)
-        ids = []
+            return ids + self._word(m[2]) if m[2] else ids
         parts = self.special_at.split(chunk) if self.special_at else [chunk]
-        for k, part in enumerate(parts):
-            if k % 2:
-                ids.append(self.special[part])
-            elif part:
-                for word in self._cut(part):
-                    ids += self._word(word)
-        return pack(f"<{len(ids)}I", *ids)
+        return b"".join(pack("<I", self.special[part]) if k % 2 else b"".join(map(self._word, self._cut(part)))
+                        for k, part in enumerate(parts))
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers.
@@ -226,7 +237,9 @@ class Codec:
         Texts are cut at blanks, tabs and line ends, where the pre-tokenizer always cuts
         and nothing composes; each distinct chunk is encoded once.
         """
-        cut = [t.translate(CUT_AT).split(" ") for t in texts]
+        for white in CUT_AT:
+            texts = [t.replace(white, " ") for t in texts]
+        cut = [t.split(" ") for t in texts]
         known = self.chunks
         here = {}
         for chunks in cut:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, on_workers, with_row_id
+from .common import (EXACT_DOUBLE, buckets_for, finite_vector, list_matrix, materialise, on_workers,
+                     scaled_components, with_row_id)
 
 K = 20
 SCALE = 64
@@ -35,38 +36,17 @@ QUERY_BLOCK = 2048
 DATA_BLOCK = 8192
 # Relative slack for rounding in distances; the final scores are exact integers.
 SLACK = 1e-9
-EXACT_DOUBLE = float(1 << 53)
 
 
 def scaled_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int,
                    query: str) -> DataFrame:
     """``_row, vec, is_query, x``: components floor(scale * x); unusable vectors left out."""
-    def floor(v):
-        # From 2^53 on every double is whole (and may be beyond 64 bits).
-        scaled = F.lit(float(scale)) * v.cast("double")
-        return F.when(F.abs(scaled) < EXACT_DOUBLE, F.floor(scaled).cast("double")).otherwise(scaled)
-
-    x = F.transform(F.col(embedding), floor)
-    finite = F.forall(F.col(embedding), lambda v: F.coalesce(
-        F.abs(v.cast("double")) < F.lit(float("inf")), F.lit(False)))
-    rows = vectors.where(F.col(embedding).isNotNull() & finite).select(
-        F.col(vec_id).alias("vec"), F.coalesce(F.expr(query), F.lit(False)).alias("is_query"), x.alias("x"))
+    rows = vectors.where(F.col(embedding).isNotNull() & finite_vector(embedding)).select(
+        F.col(vec_id).alias("vec"), F.coalesce(F.expr(query), F.lit(False)).alias("is_query"),
+        scaled_components(embedding, scale).alias("x"))
     return with_row_id(rows).select("_row", "vec", "is_query", "x")
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column; shorter vectors count as padded with zeros."""
-    offsets = np.asarray(column.offsets)
-    values = np.asarray(column.values).astype(np.float64, copy=False)
-    n = np.diff(offsets)
-    if len(n) and (n == width).all():
-        return values[offsets[0]:offsets[-1]].reshape(-1, width)
-    out = np.zeros((len(n), width))
-    for i, (s, e) in enumerate(zip(offsets[:-1], offsets[1:])):
-        out[i, :e - s] = values[s:e]
-    return out
-
-
 def _norms(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, x)
 
@@ -97,7 +77,7 @@ def _assign(batches: Iterator[pa.RecordBatch], pivots: list, top: float, width:
     """Nearest pivot of each row, as data (lifted) and, for queries, as query."""
     p = np.asarray(pivots)
     for batch in batches:
-        x = _matrix(batch.column(3), width)
+        x = list_matrix(batch.column(3), width)
         is_query = np.asarray(batch.column(2).to_numpy(zero_copy_only=False)).astype(bool)
         d = _distances(_lift(x, top), p)
         cell = np.argmin(d, axis=1)
@@ -188,7 +168,7 @@ def top_k_inner_product(vectors: DataFrame, query: str, vec_id: str = "vec_id",
 
     # A bounded sample by hash picks the pivots; the search is exact for any pivots.
     sample = (rows.orderBy(F.xxhash64("_row")).limit(PIVOT_SAMPLE).select("x")).toArrow()
-    base = _lift(_matrix(sample.column(0).combine_chunks(), width), top)
+    base = _lift(list_matrix(sample.column(0).combine_chunks(), width), top)
     chosen = choose_pivots(base, pivots)
     placed = materialise(rows.mapInArrow(
         on_workers(_assign, chosen.tolist(), top, width),
