@@ -55,6 +55,59 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _targets(lengths: np.ndarray, home: np.ndarray, fill: np.ndarray, capacity: int) -> tuple:
+    """What underfull bins can take a piece for: a piece of theirs, or nothing (item -1).
+
+    Pieces of one length in bins of one fill are alike: ``(fill, size)`` of each
+    kind, and two (bin, item) of it, in different bins if there are such.
+    """
+    under = np.flatnonzero((fill > 0) & (fill < capacity))
+    items = np.flatnonzero((fill[home] > 0) & (fill[home] < capacity))
+    owner = np.concatenate([home[items], under])
+    item = np.concatenate([items, np.full(len(under), -1)])
+    size = np.where(item < 0, 0, lengths[item])
+    kind = fill[owner] * (capacity + 1) + size
+    order = np.lexsort((owner, kind))
+    starts = np.flatnonzero(np.diff(kind[order], prepend=-1))
+    first, last = order[starts], order[np.append(starts[1:], len(order))[:len(starts)] - 1]
+    return fill[owner[first]], size[first], owner[first], item[first], owner[last], item[last]
+
+
+def _best_exchange(own: list[int], k: int, lengths: np.ndarray, fill: np.ndarray, targets: tuple,
+                   capacity: int) -> tuple[list[int], list[int], int, int] | None:
+    """Bin k's exchange of the largest increase: pieces out, pieces back, the other bin, tokens moved.
+
+    A bin holds few pieces of different lengths (45 of 1024 tokens at most), so
+    few single and paired lengths can be given.  Kinds are looked at some
+    thousand at a time: memory does not follow the pieces.
+    """
+    of = {}
+    for i in own:
+        of.setdefault(int(lengths[i]), []).append(i)
+    gives: dict[int, list[int]] = {}
+    kinds = sorted(of)
+    for x, a in enumerate(kinds):
+        for b in kinds[x:]:
+            if a != b or len(of[a]) > 1:
+                gives.setdefault(a + b, [of[a][0], of[b][0] if a != b else of[a][1]])
+    gives.update((a, [of[a][0]]) for a in kinds)
+    given = np.fromiter(gives, dtype=np.int64, count=len(gives))[:, None]
+    best, found = 0, None
+    for at in range(0, len(targets[0]), 4096):
+        full, size, owner, item, owner2, item2 = (t[at:at + 4096] for t in targets)
+        mine = owner == k
+        owner, item = np.where(mine, owner2, owner), np.where(mine, item2, item)
+        d = given - size
+        gain = np.where((d > 0) & (d <= capacity - full) & (owner != k), d * (full - fill[k] + d), 0)
+        top = int(np.argmax(gain))
+        row, col = divmod(top, len(size))
+        if gain[row, col] > best:
+            best = int(gain[row, col])
+            back = [int(item[col])] if item[col] >= 0 else []
+            found = gives[int(given[row, 0])], back, int(owner[col]), int(d[row, col])
+    return found
+
+
 def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty bins by exchanges among the underfull ones; every bin stays within capacity.
 
@@ -71,40 +124,27 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
     for k, b in enumerate(bins):
         home[b] = k
     bins = [list(b) for b in bins]
-    changed = True
+    changed, targets = True, None
     while changed and np.count_nonzero(fill) > least:
         under = np.flatnonzero((fill > 0) & (fill < capacity))
-        under = under[np.argsort(fill[under], kind="stable")]
-        items = np.concatenate([bins[k] for k in under.tolist()]).astype(np.int64)
-        # What may be taken: a piece of an underfull bin, or nothing (item -1) of each.
-        taken = np.concatenate([items, np.full(len(under), -1)])
-        size = np.where(taken < 0, 0, lengths[taken])
         changed = False
-        for k in under.tolist():
-            while bins[k]:
-                owner = np.concatenate([home[items], under])
-                room = np.where((owner == k) | (fill[owner] == 0), 0, capacity - fill[owner])
-                own = lengths[bins[k]]
-                one, two = np.triu_indices(len(own), 1)
-                gives = np.concatenate([own, own[one] + own[two]])[:, None]
-                d = gives - size
-                gain = np.where((d > 0) & (d <= room), d * (fill[owner] - fill[k] + d), 0)
-                best = int(np.argmax(gain))
-                row, col = divmod(best, gain.shape[1])
-                if gain[row, col] <= 0:
+        for k in under[np.argsort(fill[under], kind="stable")].tolist():
+            while bins[k] and fill[k] < capacity:
+                if targets is None:
+                    targets = _targets(lengths, home, fill, capacity)
+                found = _best_exchange(bins[k], k, lengths, fill, targets, capacity)
+                if found is None:
                     break
-                pair = row - len(own)
-                out = ([bins[k][row]] if pair < 0
-                       else [bins[k][int(one[pair])], bins[k][int(two[pair])]])
-                back = [int(taken[col])] if taken[col] >= 0 else []
-                to, step = int(owner[col]), int(d[row, col])
-                bins[k] = [i for i in bins[k] if i not in out] + back
+                out, back, to, step = found
+                for i in out:
+                    bins[k].remove(i)
+                bins[k] += back
                 bins[to] = [i for i in bins[to] if i not in back] + out
                 home[out] = to
                 home[back] = k
                 fill[k] -= step
                 fill[to] += step
-                changed = True
+                changed, targets = True, None
     return [b for b in bins if b]
 
 
