@@ -89,13 +89,16 @@ def lower_latin(text: str) -> str:
 class Encoder:
     """ids (and character spans) of whole texts as little-endian bytes."""
 
-    def __init__(self, path: str, offsets: bool = False):
+    def __init__(self, path: str, offsets: bool = False, special_as_text: bool = False):
         # A task owns one core: threads of the library would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens inside a document are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # By default a special token's string inside a text is that token, as in the
+        # library; such texts are encoded whole.
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = () if special_as_text else tuple(
+            t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.rule = _cut_rule(path)
         self.offsets = offsets
         self.cache: dict[str, bytes] = {"": b""}
@@ -183,7 +186,7 @@ class Encoder:
         Distinct chunks are looked up for all texts together; the rows of one
         text exist at a time.
         """
-        odd = [self.rule == "whole" or irregular(t) for t in texts]
+        odd = [self.rule == "whole" or irregular(t) or any(s in t for s in self.special) for t in texts]
         regular = [t for t, x in zip(texts, odd) if not x]
         start, last = 0, iter(())
         if regular:
