@@ -12,8 +12,8 @@
    nest by their paths: that is the host's template.  A string is template
    only if its class stands on nearly all pages of the host, three at least:
    what a few near copies share is their own text.
-4. The elements of valid classes that stand once on a page are the template's
-   slots.  The host's main slot is the article element (``article``, ``main``)
+4. The elements of valid classes that stand once on a page (on ``SLOT_PERCENT``
+   of those that have them) are the template's slots.  The host's main slot is the article element (``article``, ``main``)
    that holds most of the free text, or else the lowest container that holds
    all free text of all pages but strings of the template.  Free text excludes
    links (not linked headings) and the parts that are no article (menus,
@@ -47,13 +47,13 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NUMBERED = re.compile(r"\d+")
 
 # HTML element names.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas",
-       "object", "title")
+RAW = ("script", "style", "textarea", "iframe", "title")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp "
-    "small span strike strong sub sup time tt u var wbr br".split())
+    "small span strike strong sub sup time tt u var wbr br svg math mi mn mo mtext ms mrow mfrac msqrt "
+    "mroot msub msup msubsup munder mover munderover mstyle semantics canvas object".split())
 OUTSIDE = frozenset("nav footer aside form head script style noscript template button select menu "
                     "dialog iframe svg fieldset".split())
 ARTICLE = frozenset(["article", "main"])
@@ -79,6 +79,8 @@ NAMED_PERCENT = 1
 # Strings of the template stand on so many of a host's pages (in hundredths), and on so many at least.
 TEMPLATE_PERCENT = 90
 TEMPLATE_PAGES = 3
+# A slot stands exactly once on so many (in hundredths) of the pages that have it.
+SLOT_PERCENT = 80
 
 
 @dataclass(frozen=True)
@@ -266,10 +268,13 @@ def page_text(page: str, slot: str | None = None, template: frozenset[int] = fro
     texts, _ = read_page(page)
     texts = [t for t in texts if not t.around[-1].outside]
     judged = judged or {}
-    if slot is None or not any(n.path == slot for t in texts for n in t.around):
-        # An article element is the slot whatever the names around it.
-        mass = _free_text(texts)
-        slot = main_slot(mass) if any(m[1] for m in mass.values()) else None
+    mass = _free_text(texts)
+    if any(m[1] for m in mass.values()):
+        # A page's own article element is its slot, whatever the host's or the names around it.
+        if slot not in mass or not mass[slot][1]:
+            slot = main_slot(mass)
+    elif not any(n.path == slot for t in texts for n in t.around):
+        slot = None
     out = excluded(texts, slot, judged)
     named = [t for t in texts if out.isdisjoint(t.around[-1].named)]
     # A page of which the names or the template leave nothing is kept whole.
@@ -318,7 +323,7 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     """
     vector = F.bit_xor(F.xxhash64("_row", "n"))
     per_token = materialise(tokens.groupBy("host", "token").agg(
-        vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"),
+        vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.count_if(F.col("n") == 1).alias("single"),
         F.max("path").alias("path"), F.max("depth").alias("depth"),
         F.sum("free").alias("free"), F.max("article").alias("article"), F.max("slot").alias("slot"),
         F.max("inside").alias("inside"), F.sum("whole").alias("whole")))
@@ -329,8 +334,9 @@ def host_templates(tokens: DataFrame) -> DataFrame:
              .where((F.col("elements") >= 2) & ((F.col("pages") >= 2) | (F.col("host_pages") == 1)))
              .select("host", "vector", "host_pages"))
     inside = materialise(per_token.join(valid, ["host", "vector"]))
-    # Slots: elements of valid classes that stand once on a page.
-    slots = inside.where("path is not null and most = 1 and free > 0")
+    # Slots: elements of valid classes that stand once on nearly every page they stand on.
+    slots = inside.where("path is not null and free > 0").where(
+        100 * F.col("single") >= SLOT_PERCENT * F.col("pages"))
     articles = slots.where("article").groupBy("host").agg(
         F.max_by("path", F.struct("free", -F.col("depth"), "path")).alias("article_slot"))
     # Free text that is not template, summed up to every element around it.
