@@ -40,7 +40,7 @@ USER_INFO = re.compile(r"://[^\s/?#@]+@")
 IDENTITY_PARAMETER = re.compile(r"[?&](?:email|e-mail|user|username|login|token|key|api_key|apikey"
                                 r"|password|session|sid|phone|ssn)=[^&#\s]+", re.I)
 # Between a cue and its value: an optional word such as "no.", then : = or #.
-JOIN = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key))?\.?[\"']?[ \t]{0,3}(?:[:=#]|is\b)[ \t]{0,3}[\"']?",
+JOIN = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key))?\.?[\"']?[ \t]*+(?:[:=#]|is\b)[ \t]*+[\"']?",
                   re.I)
 ACCOUNT = re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]?[0-9]){5,}")
 SSN = re.compile(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![0-9])")
