@@ -18,11 +18,12 @@ def _quality() -> str:
         under = r.denominator or "1"
         ok = [f"{r.numerator} >= {r.low!r}::DOUBLE * {under}" if r.low is not None else "true",
               f"{r.numerator} <= {r.high!r}::DOUBLE * {under}" if r.high is not None else "true"]
-        checks.append((r.name, f"(({' AND '.join(ok)}) OR {under} = 0 OR n_words < {r.from_words})"))
+        other = f" OR NOT coalesce(lang IN ({', '.join(map(repr, r.langs))}), false)" if r.langs else ""
+        checks.append((r.name, f"(({' AND '.join(ok)}) OR {under} = 0 OR n_words < {r.from_words}{other})"))
     failed = ", ".join(f"CASE WHEN NOT {ok} THEN '{name}' END" for name, ok in checks)
     return f"""
 WITH w AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '{BLANKS}') AS ws
   FROM documents),
 grams AS (
@@ -35,7 +36,7 @@ covered AS (
 lines AS (
   SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{BLANKS}')) AS l FROM w),
 stats AS (
-  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,

@@ -16,9 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def tokenizer(name):
     import public_tokenizers
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(str(public_tokenizers.path(name)))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(str(public_tokenizers.path(name)))
 
 
 def ids(tok, text, end=2):
@@ -60,14 +58,14 @@ def quality(text):
             "words": w}
 
 
-def kept(text, rules, stop_words):
+def kept(text, rules, stop_words, lang="en"):
     q = quality(text)
     q["n_stop_words"] = sum(w.lower() in stop_words for w in q["words"])
     if q["base_failed"]:
         return False
     for r in rules:
         under = q[r.denominator] if r.denominator else 1
-        if q["n_words"] < r.from_words or under == 0:
+        if q["n_words"] < r.from_words or under == 0 or r.langs and lang not in r.langs:
             continue
         if r.low is not None and not q[r.numerator] >= r.low * under:
             return False
