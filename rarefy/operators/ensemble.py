@@ -37,8 +37,11 @@ from pyspark.sql import functions as F
 
 from ..schema import FRAUD, ID, LABEL, LEGAL, to_binary
 from ..session import delete_folder, scratch_path
+from ..sources.tables import materialise
+from .instance_selection import edited
 from .kmeans_balance import check_strategy, kmeans_balanced_sets
 from .sampling import balance_plan, balanced_sets, plan_values
+from .smote import smote
 from .treewalk import TreeGroup, category_mask, group_trees, with_tree_values
 from .votes import combine
 
@@ -167,7 +170,8 @@ class BalancedTreeEnsemble:
                  minority: int = FRAUD, majority: int = LEGAL, parallelism: int | None = None,
                  workdir: str | None = None, plan: DataFrame | None = None,
                  balancing: str = "balanced", kmeans_k: int | None = None,
-                 engine: str = "auto", max_concurrent_fits: int = MAX_CONCURRENT_FITS):
+                 engine: str = "auto", max_concurrent_fits: int = MAX_CONCURRENT_FITS,
+                 neighbours: int = 5, smote_percent: int = 100):
         self.params = params or TreeParams()
         self.features_col = features_col
         self.feature_names = list(feature_names or [])
@@ -179,6 +183,9 @@ class BalancedTreeEnsemble:
         self.plan = plan
         self.balancing = check_strategy(balancing)
         self.kmeans_k = kmeans_k
+        # Of SMOTE and instance selection: neighbours, and new minority rows in per cent of the old.
+        self.neighbours = neighbours
+        self.smote_percent = smote_percent
         if engine not in ("auto", "ml", "levelwise"):
             raise ValueError("engine must be 'auto', 'ml' or 'levelwise'")
         # One learner for every impurity, so that a grid compares impurities, not engines.
@@ -187,6 +194,11 @@ class BalancedTreeEnsemble:
 
     def balanced_table(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The long (tree, w, y, features) table and the tree count."""
+        if self.balancing == "smote":
+            df = materialise(smote(df, self.smote_percent, self.neighbours, self.features_col,
+                                   LABEL, self.minority, ID, self.seed))
+        elif self.balancing == "enn":
+            df = materialise(edited(df, self.neighbours, self.features_col, LABEL, ID, self.minority))
         plan = self.plan if self.plan is not None else balance_plan(df, LABEL, self.minority)
         row = plan.first()
         if not row["n_minor"]:

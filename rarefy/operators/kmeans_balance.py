@@ -17,6 +17,8 @@ over a cluster, no collect.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -42,10 +44,14 @@ def fit_clusters(majority: DataFrame, k: int = DEFAULT_K, features: str = "index
 
 
 def assigned_rows(majority: DataFrame, model, features: str = "indexedFeatures",
-                  idn: str = ID) -> DataFrame:
-    """(idn, cluster, x) of the majority rows under a fitted model, written once."""
+                  idn: str = ID, keep: Sequence[str] = ()) -> DataFrame:
+    """(idn, cluster, x) of the majority rows under a fitted model, written once.
+
+    ``keep``: columns that go along in a struct ``kept``.
+    """
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
     return materialise(model.transform(majority).select(
-        F.col(idn).alias("idn"), "cluster", vector_to_array(features).alias("x")))
+        F.col(idn).alias("idn"), "cluster", vector_to_array(features).alias("x"), *kept))
 
 
 def cluster_quotas(assigned: DataFrame, n_minor: int) -> DataFrame:
@@ -80,8 +86,9 @@ def nearest_picks(assigned: DataFrame, n_minor: int) -> DataFrame:
     joined = assigned.join(cluster_means(assigned), "cluster")
     d2 = F.aggregate(F.zip_with("x", "center", lambda a, b: (a - b) * (a - b)),
                      F.lit(0.0), lambda acc, v: acc + v)
-    far = joined.select("cluster", "idn", F.round(d2, DIGITS).alias("dist2"))
-    placed = materialise(running_totals(far, ["cluster", "dist2", "idn"], {}, position="pos"))
+    far = joined.select("cluster", "idn", F.round(d2, DIGITS).alias("dist2"),
+                        F.monotonically_increasing_id().alias("_row"))
+    placed = materialise(running_totals(far, ["cluster", "dist2", "idn", "_row"], {}, position="pos"))
     starts = placed.groupBy("cluster").agg(F.min("pos").alias("start"))
     limits = starts.join(cluster_quotas(assigned, n_minor), "cluster")
     return (placed.join(limits, "cluster").where(F.col("pos") < F.col("start") + F.col("quota"))
@@ -94,11 +101,14 @@ def stratified_picks(assigned: DataFrame, n_minor: int, n_trees: int, seed: str
     Rows get a global position in (cluster, id) order from distributed
     running totals, so cluster c occupies positions start_c .. start_c+m_c-1.
     Each draw is a position from a hash of (seed, tree, cluster, draw number),
-    and an equi-join on the position fetches the row.  Work is
-    O(rows + n_minor x trees), not O(rows x trees).
+    and an equi-join on the position fetches the row: rows of one id, or
+    without one, are drawn each for itself.  A struct ``kept`` of ``assigned``
+    goes along.  Work is O(rows + n_minor x trees), not O(rows x trees).
     """
-    numbered = materialise(running_totals(assigned.select("cluster", "idn"), ["cluster", "idn"], {},
-                                          position="pos"))
+    whole = [c for c in ("cluster", "idn", "kept") if c in assigned.columns]
+    # The row number splits ids of many rows over the ranges.
+    rows = assigned.select(*whole, F.monotonically_increasing_id().alias("_row"))
+    numbered = materialise(running_totals(rows, ["cluster", "idn", "_row"], {}, position="pos"))
     starts = numbered.groupBy("cluster").agg(F.min("pos").alias("start"))
     limits = starts.join(cluster_quotas(assigned, n_minor), "cluster").where("quota > 0")
     per_tree = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
@@ -108,7 +118,7 @@ def stratified_picks(assigned: DataFrame, n_minor: int, n_trees: int, seed: str
     at = draws.select(F.col("tree").cast("int").alias("tree"),
                       (F.col("start") + F.floor(F.col("m") * u)).alias("pos"))
     counted = at.groupBy("tree", "pos").agg(F.count(F.lit(1)).cast("int").alias("w"))
-    return counted.join(numbered.select("idn", "pos"), "pos").select("tree", "idn", "w")
+    return counted.join(numbered.drop("cluster", "_row"), "pos").select("tree", "w", *whole[1:])
 
 
 def kmeans_balanced_sets(df: DataFrame, features: str = "indexedFeatures", k: int | None = None,
@@ -127,20 +137,20 @@ def kmeans_balanced_sets(df: DataFrame, features: str = "indexedFeatures", k: in
     trees = n_trees if n_trees is not None else int(plan["n_trees"])
     majority = df.where(~is_minority(label, minority))
     model = fit_clusters(majority, k or DEFAULT_K, features)
-    picks = stratified_picks(assigned_rows(majority, model, features, idn), n_minor, trees, seed)
-    major = (picks.withColumnRenamed("idn", "_pick")
-             .join(majority.select(*keep), F.col("_pick").eqNullSafe(F.col(idn))).select("tree", "w", *keep))
+    picks = stratified_picks(assigned_rows(majority, model, features, idn, keep), n_minor, trees, seed)
+    major = picks.select("tree", "w", "kept.*")
     minor = (df.where(is_minority(label, minority))
              .select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
                      F.lit(1).alias("w"), *keep))
     return minor.unionByName(major)
 
 
-STRATEGIES = ("balanced", "kmeans")
+STRATEGIES = ("balanced", "kmeans", "smote", "enn")
 
 
 def check_strategy(name: str) -> str:
-    """BAL5: ``balanced`` (bootstrap) or ``kmeans``; anything else raises."""
+    """BAL5: ``balanced`` (bootstrap), ``kmeans``, or a bootstrap after ``smote`` oversampling or
+    ``enn`` instance selection; anything else raises."""
     s = (name or "").lower()
     if s not in STRATEGIES:
         raise ValueError(f"unknown balancing strategy {name!r}; expected one of {STRATEGIES}")

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection, ensemble, importance, metrics, sampling, stumps, votes
 from ..operators import kmeans_balance as kmeans_balance_ops
-from ..operators import levelwise
+from ..operators import instance_selection, levelwise, neighbours, smote
 from . import experiment
 from ..functions.hashing import hash_uniform
 from ..operators.features import feature_arity
@@ -39,6 +40,9 @@ AXIS = (-10, 10)
 DIGITS = 9
 HASH_CLUSTERS = 7
 PICK_TREES = 3
+NEAR_BLOCK = 64
+NEAR_K = 5
+SMOTE_PERCENT = 150
 # Binary features with one value on 1 of 100 rows: rarer than 1 / max_bins.
 RARE_FEATURES = {"rare_one": "cast(idn % 100 = 7 as int)", "rare_zero": "cast(idn % 100 <> 11 as int)"}
 
@@ -381,6 +385,62 @@ def kmeans_stratified_pick(spark, d):
     return kmeans_balance_ops.stratified_picks(assigned, n_minor, PICK_TREES, BOOT_SEED)
 
 
+def kmeans_repeated_pick(spark, d):
+    """BAL2's draws where ten rows share an id: every row is drawn for itself."""
+    assigned, n_minor = _hash_assigned(spark, d)
+    shared = assigned.withColumn("idn", F.floor(F.col("idn") / 10))
+    return kmeans_balance_ops.stratified_picks(shared, n_minor, PICK_TREES, BOOT_SEED)
+
+
+NEAR_FEATURES = ("monto", "is_purchase", "fds", "cuenta_monto_user_6h", "cuenta_monto_user_24h")
+NEAR_NOMINAL = (1, 2)
+
+
+def _hash_dealt(spark, d, minority_only):
+    """Labelled rows dealt by a hash into blocks of about ``NEAR_BLOCK``, and their neighbours."""
+    rows = _lab(spark, d)
+    if minority_only:
+        rows = rows.where(F.col("label") == 1)
+    x = F.array(*[F.col(c).cast("double") for c in NEAR_FEATURES])
+    own = neighbours.points(rows, x)
+    deal = hash_uniform("block:", F.col("id")) * neighbours.rows_a_block(own.count(), NEAR_BLOCK)
+    near = neighbours.block_neighbours(own.withColumn("block", F.floor(deal).cast("int")), ["block"], NEAR_K)
+    return own, near
+
+
+def smote_synthetic(spark, d):
+    """BAL3: new minority rows between neighbours of blocks that SQL can form too."""
+    own, near = _hash_dealt(spark, d, True)
+    found = materialise(own.select("_row", "id").join(near, "_row", "left"))
+    draws = smote.smote_draws(found, own.count() * SMOTE_PERCENT // 100, BOOT_SEED)
+    made = smote.interpolate(draws, own, NEAR_NOMINAL)
+    return made.select(F.col("id").alias("idn"), "j", F.col("to_id").alias("neighbour"),
+                       F.round("gap", DIGITS).alias("gap"),
+                       *[F.round(F.col("x")[i], 6).alias(c) for i, c in enumerate(NEAR_FEATURES)])
+
+
+def enn_round(spark, d):
+    """BAL4: one round of edited nearest neighbours of both classes, on blocks that SQL can form too."""
+    own, near = _hash_dealt(spark, d, False)
+    return instance_selection.edit_verdicts(own, near).select(
+        F.col("id").alias("idn"), F.col("y").alias("label"), "n_near", "n_other", "kept")
+
+
+def smote_balance(spark, d):
+    """BAL3 on the train split: labelled vectors and as many new minority rows."""
+    data, _, _ = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
+    train, _ = sampling.train_test(data, TRAIN, SPLIT_SEED)
+    made = smote.smote(train.select("idn", "label", "indexedFeatures"), SMOTE_PERCENT)
+    return made.select("idn", "label", F.round(vector_to_array("indexedFeatures")[0], 6).alias("monto"))
+
+
+def enn_selection(spark, d):
+    """BAL4 on the train split: majority rows edited until a round changes nothing."""
+    data, _, _ = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
+    train, _ = sampling.train_test(data, TRAIN, SPLIT_SEED)
+    return instance_selection.edited(train).select("idn", "label")
+
+
 def flagship(spark, d):
     """Split -> balanced ensemble -> soft vote on the test side -> O1 metrics."""
     model, _, test = _fitted(spark, d)
@@ -448,6 +508,19 @@ def report_nodes(spark, d):
     return nodes.withColumn("tree", F.col("tree").cast("int"))
 
 
+def report_model(spark, d):
+    """O8 as text lines."""
+    return _depth2_report(spark, d, "model")
+
+
+def experiment_strategies(spark, d):
+    """BAL5 as a grid dimension: O1 of every balancing strategy."""
+    cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(3,), bins=(32,),
+                                      balancings=kmeans_balance_ops.STRATEGIES,
+                                      features=list(fixtures.FEATURES), reports=("confusion",))
+    return experiment.run_experiment(_tx(spark, d), cfg)["confusion"]
+
+
 def experiment_report(spark, d):
     cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(10,), bins=(32,),
                                       features=list(fixtures.FEATURES), filters=EXPERIMENT_FILTER,
@@ -510,6 +583,13 @@ QUERIES: dict[str, Query] = {
     "kmeans_quotas": kmeans_quotas,
     "kmeans_nearest_pick": kmeans_nearest_pick,
     "kmeans_stratified_pick": kmeans_stratified_pick,
+    "kmeans_repeated_pick": kmeans_repeated_pick,
+    "smote_synthetic": smote_synthetic,
+    "smote_balance": smote_balance,
+    "enn_round": enn_round,
+    "enn_selection": enn_selection,
+    "report_model": report_model,
+    "experiment_strategies": experiment_strategies,
     "report_confusion": report_confusion,
     "report_importances": report_importances,
     "report_roc": report_roc,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,6 +23,7 @@ from ..operators import detection, metrics
 from ..operators.ensemble import BalancedTreeEnsemble, TreeParams, node_table
 from ..operators.features import assemble, fit_indexer
 from ..operators.importance import named_importances
+from ..operators.kmeans_balance import check_strategy
 from ..operators.levelwise import LevelwiseEnsembleModel
 from ..operators.sampling import train_test
 from ..schema import IGNORE, feature_columns, labelled
@@ -37,6 +38,7 @@ class ExperimentConfig:
     impurities: Sequence[str] = ("entropy",)
     depths: Sequence[int] = (10,)
     bins: Sequence[int] = (64,)
+    balancings: Sequence[str] = ("balanced",)
     axis: tuple[int, int] = (-10, 10)
     train: float = 0.7
     filters: str = ""
@@ -52,7 +54,8 @@ class ExperimentConfig:
     reports: Sequence[str] | None = None
 
 
-REPORTS = ("confusion", "importances", "roc", "density_test", "density_train", "eer", "curves", "nodes")
+REPORTS = ("confusion", "importances", "roc", "density_test", "density_train", "eer", "curves", "nodes",
+           "model")
 
 
 def grid(impurities: Sequence[str], depths: Sequence[int], bins: Sequence[int]) -> list[TreeParams]:
@@ -80,9 +83,10 @@ def prepare(df: DataFrame, features: Sequence[str] | None = None, fit_on: DataFr
     return materialise(indexer.transform(assembled)), indexer, names
 
 
-def _tag(df: DataFrame, k: int, p: TreeParams) -> DataFrame:
+def _tag(df: DataFrame, k: int, p: TreeParams, balancing: str) -> DataFrame:
     return (df.withColumn("k", F.lit(k)).withColumn("impurity", F.lit(p.impurity))
-            .withColumn("depth", F.lit(p.max_depth)).withColumn("bins", F.lit(p.max_bins)))
+            .withColumn("depth", F.lit(p.max_depth)).withColumn("bins", F.lit(p.max_bins))
+            .withColumn("balancing", F.lit(balancing)))
 
 
 def _confusion_row(pred: DataFrame, tipo: str) -> DataFrame:
@@ -156,10 +160,11 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
     else:
         data, names = assemble_labelled(base, cfg.features)
     reports: dict[str, list[DataFrame]] = {k: [] for k in wanted(cfg)}
-    dumps = []
-    points = grid(cfg.impurities, cfg.depths, cfg.bins)
+    # The balancing strategy is the slowest dimension of the grid.
+    points = [(b, p) for b in map(check_strategy, cfg.balancings)
+              for p in grid(cfg.impurities, cfg.depths, cfg.bins)]
     for k in range(1, cfg.runs + 1):
-        for g, params in enumerate(points):
+        for g, (balancing, params) in enumerate(points):
             seed = f"{k}:{g}" if cfg.split_per_grid_point else f"{k}"
             train, test = train_test(data, cfg.train, seed)
             folder = f"{work}/k{k}_g{g}"
@@ -169,7 +174,8 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
                 train = materialise(indexer.transform(train), path=f"{folder}/train_indexed")
                 test = indexer.transform(test)
             model = BalancedTreeEnsemble(params, "indexedFeatures", names, seed=seed,
-                                         parallelism=cfg.parallelism, engine=cfg.engine).fit(train)
+                                         parallelism=cfg.parallelism, engine=cfg.engine,
+                                         balancing=balancing).fit(train)
             scored = {}
             for side, part in (("test", test), ("train", train)):
                 pred = model.predict(part, cfg.strategy).select(
@@ -178,8 +184,9 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
                 scored[side] = spark.read.parquet(f"{folder}/{side}")
             for side, pred in scored.items():
                 for name, frame in evaluate(pred, side, cfg).items():
-                    reports[name].append(_tag(frame, k, params))
-            model_path = f"{out}/models/{params.tag}_{k}" if out else f"{folder}/model"
+                    reports[name].append(_tag(frame, k, params, balancing))
+            plain = "" if balancing == "balanced" else f"{balancing}_"
+            model_path = f"{out}/models/{plain}{params.tag}_{k}" if out else f"{folder}/model"
             levelwise = isinstance(model, LevelwiseEnsembleModel)
             if levelwise:
                 model.save(model_path)
@@ -187,18 +194,55 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
             else:
                 nodes = node_table(model, model_path)
             if "importances" in reports:
-                reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params))
+                reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params,
+                                                   balancing))
             if "nodes" in reports:
-                reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params))
-            if not levelwise:
+                reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params, balancing))
+            if "model" in reports:
                 # Spark ML trees live on the driver already; their text dump is local.
-                dumps.append((k, params.impurity, params.max_depth, params.max_bins,
-                              model.num_trees, model.to_debug_string()))
+                lines = (dump_lines(nodes, names) if levelwise else
+                         spark.createDataFrame(list(_text_lines(model.to_debug_string())), DUMP))
+                reports["model"].append(_tag(lines, k, params, balancing))
     result = {name: reduce(DataFrame.unionByName, frames) for name, frames in reports.items()}
-    result = _shape_reports(result)
-    result["model"] = spark.createDataFrame(
-        dumps, "k int, impurity string, depth int, bins int, trees int, dump string")
-    return result
+    return _shape_reports(result)
+
+
+DUMP = "tree int, place string, line string"
+
+
+def dump_lines(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """O8 as text, a row per node: ``tree, place, line``; lines of a tree read in the order of ``place``.
+
+    A node's number in its tree spells its path from the root (1, then a bit a
+    branch), so the binary number is its place and no walk is needed: each line
+    takes its condition from the parent's row.
+    """
+    feature = F.coalesce(F.try_element_at(F.array(*[F.lit(n) for n in names]) if names else
+                                          F.array().cast("array<string>"),
+                                          (F.col("feature_index") + 1).cast("int")),
+                         F.concat(F.lit("feature "), F.col("feature_index")))
+    up = nodes.where("NOT is_leaf").select("tree", F.col("node").alias("parent"), feature.alias("name"),
+                                           F.col("threshold").alias("at"))
+    own = nodes.select("tree", "node", "is_leaf", "prediction",
+                       F.when(F.col("node") > 1, F.expr("node div 2")).alias("parent"))
+    rows = own.join(up, ["tree", "parent"], "left")
+    branch = (F.when(F.col("parent").isNull(), F.lit("Tree"))
+              .when(F.col("node") % 2 == 0, F.concat(F.lit("If ("), "name", F.lit(" <= "), F.format_string("%.6f", "at"), F.lit(")")))
+              .otherwise(F.concat(F.lit("Else ("), "name", F.lit(" > "), F.format_string("%.6f", "at"), F.lit(")"))))
+    leaf = F.when(F.col("is_leaf"), F.concat(F.lit(" Predict: "), F.format_string("%.6f", "prediction"))).otherwise(F.lit(""))
+    place = F.bin("node")
+    return rows.select(F.col("tree").cast("int").alias("tree"), place.alias("place"),
+                       F.concat(F.repeat(F.lit("  "), F.length(place) - 1), branch, leaf).alias("line"))
+
+
+def _text_lines(text: str) -> Iterator[tuple[int, str, str]]:
+    """The lines of Spark ML's own dump, by tree."""
+    tree = -1
+    for number, line in enumerate(text.splitlines()):
+        if line.startswith("-- tree "):
+            tree = int(line.split()[2])
+        else:
+            yield tree, f"{number:09d}", line
 
 
 def _node_rows(nodes: DataFrame, levelwise: bool) -> DataFrame:
@@ -223,7 +267,7 @@ def _node_rows(nodes: DataFrame, levelwise: bool) -> DataFrame:
 
 def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Column layouts of the reports (O1-O8)."""
-    tail = ["impurity", "depth", "bins"]
+    tail = ["impurity", "depth", "bins", "balancing"]
     point = [F.col("x").alias("X"), F.col("y").alias("Y"), "k", "type", *tail]
     layout = {
         "confusion": ["tipo", "k", "tp", "fn", "tn", "fp", F.col("tpr").alias("TPR"), F.col("spc").alias("SPC"),
@@ -234,6 +278,7 @@ def _shape_reports(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "roc": [F.col("fpr").alias("X"), F.col("tpr").alias("Y"), "k", "pos", *tail],
         "density_test": point, "density_train": point, "curves": point,
         "eer": ["k", "type", F.col("eer").alias("EER"), F.col("lr").alias("LR"), "state", *tail],
+        "model": ["k", "tree", "place", "line", *tail],
         "nodes": ["k", "tree", "node", "feature_index", "threshold", "left_categories", "gain",
                   "prediction", "node_impurity", "is_leaf", *tail],
     }

@@ -455,7 +455,7 @@ def _on_experiment(sql: str, side: str) -> str:
     return sql.replace(CTE["votes"], votes).replace("WITH ev", "WITH RECURSIVE ev", 1)
 
 
-GRID_TAIL = "'gini' AS impurity, 2 AS depth, 32 AS bins"
+GRID_TAIL = "'gini' AS impurity, 2 AS depth, 32 AS bins, 'balanced' AS balancing"
 
 
 def _both_sides(select) -> str:
@@ -494,8 +494,7 @@ named AS (
 
 
 def _report_density(side: str) -> str:
-    sql = _kde_sql().replace("* b.h) / 2.0", "* b.h) / 2.0")
-    sql = sql.replace("* sqrt(2.0 * pi())) END, 8) AS y", "* sqrt(2.0 * pi())) END, 9) AS y")
+    sql = _kde_sql().replace("* sqrt(2.0 * pi())) END, 8) AS y", "* sqrt(2.0 * pi())) END, 9) AS y")
     return f"""SELECT x AS "X", y AS "Y", 1 AS k, type, {GRID_TAIL} FROM ({_on_experiment(sql, side)})"""
 
 
@@ -542,6 +541,68 @@ draws AS (
 SELECT tree, idn, CAST(count(*) AS INTEGER) AS w FROM draws JOIN placed USING (cluster, r) GROUP BY tree, idn"""
 
 
+def _repeated_pick_sql() -> str:
+    return _stratified_pick_sql().replace("SELECT idn, CAST(floor", "SELECT idn // 10 AS idn, CAST(floor", 1).replace(
+        "JOIN placed USING (cluster, r) GROUP BY tree, idn", "JOIN placed USING (cluster, r) GROUP BY tree, idn, cluster, r")
+
+
+def _dealt_ctes(where: str) -> str:
+    """``near``: neighbours by distance and id inside blocks dealt by a hash."""
+    cols = C.NEAR_FEATURES
+    d = " + ".join(f"(a.{c}::DOUBLE - b.{c}::DOUBLE) * (a.{c}::DOUBLE - b.{c}::DOUBLE)" for c in cols)
+    return f"""own AS (SELECT idn, label, {', '.join(cols)} FROM labelled{where}),
+blocks AS (SELECT greatest(1, ceil(count(*) / {C.NEAR_BLOCK}::DOUBLE)) AS b FROM own),
+dealt AS (SELECT *, CAST(floor({U("'block:'", "idn")} * (SELECT b FROM blocks)) AS INTEGER) AS block FROM own),
+ranked AS (
+  SELECT a.idn, a.label, b.idn AS other, b.label AS other_label,
+         row_number() OVER (PARTITION BY a.idn ORDER BY {d}, b.idn) AS r
+  FROM dealt a JOIN dealt b ON a.block = b.block AND a.idn <> b.idn),
+near AS (SELECT * FROM ranked WHERE r <= {C.NEAR_K})"""
+
+
+def _smote_sql() -> str:
+    u = U("'smote:'", f"'{C.BOOT_SEED}'", "':'", "idn", "':'", "j")
+    gap = U("'gap:'", f"'{C.BOOT_SEED}'", "':'", "idn", "':'", "j")
+    cols = ", ".join(
+        (f"round(CASE WHEN d.gap < 0.5 THEN a.{c}::DOUBLE ELSE b.{c}::DOUBLE END, 6) AS {c}" if i in C.NEAR_NOMINAL else
+         f"round(a.{c}::DOUBLE + d.gap * (b.{c}::DOUBLE - a.{c}::DOUBLE), 6) AS {c}")
+        for i, c in enumerate(C.NEAR_FEATURES))
+    return with_("labelled", extra=_dealt_ctes(" WHERE label = 1")) + f""", total AS (
+  SELECT count(*) AS n, count(*) * {C.SMOTE_PERCENT} // 100 AS m FROM own),
+placed AS (SELECT idn, row_number() OVER (ORDER BY idn) AS p FROM own),
+shares AS (SELECT idn, (p * m) // n - ((p - 1) * m) // n AS share FROM placed, total),
+sizes AS (SELECT idn, count(r) AS size FROM own LEFT JOIN near USING (idn) GROUP BY idn),
+numbered AS (SELECT idn, size, j FROM shares JOIN sizes USING (idn),
+             LATERAL (SELECT * FROM range(1, share + 1) g(j)) x),
+draws AS (
+  SELECT n.idn, n.j, coalesce(k.other, n.idn) AS neighbour, n.gap
+  FROM (SELECT *, CAST(floor(size * {u}) AS BIGINT) + 1 AS pick, {gap} AS gap FROM numbered) n
+  LEFT JOIN near k ON k.idn = n.idn AND k.r = n.pick)
+SELECT d.idn, d.j, d.neighbour, round(d.gap, 9) AS gap, {cols}
+FROM draws d JOIN own a ON a.idn = d.idn JOIN own b ON b.idn = d.neighbour"""
+
+
+def _enn_sql() -> str:
+    return with_("labelled", extra=_dealt_ctes("")) + """, votes AS (
+  SELECT o.idn, o.label, CAST(count(r) AS INTEGER) AS n_near,
+         CAST(count(r) FILTER (WHERE other_label <> o.label) AS INTEGER) AS n_other
+  FROM own o LEFT JOIN near n ON n.idn = o.idn GROUP BY o.idn, o.label)
+SELECT *, 2 * n_other <= n_near AS kept FROM votes"""
+
+
+def _report_model() -> str:
+    names = "[" + ", ".join(f"'{c}'" for c in BINARY) + "]"
+    return with_("labelled", extra=_exp_ctes()) + f""", lines AS (
+  SELECT n.tree, n.node, n.is_leaf, n.prediction, bin(n.node) AS place, {names}[p.feature_index + 1] AS name
+  FROM nodes n LEFT JOIN nodes p ON p.tree = n.tree AND p.node = n.node // 2 AND NOT p.is_leaf)
+SELECT 1 AS k, CAST(tree AS INTEGER) AS tree, place,
+  repeat('  ', length(place) - 1)
+  || CASE WHEN node = 1 THEN 'Tree' WHEN node % 2 = 0 THEN 'If (' || name || ' <= 0.500000)'
+          ELSE 'Else (' || name || ' > 0.500000)' END
+  || CASE WHEN is_leaf THEN ' Predict: ' || printf('%.6f', prediction) ELSE '' END AS line, {GRID_TAIL}
+FROM lines"""
+
+
 SQL: dict[str, str] = {
     "src_scan_filter": with_("transactions") + f"SELECT {', '.join(TX_COLS)} FROM transactions "
                        f"WHERE {C.SCAN_FILTER}",
@@ -608,6 +669,10 @@ SELECT s.idn, s.label, CAST(n AS INTEGER) AS n_trees, n_votes, round(p0, 9) AS p
     "kmeans_quotas": with_("train", extra=_hash_assigned_ctes()) + "SELECT cluster, m, quota FROM quotas",
     "kmeans_nearest_pick": _nearest_pick_sql(),
     "kmeans_stratified_pick": _stratified_pick_sql(),
+    "kmeans_repeated_pick": _repeated_pick_sql(),
+    "smote_synthetic": _smote_sql(),
+    "enn_round": _enn_sql(),
+    "report_model": _report_model(),
     "report_confusion": _report_confusion(),
     "report_importances": _report_importances(),
     "report_roc": f"""SELECT fpr AS "X", tpr AS "Y", 1 AS k, pos, {GRID_TAIL}
