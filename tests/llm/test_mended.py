@@ -113,17 +113,16 @@ def test_quality_twin_follows_the_language(spark):
 def occurrence_template(pages):
     """Strings that stand on all pages of a host in a class with two element tokens, by explicit vectors."""
     vectors = defaultdict(Counter)
-    elements, strings = set(), {}
+    strings = {}
     for i, page in enumerate(pages):
         texts, opened = html_template.read_page(page)
-        for path in opened:
-            vectors["e", path][i] += 1
-            elements.add(path)
+        for n in opened:
+            vectors["e", n.token][i] += 1
         for t in texts:
             words = " ".join(t.text.split())
             if words:
-                vectors["s", t.around[-1].path, words][i] += 1
-                strings["s", t.around[-1].path, words] = words
+                vectors["s", t.last.token, words][i] += 1
+                strings["s", t.last.token, words] = words
     classes = defaultdict(list)
     for token, vector in vectors.items():
         classes[tuple(sorted(vector.items()))].append(token)
@@ -146,3 +145,23 @@ def test_template_by_explicit_occurrence_vectors(spark):
                 blocks[t.block] += t.text
         want[i] = "\n".join(b for _, b in sorted(blocks.items()) if b.strip())
     assert pages_of(spark, pages) == want
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<body><article>" + "<font>" * 100_000 + "deep</article>", "deep"),
+    ("<body>" + "<div>a" * 50_000, "\n".join("a" * 50_000)),
+    ("<body><article>" + "<font>x" * 60_000 + "</b></i>" * 60_000, "x" * 60_000),
+])
+def test_deep_pages_in_bounded_memory(page, text):
+    began = time.time()
+    tracemalloc.start()
+    assert html_template.page_text(page) == text
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and time.time() - began < 60
+
+
+def test_deep_pages_without_an_article_on_a_host(spark):
+    deep = "<body><div class=post>" + "<font>w " * 3000 + "{i}</div><div class=low>Owned by the owner</div></body>"
+    got = pages_of(spark, [deep.format(i=i) for i in range(4)])
+    assert got == {i: "w " * 3000 + str(i) for i in range(4)}
