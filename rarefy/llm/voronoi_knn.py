@@ -8,13 +8,17 @@ Lifted rows are grouped by their nearest pivot.  Per group, summaries hold the
 count, the radius of its queries, the distance range of its data, and its k + 1
 least distances to the pivot.  From them every query group gets a bound on the
 distance of its k-th neighbour, and a data row is sent to a query group only
-if the triangle inequality allows a distance within the bound.  Query groups
-and their data are dealt into blocks of bounded size; each block is solved by
-a matrix product, and the blocks' best k are merged.
+if the triangle inequality allows a distance within the bound, and if the plane
+between the two pivots is within it.  Groups that need most of the rows anyway
+are solved as one against all rows, so that copies follow the queries' blocks
+and not the pivots.  Query groups and their data are dealt into blocks of
+bounded size; each block is solved by a matrix product, and the blocks' best k
+are merged.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +78,7 @@ def choose_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
 
 
 def _assign(batches: Iterator[pa.RecordBatch], pivots: list, top: float, width: int) -> Iterator[pa.RecordBatch]:
-    """Nearest pivot of each row, as data (lifted) and, for queries, as query."""
+    """Nearest pivot of each row, as data (lifted) and, for queries, as query with all distances."""
     p = np.asarray(pivots)
     for batch in batches:
         x = list_matrix(batch.column(3), width)
@@ -86,8 +90,9 @@ def _assign(batches: Iterator[pa.RecordBatch], pivots: list, top: float, width:
         at = np.arange(len(x))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[at, cell]),
-             pa.array(np.where(is_query, q_cell, -1).astype(np.int32)), pa.array(q[at, q_cell])],
-            names=["_row", "vec", "is_query", "x", "cell", "d", "q_cell", "q_d"])
+             pa.array(np.where(is_query, q_cell, -1).astype(np.int32)), pa.array(q[at, q_cell]),
+             pa.array([v if w else None for v, w in zip(q, is_query)], pa.list_(pa.float64()))],
+            names=["_row", "vec", "is_query", "x", "cell", "d", "q_cell", "q_d", "q_all"])
 
 
 def query_bounds(pivots: np.ndarray, radius: dict[int, float], nearest: dict[int, list[float]],
@@ -105,6 +110,26 @@ def query_bounds(pivots: np.ndarray, radius: dict[int, float], nearest: dict[int
     return out
 
 
+def merged_groups(sent: dict[int, int], sizes: dict[int, int], n: int, block: int) -> set[int]:
+    """Query groups to solve as one against all ``n`` rows, where that sends fewer copies.
+
+    ``sent``: rows a group needs; ``sizes``: its queries, sent to in blocks of ``block``.
+    Groups that need most of the rows go first.
+    """
+    def blocks(queries: int) -> int:
+        return -(-queries // block)
+
+    order = sorted(sent, key=lambda g: (-sent[g], g))
+    apart = sum(sent[g] * blocks(sizes[g]) for g in order)
+    best, chosen, together = apart, 0, 0
+    for i, g in enumerate(order, 1):
+        apart -= sent[g] * blocks(sizes[g])
+        together += sizes[g]
+        if n * blocks(together) + apart < best:
+            best, chosen = n * blocks(together) + apart, i
+    return set(order[:chosen])
+
+
 def _solve(pdf: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
     """Best k candidates of every query of one block, by exact integer score."""
     is_q = pdf["side"].to_numpy() == 0
@@ -172,7 +197,8 @@ def top_k_inner_product(vectors: DataFrame, query: str, vec_id: str = "vec_id",
     chosen = choose_pivots(base, pivots)
     placed = materialise(rows.mapInArrow(
         on_workers(_assign, chosen.tolist(), top, width),
-        "_row bigint, vec bigint, is_query boolean, x array<double>, cell int, d double, q_cell int, q_d double"))
+        "_row bigint, vec bigint, is_query boolean, x array<double>, cell int, d double, q_cell int, "
+        "q_d double, q_all array<double>"))
 
     # Summaries: at most `pivots` rows, each with k + 1 distances.
     slices = 16 * buckets_for(spark)
@@ -189,25 +215,46 @@ def top_k_inner_product(vectors: DataFrame, query: str, vec_id: str = "vec_id",
     bounds = query_bounds(chosen, {g: r for g, (r, _) in groups.items()}, near, k)
     between = _distances(chosen, chosen)
 
-    # A data row may be within the bound of group g only if its distance to its
-    # own pivot lies in the ring [low, high] around that pivot.
+    # How far a group's queries are at least from the plane between its pivot and another's.
+    beyond = {(r["q_cell"], r["c"]): r["gap"] for r in
+              queries.select("q_cell", "q_d", F.posexplode("q_all").alias("c", "to"))
+              .groupBy("q_cell", "c").agg(F.min(F.col("to") * F.col("to") - F.col("q_d") * F.col("q_d")).alias("gap"))
+              .collect()}
+
+    # A data row may be within the bound of group g only if its distance to its own
+    # pivot lies in the ring [low, high] around that pivot, and if the plane between
+    # the pivots is within the bound.
     slack = SLACK * (1.0 + float(np.sqrt(top)) + float(between.max(initial=0.0)))
-    rings = [(g, c, float(between[g, c] - r - bounds[g] - slack), float(between[g, c] + r + bounds[g] + slack),
-              max(1, -(-int(n) // query_block)))
-             for g, (r, n) in groups.items() for c in near]
-    ring = spark.createDataFrame(rings, "g int, cell int, low double, high double, blocks int")
-    # At most pivots^2 rows: bounded by the parameter, not by the data.
-    sent = (placed.join(F.broadcast(ring), "cell").where("d between low and high")
-            .select("g", "blocks", "_row", "vec", "x"))
-    needed = materialise(sent.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(
-        "g", F.ceil(F.col("n") / F.lit(data_block)).cast("int").alias("data_blocks")))
-    sizes = F.broadcast(needed)  # one row per query group
-    data = (sent.join(sizes, "g")
+
+    def parted(g, c):
+        return g != c and between[g, c] > 0 and (
+            beyond[g, c] / (2 * between[g, c]) - slack * (1.0 + float(between.max())) > bounds[g])
+    ring_type = "g int, cell int, low double, high double"
+    rings = [(g, c, float(between[g, c] - r - bounds[g] - slack), float(between[g, c] + r + bounds[g] + slack))
+             for g, (r, _) in groups.items() for c in near if not parted(g, c)]
+    # At most pivots^2 rows here and a row a group below: bounded by the parameter, not by the data.
+    ring = F.broadcast(spark.createDataFrame(rings, ring_type))
+    within = placed.join(ring, "cell").where("d between low and high")
+    sent = {r["g"]: r["n"] for r in within.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes, n = {g: q for g, (_, q) in groups.items()}, placed.count()
+    logging.getLogger(__name__).info("pairs within bounds: %d of %d", sum(sent.get(g, 0) * sizes[g] for g in sizes),
+                                     n * sum(sizes.values()))
+    merged = merged_groups({g: sent.get(g, 0) for g in sizes}, sizes, n, query_block)
+    if merged:
+        rings = [r for r in rings if r[0] not in merged] + [(-1, c, 0.0, float("inf")) for c in near]
+        sent[-1], sizes[-1] = n, sum(sizes[g] for g in merged)
+    # Group of the queries of a cell, blocks of queries, blocks of data.
+    plan = spark.createDataFrame(
+        [(g, to, max(1, -(-sizes[to] // query_block)), max(1, -(-sent.get(to, 0) // data_block)))
+         for g in groups for to in (-1 if g in merged else g,)],
+        "q_cell int, g int, blocks int, data_blocks int")
+    by_group = F.broadcast(plan.drop("q_cell").distinct())
+    data = (placed.join(F.broadcast(spark.createDataFrame(rings, ring_type)), "cell").where("d between low and high")
+            .join(by_group, "g")
             .select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"),
                     F.pmod(F.xxhash64("_row"), F.col("data_blocks")).cast("int").alias("db"),
                     F.lit(1).alias("side"), "_row", "vec", "x"))
-    asked = (queries.join(F.broadcast(ring.groupBy("g").agg(F.first("blocks").alias("blocks"))),
-                          F.col("q_cell") == F.col("g")).join(sizes, "g")
+    asked = (queries.join(F.broadcast(plan), "q_cell")
              .select("g", F.pmod(F.xxhash64("_row", F.lit(1)), F.col("blocks")).cast("int").alias("qb"),
                      F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("db"),
                      F.lit(0).alias("side"), "_row", "vec", "x"))

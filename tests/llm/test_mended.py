@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from rarefy.llm import html_template, oracle, packing, pii, quality_rules
+from rarefy.llm import html_template, oracle, packing, pii, quality_rules, voronoi_knn
 from rarefy.llm.common import public_vocabulary
 from rarefy.llm.text_encoding import Encoder
 
@@ -165,3 +165,41 @@ def test_deep_pages_without_an_article_on_a_host(spark):
     deep = "<body><div class=post>" + "<font>w " * 3000 + "{i}</div><div class=low>Owned by the owner</div></body>"
     got = pages_of(spark, [deep.format(i=i) for i in range(4)])
     assert got == {i: "w " * 3000 + str(i) for i in range(4)}
+
+
+def pairs_sent(spark, caplog, x, every):
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    with caplog.at_level("INFO", logger=voronoi_knn.__name__):
+        got = voronoi_knn.top_k_inner_product(df, query=f"vec_id % {every} = 0", k=5).collect()
+    whole = np.floor(64 * x)
+    want = []
+    for q in range(0, len(x), every):
+        s = whole[q] @ whole.T
+        best = sorted((-s[i], i) for i in range(len(x)) if i != q)[:5]
+        want += [(q, k, i, int(-v)) for k, (v, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == want
+    a, b = caplog.records[-1].args
+    return a / b
+
+
+def test_top_k_prunes_clustered_vectors(spark, caplog):
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(20, 16))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    x = 4 * centers[rng.integers(20, size=1500)] + 0.02 * rng.normal(size=(1500, 16))
+    assert pairs_sent(spark, caplog, x, 10) < 0.5
+
+
+def test_top_k_of_unclustered_vectors(spark, caplog):
+    x = np.random.default_rng(2).normal(size=(600, 16))
+    assert pairs_sent(spark, caplog, x, 10) <= 1.0
+
+
+def test_groups_that_need_all_rows_are_merged():
+    sent, sizes = dict.fromkeys(range(24), 50_000), dict.fromkeys(range(24), 100)
+    assert voronoi_knn.merged_groups(sent, sizes, 50_000, 2048) == set(range(24))
+    assert voronoi_knn.merged_groups(dict.fromkeys(range(24), 2_000), sizes, 50_000, 2048) == set()
+    some = {g: 50_000 if g < 5 else 100 for g in range(24)}
+    # Small groups ride along while the merged queries fit one block.
+    assert voronoi_knn.merged_groups(some, sizes, 50_000, 2048) == set(range(20))
+    assert voronoi_knn.merged_groups({}, {}, 10, 2048) == set()
