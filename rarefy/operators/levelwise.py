@@ -31,7 +31,7 @@ import itertools
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -109,6 +109,17 @@ class LevelwiseModel:
     max_level: int
     _groups: list[TreeGroup] | None = field(default=None, repr=False, compare=False)
 
+    def truncated(self, depth: int) -> LevelwiseModel:
+        """The trees down to ``depth``; nodes there become leaves."""
+        cut = (F.col("depth") == depth) & ~F.col("is_leaf")
+        kept = self.nodes.where(F.col("depth") <= depth)
+        empty = {c: F.when(~cut, F.col(c)) for c in ("feature_index", "split_bin", "threshold", "gain")}
+        nodes = kept.select(*[
+            (empty.get(c) if c in empty else F.when(cut, F.lit(-1)).otherwise(F.col(c)) if c == "left_child"
+             else F.col(c) | cut if c == "is_leaf" else F.col(c)).alias(c) for c in kept.columns])
+        return LevelwiseModel(nodes, self.features, self.thresholds, replace(self.params, max_depth=depth),
+                              self.num_trees, min(self.max_level, depth))
+
     def groups(self) -> list[TreeGroup]:
         """The trees as constant arrays, read from the node table once per model."""
         if self._groups is None:
@@ -286,6 +297,12 @@ class LevelwiseEnsembleModel:
     def num_trees(self) -> int:
         return self.model.num_trees
 
+    def truncated(self, depth: int) -> LevelwiseEnsembleModel:
+        """The ensemble that stops at ``depth``: growth by level makes its trees prefixes of these."""
+        if depth >= self.model.params.max_depth:
+            return self
+        return replace(self, model=self.model.truncated(depth))
+
     @property
     def nodes(self) -> DataFrame:
         return self.model.nodes

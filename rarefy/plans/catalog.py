@@ -466,10 +466,12 @@ def _rounded(df, *names):
     return df.withColumns({c: F.round(c, DIGITS) for c in names})
 
 
+CONFUSION_MEASURES = ("TPR", "SPC", "PPV", "ACC", "F1", "MGEO", "PEXC", "MCC", "areaRoc", "areaRocScore")
+
+
 def report_confusion(spark, d):
     """O1 on the depth-2 experiment."""
-    return _rounded(_depth2_report(spark, d, "confusion"), "TPR", "SPC", "PPV", "ACC", "F1", "MGEO",
-                    "PEXC", "MCC", "areaRoc", "areaRocScore")
+    return _rounded(_depth2_report(spark, d, "confusion"), *CONFUSION_MEASURES)
 
 
 def report_importances(spark, d):
@@ -533,7 +535,7 @@ def experiment_grid(spark, d):
     cfg = experiment.ExperimentConfig(runs=RUNS, impurities=("gini", "entropy"), depths=(2,), bins=(32,),
                                       features=list(fixtures.BINARY_FEATURES), filters=EXPERIMENT_FILTER,
                                       reports=("confusion",))
-    return experiment.run_experiment(_tx(spark, d), cfg)["confusion"]
+    return _rounded(experiment.run_experiment(_tx(spark, d), cfg)["confusion"], *CONFUSION_MEASURES)
 
 
 QUERIES: dict[str, Query] = {

@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -163,6 +163,8 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
     # The balancing strategy is the slowest dimension of the grid.
     points = [(b, p) for b in map(check_strategy, cfg.balancings)
               for p in grid(cfg.impurities, cfg.depths, cfg.bins)]
+    # Trees of one run, strategy, impurity and bin count that share a sample are prefixes in depth.
+    deepest: dict[tuple, LevelwiseEnsembleModel] = {}
     for k in range(1, cfg.runs + 1):
         for g, (balancing, params) in enumerate(points):
             seed = f"{k}:{g}" if cfg.split_per_grid_point else f"{k}"
@@ -173,9 +175,17 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
                 indexer = fit_indexer(train, handle_invalid="keep")
                 train = materialise(indexer.transform(train), path=f"{folder}/train_indexed")
                 test = indexer.transform(test)
-            model = BalancedTreeEnsemble(params, "indexedFeatures", names, seed=seed,
-                                         parallelism=cfg.parallelism, engine=cfg.engine,
-                                         balancing=balancing).fit(train)
+            grown = (seed, balancing, params.impurity, params.max_bins)
+            model = deepest[grown].truncated(params.max_depth) if grown in deepest else None
+            if model is None:
+                share = not cfg.split_per_grid_point and cfg.engine != "ml"
+                most = replace(params, max_depth=max(cfg.depths)) if share else params
+                model = BalancedTreeEnsemble(most, "indexedFeatures", names, seed=seed,
+                                             parallelism=cfg.parallelism, engine=cfg.engine,
+                                             balancing=balancing).fit(train)
+                if share:
+                    deepest[grown] = model
+                    model = model.truncated(params.max_depth)
             scored = {}
             for side, part in (("test", test), ("train", train)):
                 pred = model.predict(part, cfg.strategy).select(

@@ -439,23 +439,29 @@ TEST = f"""test AS (SELECT * FROM labelled
   WHERE NOT ({U("'split:'", f"'{C.SPLIT_SEED}'", "':'", "idn")} < {_d(C.TRAIN)}))"""
 # Run 1, grid point 0 of an experiment: its seed drives the split and the bootstrap.
 EXP_SEED = "1:0"
-EXP_SPLIT = f"{U(chr(39) + 'split:' + chr(39), chr(39) + EXP_SEED + chr(39), chr(39) + ':' + chr(39), 'idn')} < {_d(C.TRAIN)}"
-EXP_SIDES = {"train": f"SELECT * FROM labelled WHERE {EXP_SPLIT}",
-             "test": f"SELECT * FROM labelled WHERE NOT ({EXP_SPLIT})"}
 
 
-def _exp_ctes() -> str:
-    return f"exp_train AS ({EXP_SIDES['train']}),\n" + _depth2_ctes("gini", "exp_train", EXP_SEED)
+def _exp_side(side: str, seed: str) -> str:
+    split = f"""{U("'split:'", f"'{seed}'", "':'", "idn")} < {_d(C.TRAIN)}"""
+    return "SELECT * FROM labelled WHERE " + (split if side == "train" else f"NOT ({split})")
 
 
-def _on_experiment(sql: str, side: str) -> str:
+def _exp_ctes(seed: str = EXP_SEED, kind: str = "gini") -> str:
+    return f"exp_train AS ({_exp_side('train', seed)}),\n" + _depth2_ctes(kind, "exp_train", seed)
+
+
+def _on_experiment(sql: str, side: str, seed: str = EXP_SEED, kind: str = "gini") -> str:
     """A query over the votes fixture, over the experiment's votes instead."""
-    votes = _exp_ctes() + ",\n" + _walk_ctes(f"({EXP_SIDES[side]})")
+    votes = _exp_ctes(seed, kind) + ",\n" + _walk_ctes(f"({_exp_side(side, seed)})")
     assert CTE["votes"] in sql
     return sql.replace(CTE["votes"], votes).replace("WITH ev", "WITH RECURSIVE ev", 1)
 
 
-GRID_TAIL = "'gini' AS impurity, 2 AS depth, 32 AS bins, 'balanced' AS balancing"
+def _grid_tail(kind: str) -> str:
+    return f"'{kind}' AS impurity, 2 AS depth, 32 AS bins, 'balanced' AS balancing"
+
+
+GRID_TAIL = _grid_tail("gini")
 
 
 def _both_sides(select) -> str:
@@ -463,18 +469,24 @@ def _both_sides(select) -> str:
     return "\nUNION ALL\n".join(f"SELECT * FROM ({select(side)})" for side in ("test", "train"))
 
 
-def _report_confusion() -> str:
+def _report_confusion(k: int = 1, seed: str = EXP_SEED, kind: str = "gini") -> str:
     def one(side):
-        hard = _on_experiment(_auc_sql("predicted_label"), side)
-        by_lr = _on_experiment(_auc_sql("(SELECT x.lr FROM lrs x WHERE x.idn = scored.idn)"), side)
+        hard = _on_experiment(_auc_sql("predicted_label"), side, seed, kind)
+        by_lr = _on_experiment(_auc_sql("(SELECT x.lr FROM lrs x WHERE x.idn = scored.idn)"), side, seed, kind)
         by_lr = by_lr.replace(CTE["scored"], CTE["scored"] + ",\n" + CTE["lrs"], 1)
-        return f"""SELECT '{side}' AS tipo, 1 AS k, tp, fn, tn, fp, tpr AS "TPR", spc AS "SPC", ppv AS "PPV",
+        return f"""SELECT '{side}' AS tipo, {k} AS k, tp, fn, tn, fp, tpr AS "TPR", spc AS "SPC", ppv AS "PPV",
   acc AS "ACC", f1 AS "F1", mgeo AS "MGEO", pexc AS "PEXC", mcc AS "MCC",
-  (SELECT auc FROM ({hard})) AS "areaRoc", (SELECT auc FROM ({by_lr})) AS "areaRocScore", {GRID_TAIL}
-FROM ({_on_experiment(_confusion_sql(), side)})"""
+  (SELECT auc FROM ({hard})) AS "areaRoc", (SELECT auc FROM ({by_lr})) AS "areaRocScore", {_grid_tail(kind)}
+FROM ({_on_experiment(_confusion_sql(), side, seed, kind)})"""
     return _both_sides(one)
 
 
+def _experiment_grid() -> str:
+    """Every run at every grid point, each with a split and a bootstrap of its own."""
+    return "\nUNION ALL\n".join(_report_confusion(k, f"{k}:{g}", kind) for k in range(1, C.RUNS + 1)
+                                for g, kind in enumerate(("gini", "entropy")))
+
+
 def _report_importances() -> str:
     names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(BINARY))
     return with_("labelled", extra=_exp_ctes()) + _importance_rows(names) + f"""
@@ -673,6 +685,7 @@ SELECT s.idn, s.label, CAST(n AS INTEGER) AS n_trees, n_votes, round(p0, 9) AS p
     "smote_synthetic": _smote_sql(),
     "enn_round": _enn_sql(),
     "report_model": _report_model(),
+    "experiment_grid": _experiment_grid(),
     "report_confusion": _report_confusion(),
     "report_importances": _report_importances(),
     "report_roc": f"""SELECT fpr AS "X", tpr AS "Y", 1 AS k, pos, {GRID_TAIL}

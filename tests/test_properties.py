@@ -684,3 +684,30 @@ def test_unseen_category_with_a_train_only_indexer(spark):
     new = spark.createDataFrame([(7.0, 1.0)], "a double, b double")
     model = fit_indexer(assemble(df, ["a", "b"]), handle_invalid="keep")
     assert model.transform(assemble(new, ["a", "b"])).select("indexedFeatures").count() == 1
+
+
+def test_depths_share_one_growth(spark, fitted, monkeypatch):
+    data, tr, te = fitted
+    from rarefy.operators.ensemble import BalancedTreeEnsemble, TreeParams
+    deep = BalancedTreeEnsemble(TreeParams("gini", 4, 16), seed="5").fit(tr)
+    for depth in (1, 3, 4):
+        alone = BalancedTreeEnsemble(TreeParams("gini", depth, 16), seed="5").fit(tr)
+        cut = deep.truncated(depth)
+        columns = [c for c in alone.nodes.columns]
+        assert cut.nodes.columns == columns
+        assert sorted(map(str, cut.nodes.collect())) == sorted(map(str, alone.nodes.collect()))
+    assert deep.truncated(9) is deep
+
+
+def test_grid_of_depths_fits_once_per_run(spark, small_dir, monkeypatch):
+    from rarefy.operators.ensemble import BalancedTreeEnsemble
+    fits = []
+    fit = BalancedTreeEnsemble.fit
+    monkeypatch.setattr(BalancedTreeEnsemble, "fit", lambda self, df: fits.append(self.params) or fit(self, df))
+    cfg = experiment.ExperimentConfig(runs=2, impurities=("gini",), depths=(1, 2), bins=(8,),
+                                      features=list(fixtures.BINARY_FEATURES), split_per_grid_point=False,
+                                      reports=("nodes",))
+    nodes = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg)["nodes"].toPandas()
+    assert [p.max_depth for p in fits] == [2, 2]
+    assert set(nodes[["k", "depth"]].itertuples(index=False, name=None)) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    assert (np.floor(np.log2(nodes["node"])) <= nodes["depth"]).all()
