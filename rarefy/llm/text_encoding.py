@@ -33,10 +33,10 @@ UNIT = "\x01"
 # Chunks given to the library in one string.
 PER_CALL = 64
 # Bounds of the per-worker memory: entries, and the longest chunk kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 CACHE_CHUNK = 48
 # Characters whose chunks are looked up together (bounds the memory of one step).
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 4_000_000
 # Characters whose results are handed on together.
 OUTPUT_CHARS = 2_000_000
 
