@@ -25,7 +25,7 @@ import hashlib
 import itertools
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -171,7 +171,8 @@ class BalancedTreeEnsemble:
                  workdir: str | None = None, plan: DataFrame | None = None,
                  balancing: str = "balanced", kmeans_k: int | None = None,
                  engine: str = "auto", max_concurrent_fits: int = MAX_CONCURRENT_FITS,
-                 neighbours: int = 5, smote_percent: int = 100):
+                 neighbours: int = 5, smote_percent: int = 100,
+                 thresholds: str = "tree", categories: Mapping[int, int] | None = None):
         self.params = params or TreeParams()
         self.features_col = features_col
         self.feature_names = list(feature_names or [])
@@ -191,6 +192,13 @@ class BalancedTreeEnsemble:
         # One learner for every impurity, so that a grid compares impurities, not engines.
         self.engine = "levelwise" if engine == "auto" else engine
         self.max_concurrent_fits = max_concurrent_fits
+        # Of the level-wise engine: split points of each tree's own balanced set or of all sets
+        # together, and the number of categories by feature index (the ml engine reads both off
+        # the vector's metadata and the tree's rows).
+        if thresholds not in ("tree", "pooled"):
+            raise ValueError("thresholds must be 'tree' or 'pooled'")
+        self.thresholds = thresholds
+        self.categories = dict(categories or {})
 
     def balanced_table(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The long (tree, w, y, features) table and the tree count."""
@@ -222,7 +230,8 @@ class BalancedTreeEnsemble:
             size = len(first[0]) if first else 0
         long, n_trees = self.balanced_table(df.select(ID, LABEL, self.features_col))
         long, cols = expand_vector(long, self.features_col, size)
-        model = grow(long.drop(self.features_col, ID), cols, self.params, n_trees=n_trees)
+        model = grow(long.drop(self.features_col, ID), cols, self.params, n_trees=n_trees,
+                     per_tree=self.thresholds == "tree", categorical=self.categories)
         return LevelwiseEnsembleModel(model, self.features_col, self.feature_names,
                                       self.minority, self.majority)
 

@@ -37,12 +37,14 @@ def feature_arity(df: DataFrame, features: Sequence[str] | None = None,
     """FEA3/FEA4/FEA5: per feature (index, feature, min, max, arity, categorical).
 
     ``arity`` is the number of distinct non-NULL values when it is at most
-    two, else NULL; ``categorical`` = arity <= max_categories (only 2 is
-    supported exactly by this two-pass test).
+    ``max_categories`` (two at least), else NULL; ``categorical`` = arity <=
+    max_categories.  Above two, an approximate count first leaves out the
+    features with far more values; the values of the others are then counted
+    exactly, a group of at most a few times ``max_categories`` per feature.
     """
-    if max_categories != 2:
-        raise ValueError("feature_arity decides arity up to two values")
     cols = list(features or feature_columns(df, IGNORE))
+    if max_categories > 2:
+        return _wide_arity(df, cols, max_categories)
     bounds = df.agg(*[F.min(c).cast("double").alias(f"lo_{i}") for i, c in enumerate(cols)],
                     *[F.max(c).cast("double").alias(f"hi_{i}") for i, c in enumerate(cols)])
     # One row of 2 x features numbers, read once and used as literals.
@@ -66,6 +68,26 @@ def feature_arity(df: DataFrame, features: Sequence[str] | None = None,
                       F.coalesce(arity <= max_categories, F.lit(False)).alias("categorical"))
 
 
+def _wide_arity(df: DataFrame, cols: Sequence[str], max_categories: int) -> DataFrame:
+    """:func:`feature_arity` for more than two values."""
+    values = [F.col(c).cast("double") for c in cols]
+    row = df.agg(*[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)],
+                 *[F.min(v).alias(f"lo{i}") for i, v in enumerate(values)],
+                 *[F.max(v).alias(f"hi{i}") for i, v in enumerate(values)]).first()
+    few = [i for i in range(len(cols)) if row[f"d{i}"] <= 2 * max_categories]
+    all_features = df.sparkSession.createDataFrame(
+        [(i, c, row[f"lo{i}"], row[f"hi{i}"], 0 if row[f"d{i}"] == 0 else None) for i, c in enumerate(cols)],
+        "feature_index int, feature string, min_value double, max_value double, none int")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("feature_index"), values[i].alias("v"))
+                                          for i in few] or [F.lit(None).cast("struct<feature_index:int,v:double>")]))
+                      .alias("c")).select("c.*").where("v is not null").distinct()
+    counts = cells.groupBy("feature_index").agg(F.count("v").cast("int").alias("counted"))
+    arity = F.coalesce("none", F.when(F.col("counted") <= max_categories, F.col("counted")))
+    return (all_features.join(counts, "feature_index", "left")
+            .select("feature_index", "feature", "min_value", "max_value", arity.alias("arity"),
+                    arity.isNotNull().alias("categorical")))
+
+
 def fit_indexer(df: DataFrame, input_col: str = "features", output_col: str = "indexedFeatures",
                 max_categories: int = 2, handle_invalid: str = "error"):
     """FEA3 with Spark's VectorIndexer (category maps per feature index).

@@ -17,10 +17,10 @@ every row (heap numbering: root 1, children 2n and 2n+1).  Per level:
 
 Node totals are the side sums of the parent's split, so no pass computes them.
 
-Candidate thresholds come from the balanced rows: a feature with at most
-``max_bins`` distinct values (a binary one, say) keeps a threshold between any
-two neighbours, however rare a value is; other features use distinct
-approximate quantiles.
+Candidate thresholds (:mod:`rarefy.operators.thresholds`) come from the balanced
+rows, of all trees together or of each tree by weight.  A categorical feature
+has one bin per code; inside a node its codes are ordered by P(minority), and
+the splits are the prefixes of that order.  A NULL code goes right.
 
 Scoring walks the trees inside the row (:mod:`rarefy.operators.treewalk`).
 """
@@ -29,12 +29,10 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,60 +40,12 @@ from ..session import discard
 from ..sources.tables import materialise
 from .ensemble import TreeParams
 from .impurity import impurity as _impurity
-from .treewalk import TreeGroup, group_trees, with_tree_values
+from .thresholds import bin_by_tree, bin_columns, category_bins, feature_thresholds, tree_thresholds
+from .treewalk import TreeGroup, category_mask, group_trees, with_tree_values
 from .votes import combine
 
 GAIN_DIGITS = 12
 SIDE_SUMS = ("left_n", "left_n1", "right_n", "right_n1")
-QUANTILE_ACCURACY = 10000
-
-
-def feature_thresholds(df: DataFrame, features: Sequence[str], max_bins: int) -> list[list[float]]:
-    """Per feature, at most ``max_bins - 1`` split thresholds (``x <= t`` goes left).
-
-    Midpoints between all distinct values where there are at most ``max_bins``
-    of them, else distinct approximate quantiles.  The distinct values are
-    listed only for features whose approximate count is small, so what the
-    driver reads is bounded by features x max_bins.
-    """
-    cols = [F.col(c).cast("double") for c in features]
-    qs = [i / max_bins for i in range(1, max_bins)]
-    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
-                 *[F.percentile_approx(c, qs, QUANTILE_ACCURACY).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
-    few = [i for i in range(len(features)) if row[f"d{i}"] <= 2 * max_bins]
-    values: dict[int, list[float]] = {i: [] for i in few}
-    if few:
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), cols[i].alias("v")) for i in few]))
-        found = df.select(cells.alias("c")).select("c.*").where("v is not null and not isnan(v)")
-        for r in found.distinct().collect():
-            values[r["f"]].append(r["v"])
-    out = []
-    for i in range(len(features)):
-        vals = sorted(values.get(i, []))
-        if i in values and len(vals) <= max_bins:
-            out.append([a + (b - a) / 2 for a, b in zip(vals, vals[1:])])
-        else:
-            out.append(sorted({float(v) for v in row[f"q{i}"] or [] if v is not None and not math.isnan(v)}))
-    return out
-
-
-def bin_columns(df: DataFrame, features: Sequence[str], thresholds: list[list[float]],
-                output: str = "bins") -> DataFrame:
-    """Add ``bins array<int>``: per feature, the number of thresholds < x."""
-    splits = [[-math.inf] + [math.nextafter(t, math.inf) for t in ts] + [math.inf]
-              for ts in thresholds]
-    tmp = [f"_bin_{i}" for i in range(len(features))]
-    staged = df
-    casted = []
-    for i, c in enumerate(features):
-        name = f"_x_{i}"
-        staged = staged.withColumn(name, F.col(c).cast("double"))
-        casted.append(name)
-    b = Bucketizer(splitsArray=splits, inputCols=casted, outputCols=tmp, handleInvalid="error")
-    out = b.transform(staged)
-    return (out.withColumn(output, F.array(*[F.col(t).cast("int") for t in tmp]))
-            .drop(*tmp, *casted))
 
 
 @dataclass
@@ -113,7 +63,7 @@ class LevelwiseModel:
         """The trees down to ``depth``; nodes there become leaves."""
         cut = (F.col("depth") == depth) & ~F.col("is_leaf")
         kept = self.nodes.where(F.col("depth") <= depth)
-        empty = {c: F.when(~cut, F.col(c)) for c in ("feature_index", "split_bin", "threshold", "gain")}
+        empty = {c: F.when(~cut, F.col(c)) for c in ("feature_index", "split_bin", "threshold", "left_codes", "gain")}
         nodes = kept.select(*[
             (empty.get(c) if c in empty else F.when(cut, F.lit(-1)).otherwise(F.col(c)) if c == "left_child"
              else F.col(c) | cut if c == "is_leaf" else F.col(c)).alias(c) for c in kept.columns])
@@ -123,12 +73,13 @@ class LevelwiseModel:
     def groups(self) -> list[TreeGroup]:
         """The trees as constant arrays, read from the node table once per model."""
         if self._groups is None:
-            rows = (self.nodes.select("tree", "node", "is_leaf", "feature_index", "threshold", "prediction")
+            rows = (self.nodes.select("tree", "node", "is_leaf", "feature_index", "threshold",
+                                      "left_codes", "prediction")
                     .orderBy("tree", "node").toLocalIterator())
             by_tree = itertools.groupby(rows, key=lambda r: r["tree"])
             self._groups = group_trees(
-                [(r["node"], None if r["is_leaf"] else r["feature_index"], r["threshold"], 0,
-                  2 * r["node"], 2 * r["node"] + 1, r["prediction"]) for r in nodes]
+                [(r["node"], None if r["is_leaf"] else r["feature_index"], r["threshold"],
+                  category_mask(r["left_codes"] or ()), 2 * r["node"], 2 * r["node"] + 1, r["prediction"]) for r in nodes]
                 for _, nodes in by_tree)
         return self._groups
 
@@ -150,27 +101,45 @@ def _histogram(state: DataFrame) -> DataFrame:
         F.sum("w").alias("c"), F.sum(F.col("w") * F.col("y")).alias("c1"))
 
 
-def _best_splits(hist: DataFrame, kind: str, min_info_gain: float) -> DataFrame:
-    """Best threshold per (tree, node), with the sums of its two sides."""
-    by_bin = Window.partitionBy("tree", "node", "f").orderBy("b")
+def _best_splits(hist: DataFrame, kind: str, min_info_gain: float,
+                 categorical: Sequence[int] = ()) -> DataFrame:
+    """Best split per (tree, node), with the sums of its two sides.
+
+    ``split_bin`` is the last bin on the left; for a categorical feature the
+    position in the order of its codes by P(minority), whose prefix is
+    ``left_codes``.
+    """
+    order, last = ["b"], F.col("b")
+    left_codes = F.lit(None).cast("array<int>")
+    if categorical:
+        of_codes = F.col("f").isin(*categorical)
+        # NULL codes (bin -1) stay at the right end.
+        rank = F.when(~of_codes, F.lit(0.0)).when(F.col("b") < 0, F.lit(2.0)).otherwise(F.col("c1") / F.col("c"))
+        hist, order = hist.withColumn("o", rank), ["o", "b"]
+    by_bin = Window.partitionBy("tree", "node", "f").orderBy(*order)
     whole = Window.partitionBy("tree", "node", "f")
+    if categorical:
+        last = F.when(of_codes, F.row_number().over(by_bin) - 1).otherwise(F.col("b"))
+        left_codes = F.when(of_codes, F.collect_list(F.when(of_codes, F.col("b"))).over(by_bin))
     cum = (hist.withColumn("nl", F.sum("c").over(by_bin)).withColumn("n1l", F.sum("c1").over(by_bin))
-           .withColumn("nt", F.sum("c").over(whole)).withColumn("n1t", F.sum("c1").over(whole)))
+           .withColumn("nt", F.sum("c").over(whole)).withColumn("n1t", F.sum("c1").over(whole))
+           .withColumn("last", last).withColumn("codes", left_codes))
     nr, n1r = F.col("nt") - F.col("nl"), F.col("n1t") - F.col("n1l")
     gain = (_impurity(F.col("nt"), F.col("n1t"), kind)
             - F.col("nl") / F.col("nt") * _impurity(F.col("nl"), F.col("n1l"), kind)
             - nr / F.col("nt") * _impurity(nr, n1r, kind))
     cand = (cum.where((F.col("nl") > 0) & (nr > 0))
-            .select("tree", "node", "f", "b", F.round(gain, GAIN_DIGITS).alias("gain"), "nl", "n1l", "nt", "n1t"))
+            .select("tree", "node", "f", "last", F.round(gain, GAIN_DIGITS).alias("gain"),
+                    "nl", "n1l", "nt", "n1t", "codes"))
     # Max over (gain, -feature, -bin); the side sums ride along.
     best = (cand.groupBy("tree", "node")
-            .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
-                                "nl", "n1l", "nt", "n1t")).alias("s"))
+            .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("last")).alias("nb"),
+                                "nl", "n1l", "nt", "n1t", "codes")).alias("s"))
             .select("tree", "node", F.col("s.gain").alias("gain"),
                     (-F.col("s.nf")).alias("feature_index"), (-F.col("s.nb")).alias("split_bin"),
                     F.col("s.nl").alias("left_n"), F.col("s.n1l").alias("left_n1"),
                     (F.col("s.nt") - F.col("s.nl")).alias("right_n"),
-                    (F.col("s.n1t") - F.col("s.n1l")).alias("right_n1")))
+                    (F.col("s.n1t") - F.col("s.n1l")).alias("right_n1"), F.col("s.codes").alias("left_codes")))
     return best.where(F.col("gain") > F.lit(min_info_gain))
 
 
@@ -204,32 +173,62 @@ def _leaves(totals: DataFrame) -> DataFrame:
     return totals.select("tree", "node", "n", "n1", F.lit(None).cast("double").alias("gain"),
                          F.lit(None).cast("int").alias("feature_index"),
                          F.lit(None).cast("int").alias("split_bin"),
-                         *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS])
+                         *[F.lit(None).cast("double").alias(c) for c in SIDE_SUMS],
+                         F.lit(None).cast("array<int>").alias("left_codes"))
 
 
 def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
          thresholds: list[list[float]] | None = None, min_info_gain: float = 0.0,
-         n_trees: int | None = None) -> LevelwiseModel:
-    """Grow every tree of ``balanced`` (tree, w, y, <features>) level by level."""
+         n_trees: int | None = None, per_tree: bool = False,
+         categorical: Mapping[int, int] | None = None) -> LevelwiseModel:
+    """Grow every tree of ``balanced`` (tree, w, y, <features>) level by level.
+
+    ``per_tree``: thresholds of each tree's own weighted rows instead of all
+    trees' rows together; a NULL or NaN goes right.  ``categorical``: feature
+    index -> number of categories; such a feature holds codes from 0, at most
+    ``max_bins`` of them.
+    """
     kind = params.impurity.lower()
     features = list(features)
+    codes = sorted(categorical or {})
+    for i in codes:
+        if not 0 <= i < len(features) or not 0 < categorical[i] <= params.max_bins:
+            raise ValueError("a categorical feature needs a place among the features and 1 to max_bins categories")
+    ordered = [i for i in range(len(features)) if i not in codes]
+    names = [features[i] for i in ordered]
     cols = [F.col("w").cast("double").alias("w"), F.col("y").cast("double").alias("y")]
-    written = []
-    if thresholds is None or params.max_depth > 1:
+    written, cuts = [], None
+    if per_tree or thresholds is None or params.max_depth > 1:
         # Several passes follow: thresholds, and a histogram and a move per level.
         balanced = materialise(balanced.select("tree", *cols, *features))
         written.append(balanced)
-    if thresholds is None:
-        thresholds = feature_thresholds(balanced, features, params.max_bins)
+    spark = balanced.sparkSession
+    if per_tree:
+        cuts = tree_thresholds(balanced, names, params.max_bins)
+        written.append(cuts)
+        place = F.array(*[F.lit(i) for i in ordered])
+        thr = cuts.select("tree", F.get(place, F.col("f")).alias("feature_index"),
+                          F.posexplode("thresholds").alias("split_bin", "threshold"))
+        thr_key, thresholds = ["tree", "feature_index", "split_bin"], []
+        binned = bin_by_tree(balanced, names, cuts, "_ordered")
+    else:
+        if thresholds is None:
+            found = iter(feature_thresholds(balanced, names, params.max_bins))
+            thresholds = [[] if i in codes else next(found) for i in range(len(features))]
+        thr = spark.createDataFrame(
+            [(f, b, t) for f, ts in enumerate(thresholds) for b, t in enumerate(ts)],
+            "feature_index int, split_bin int, threshold double")
+        thr_key = ["feature_index", "split_bin"]
+        binned = bin_columns(balanced, names, [thresholds[i] for i in ordered], "_ordered")
     if n_trees is None:
         top = balanced.agg(F.max("tree")).first()[0]
         n_trees = 0 if top is None else int(top) + 1
-    state = (bin_columns(balanced, features, thresholds, "bins")
-             .select("tree", *cols, "bins", F.lit(1).cast("bigint").alias("node")))
-    spark = balanced.sparkSession
-    thr = spark.createDataFrame(
-        [(f, b, t) for f, ts in enumerate(thresholds) for b, t in enumerate(ts)],
-        "feature_index int, split_bin int, threshold double")
+    if codes:
+        bins = F.array(*[category_bins(features[i]) if i in codes else F.get("_ordered", F.lit(ordered.index(i)))
+                         for i in range(len(features))])
+    else:
+        bins = F.col("_ordered")
+    state = binned.select("tree", *cols, bins.alias("bins"), F.lit(1).cast("bigint").alias("node"))
     hist = materialise(_histogram(state))
     root = hist.where("f = 0").groupBy("tree", "node").agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"))
     levels, depth, totals = [], 0, root
@@ -237,7 +236,7 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         if depth == params.max_depth:
             level = _leaves(totals)
         else:
-            level = totals.join(_best_splits(hist, kind, min_info_gain), ["tree", "node"], "left")
+            level = totals.join(_best_splits(hist, kind, min_info_gain, codes), ["tree", "node"], "left")
         level = materialise(level.withColumn("depth", F.lit(depth))
                             .withColumn("is_leaf", F.col("feature_index").isNull()))
         levels.append(level)
@@ -247,31 +246,34 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         totals, depth = _children(level), depth + 1
         if depth == params.max_depth:
             continue  # these are leaves: their sums are known
-        side = splits.select("tree", "node", "feature_index", "split_bin",
+        side = splits.select("tree", "node", "feature_index", "split_bin", "left_codes",
                              (F.col("left_n") <= F.col("right_n")).alias("left_small"))
-        right = F.element_at("bins", F.col("feature_index") + 1) > F.col("split_bin")
+        own = F.element_at("bins", F.col("feature_index") + 1)
+        right = own > F.col("split_bin")
+        if codes:
+            right = F.when(F.col("left_codes").isNull(), right).otherwise(~F.array_contains("left_codes", own))
         moved = state.join(side, ["tree", "node"]).select(
             "tree", "w", "y", "bins", (F.lit(2) * F.col("node") + right.cast("bigint")).alias("node"),
             (right != F.col("left_small")).alias("small"))
-        before, state = written, materialise(moved)
-        written = [state]
+        before, state = [t for t in written if t is not cuts], materialise(moved)
+        written = [state] if cuts is None else [state, cuts]
         small = materialise(_histogram(state.where("small")))
         joined = materialise(_next_histogram(small, hist, splits))
         for old in (*before, small, hist):
             discard(old)
         hist = joined
-    for old in (*written, hist):
-        discard(old)
     nodes = reduce(DataFrame.unionByName, levels)
     imp = _impurity(F.col("n"), F.col("n1"), kind)
     nodes = materialise(
-        nodes.join(thr, ["feature_index", "split_bin"], "left")
+        nodes.join(thr, thr_key, "left")
         .select("tree", "node", "depth", "n", "n1",
                 F.try_divide(F.col("n1"), F.col("n")).alias("prediction"),
                 imp.alias("impurity"), "is_leaf", "feature_index", "split_bin",
-                "threshold", "gain",
-                F.when(F.col("is_leaf"), F.lit(-1)).otherwise(F.lit(1)).alias("left_child")))
-    for old in levels:
+                F.when(F.col("left_codes").isNull(), F.col("threshold")).alias("threshold"),
+                "gain",
+                F.when(F.col("is_leaf"), F.lit(-1)).otherwise(F.lit(1)).alias("left_child"),
+                F.array_sort("left_codes").alias("left_codes")))
+    for old in (*written, hist, *levels):
         discard(old)
     return LevelwiseModel(nodes, features, thresholds, params, n_trees, depth)
 
@@ -335,7 +337,10 @@ class LevelwiseEnsembleModel:
         """SNK3: read back a saved level-wise ensemble."""
         path = path.rstrip("/")
         m = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-        model = LevelwiseModel(spark.read.parquet(f"{path}/nodes"), m["features"], m["thresholds"],
+        nodes = spark.read.parquet(f"{path}/nodes")
+        if "left_codes" not in nodes.columns:  # saved without category sets
+            nodes = nodes.withColumn("left_codes", F.lit(None).cast("array<int>"))
+        model = LevelwiseModel(nodes, m["features"], m["thresholds"],
                                TreeParams(m["impurity"], m["max_depth"], m["max_bins"]),
                                m["num_trees"], m["max_level"])
         return cls(model, m["features_col"], m["feature_names"], m["minority"], m["majority"])
@@ -350,6 +355,6 @@ class LevelwiseEnsembleModel:
                 lines.append(f"tree {r['tree']}{pad}node {r['node']}: predict {r['prediction']:.6f}")
             else:
                 name = self.feature_names[r["feature_index"]] if self.feature_names else r["feature_index"]
-                lines.append(f"tree {r['tree']}{pad}node {r['node']}: {name} <= {r['threshold']}"
-                             f" (gain {r['gain']})")
+                rule = f"<= {r['threshold']}" if r["left_codes"] is None else f"in {r['left_codes']}"
+                lines.append(f"tree {r['tree']}{pad}node {r['node']}: {name} {rule} (gain {r['gain']})")
         return "\n".join(lines)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 # Nodes of one group of constant arrays (some 10 MB of literals).
 MAX_NODES = 500_000
-# Categories of a split travel as the bits of a 64-bit integer.
-MAX_CATEGORIES = 62
+# Categories of a split travel as the bits of 64-bit integers, this many in each.
+WORD_BITS = 62
 
 
 @dataclass
@@ -27,7 +27,9 @@ class TreeGroup:
     """Some whole trees as parallel lists; a leaf has feature -1."""
     feature: list[int] = field(default_factory=list)
     threshold: list[float] = field(default_factory=list)
-    categories: list[int] = field(default_factory=list)
+    first_word: list[int] = field(default_factory=list)  # of a node's categories, or -1
+    n_words: list[int] = field(default_factory=list)
+    words: list[int] = field(default_factory=list)
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
@@ -45,7 +47,12 @@ class TreeGroup:
             leaf = f is None
             self.feature.append(-1 if leaf else int(f))
             self.threshold.append(0.0 if leaf or t is None else float(t))
-            self.categories.append(0 if leaf or not c else int(c))
+            mask = 0 if leaf or not c else int(c)
+            self.first_word.append(len(self.words) if mask else -1)
+            self.n_words.append(-(-mask.bit_length() // WORD_BITS))
+            while mask:
+                self.words.append(mask & ((1 << WORD_BITS) - 1))
+                mask >>= WORD_BITS
             self.left.append(base if leaf else place[left])
             self.right.append(base if leaf else place[right])
             self.value.append(float(value))
@@ -68,8 +75,8 @@ def category_mask(categories: Iterable[float]) -> int:
     """Bit c is set for every category c that goes left."""
     mask = 0
     for c in categories:
-        if not 0 <= c <= MAX_CATEGORIES:
-            raise ValueError(f"categories above {MAX_CATEGORIES} cannot be scored in the row")
+        if c < 0:
+            raise ValueError("categories are numbered from 0")
         mask |= 1 << int(c)
     return mask
 
@@ -93,16 +100,20 @@ def tree_values(x: Column, groups: Sequence[TreeGroup]) -> Column:
     def one_group(xs: Column, g: TreeGroup) -> Column:
         feature, left, right = (_constant(v, "int") for v in (g.feature, g.left, g.right))
         threshold, value = _constant(g.threshold, "double"), _constant(g.value, "double")
-        categorical = any(g.categories)
-        masks = _constant(g.categories, "bigint") if categorical else None
+        categorical = bool(g.words)
+        if categorical:
+            first, spans = _constant(g.first_word, "int"), _constant(g.n_words, "int")
+            words = _constant(g.words, "bigint")
 
         def step(n: Column, _: Column) -> Column:
             v = xs[feature[n]]
             ok = F.coalesce(v <= threshold[n], F.lit(False))
             if categorical:
-                inside = F.when((v >= 0) & (v <= MAX_CATEGORIES),
-                                F.getbit(masks[n], v.cast("int")) == 1).otherwise(F.lit(False))
-                ok = F.when(masks[n] != 0, F.coalesce(inside, F.lit(False))).otherwise(ok)
+                code = v.cast("int")
+                word = words[first[n] + F.floor(code / F.lit(WORD_BITS)).cast("int")]
+                inside = F.when((v >= 0) & (v < spans[n] * F.lit(WORD_BITS)),
+                                F.getbit(word, code % F.lit(WORD_BITS)) == 1).otherwise(F.lit(False))
+                ok = F.when(first[n] >= 0, F.coalesce(inside, F.lit(False))).otherwise(ok)
             return F.when(feature[n] < 0, n).when(ok, left[n]).otherwise(right[n])
 
         def leaf(root: Column) -> Column:

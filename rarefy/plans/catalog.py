@@ -46,6 +46,13 @@ SMOTE_PERCENT = 150
 # Binary features with one value on 1 of 100 rows: rarer than 1 / max_bins.
 RARE_FEATURES = {"rare_one": "cast(idn % 100 = 7 as int)", "rare_zero": "cast(idn % 100 <> 11 as int)"}
 
+# Features of many values, and codes; any value of them is exact in binary.
+CUT_FEATURES = {"monto_entero": "floor(monto)", "cuenta_6h": "cuenta_monto_user_6h", "cuenta_24h": "cuenta_monto_user_24h"}
+CODE_FEATURES = {"evento": "is_purchase + 2 * is_click + 3 * is_view", "franja": "morn + 2 * tard + 3 * noch",
+                 "resto": "cast(idn % 13 as int)"}
+CODE_ARITY = {"evento": 4, "franja": 4, "resto": 13}
+CUT_BINS = 16
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -342,6 +349,48 @@ def levelwise_depth2_importances(spark, d):
     return importance.named_importances(_depth2(spark, d).nodes, list(fixtures.BINARY_FEATURES))
 
 
+def _binned_rows(spark, d):
+    """Balanced sets on amounts, counts and codes."""
+    exprs = CUT_FEATURES | CODE_FEATURES
+    train = _train(spark, d).select("idn", "label", *[F.expr(e).alias(c) for c, e in exprs.items()])
+    bal = sampling.balanced_sets(train, seed=BOOT_SEED, keep=["idn", "label", *exprs])
+    return bal.withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+
+
+def _binned_nodes(model):
+    return model.nodes.select(
+        F.col("tree").cast("int").alias("tree"), "node", "depth", "n", "n1",
+        F.round("prediction", DIGITS).alias("prediction"), "is_leaf", "feature_index", "split_bin",
+        F.round("threshold", DIGITS).alias("threshold"), F.array_join("left_codes", ",").alias("left_codes"),
+        F.round("gain", DIGITS).alias("gain"))
+
+
+def tree_thresholds(spark, d):
+    """ENS1: split points of every tree's own weighted rows."""
+    cuts = levelwise.tree_thresholds(_binned_rows(spark, d), list(CUT_FEATURES), CUT_BINS)
+    return cuts.select("tree", F.col("f").alias("feature_index"), F.posexplode("thresholds").alias("split_bin", "threshold"))
+
+
+def levelwise_quantile_nodes(spark, d):
+    """ENS1: depth-2 trees on features of many values, split points by tree and weight."""
+    return _binned_nodes(levelwise.grow(_binned_rows(spark, d), list(CUT_FEATURES),
+                                        ensemble.TreeParams("gini", 2, CUT_BINS), per_tree=True))
+
+
+def levelwise_category_nodes(spark, d):
+    """ENS1 + FEA3: depth-2 trees on features of many values and category sets."""
+    features = list(CUT_FEATURES | CODE_FEATURES)
+    arity = {features.index(c): n for c, n in CODE_ARITY.items()}
+    return _binned_nodes(levelwise.grow(_binned_rows(spark, d), features, ensemble.TreeParams("entropy", 2, CUT_BINS),
+                                        per_tree=True, categorical=arity))
+
+
+def feature_arity_wide(spark, d):
+    """FEA3 with more than two categories."""
+    return feature_arity(labelled(_tx(spark, d)).select("*", *[F.expr(e).alias(c) for c, e in CODE_FEATURES.items()]),
+                         ["monto", "madr", "cuenta_monto_user_6h", *CODE_FEATURES], CUT_BINS)
+
+
 def levelwise_predictions(spark, d):
     """All trees grown together, one aggregate job per depth level."""
     data, _, names = experiment.prepare(_tx(spark, d), list(fixtures.FEATURES))
@@ -578,6 +627,10 @@ QUERIES: dict[str, Query] = {
     "kmeans_balance": kmeans_balance,
     "src_scan_pushed": src_scan_pushed,
     "levelwise_rare_stumps": levelwise_rare_stumps,
+    "tree_thresholds": tree_thresholds,
+    "levelwise_quantile_nodes": levelwise_quantile_nodes,
+    "levelwise_category_nodes": levelwise_category_nodes,
+    "feature_arity_wide": feature_arity_wide,
     "levelwise_depth2_nodes": levelwise_depth2_nodes,
     "levelwise_depth2_entropy": levelwise_depth2_entropy,
     "levelwise_depth2_predictions": levelwise_depth2_predictions,

@@ -232,13 +232,16 @@ def dump_lines(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
                                           (F.col("feature_index") + 1).cast("int")),
                          F.concat(F.lit("feature "), F.col("feature_index")))
     up = nodes.where("NOT is_leaf").select("tree", F.col("node").alias("parent"), feature.alias("name"),
-                                           F.col("threshold").alias("at"))
+                                           F.col("threshold").alias("at"), F.array_join("left_codes", ",").alias("codes"))
     own = nodes.select("tree", "node", "is_leaf", "prediction",
                        F.when(F.col("node") > 1, F.expr("node div 2")).alias("parent"))
     rows = own.join(up, ["tree", "parent"], "left")
+    at = F.format_string("%.6f", "at")
+    low = F.when(F.col("codes").isNull(), F.concat(F.lit(" <= "), at)).otherwise(F.concat(F.lit(" in {"), "codes", F.lit("}")))
+    high = F.when(F.col("codes").isNull(), F.concat(F.lit(" > "), at)).otherwise(F.concat(F.lit(" not in {"), "codes", F.lit("}")))
     branch = (F.when(F.col("parent").isNull(), F.lit("Tree"))
-              .when(F.col("node") % 2 == 0, F.concat(F.lit("If ("), "name", F.lit(" <= "), F.format_string("%.6f", "at"), F.lit(")")))
-              .otherwise(F.concat(F.lit("Else ("), "name", F.lit(" > "), F.format_string("%.6f", "at"), F.lit(")"))))
+              .when(F.col("node") % 2 == 0, F.concat(F.lit("If ("), "name", low, F.lit(")")))
+              .otherwise(F.concat(F.lit("Else ("), "name", high, F.lit(")"))))
     leaf = F.when(F.col("is_leaf"), F.concat(F.lit(" Predict: "), F.format_string("%.6f", "prediction"))).otherwise(F.lit(""))
     place = F.bin("node")
     return rows.select(F.col("tree").cast("int").alias("tree"), place.alias("place"),
@@ -260,7 +263,7 @@ def _node_rows(nodes: DataFrame, levelwise: bool) -> DataFrame:
     is_leaf)."""
     if levelwise:
         return nodes.select("tree", "node", "feature_index", "threshold",
-                            F.lit(None).cast("string").alias("left_categories"), "gain",
+                            F.array_join("left_codes", ",").alias("left_categories"), "gain",
                             "prediction", F.col("impurity").alias("node_impurity"), "is_leaf")
     return nodes.select("tree", F.col("id").cast("bigint").alias("node"), "feature_index",
                         # Continuous splits hold one threshold; leaves hold an empty array.

@@ -417,6 +417,90 @@ nodes AS (
   LEFT JOIN (SELECT * FROM split0 UNION ALL SELECT * FROM split1) USING (tree, node))"""
 
 
+def _cut_ctes() -> str:
+    """``cuts`` (tree, fi, x below, t, sb): split points of every tree's own weighted rows."""
+    cells = "\nUNION ALL\n".join(f"SELECT tree, idn, w, y, {i} AS fi, CAST({e} AS DOUBLE) AS x FROM bal"
+                                 for i, e in enumerate(C.CUT_FEATURES.values()))
+    m = C.CUT_BINS
+    return _balanced_ctes() + f""",
+cutcells AS ({cells}),
+dist AS (SELECT tree, fi, x, CAST(sum(w) AS DOUBLE) AS w FROM cutcells GROUP BY tree, fi, x),
+runs AS (
+  SELECT *, sum(w) OVER (PARTITION BY tree, fi ORDER BY x) AS cum, sum(w) OVER (PARTITION BY tree, fi) AS total,
+         count(*) OVER (PARTITION BY tree, fi) AS k, lead(x) OVER (PARTITION BY tree, fi ORDER BY x) AS above
+  FROM dist),
+cuts AS (
+  SELECT tree, fi, x + (above - x) / 2 AS t, CAST(row_number() OVER (PARTITION BY tree, fi ORDER BY x) - 1 AS INTEGER) AS sb
+  FROM runs WHERE above IS NOT NULL AND (k <= {m} OR floor(cum * {m} / total) > floor((cum - w) * {m} / total)))"""
+
+
+def _binned_depth2_ctes(kind: str, codes: bool) -> str:
+    """Two levels on ``CUT_FEATURES`` and, if asked, category sets of ``CODE_FEATURES``."""
+    n_cut = len(C.CUT_FEATURES)
+    coded = "".join(f"\nUNION ALL SELECT tree, idn, w, y, {n_cut + i} AS fi, CAST({e} AS INTEGER) AS b FROM bal"
+                    for i, e in enumerate(C.CODE_FEATURES.values())) if codes else ""
+    gain = _gain(kind)
+
+    def level(k: int) -> str:
+        by = "PARTITION BY tree, node, fi"
+        return f"""hist{k} AS (
+  SELECT a.tree, a.node, c.fi, c.b, CAST(sum(c.w) AS DOUBLE) AS c, CAST(sum(c.w * c.y) AS DOUBLE) AS c1
+  FROM at{k} a JOIN cells c ON c.tree = a.tree AND c.idn = a.idn GROUP BY a.tree, a.node, c.fi, c.b),
+ranked{k} AS (
+  SELECT *, CAST(row_number() OVER ({by} ORDER BY CASE WHEN fi >= {n_cut} THEN c1 / c ELSE 0.0 END, b) - 1 AS INTEGER) AS pos
+  FROM hist{k}),
+sides{k} AS (
+  SELECT tree, node, fi, b, pos, CASE WHEN fi >= {n_cut} THEN pos ELSE b END AS sb,
+    sum(c) OVER ({by} ORDER BY pos) AS nl, sum(c1) OVER ({by} ORDER BY pos) AS n1l,
+    sum(c) OVER ({by}) - sum(c) OVER ({by} ORDER BY pos) AS nr,
+    sum(c1) OVER ({by}) - sum(c1) OVER ({by} ORDER BY pos) AS n1r FROM ranked{k}),
+best{k} AS (
+  SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, fi, sb) AS rk
+  FROM (SELECT *, round({gain}, 12) AS gain FROM sides{k} WHERE nl > 0 AND nr > 0)),
+split{k} AS (
+  SELECT s.tree, s.node, s.fi, s.sb, s.gain, s.pos,
+    CASE WHEN s.fi >= {n_cut} THEN (SELECT string_agg(CAST(r.b AS VARCHAR), ',' ORDER BY r.b) FROM ranked{k} r
+      WHERE r.tree = s.tree AND r.node = s.node AND r.fi = s.fi AND r.pos <= s.pos) END AS left_codes
+  FROM best{k} s WHERE rk = 1 AND gain > 0),
+at{k + 1} AS (
+  SELECT a.tree, a.idn, a.w, a.y, 2 * a.node + (CASE WHEN r.pos > s.pos THEN 1 ELSE 0 END) AS node
+  FROM at{k} a JOIN split{k} s ON s.tree = a.tree AND s.node = a.node
+  JOIN cells c ON c.tree = a.tree AND c.idn = a.idn AND c.fi = s.fi
+  JOIN ranked{k} r ON r.tree = a.tree AND r.node = a.node AND r.fi = s.fi AND r.b = c.b)"""
+
+    return _cut_ctes() + f""",
+binned AS (
+  SELECT d.tree, d.fi, d.x, CAST(count(c.t) AS INTEGER) AS b
+  FROM dist d LEFT JOIN cuts c ON c.tree = d.tree AND c.fi = d.fi AND c.t < d.x GROUP BY d.tree, d.fi, d.x),
+cells AS (
+  SELECT v.tree, v.idn, v.w, v.y, v.fi, n.b FROM cutcells v
+  JOIN binned n ON n.tree = v.tree AND n.fi = v.fi AND n.x = v.x{coded}),
+at0 AS (SELECT tree, idn, w, y, 1 AS node FROM bal),
+{level(0)},
+{level(1)},
+nodes AS (
+  SELECT g.tree, CAST(g.node AS BIGINT) AS node, CAST(floor(log2(g.node)) AS INTEGER) AS depth, n, n1,
+    round(n1 / n, 9) AS prediction, s.fi IS NULL AS is_leaf, CAST(s.fi AS INTEGER) AS feature_index,
+    s.sb AS split_bin, round(c.t, 9) AS threshold, s.left_codes, round(s.gain, 9) AS gain
+  FROM (SELECT tree, node, CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w * y) AS DOUBLE) AS n1
+        FROM (SELECT * FROM at0 UNION ALL BY NAME SELECT * FROM at1 UNION ALL BY NAME SELECT * FROM at2)
+        GROUP BY tree, node) g
+  LEFT JOIN (SELECT * FROM split0 UNION ALL SELECT * FROM split1) s ON s.tree = g.tree AND s.node = g.node
+  LEFT JOIN cuts c ON c.tree = s.tree AND c.fi = s.fi AND c.sb = s.sb)
+SELECT * FROM nodes"""
+
+
+def _wide_arity_sql() -> str:
+    names = ["monto", "madr", "cuenta_monto_user_6h"]
+    exprs = {n: n for n in names} | C.CODE_FEATURES
+    rows = "\nUNION ALL\n".join(
+        f"SELECT {i} AS feature_index, '{n}' AS feature, CAST(min({e}) AS DOUBLE) AS min_value, "
+        f"CAST(max({e}) AS DOUBLE) AS max_value, CAST(CASE WHEN count(DISTINCT {e}) <= {C.CUT_BINS} "
+        f"THEN count(DISTINCT {e}) END AS INTEGER) AS arity, count(DISTINCT {e}) <= {C.CUT_BINS} AS categorical FROM labelled"
+        for i, (n, e) in enumerate(exprs.items()))
+    return with_("labelled") + rows
+
+
 def _walk_ctes(side: str) -> str:
     """``votes`` (idn, label, tree, p1): the rows of ``side`` at their leaves."""
     def value(split: str) -> str:
@@ -668,6 +752,11 @@ FROM lrs WHERE lr IS NOT NULL GROUP BY flag""",
     "levelwise_stumps": with_("train", extra=_stump_ctes("gini")) + "SELECT * FROM splits",
     "src_scan_pushed": f"SELECT {', '.join(C.RAW_COLUMNS)} FROM events WHERE {C.RAW_FILTER}",
     "levelwise_rare_stumps": with_("train", extra=_stump_ctes("gini", C.RARE_FEATURES)) + "SELECT * FROM splits",
+    "tree_thresholds": with_("train", extra=_cut_ctes()) + """SELECT tree, fi AS feature_index, sb AS split_bin,
+  t AS threshold FROM cuts""",
+    "levelwise_quantile_nodes": with_("train", extra=_binned_depth2_ctes("gini", False)),
+    "levelwise_category_nodes": with_("train", extra=_binned_depth2_ctes("entropy", True)),
+    "feature_arity_wide": _wide_arity_sql(),
     "levelwise_depth2_nodes": with_("train", extra=_depth2_ctes("gini")) + """SELECT tree, CAST(node AS BIGINT) AS node,
   depth, n, n1, round(prediction, 9) AS prediction, is_leaf, feature_index, round(gain, 9) AS gain FROM nodes""",
     "levelwise_depth2_entropy": with_("train", extra=_depth2_ctes("entropy")) + """SELECT tree,
