@@ -40,7 +40,8 @@ from ..session import discard
 from ..sources.tables import materialise
 from .ensemble import TreeParams
 from .impurity import impurity as _impurity
-from .thresholds import bin_by_tree, bin_columns, category_bins, feature_thresholds, tree_thresholds
+from .thresholds import (
+    GRID_FACTOR, bin_by_tree, bin_columns, category_bins, feature_thresholds, side_bin, tree_thresholds)
 from .treewalk import TreeGroup, category_mask, group_trees, with_tree_values
 from .votes import combine
 
@@ -203,14 +204,27 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         balanced = materialise(balanced.select("tree", *cols, *features))
         written.append(balanced)
     spark = balanced.sparkSession
+    pooled = None
     if per_tree:
-        cuts = tree_thresholds(balanced, names, params.max_bins)
-        written.append(cuts)
-        place = F.array(*[F.lit(i) for i in ordered])
-        thr = cuts.select("tree", F.get(place, F.col("f")).alias("feature_index"),
-                          F.posexplode("thresholds").alias("split_bin", "threshold"))
-        thr_key, thresholds = ["tree", "feature_index", "split_bin"], []
-        binned = bin_by_tree(balanced, names, cuts, "_ordered")
+        # A feature of two values has the same split point in every tree that has both: only
+        # the others need a summary by tree.
+        grid = feature_thresholds(balanced, names, GRID_FACTOR * params.max_bins)
+        wide = [j for j in range(len(names)) if len(grid[j]) > 1]
+        pooled = [None] * len(features)
+        for j, ts in enumerate(grid):
+            if len(ts) == 1:
+                pooled[ordered[j]] = ts[0]
+        thresholds, binned, thr = [], balanced, None
+        if wide:
+            cuts = tree_thresholds(balanced, [names[j] for j in wide], params.max_bins, grid=[grid[j] for j in wide])
+            written.append(cuts)
+            place = F.array(*[F.lit(ordered[j]) for j in wide])
+            thr = cuts.select("tree", F.get(place, F.col("f")).alias("feature_index"),
+                              F.posexplode("thresholds").alias("split_bin", "threshold"))
+            thr_key = ["tree", "feature_index", "split_bin"]
+            binned = bin_by_tree(balanced, [names[j] for j in wide], cuts, "_wide")
+        own_bins = [F.get("_wide", F.lit(wide.index(j))) if j in wide else side_bin(names[j], ts)
+                    for j, ts in enumerate(grid)]
     else:
         if thresholds is None:
             found = iter(feature_thresholds(balanced, names, params.max_bins))
@@ -220,14 +234,12 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
             "feature_index int, split_bin int, threshold double")
         thr_key = ["feature_index", "split_bin"]
         binned = bin_columns(balanced, names, [thresholds[i] for i in ordered], "_ordered")
+        own_bins = [F.get("_ordered", F.lit(j)) for j in range(len(names))]
     if n_trees is None:
         top = balanced.agg(F.max("tree")).first()[0]
         n_trees = 0 if top is None else int(top) + 1
-    if codes:
-        bins = F.array(*[category_bins(features[i]) if i in codes else F.get("_ordered", F.lit(ordered.index(i)))
-                         for i in range(len(features))])
-    else:
-        bins = F.col("_ordered")
+    bins = F.array(*[category_bins(features[i]) if i in codes else own_bins[ordered.index(i)]
+                     for i in range(len(features))])
     state = binned.select("tree", *cols, bins.alias("bins"), F.lit(1).cast("bigint").alias("node"))
     hist = materialise(_histogram(state))
     root = hist.where("f = 0").groupBy("tree", "node").agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"))
@@ -264,8 +276,15 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         hist = joined
     nodes = reduce(DataFrame.unionByName, levels)
     imp = _impurity(F.col("n"), F.col("n1"), kind)
+    if thr is None:
+        nodes = nodes.withColumn("threshold", F.lit(None).cast("double"))
+    else:
+        nodes = nodes.join(thr, thr_key, "left")
+    if pooled is not None:
+        at = F.array(*[F.lit(t).cast("double") for t in pooled])
+        nodes = nodes.withColumn("threshold", F.coalesce("threshold", F.get(at, F.col("feature_index"))))
     nodes = materialise(
-        nodes.join(thr, thr_key, "left")
+        nodes
         .select("tree", "node", "depth", "n", "n1",
                 F.try_divide(F.col("n1"), F.col("n")).alias("prediction"),
                 imp.alias("impurity"), "is_leaf", "feature_index", "split_bin",

@@ -42,7 +42,8 @@ def feature_thresholds(df: DataFrame, features: Sequence[str], max_bins: int) ->
     driver reads is bounded by features x max_bins.
     """
     cols = [F.col(c).cast("double") for c in features]
-    qs = [i / max_bins for i in range(1, max_bins)]
+    # One folded literal, however many quantiles.
+    qs = F.split(F.lit(",".join(repr(i / max_bins) for i in range(1, max_bins))), ",").cast("array<double>")
     row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
                  *[F.percentile_approx(c, qs, QUANTILE_ACCURACY).alias(f"q{i}")
                    for i, c in enumerate(cols)]).first()
@@ -78,14 +79,16 @@ def bin_columns(df: DataFrame, features: Sequence[str], thresholds: list[list[fl
 
 
 def tree_thresholds(balanced: DataFrame, features: Sequence[str], max_bins: int,
-                    grid_factor: int = GRID_FACTOR) -> DataFrame:
+                    grid_factor: int = GRID_FACTOR, grid: list[list[float]] | None = None) -> DataFrame:
     """(tree, f, thresholds): per tree and feature, at most ``max_bins - 1`` sorted thresholds.
 
     ``balanced`` holds (tree, w, <features>).  NULL and NaN values take no part; a
     feature with one value in a tree has no row.  The result is a written
-    table of the size of the model; the caller discards it.
+    table of the size of the model; the caller discards it.  ``grid``: the pooled
+    grid, where it is known already.
     """
-    grid = feature_thresholds(balanced, features, grid_factor * max_bins)
+    if grid is None:
+        grid = feature_thresholds(balanced, features, grid_factor * max_bins)
     known = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in features])
     filled = balanced.select("tree", F.col("w").cast("double").alias("w"), known.alias("x"))
     names = [f"_v{i}" for i in range(len(features))]
@@ -135,6 +138,13 @@ def bin_by_tree(balanced: DataFrame, features: Sequence[str], cuts: DataFrame,
     return found.withColumn(output, F.array(*[place(i) for i in range(len(features))])).drop("_cuts")
 
 
+def side_bin(name: str, thresholds: Sequence[float]) -> Column:
+    """Bin of a feature with at most one threshold; NULL and NaN lie above it."""
+    if not thresholds:
+        return F.lit(0)
+    return F.when(F.col(name).cast("double") <= F.lit(thresholds[0]), F.lit(0)).otherwise(F.lit(1))
+
+
 def category_bins(name: str) -> Column:
     """The code of a categorical feature as its bin; -1 for NULL, NaN and negative values."""
     x = F.col(name).cast("double")
