@@ -11,18 +11,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import rounded_lr
 from ..schema import FRAUD
-from ..sources.tables import materialise
-from .prefix import running_totals
+from .score_table import AXIS_STEP, score_table
 
 # Fixed values.
-EER_TOLERANCE = 1e-5
 CURVE_POINTS = 150
-AXIS_STEP = 0.5
 CLASS_NAMES = {1: "Fraude", 0: "Legal"}
 
 
@@ -95,74 +92,24 @@ def density(df: DataFrame, start: int = -10, end: int = 10, score: str = "lr",
         names.alias("type"))
 
 
-def _eer_pick(rows: DataFrame, gap: Column, pfa: Column, n_fraud: Column, n_legal: Column,
-              order: list, buckets: int | None) -> DataFrame:
-    """Lower median (rank (cnt+1) div 2 in ``order``) of the rows minimising ``gap``."""
-    # The running totals feed three passes (minimum, count, pick): cut lineage once.
-    staged = materialise(rows.withColumn("_gap", gap).withColumn("_pfa", pfa))
-    # Two numbers from the written table, used as literals.
-    min_gap = F.lit(staged.select(F.min("_gap")).first()[0]).cast(staged.schema["_gap"].dataType)
-    best = staged.where(F.col("_gap") == min_gap)
-    cnt = F.lit(best.count())
-    ranked = running_totals(best, order, {}, position="_rank", buckets=buckets)
-    chosen = ranked.where(F.col("_rank") == F.floor((cnt + F.lit(1)) / F.lit(2)))
-    scale = n_fraud.cast("double") * n_legal.cast("double")
-    gap_val = F.col("_gap").cast("double") / scale
-    return chosen.select(
-        F.round(F.col("_pfa") * F.lit(100.0), 6).alias("eer"),
-        F.col("lr"),
-        F.when(gap_val <= F.lit(EER_TOLERANCE), F.lit(1)).otherwise(F.lit(0)).alias("state"))
-
-
 def eer(df: DataFrame, mode: str = "standard", score: str = "lr", flag: str = "flag",
-        idn: str = "idn", buckets: int | None = None) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """EVA16: equal-error rate -> one row (eer [percent], lr, state).
 
     standard: over distinct scores in ascending order, Pmiss = cumFraud/nF,
       Pfa = (nL - cumLegal)/nL, evaluated at the end of each tie group.
-    reference: row by row in the order (score, fraud first, idn) with
+    reference: row by row in the order (score, fraud first) with
       0-based position i, Pmiss = (i - cumFraud)/nF and Pfa = (nL - cumFraud)/nL.
     The minimum of |Pmiss - Pfa| is found on the exact integer
     |a*nL - b*nF|; among the minimisers the lower median row is returned;
     state = 1 iff the minimum is within 1e-5.  An empty class gives one row
-    with NULL eer/lr and state 0.
+    with NULL eer/lr and state 0.  Rows without a score or class take no part.
     """
-    base = df.where(F.col(score).isNotNull()).select(
-        F.col(score).alias("lr"), F.col(flag).alias("flag"), F.col(idn).alias("idn"))
-    dec = "decimal(38,0)"
-    if mode == "standard":
-        # Distinct scores only (map-side partial aggregation), written once.
-        g = materialise(base.groupBy("lr").agg(F.count_if(F.col("flag") == 1).alias("nf"),
-                                               F.count_if(F.col("flag") == 0).alias("nl")))
-        c = g.agg(F.sum("nf"), F.sum("nl")).first()
-        n_f, n_l = F.lit(c[0] or 0).cast("bigint"), F.lit(c[1] or 0).cast("bigint")
-        cum = running_totals(g, ["lr"], {"cf": "nf", "cl": "nl"}, buckets=buckets)
-        a = F.col("cf").cast(dec)
-        b = (n_l - F.col("cl")).cast(dec)
-        gap = F.abs(a * n_l.cast(dec) - b * n_f.cast(dec))
-        pfa = F.try_divide((n_l - F.col("cl")).cast("double"), n_l.cast("double"))
-        order = ["lr"]
-    elif mode == "reference":
-        base = materialise(base)
-        c = base.agg(F.count_if(F.col("flag") == 1), F.count_if(F.col("flag") == 0)).first()
-        n_f, n_l = F.lit(c[0]).cast("bigint"), F.lit(c[1]).cast("bigint")
-        order = ["lr", F.col("flag").desc(), "idn"]
-        cum = running_totals(base, order, {"cf": "flag"}, buckets=buckets)
-        i = F.col("pos") - F.lit(1)
-        a = (i - F.col("cf")).cast(dec)
-        b = (n_l - F.col("cf")).cast(dec)
-        gap = F.abs(a * n_l.cast(dec) - b * n_f.cast(dec))
-        pfa = F.try_divide((n_l - F.col("cf")).cast("double"), n_l.cast("double"))
-        order = ["pos"]
-    else:
-        raise ValueError(f"unknown EER mode {mode!r}")
-    picked = _eer_pick(cum, gap, pfa, n_f, n_l, order, buckets)
-    empty = df.sparkSession.range(1).select(
-        F.lit(None).cast("double").alias("eer"), F.lit(None).cast("double").alias("lr"),
-        F.lit(0).alias("state"))
-    # Both classes present -> the picked row; otherwise the single empty row.
-    ok = (n_f > 0) & (n_l > 0)
-    return picked.where(ok).unionByName(empty.where(~ok))
+    one = df.sparkSession.range(1).select(F.col("id").alias("_set"))
+    sets = df.select(F.lit(0).cast("bigint").alias("_set"), F.col(score).alias("_score"), F.col(flag).alias("_flag"))
+    table = score_table(sets, ["_set"], F.col("_score"), F.col("_flag") == 1, buckets=buckets, write=False)
+    return one.join(table.eer(mode), "_set", "left").select(
+        "eer", "lr", F.coalesce("state", F.lit(0)).alias("state"))
 
 
 def score_curves(df: DataFrame, points: int = CURVE_POINTS, score: str = "lr",

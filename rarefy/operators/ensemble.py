@@ -222,15 +222,21 @@ class BalancedTreeEnsemble:
                            to_binary(LABEL, self.minority).alias("y"), self.features_col)
         return long, n_trees
 
-    def _fit_levelwise(self, df: DataFrame):
-        from .levelwise import LevelwiseEnsembleModel, expand_vector, grow
+    def levelwise_table(self, df: DataFrame) -> tuple[DataFrame, list[str], int]:
+        """The balanced table with a column per feature, their names and the tree count."""
+        from .levelwise import expand_vector
         size = len(self.feature_names)
         if not size:
             first = df.select(self.features_col).first()
             size = len(first[0]) if first else 0
         long, n_trees = self.balanced_table(df.select(ID, LABEL, self.features_col))
         long, cols = expand_vector(long, self.features_col, size)
-        model = grow(long.drop(self.features_col, ID), cols, self.params, n_trees=n_trees,
+        return long.drop(self.features_col, ID), cols, n_trees
+
+    def _fit_levelwise(self, df: DataFrame):
+        from .levelwise import LevelwiseEnsembleModel, grow
+        long, cols, n_trees = self.levelwise_table(df)
+        model = grow(long, cols, self.params, n_trees=n_trees,
                      per_tree=self.thresholds == "tree", categorical=self.categories)
         return LevelwiseEnsembleModel(model, self.features_col, self.feature_names,
                                       self.minority, self.majority)
@@ -271,6 +277,24 @@ class BalancedTreeEnsemble:
                                      self.minority, self.majority, kind, models)
 
 
+def fit_together(estimators: Sequence[BalancedTreeEnsemble], frames: Sequence[DataFrame]) -> list:
+    """Fit several ensembles of the level-wise engine in one growing state, one on each frame.
+
+    Bins, features, categories and threshold mode must agree; impurity, depth, seed
+    and balancing strategy may differ.
+    """
+    from .levelwise import LevelwiseEnsembleModel, grow_sets
+    first = estimators[0]
+    for e in estimators:
+        if (e.engine, e.features_col, e.feature_names, e.categories, e.thresholds) != (
+                "levelwise", first.features_col, first.feature_names, first.categories, "tree"):
+            raise ValueError("ensembles that grow together are level-wise, of the same features, with thresholds by tree")
+    tables, names, counts = zip(*[e.levelwise_table(df) for e, df in zip(estimators, frames)])
+    grown = grow_sets(tables, names[0], [e.params for e in estimators], counts, categorical=first.categories)
+    return [LevelwiseEnsembleModel(model, e.features_col, e.feature_names, e.minority, e.majority)
+            for e, model in zip(estimators, grown)]
+
+
 def _saved_nodes(path: str) -> DataFrame:
     """The nodes of the Spark ML trees saved under ``path``, with their tree number."""
     spark = SparkSession.getActiveSession()

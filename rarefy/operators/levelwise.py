@@ -22,6 +22,10 @@ rows, of all trees together or of each tree by weight.  A categorical feature
 has one bin per code; inside a node its codes are ordered by P(minority), and
 the splits are the prefixes of that order.  A NULL code goes right.
 
+Ensembles of several scored sets can grow in one state (:func:`grow_sets`): their
+trees are numbered set by set, each set with its impurity and depth, so the jobs
+follow the deepest set and not the number of sets.
+
 Scoring walks the trees inside the row (:mod:`rarefy.operators.treewalk`).
 """
 
@@ -46,6 +50,8 @@ from .treewalk import TreeGroup, category_mask, group_trees, with_tree_values
 from .votes import combine
 
 GAIN_DIGITS = 12
+# Tree numbers of one set among sets that grow together.
+SET_STRIDE = 1 << 20
 SIDE_SUMS = ("left_n", "left_n1", "right_n", "right_n1")
 
 
@@ -102,7 +108,14 @@ def _histogram(state: DataFrame) -> DataFrame:
         F.sum("w").alias("c"), F.sum(F.col("w") * F.col("y")).alias("c1"))
 
 
-def _best_splits(hist: DataFrame, kind: str, min_info_gain: float,
+def _impurity_by(kind: str | Column, n: Column, n1: Column) -> Column:
+    """The impurity ``kind``, or where that is a column, the one it names in each row."""
+    if isinstance(kind, str):
+        return _impurity(n, n1, kind)
+    return F.when(kind == "gini", _impurity(n, n1, "gini")).otherwise(_impurity(n, n1, "entropy"))
+
+
+def _best_splits(hist: DataFrame, kind: str | Column, min_info_gain: float,
                  categorical: Sequence[int] = ()) -> DataFrame:
     """Best split per (tree, node), with the sums of its two sides.
 
@@ -126,9 +139,9 @@ def _best_splits(hist: DataFrame, kind: str, min_info_gain: float,
            .withColumn("nt", F.sum("c").over(whole)).withColumn("n1t", F.sum("c1").over(whole))
            .withColumn("last", last).withColumn("codes", left_codes))
     nr, n1r = F.col("nt") - F.col("nl"), F.col("n1t") - F.col("n1l")
-    gain = (_impurity(F.col("nt"), F.col("n1t"), kind)
-            - F.col("nl") / F.col("nt") * _impurity(F.col("nl"), F.col("n1l"), kind)
-            - nr / F.col("nt") * _impurity(nr, n1r, kind))
+    gain = (_impurity_by(kind, F.col("nt"), F.col("n1t"))
+            - F.col("nl") / F.col("nt") * _impurity_by(kind, F.col("nl"), F.col("n1l"))
+            - nr / F.col("nt") * _impurity_by(kind, nr, n1r))
     cand = (cum.where((F.col("nl") > 0) & (nr > 0))
             .select("tree", "node", "f", "last", F.round(gain, GAIN_DIGITS).alias("gain"),
                     "nl", "n1l", "nt", "n1t", "codes"))
@@ -181,15 +194,22 @@ def _leaves(totals: DataFrame) -> DataFrame:
 def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
          thresholds: list[list[float]] | None = None, min_info_gain: float = 0.0,
          n_trees: int | None = None, per_tree: bool = False,
-         categorical: Mapping[int, int] | None = None) -> LevelwiseModel:
+         categorical: Mapping[int, int] | None = None,
+         sets: Sequence[TreeParams] | None = None) -> LevelwiseModel:
     """Grow every tree of ``balanced`` (tree, w, y, <features>) level by level.
 
     ``per_tree``: thresholds of each tree's own weighted rows instead of all
     trees' rows together; a NULL or NaN goes right.  ``categorical``: feature
     index -> number of categories; such a feature holds codes from 0, at most
-    ``max_bins`` of them.
+    ``max_bins`` of them.  ``sets``: impurity and depth of every set, where the
+    trees number ``set * SET_STRIDE + tree``; ``params`` then holds the largest depth.
     """
-    kind = params.impurity.lower()
+    kind, limit = params.impurity.lower(), None
+    if sets:
+        own_set = F.expr(f"cast(tree div {SET_STRIDE} as int)")
+        kind = F.get(F.array(*[F.lit(p.impurity.lower()) for p in sets]), own_set)
+        if any(p.max_depth != params.max_depth for p in sets):
+            limit = F.get(F.array(*[F.lit(p.max_depth) for p in sets]), own_set)
     features = list(features)
     codes = sorted(categorical or {})
     for i in codes:
@@ -258,6 +278,8 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         totals, depth = _children(level), depth + 1
         if depth == params.max_depth:
             continue  # these are leaves: their sums are known
+        if limit is not None:
+            splits = splits.where(limit > depth)  # so are these, of the sets that end here
         side = splits.select("tree", "node", "feature_index", "split_bin", "left_codes",
                              (F.col("left_n") <= F.col("right_n")).alias("left_small"))
         own = F.element_at("bins", F.col("feature_index") + 1)
@@ -275,7 +297,7 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
             discard(old)
         hist = joined
     nodes = reduce(DataFrame.unionByName, levels)
-    imp = _impurity(F.col("n"), F.col("n1"), kind)
+    imp = _impurity_by(kind, F.col("n"), F.col("n1"))
     if thr is None:
         nodes = nodes.withColumn("threshold", F.lit(None).cast("double"))
     else:
@@ -297,6 +319,34 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
     return LevelwiseModel(nodes, features, thresholds, params, n_trees, depth)
 
 
+def grow_sets(tables: Sequence[DataFrame], features: Sequence[str], params: Sequence[TreeParams],
+              n_trees: Sequence[int], per_tree: bool = True, categorical: Mapping[int, int] | None = None,
+              min_info_gain: float = 0.0) -> list[LevelwiseModel]:
+    """Grow the ensembles of several balanced tables (tree, w, y, <features>) in one state.
+
+    One model a table, as :func:`grow` would give it (thresholds by tree: exact for
+    features whose distinct values fit the pooled grid of all tables).  All
+    ``params`` share ``max_bins``; impurity and depth may differ.  The state holds
+    the rows of all tables at once, so the caller bounds their number.
+    """
+    if len({p.max_bins for p in params}) != 1:
+        raise ValueError("sets that grow together need one max_bins")
+    if max(n_trees) > SET_STRIDE:
+        raise ValueError(f"at most {SET_STRIDE} trees a set")
+    rows = [t.select((F.col("tree").cast("bigint") + F.lit(i * SET_STRIDE)).alias("tree"), "w", "y", *features)
+            for i, t in enumerate(tables)]
+    deepest = max(params, key=lambda p: p.max_depth)
+    whole = grow(reduce(DataFrame.unionByName, rows), features, deepest, min_info_gain=min_info_gain,
+                 n_trees=sum(n_trees), per_tree=per_tree, categorical=categorical, sets=params)
+    models = []
+    for i, (p, count) in enumerate(zip(params, n_trees)):
+        nodes = (whole.nodes.where(F.col("tree").between(i * SET_STRIDE, (i + 1) * SET_STRIDE - 1))
+                 .withColumn("tree", F.col("tree") - F.lit(i * SET_STRIDE)))
+        models.append(LevelwiseModel(nodes, whole.features, whole.thresholds, p, count,
+                                     min(whole.max_level, p.max_depth)))
+    return models
+
+
 def expand_vector(df: DataFrame, vector_col: str, size: int, prefix: str = "_v") -> tuple[DataFrame, list[str]]:
     """Vector column -> one double column per element (``_v0`` ...)."""
     from pyspark.ml.functions import vector_to_array

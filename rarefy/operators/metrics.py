@@ -8,6 +8,8 @@ first (map-side partial aggregation), then uses distributed running totals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def confusion_counts(df: DataFrame, label: str = "label", predicted: str = "pred
         F.count_if((y == negative) & (p == positive)).alias("fp"))
 
 
-def with_rates(counts: DataFrame, digits: int | None = DIGITS) -> DataFrame:
-    """EVA2-EVA9 from (tp, fn, tn, fp); undefined ratios are NULL.
+def with_rates(counts: DataFrame, digits: int | None = DIGITS, keys: Sequence[str] = ()) -> DataFrame:
+    """EVA2-EVA9 from (<keys>, tp, fn, tn, fp); undefined ratios are NULL.
 
     TPR, SPC, PPV, ACC in percent; F1 from the percentages; MGEO =
     sqrt(TPR*SPC); PEXC = (tp*tn - fn*fp)/((fn+tp)(tn+fp)); MCC in doubles.
@@ -49,7 +51,7 @@ def with_rates(counts: DataFrame, digits: int | None = DIGITS) -> DataFrame:
     def r(c):
         return F.round(c, digits) if digits is not None else c
     return counts.select(
-        "tp", "fn", "tn", "fp",
+        *keys, "tp", "fn", "tn", "fp",
         r(sens).alias("tpr"), r(spc).alias("spc"), r(pre).alias("ppv"), r(acc).alias("acc"),
         r(f1).alias("f1"), r(mgeo).alias("mgeo"), r(pexc).alias("pexc"), r(mcc).alias("mcc"))
 

@@ -583,7 +583,7 @@ def experiment_grid(spark, d):
     """GRD3: O1 of every run at every grid point, on the binary features."""
     cfg = experiment.ExperimentConfig(runs=RUNS, impurities=("gini", "entropy"), depths=(2,), bins=(32,),
                                       features=list(fixtures.BINARY_FEATURES), filters=EXPERIMENT_FILTER,
-                                      reports=("confusion",))
+                                      reports=("confusion",), grow_together=2 * RUNS)
     return _rounded(experiment.run_experiment(_tx(spark, d), cfg)["confusion"], *CONFUSION_MEASURES)
 
 

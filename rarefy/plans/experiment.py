@@ -4,8 +4,10 @@
 every grid point, a fresh deterministic hold-out split, a balanced ensemble
 fit on the training side, scoring of test and train, and all evaluators.
 Predictions are written to the shared checkpoint folder once per
-(run, grid point) so that every evaluator reads a short lineage and a lost
-executor recomputes from storage, not from the fit.
+(run, grid point), and one ordered score table of all of them
+(:mod:`rarefy.operators.score_table`) serves every evaluator: the jobs of the
+evaluation do not follow the number of runs and points.  A lost executor
+recomputes from storage, not from the fit.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import rounded_lr
 from ..operators import detection, metrics
-from ..operators.ensemble import BalancedTreeEnsemble, TreeParams, node_table
+from ..operators.ensemble import BalancedTreeEnsemble, TreeParams, fit_together, node_table
 from ..operators.features import assemble, fit_indexer
 from ..operators.importance import named_importances
 from ..operators.kmeans_balance import check_strategy
 from ..operators.levelwise import LevelwiseEnsembleModel
-from ..operators.sampling import train_test
-from ..schema import IGNORE, feature_columns, labelled
+from ..operators.sampling import hash_split, train_test
+from ..operators.score_table import score_table
+from ..schema import FRAUD, IGNORE, feature_columns, labelled
 from ..session import scratch_path, scratch_scope
 from ..sources.tables import materialise, scan
 
@@ -52,6 +56,8 @@ class ExperimentConfig:
     curve_points: int = 150
     features: Sequence[str] | None = field(default=None)
     reports: Sequence[str] | None = None
+    # Ensembles of one growing state (level-wise engine): fewer jobs for more scratch space.
+    grow_together: int = 1
 
 
 REPORTS = ("confusion", "importances", "roc", "density_test", "density_train", "eer", "curves", "nodes",
@@ -89,35 +95,45 @@ def _tag(df: DataFrame, k: int, p: TreeParams, balancing: str) -> DataFrame:
             .withColumn("balancing", F.lit(balancing)))
 
 
-def _confusion_row(pred: DataFrame, tipo: str) -> DataFrame:
-    """O1 row: metrics, AUC of the hard label (as the reference) and of the score.
+SCORED_KEYS = ["k", "g", "tipo"]
+
+
+def evaluate(scored: DataFrame, points: Sequence[tuple[str, TreeParams]], cfg: ExperimentConfig) -> dict[str, DataFrame]:
+    """The requested evaluators of all scored sets: rows of every run ``k``, point ``g`` and side ``tipo``.
 
     The score is the log-likelihood ratio ln(p1/p0): with near-pure leaves the
     product rule pushes p1 itself to 0 or 1, while the ratio keeps the ranking.
     """
-    conf = metrics.confusion_metrics(pred, digits=None)
-    area = metrics.auc(pred, "predicted_label", digits=None).first()["auc"]
-    area_score = metrics.auc(detection.with_lr(pred), "lr", digits=None).first()["auc"]
-    return (conf.withColumn("areaRoc", F.lit(area).cast("double"))
-            .withColumn("areaRocScore", F.lit(area_score).cast("double"))
-            .withColumn("tipo", F.lit(tipo)))
-
-
-def evaluate(pred: DataFrame, tipo: str, cfg: ExperimentConfig) -> dict[str, DataFrame]:
-    """The requested evaluators of one scored set (test or train)."""
-    lr = detection.with_lr(pred)
-
-    def curves():
-        c = detection.score_curves(lr, cfg.curve_points, digits=None)
-        return c.withColumn("type", F.concat(F.lit(f"{tipo}-"), F.col("type")))
-
-    build = {"confusion": lambda: _confusion_row(pred, tipo),
-             f"density_{tipo}": lambda: detection.density(lr, *cfg.axis, digits=None),
-             "eer": lambda: detection.eer(lr, cfg.eer_mode).withColumn("type", F.lit(tipo)),
-             "curves": curves}
-    if tipo == "test":
-        build["roc"] = lambda: metrics.roc_points(pred, "predicted_label", digits=None)
-    return {name: make() for name, make in build.items() if name in wanted(cfg)}
+    names = set(wanted(cfg)) & {"confusion", "roc", "density_test", "density_train", "eer", "curves"}
+    if not names:
+        return {}
+    table = score_table(scored, SCORED_KEYS, rounded_lr(F.col("p0"), F.col("p1")), F.col("label") == FRAUD,
+                        F.col("predicted_label"))
+
+    def tagged(df: DataFrame) -> DataFrame:
+        place = F.col("g")
+        values = {"impurity": [p.impurity for _, p in points], "depth": [p.max_depth for _, p in points],
+                  "bins": [p.max_bins for _, p in points], "balancing": [b for b, _ in points]}
+        return df.withColumns({name: F.get(F.array(*[F.lit(v) for v in own]), place) for name, own in values.items()})
+
+    def confusion() -> DataFrame:
+        rates = metrics.with_rates(table.confusion(), digits=None, keys=SCORED_KEYS)
+        hard = table.hard_area().withColumnRenamed("auc", "areaRoc")
+        return rates.join(hard, SCORED_KEYS).join(table.area().withColumnRenamed("auc", "areaRocScore"), SCORED_KEYS, "left")
+
+    def density(side: str) -> DataFrame:
+        name = F.when(F.col("flag") == 1, F.lit(detection.CLASS_NAMES[1])).otherwise(F.lit(detection.CLASS_NAMES[0]))
+        return densities.where(F.col("tipo") == side).withColumn("type", name)
+
+    def curves() -> DataFrame:
+        name = F.when(F.col("flag") == 1, F.lit("fraude")).otherwise(F.lit("legal"))
+        return table.curves(cfg.curve_points).withColumn("type", F.concat(F.col("tipo"), F.lit("-"), name))
+
+    densities = table.density(*cfg.axis)
+    build = {"confusion": confusion, "density_test": lambda: density("test"), "density_train": lambda: density("train"),
+             "eer": lambda: table.eer(cfg.eer_mode).withColumnRenamed("tipo", "type"), "curves": curves,
+             "roc": lambda: table.hard_roc().where("tipo = 'test'")}
+    return {name: tagged(make()) for name, make in build.items() if name in names}
 
 
 def wanted(cfg: ExperimentConfig) -> tuple[str, ...]:
@@ -164,59 +180,98 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
     points = [(b, p) for b in map(check_strategy, cfg.balancings)
               for p in grid(cfg.impurities, cfg.depths, cfg.bins)]
     # Trees of one run, strategy, impurity and bin count that share a sample are prefixes in depth.
-    deepest: dict[tuple, LevelwiseEnsembleModel] = {}
-    for k in range(1, cfg.runs + 1):
-        for g, (balancing, params) in enumerate(points):
-            seed = f"{k}:{g}" if cfg.split_per_grid_point else f"{k}"
-            train, test = train_test(data, cfg.train, seed)
-            folder = f"{work}/k{k}_g{g}"
+    share = not cfg.split_per_grid_point and cfg.engine != "ml"
+    tasks = [_Task(k, g, balancing, params, f"{k}:{g}" if cfg.split_per_grid_point else f"{k}")
+             for k in range(1, cfg.runs + 1) for g, (balancing, params) in enumerate(points)]
+    sides: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    fitted: dict[tuple, object] = {}
+
+    def both_sides(task: _Task) -> tuple[DataFrame, DataFrame]:
+        if task.seed not in sides:
+            train, test = train_test(data, cfg.train, task.seed)
             if cfg.fit_indexer_on == "train":
                 # No label-free leakage: categories are learnt from the training side only.
                 indexer = fit_indexer(train, handle_invalid="keep")
-                train = materialise(indexer.transform(train), path=f"{folder}/train_indexed")
+                train = materialise(indexer.transform(train))
                 test = indexer.transform(test)
-            grown = (seed, balancing, params.impurity, params.max_bins)
-            model = deepest[grown].truncated(params.max_depth) if grown in deepest else None
-            if model is None:
-                share = not cfg.split_per_grid_point and cfg.engine != "ml"
-                most = replace(params, max_depth=max(cfg.depths)) if share else params
-                model = BalancedTreeEnsemble(most, "indexedFeatures", names, seed=seed,
-                                             parallelism=cfg.parallelism, engine=cfg.engine,
-                                             balancing=balancing).fit(train)
-                if share:
-                    deepest[grown] = model
-                    model = model.truncated(params.max_depth)
-            scored = {}
-            for side, part in (("test", test), ("train", train)):
-                pred = model.predict(part, cfg.strategy).select(
-                    "idn", "label", "p0", "p1", "predicted_label")
-                pred.write.mode("overwrite").parquet(f"{folder}/{side}")
-                scored[side] = spark.read.parquet(f"{folder}/{side}")
-            for side, pred in scored.items():
-                for name, frame in evaluate(pred, side, cfg).items():
-                    reports[name].append(_tag(frame, k, params, balancing))
-            plain = "" if balancing == "balanced" else f"{balancing}_"
-            model_path = f"{out}/models/{plain}{params.tag}_{k}" if out else f"{folder}/model"
-            levelwise = isinstance(model, LevelwiseEnsembleModel)
-            if levelwise:
-                model.save(model_path)
-                nodes = model.nodes
+            sides[task.seed] = train, test
+        return sides[task.seed]
+
+    def learner(task: _Task) -> BalancedTreeEnsemble:
+        most = replace(task.params, max_depth=max(cfg.depths)) if share else task.params
+        return BalancedTreeEnsemble(most, "indexedFeatures", names, seed=task.seed, parallelism=cfg.parallelism,
+                                    engine=cfg.engine, balancing=task.balancing)
+
+    def fit(task: _Task, later: Sequence[_Task]):
+        """The task's model; the next unfitted ensembles of its bin count grow along with it."""
+        if task.grown(share) not in fitted:
+            together = {task.grown(share): task}
+            if cfg.engine != "ml":
+                for other in later:
+                    if len(together) < cfg.grow_together and other.params.max_bins == task.params.max_bins:
+                        together.setdefault(other.grown(share), other)
+            chosen = list(together.values())
+            if len(chosen) == 1:
+                fitted[task.grown(share)] = learner(task).fit(both_sides(task)[0])
             else:
-                nodes = node_table(model, model_path)
-            if "importances" in reports:
-                reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params,
-                                                   balancing))
-            if "nodes" in reports:
-                reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params, balancing))
-            if "model" in reports:
-                # Spark ML trees live on the driver already; their text dump is local.
-                lines = (dump_lines(nodes, names) if levelwise else
-                         spark.createDataFrame(list(_text_lines(model.to_debug_string())), DUMP))
-                reports["model"].append(_tag(lines, k, params, balancing))
+                models = fit_together([learner(t) for t in chosen], [both_sides(t)[0] for t in chosen])
+                fitted.update(zip(together, models))
+        model = fitted[task.grown(share)]
+        if not any(other.grown(share) == task.grown(share) for other in later):
+            del fitted[task.grown(share)]
+        return model.truncated(task.params.max_depth) if share else model
+
+    scored = f"{work}/scored"
+    for number, task in enumerate(tasks):
+        k, balancing, params = task.k, task.balancing, task.params
+        model = fit(task, tasks[number + 1:])
+        if cfg.fit_indexer_on == "all":
+            rows = hash_split(data, cfg.train, task.seed).withColumnRenamed("split", "tipo")
+        else:
+            train, test = both_sides(task)
+            rows = train.withColumn("tipo", F.lit("train")).unionByName(test.withColumn("tipo", F.lit("test")))
+        (model.predict(rows, cfg.strategy).select("idn", "label", "p0", "p1", "predicted_label", "tipo")
+         .write.mode("overwrite").parquet(f"{scored}/k={k}/g={task.g}"))
+        plain = "" if balancing == "balanced" else f"{balancing}_"
+        model_path = f"{out}/models/{plain}{params.tag}_{k}" if out else f"{work}/k{k}_g{task.g}/model"
+        levelwise = isinstance(model, LevelwiseEnsembleModel)
+        if levelwise:
+            if out:
+                model.save(model_path)
+            nodes = model.nodes
+        else:
+            nodes = node_table(model, model_path)
+        if "importances" in reports:
+            reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params,
+                                               balancing))
+        if "nodes" in reports:
+            reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params, balancing))
+        if "model" in reports:
+            # Spark ML trees live on the driver already; their text dump is local.
+            lines = (dump_lines(nodes, names) if levelwise else
+                     spark.createDataFrame(list(_text_lines(model.to_debug_string())), DUMP))
+            reports["model"].append(_tag(lines, k, params, balancing))
+    for name, frame in evaluate(spark.read.parquet(scored), points, cfg).items():
+        reports[name].append(frame)
     result = {name: reduce(DataFrame.unionByName, frames) for name, frames in reports.items()}
     return _shape_reports(result)
 
 
+@dataclass(frozen=True)
+class _Task:
+    """One run at one grid point."""
+    k: int
+    g: int
+    balancing: str
+    params: TreeParams
+    seed: str
+
+    def grown(self, share: bool) -> tuple:
+        """What tells its ensemble from others: with ``share``, not the depth."""
+        own = (self.seed, self.balancing, self.params.impurity, self.params.max_bins)
+        return own if share else (*own, self.g)
+
+
 DUMP = "tree int, place string, line string"
 
 
