@@ -268,7 +268,10 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
         if depth == params.max_depth:
             level = _leaves(totals)
         else:
-            level = totals.join(_best_splits(hist, kind, min_info_gain, codes), ["tree", "node"], "left")
+            best = _best_splits(hist, kind, min_info_gain, codes)
+            if limit is not None:
+                best = best.where(limit > depth)
+            level = totals.join(best, ["tree", "node"], "left")
         level = materialise(level.withColumn("depth", F.lit(depth))
                             .withColumn("is_leaf", F.col("feature_index").isNull()))
         levels.append(level)
