@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 
 # Largest mean of a single draw: exp(-256) is far from underflow.
 MAX_MEAN = 256.0
@@ -52,5 +54,5 @@ def poisson_cdf_frame(spark: SparkSession, lam: Column) -> DataFrame:
 
 
 def poisson_count(u: Column, cdf: Column) -> Column:
-    """#{k >= 0 : CDF(k) <= u}: a Poisson draw for the uniform ``u``."""
-    return F.size(F.filter(cdf, lambda c: c <= u))
+    """#{k >= 0 : CDF(k) <= u}: a Poisson draw for the uniform ``u``, computed once and not per step."""
+    return bind(u, lambda v: F.size(F.filter(cdf, lambda c: c <= v)))

@@ -6,9 +6,12 @@ depend on partitioning or cluster size and can be checked by SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.hashing import hash_uniform
 from ..functions.poisson import draws_for, poisson_cdf_frame, poisson_count
 from ..schema import FRAUD, ID, LABEL, is_minority
@@ -70,42 +73,48 @@ def plan_values(plan: DataFrame) -> tuple[int, float]:
     return int(row["n_trees"]), float(row["fraction"])
 
 
-def _tree_copies(df: DataFrame, plan: DataFrame, seed, idn: str):
-    """``df`` plus bootstrap columns ``_total`` and ``_per_tree`` (rows with copies only).
+def _tree_copies(df: DataFrame, plan: DataFrame, seed, idn: str) -> tuple[DataFrame, Column]:
+    """``df`` plus its uniforms, and the expression of a row's copies: an array of (tree, w) structs.
 
     Each tree draws the majority with replacement at rate ``fraction``, i.e.
     a row's count in a tree is Poisson(fraction).  Independent Poisson
     counts over T trees are the same as one Poisson(T*fraction) total split
     uniformly among the trees, so every row draws one total by inverse CDF
     and sends each copy to tree floor(T*u_j).  Work is O(rows), not
-    O(rows * trees), and nothing is shuffled.  ``_per_tree`` is an array of
-    (tree, w) structs.  The plan (two numbers) and the CDF table (K+1
-    doubles) are small constants and enter the row expressions as literals.
+    O(rows * trees), and nothing is shuffled.  The plan (two numbers) and the
+    CDF table (K+1 doubles) are small constants and enter the row expressions
+    as literals.  The array is to be exploded as it is: as a column, or under a
+    filter on its size, it would be computed once more for the filter.
     """
     n_trees, fraction = plan_values(plan)
     lam = n_trees * fraction
     draws = draws_for(lam)
     cdf = poisson_cdf_frame(df.sparkSession, F.lit(lam / draws)).first()["cdf"]
-    steps = F.array(*[F.lit(float(c)) for c in cdf])
+    # A uniform is below 1: the steps from there on count for nothing.
+    steps = F.array(*[F.lit(float(c)) for c in cdf if c < 1.0] or [F.lit(1.0)])
     s = str(seed)
-    total = poisson_count(hash_uniform("boot:", s, ":", F.col(idn)), steps)
-    for j in range(1, draws):
-        total = total + poisson_count(hash_uniform("boot:", s, ":", F.col(idn), ":", str(j)), steps)
-    staged = df.withColumn("_total", total)
-    copies = F.transform(
-        F.sequence(F.lit(1), F.col("_total")),
-        lambda j: F.floor(F.lit(n_trees) * hash_uniform("tree:", s, ":", F.col(idn), ":", j))
-        .cast("int"))
-    per_tree = F.transform(F.array_distinct(copies), lambda t: F.struct(
-        t.alias("tree"), F.size(F.filter(copies, lambda c: c == t)).alias("w")))
-    return staged.where(F.col("_total") > 0).withColumn("_per_tree", per_tree)
+    tags = [[], *[[":", str(j)] for j in range(1, draws)]]
+    uniforms = [f"_u{j}" for j in range(draws)]
+    staged = df.withColumns({name: hash_uniform("boot:", s, ":", F.col(idn), *tag)
+                             for name, tag in zip(uniforms, tags)})
+    total = reduce(Column.__add__, [poisson_count(F.col(name), steps) for name in uniforms])
+
+    def tree_of(j: Column) -> Column:
+        return F.floor(F.lit(n_trees) * hash_uniform("tree:", s, ":", F.col(idn), ":", j)).cast("int")
+
+    def counted(copies: Column) -> Column:
+        return F.transform(F.array_distinct(copies), lambda t: F.struct(
+            t.alias("tree"), F.size(F.filter(copies, lambda c: c == t)).alias("w")))
+
+    copies = bind(total, lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), tree_of)))
+    return staged, bind(copies, counted)
 
 
 def bootstrap_weights(majority: DataFrame, plan: DataFrame, seed="0",
                       idn: str = ID) -> DataFrame:
     """SMP4: per-tree bootstrap counts of the majority rows -> (tree, idn, w), w > 0."""
-    staged = _tree_copies(majority, plan, seed, idn)
-    return (staged.select(F.col(idn).alias("idn"), F.explode("_per_tree").alias("tw"))
+    staged, per_tree = _tree_copies(majority, plan, seed, idn)
+    return (staged.select(F.col(idn).alias("idn"), F.explode(per_tree).alias("tw"))
             .select(F.col("tw.tree").alias("tree"), "idn", F.col("tw.w").alias("w")))
 
 
@@ -124,7 +133,7 @@ def balanced_sets(df: DataFrame, plan: DataFrame | None = None, seed="0",
     minor = (df.where(is_minority(label, minority))
              .select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
                      F.lit(1).alias("w"), *keep))
-    staged = _tree_copies(df.where(~is_minority(label, minority)), plan, seed, idn)
-    major = (staged.select(F.explode("_per_tree").alias("tw"), *keep)
+    staged, per_tree = _tree_copies(df.where(~is_minority(label, minority)), plan, seed, idn)
+    major = (staged.select(F.explode(per_tree).alias("tw"), *keep)
              .select(F.col("tw.tree").alias("tree"), F.col("tw.w").alias("w"), *keep))
     return minor.unionByName(major)

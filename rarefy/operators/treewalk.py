@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 # Nodes of one group of constant arrays (some 10 MB of literals).
 MAX_NODES = 500_000
 # Categories of a split travel as the bits of 64-bit integers, this many in each.
@@ -24,7 +26,7 @@ WORD_BITS = 62
 
 @dataclass
 class TreeGroup:
-    """Some whole trees as parallel lists; a leaf has feature -1."""
+    """Some whole trees as parallel lists; a leaf has feature -1 and is its own child."""
     feature: list[int] = field(default_factory=list)
     threshold: list[float] = field(default_factory=list)
     first_word: list[int] = field(default_factory=list)  # of a node's categories, or -1
@@ -53,8 +55,8 @@ class TreeGroup:
             while mask:
                 self.words.append(mask & ((1 << WORD_BITS) - 1))
                 mask >>= WORD_BITS
-            self.left.append(base if leaf else place[left])
-            self.right.append(base if leaf else place[right])
+            self.left.append(place[node] if leaf else place[left])
+            self.right.append(place[node] if leaf else place[right])
             self.value.append(float(value))
             if not leaf:
                 level[left] = level[right] = level[node] + 1
@@ -86,11 +88,6 @@ def _constant(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def tree_values(x: Column, groups: Sequence[TreeGroup]) -> Column:
     """Leaf value of every tree, in tree order, for the feature array ``x``.
 
@@ -98,7 +95,9 @@ def tree_values(x: Column, groups: Sequence[TreeGroup]) -> Column:
     """
 
     def one_group(xs: Column, g: TreeGroup) -> Column:
-        feature, left, right = (_constant(v, "int") for v in (g.feature, g.left, g.right))
+        # A leaf leads to itself whatever it compares, so a step need not tell leaves apart.
+        feature = _constant([max(f, 0) for f in g.feature], "int")
+        left, right = _constant(g.left, "int"), _constant(g.right, "int")
         threshold, value = _constant(g.threshold, "double"), _constant(g.value, "double")
         categorical = bool(g.words)
         if categorical:
@@ -106,15 +105,15 @@ def tree_values(x: Column, groups: Sequence[TreeGroup]) -> Column:
             words = _constant(g.words, "bigint")
 
         def step(n: Column, _: Column) -> Column:
-            v = xs[feature[n]]
-            ok = F.coalesce(v <= threshold[n], F.lit(False))
+            v = F.get(xs, F.get(feature, n))
+            ok = v <= F.get(threshold, n)  # NULL counts as false below
             if categorical:
                 code = v.cast("int")
                 word = words[first[n] + F.floor(code / F.lit(WORD_BITS)).cast("int")]
                 inside = F.when((v >= 0) & (v < spans[n] * F.lit(WORD_BITS)),
                                 F.getbit(word, code % F.lit(WORD_BITS)) == 1).otherwise(F.lit(False))
                 ok = F.when(first[n] >= 0, F.coalesce(inside, F.lit(False))).otherwise(ok)
-            return F.when(feature[n] < 0, n).when(ok, left[n]).otherwise(right[n])
+            return F.when(ok, F.get(left, n)).otherwise(F.get(right, n))
 
         def leaf(root: Column) -> Column:
             if not g.depth:
