@@ -15,6 +15,9 @@ every row (heap numbering: root 1, children 2n and 2n+1).  Per level:
    with the level's split table (Spark broadcasts it when its bytes allow);
    the new state is written, and the one before is dropped.
 
+Where the features have few combinations of bins, rows of a tree with equal bins
+and class are merged first, so levels read a table that does not grow with the rows.
+
 Node totals are the side sums of the parent's split, so no pass computes them.
 
 Candidate thresholds (:mod:`rarefy.operators.thresholds`) come from the balanced
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -52,6 +56,8 @@ from .votes import combine
 GAIN_DIGITS = 12
 # Tree numbers of one set among sets that grow together.
 SET_STRIDE = 1 << 20
+# Combinations of bins up to which rows of equal bins are merged before growth.
+MAX_CELLS = 1 << 14
 SIDE_SUMS = ("left_n", "left_n1", "right_n", "right_n1")
 
 
@@ -101,6 +107,14 @@ class LevelwiseModel:
                        majority=majority, strict=strict)
 
 
+def _merged(state: DataFrame) -> DataFrame:
+    """Rows of a tree that fall into the same bins and class as one row of their summed weight.
+
+    They take the same way through the tree, so the grower tells them apart nowhere.
+    """
+    return state.groupBy("tree", "y", "bins", "node").agg(F.sum("w").alias("w")).select(*state.columns)
+
+
 def _histogram(state: DataFrame) -> DataFrame:
     """(tree, node, f, b, c, c1): weighted counts, one scan and one generator."""
     cells = state.select("tree", "node", "w", "y", F.posexplode("bins").alias("f", "b"))
@@ -235,6 +249,7 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
             if len(ts) == 1:
                 pooled[ordered[j]] = ts[0]
         thresholds, binned, thr = [], balanced, None
+        by_tree, pooled_cuts = {ordered[j] for j in wide}, dict(zip(ordered, grid))
         if wide:
             cuts = tree_thresholds(balanced, [names[j] for j in wide], params.max_bins, grid=[grid[j] for j in wide])
             written.append(cuts)
@@ -253,6 +268,7 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
             [(f, b, t) for f, ts in enumerate(thresholds) for b, t in enumerate(ts)],
             "feature_index int, split_bin int, threshold double")
         thr_key = ["feature_index", "split_bin"]
+        by_tree, pooled_cuts = set(), thresholds
         binned = bin_columns(balanced, names, [thresholds[i] for i in ordered], "_ordered")
         own_bins = [F.get("_ordered", F.lit(j)) for j in range(len(names))]
     if n_trees is None:
@@ -261,6 +277,12 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
     bins = F.array(*[category_bins(features[i]) if i in codes else own_bins[ordered.index(i)]
                      for i in range(len(features))])
     state = binned.select("tree", *cols, bins.alias("bins"), F.lit(1).cast("bigint").alias("node"))
+    # Bins of a feature: one more than its split points, and one for NULL codes.
+    sizes = [categorical[i] + 1 if i in codes else params.max_bins if i in by_tree else len(pooled_cuts[i]) + 1
+             for i in range(len(features))]
+    if written and math.prod(sizes) <= MAX_CELLS:
+        state = materialise(_merged(state))
+        written.append(state)
     hist = materialise(_histogram(state))
     root = hist.where("f = 0").groupBy("tree", "node").agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"))
     levels, depth, totals = [], 0, root

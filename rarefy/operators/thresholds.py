@@ -39,14 +39,13 @@ def feature_thresholds(df: DataFrame, features: Sequence[str], max_bins: int) ->
     Midpoints between all distinct values where there are at most ``max_bins``
     of them, else distinct approximate quantiles.  The distinct values are
     listed only for features whose approximate count is small, so what the
-    driver reads is bounded by features x max_bins.
+    driver reads is bounded by features x max_bins; quantiles are taken of
+    the others only.
     """
+    if not features:
+        return []
     cols = [F.col(c).cast("double") for c in features]
-    # One folded literal, however many quantiles.
-    qs = F.split(F.lit(",".join(repr(i / max_bins) for i in range(1, max_bins))), ",").cast("array<double>")
-    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
-                 *[F.percentile_approx(c, qs, QUANTILE_ACCURACY).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     few = [i for i in range(len(features)) if row[f"d{i}"] <= 2 * max_bins]
     values: dict[int, list[float]] = {i: [] for i in few}
     if few:
@@ -54,13 +53,19 @@ def feature_thresholds(df: DataFrame, features: Sequence[str], max_bins: int) ->
         found = df.select(cells.alias("c")).select("c.*").where("v is not null and not isnan(v)")
         for r in found.distinct().collect():
             values[r["f"]].append(r["v"])
+    many = [i for i in range(len(features)) if i not in values or len(values[i]) > max_bins]
+    quantiles = {}
+    if many:
+        # One folded literal, however many quantiles.
+        qs = F.split(F.lit(",".join(repr(i / max_bins) for i in range(1, max_bins))), ",").cast("array<double>")
+        quantiles = df.agg(*[F.percentile_approx(cols[i], qs, QUANTILE_ACCURACY).alias(f"q{i}") for i in many]).first()
     out = []
     for i in range(len(features)):
         vals = sorted(values.get(i, []))
-        if i in values and len(vals) <= max_bins:
-            out.append([a + (b - a) / 2 for a, b in zip(vals, vals[1:])])
+        if i in many:
+            out.append(sorted({float(v) for v in quantiles[f"q{i}"] or [] if v is not None and not math.isnan(v)}))
         else:
-            out.append(sorted({float(v) for v in row[f"q{i}"] or [] if v is not None and not math.isnan(v)}))
+            out.append([a + (b - a) / 2 for a, b in zip(vals, vals[1:])])
     return out
 
 

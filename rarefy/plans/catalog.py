@@ -244,8 +244,8 @@ def score_range(spark, d):
 
 # -- stumps, importances, ensemble -----------------------------------------
 
-def _balanced_binary(spark, d):
-    train = _train(spark, d)
+def _balanced_binary(spark, d, train=None):
+    train = _train(spark, d) if train is None else train
     keep = ["idn", "label", *fixtures.BINARY_FEATURES]
     bal = sampling.balanced_sets(train, seed=BOOT_SEED, keep=keep)
     return bal.withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
@@ -317,8 +317,8 @@ def levelwise_rare_stumps(spark, d):
     return _stump_rows(model, list(RARE_FEATURES))
 
 
-def _depth2(spark, d, kind="gini"):
-    bal = _balanced_binary(spark, d)
+def _depth2(spark, d, kind="gini", train=None):
+    bal = _balanced_binary(spark, d, train)
     return levelwise.grow(bal, list(fixtures.BINARY_FEATURES), ensemble.TreeParams(kind, 2, 32))
 
 
@@ -338,8 +338,8 @@ def levelwise_depth2_entropy(spark, d):
 
 def levelwise_depth2_predictions(spark, d):
     """ENS3 + ENS7: the held-out rows scored by the depth-2 trees."""
-    _, test = sampling.train_test(_lab(spark, d), TRAIN, SPLIT_SEED)
-    return _depth2(spark, d).predict(test, "soft").select(
+    train, test = sampling.train_test(_lab(spark, d), TRAIN, SPLIT_SEED)
+    return _depth2(spark, d, train=train).predict(test, "soft").select(
         "idn", "label", "n_trees", "n_votes", F.round("p0", DIGITS).alias("p0"),
         F.round("p1", DIGITS).alias("p1"), "predicted_label")
 

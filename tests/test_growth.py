@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from rarefy.operators import sampling
+from rarefy.operators import levelwise, sampling
+from rarefy.operators.ensemble import TreeParams
+from rarefy.operators.thresholds import feature_thresholds
 
 
 def _rows(spark, n=4000):
@@ -19,3 +21,25 @@ def test_bootstrap_draws_no_uniform_per_step_of_the_cdf(spark):
     got = bal.where("label = -1").agg(F.sum("w"), F.countDistinct("tree")).first()
     want = 9 * 400
     assert abs(got[0] - want) < 5 * want ** 0.5 and got[1] == 9
+
+
+def test_rows_of_equal_bins_grow_as_one(spark, monkeypatch):
+    bal = sampling.balanced_sets(_rows(spark), keep=["idn", "label", "b1", "b3", "b7"])
+    bal = bal.withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+    seen, own = [], levelwise._histogram
+    monkeypatch.setattr(levelwise, "_histogram", lambda state: (seen.append(state.count()), own(state))[1])
+    features, params = ["b1", "b3", "b7"], TreeParams("gini", 2, 32)
+    merged = levelwise.grow(bal, features, params)
+    assert max(seen) <= 9 * 8 * 2
+    monkeypatch.setattr(levelwise, "MAX_CELLS", 0)
+    plain = levelwise.grow(bal, features, params)
+    assert max(seen) > 9 * 8 * 2
+    assert sorted(map(tuple, merged.nodes.collect()), key=str) == sorted(map(tuple, plain.nodes.collect()), key=str)
+
+
+def test_quantiles_are_taken_of_wide_features_only(spark):
+    df = spark.range(5000).select((F.col("id") % 2).cast("double").alias("two"), (F.col("id") / 7).alias("wide"),
+                                  F.lit(None).cast("double").alias("none"))
+    two, wide, none = feature_thresholds(df, ["two", "wide", "none"], 8)
+    assert two == [0.5] and none == [] and len(wide) == 7 and wide == sorted(wide)
+    assert feature_thresholds(df, [], 8) == []
