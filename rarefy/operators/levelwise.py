@@ -283,6 +283,9 @@ def grow(balanced: DataFrame, features: Sequence[str], params: TreeParams,
     if written and math.prod(sizes) <= MAX_CELLS:
         state = materialise(_merged(state))
         written.append(state)
+    elif cuts is not None and params.max_depth > 1:
+        state = materialise(state)  # places by tree are searched once, not for the root and its split
+        written.append(state)
     hist = materialise(_histogram(state))
     root = hist.where("f = 0").groupBy("tree", "node").agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"))
     levels, depth, totals = [], 0, root

@@ -114,8 +114,8 @@ def bootstrap_weights(majority: DataFrame, plan: DataFrame, seed="0",
                       idn: str = ID) -> DataFrame:
     """SMP4: per-tree bootstrap counts of the majority rows -> (tree, idn, w), w > 0."""
     staged, per_tree = _tree_copies(majority, plan, seed, idn)
-    return (staged.select(F.col(idn).alias("idn"), F.explode(per_tree).alias("tw"))
-            .select(F.col("tw.tree").alias("tree"), "idn", F.col("tw.w").alias("w")))
+    return (staged.select(idn, F.explode(per_tree).alias("tw"))
+            .select(F.col("tw.tree").alias("tree"), F.col(idn).alias("idn"), F.col("tw.w").alias("w")))
 
 
 def balanced_sets(df: DataFrame, plan: DataFrame | None = None, seed="0",

@@ -26,6 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..sources.tables import materialise
 
 QUANTILE_ACCURACY = 10000
@@ -136,8 +137,9 @@ def bin_by_tree(balanced: DataFrame, features: Sequence[str], cuts: DataFrame,
     def place(i: int) -> Column:
         x = F.coalesce(F.col(features[i]).cast("double"), F.lit(math.nan))
         ts = F.coalesce(F.try_element_at("_cuts", F.lit(i)), F.array().cast("array<double>"))
-        return F.aggregate(steps, F.lit(0), lambda at, k: F.when(
-            F.get(ts, at + k - 1) < x, at + k).otherwise(at))
+        # Looked up once per row, and not in every step of the search.
+        return bind(F.struct(ts.alias("ts"), x.alias("x")), lambda own: F.aggregate(
+            steps, F.lit(0), lambda at, k: F.when(F.get(own["ts"], at + k - 1) < own["x"], at + k).otherwise(at)))
 
     found = balanced.join(per_tree, "tree", "left")
     return found.withColumn(output, F.array(*[place(i) for i in range(len(features))])).drop("_cuts")

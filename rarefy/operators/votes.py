@@ -40,7 +40,11 @@ def soft_probabilities(p1s: Column, strict: bool = False) -> tuple[Column, Colum
     evaluates the product literally; when both products underflow to 0 the
     result is undefined (NULL here, NaN in a plain double division).
     """
-    l1, l0 = log_sums(p1s)
+    return soft_of_sums(*log_sums(p1s), strict)
+
+
+def soft_of_sums(l1: Column, l0: Column, strict: bool = False) -> tuple[Column, Column]:
+    """(P0, P1) of :func:`soft_probabilities` from the sums of logarithms."""
     if strict:
         e1, e0 = F.exp(l1), F.exp(l0)
         return F.try_divide(e0, e1 + e0), F.try_divide(e1, e1 + e0)
@@ -60,25 +64,24 @@ def combine(df: DataFrame, strategy: str = "soft", p1s: str = "p1s",
     Unknown strategies warn and fall back to soft (strategy names are
     case-insensitive).
     """
+    # Each sum over the trees is a column, so the probabilities and the label share it.
     name = (strategy or "").lower()
     if name not in STRATEGIES:
         warnings.warn(f"unknown vote strategy {strategy!r}; using soft", stacklevel=2)
         name = "soft"
     arr = F.col(p1s)
-    n = F.size(arr)
-    ones = vote_count(arr)
+    df = df.withColumns({"n_trees": F.size(arr), "n_votes": vote_count(arr)})
+    n, ones, p0, p1 = (F.col(c) for c in ("n_trees", "n_votes", "p0", "p1"))
     if name == "soft":
-        p0, p1 = soft_probabilities(arr, strict)
+        sums = dict(zip(("_l1", "_l0"), log_sums(arr)))
+        of_sums = soft_of_sums(*map(F.col, sums), strict)
+        df = df.withColumns(sums).withColumns(dict(zip(("p0", "p1"), of_sums))).drop(*sums)
         wins = (F.coalesce(~F.isnan(p1) & (p1 > p0), F.lit(False))) | (ones > n - ones)
     elif name == "hard":
-        p1 = ones / n
-        p0 = (n - ones) / n
+        df = df.withColumns({"p0": (n - ones) / n, "p1": ones / n})
         wins = p1 > p0
     else:
-        p1 = _sum(arr, lambda p: p) / n
-        p0 = F.lit(1.0) - p1
+        df = df.withColumn("_mean", _sum(arr, lambda p: p) / n)
+        df = df.withColumns({"p0": F.lit(1.0) - F.col("_mean"), "p1": F.col("_mean")}).drop("_mean")
         wins = p1 > p0
-    label = F.when(wins, F.lit(minority)).otherwise(F.lit(majority))
-    return (df.withColumn("n_trees", n).withColumn("n_votes", ones)
-            .withColumn("p0", p0).withColumn("p1", p1)
-            .withColumn("predicted_label", label))
+    return df.withColumn("predicted_label", F.when(wins, F.lit(minority)).otherwise(F.lit(majority)))

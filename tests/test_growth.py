@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from rarefy.operators import levelwise, sampling
 from rarefy.operators.ensemble import TreeParams
-from rarefy.operators.thresholds import feature_thresholds
+from rarefy.operators.thresholds import bin_by_tree, feature_thresholds
+from rarefy.operators.votes import combine
 
 
 def _rows(spark, n=4000):
@@ -23,6 +24,15 @@ def test_bootstrap_draws_no_uniform_per_step_of_the_cdf(spark):
     assert abs(got[0] - want) < 5 * want ** 0.5 and got[1] == 9
 
 
+def test_bootstrap_weights_name_their_id(spark):
+    rows = _rows(spark, 400)
+    plan = sampling.balance_plan(rows)
+    majority = rows.where("label <> 1")
+    want = sorted(map(tuple, sampling.bootstrap_weights(majority, plan).collect()))
+    other = sampling.bootstrap_weights(majority.withColumnRenamed("idn", "key"), plan, idn="key")
+    assert other.columns == ["tree", "idn", "w"] and sorted(map(tuple, other.collect())) == want
+
+
 def test_rows_of_equal_bins_grow_as_one(spark, monkeypatch):
     bal = sampling.balanced_sets(_rows(spark), keep=["idn", "label", "b1", "b3", "b7"])
     bal = bal.withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
@@ -43,3 +53,22 @@ def test_quantiles_are_taken_of_wide_features_only(spark):
     two, wide, none = feature_thresholds(df, ["two", "wide", "none"], 8)
     assert two == [0.5] and none == [] and len(wide) == 7 and wide == sorted(wide)
     assert feature_thresholds(df, [], 8) == []
+
+
+def test_places_by_tree_look_their_thresholds_up_once(spark):
+    rows = spark.createDataFrame([(0, 1.0, 0.5), (1, 1.0, 7.0), (1, 1.0, None), (2, 1.0, float("nan"))],
+                                 "tree int, w double, x double")
+    cuts = spark.createDataFrame([(0, 0, [0.5, 1.0, 2.0]), (1, 0, [1.0, 6.5, 8.0])], "tree int, f int, thresholds array<double>")
+    found = bin_by_tree(rows, ["x"], cuts)
+    assert sorted(r["bins"][0] for r in found.where("tree < 2").collect()) == [0, 2, 3]
+    step = found._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(CASE")[1].split("lambda at")[0]
+    assert "_cuts" not in step.split(", lambda")[0]
+
+
+def test_votes_sum_logarithms_once(spark):
+    rows = spark.createDataFrame([(1, [0.25, 0.75, 0.5]), (2, [1.0, 0.0]), (3, [])], "idn int, p1s array<double>")
+    out = combine(rows, "soft")
+    assert out.columns == ["idn", "p1s", "n_trees", "n_votes", "p0", "p1", "predicted_label"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(p1s") == 2
+    assert [(round(r.p1, 6), r.n_votes, r.predicted_label) for r in out.orderBy("idn").collect()] == [
+        (0.5, 1, -1), (0.5, 1, -1), (0.5, 0, -1)]
