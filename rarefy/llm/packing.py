@@ -84,13 +84,13 @@ def _best_exchange(own: list[int], k: int, lengths: np.ndarray, fill: np.ndarray
     of = {}
     for i in own:
         of.setdefault(int(lengths[i]), []).append(i)
-    gives: dict[int, list[int]] = {}
-    kinds = sorted(of)
+    # Of equal increases the first counts: single pieces before pairs, in the bin's own order.
+    kinds = list(of)
+    gives: dict[int, list[int]] = {a: [of[a][0]] for a in kinds}
     for x, a in enumerate(kinds):
         for b in kinds[x:]:
             if a != b or len(of[a]) > 1:
                 gives.setdefault(a + b, [of[a][0], of[b][0] if a != b else of[a][1]])
-    gives.update((a, [of[a][0]]) for a in kinds)
     given = np.fromiter(gives, dtype=np.int64, count=len(gives))[:, None]
     best, found = 0, None
     for at in range(0, len(targets[0]), 4096):
