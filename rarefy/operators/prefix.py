@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
 
+# Bits of a row's place in its partition, of ``monotonically_increasing_id``.
+PLACE_BITS = 33
+
+
 def running_totals(df: DataFrame, order: Sequence[Column | str],
                    sums: Mapping[str, Column | str] | None = None,
                    position: str = "pos", buckets: int | None = None) -> DataFrame:
@@ -57,3 +61,24 @@ def running_totals(df: DataFrame, order: Sequence[Column | str],
         out = out.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}"))
     drop = ["_bucket", "_o_n"] + [f"_o_{n}" for n in vals] + [f"_v_{n}" for n in vals]
     return out.drop(*drop)
+
+
+def positions(df: DataFrame, order: Sequence[Column | str], position: str = "pos",
+              buckets: int | None = None) -> DataFrame:
+    """``df`` with ``position`` only, as :func:`running_totals` gives it: rows are numbered as they are written.
+
+    One shuffle and one sort.  A window by bucket needs a second of each, and as hashes of
+    few bucket numbers collide, some of its tasks sort several buckets.
+    """
+    n = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = materialise(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    bucket = F.shiftright("_at", PLACE_BITS)
+    totals = ranged.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_t_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range bucket: its size is bounded by ``buckets``.
+    offsets = totals.select("_bucket", F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"))
+    joined = ranged.withColumn("_bucket", bucket).join(F.broadcast(offsets), "_bucket")
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return joined.withColumn(position, place + F.lit(1) + F.col("_o_n")).drop("_bucket", "_o_n", "_at")

@@ -568,7 +568,8 @@ def experiment_strategies(spark, d):
     """BAL5 as a grid dimension: O1 of every balancing strategy."""
     cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(3,), bins=(32,),
                                       balancings=kmeans_balance_ops.STRATEGIES,
-                                      features=list(fixtures.FEATURES), reports=("confusion",))
+                                      features=list(fixtures.FEATURES), reports=("confusion",),
+                                      fit_at_once=len(kmeans_balance_ops.STRATEGIES))
     return experiment.run_experiment(_tx(spark, d), cfg)["confusion"]
 
 

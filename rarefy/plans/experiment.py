@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -58,6 +59,8 @@ class ExperimentConfig:
     reports: Sequence[str] | None = None
     # Ensembles of one growing state (level-wise engine): fewer jobs for more scratch space.
     grow_together: int = 1
+    # Fits (of one ensemble, or of those that grow together) whose jobs run at the same time.
+    fit_at_once: int = 1
 
 
 REPORTS = ("confusion", "importances", "roc", "density_test", "density_train", "eer", "curves", "nodes",
@@ -184,7 +187,8 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
     tasks = [_Task(k, g, balancing, params, f"{k}:{g}" if cfg.split_per_grid_point else f"{k}")
              for k in range(1, cfg.runs + 1) for g, (balancing, params) in enumerate(points)]
     sides: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-    fitted: dict[tuple, object] = {}
+    fitted: dict[tuple, tuple[Future, int]] = {}
+    pool = ThreadPoolExecutor(max_workers=max(1, cfg.fit_at_once))
 
     def both_sides(task: _Task) -> tuple[DataFrame, DataFrame]:
         if task.seed not in sides:
@@ -202,55 +206,68 @@ def _reports(df: DataFrame, cfg: ExperimentConfig, work: str, out: str | None) -
         return BalancedTreeEnsemble(most, "indexedFeatures", names, seed=task.seed, parallelism=cfg.parallelism,
                                     engine=cfg.engine, balancing=task.balancing)
 
+    def next_fits(tasks: Sequence[_Task]) -> list[dict[tuple, _Task]]:
+        """The next unfitted ensembles, ``fit_at_once`` lots of those that grow together (of one bin count)."""
+        lots: list[dict[tuple, _Task]] = []
+        left = {t.grown(share): t for t in reversed(tasks) if t.grown(share) not in fitted}
+        waiting = [t for t in tasks if left.get(t.grown(share)) is t]
+        size = max(1, cfg.grow_together) if cfg.engine != "ml" else 1
+        while waiting and len(lots) < max(1, cfg.fit_at_once):
+            same = [t for t in waiting if t.params.max_bins == waiting[0].params.max_bins][:size]
+            lots.append({t.grown(share): t for t in same})
+            waiting = [t for t in waiting if t not in same]
+        return lots
+
+    def fit_lot(learners: Sequence[BalancedTreeEnsemble], frames: Sequence[DataFrame]) -> list:
+        return fit_together(learners, frames) if len(learners) > 1 else [learners[0].fit(frames[0])]
+
     def fit(task: _Task, later: Sequence[_Task]):
-        """The task's model; the next unfitted ensembles of its bin count grow along with it."""
+        """The task's model; the next unfitted ensembles are fitted along with it."""
         if task.grown(share) not in fitted:
-            together = {task.grown(share): task}
-            if cfg.engine != "ml":
-                for other in later:
-                    if len(together) < cfg.grow_together and other.params.max_bins == task.params.max_bins:
-                        together.setdefault(other.grown(share), other)
-            chosen = list(together.values())
-            if len(chosen) == 1:
-                fitted[task.grown(share)] = learner(task).fit(both_sides(task)[0])
-            else:
-                models = fit_together([learner(t) for t in chosen], [both_sides(t)[0] for t in chosen])
-                fitted.update(zip(together, models))
-        model = fitted[task.grown(share)]
+            lots = next_fits((task, *later))
+            learners = [[learner(t) for t in lot.values()] for lot in lots]
+            frames = [[both_sides(t)[0] for t in lot.values()] for lot in lots]
+            # Driver threads submit the jobs; a fit's short jobs run in the gaps of another's long ones.
+            for lot, own, sides_of in zip(lots, learners, frames):
+                models = pool.submit(fit_lot, own, sides_of)
+                fitted.update({grown: (models, place) for place, grown in enumerate(lot)})
+        models, place = fitted[task.grown(share)]
+        model = models.result()[place]
         if not any(other.grown(share) == task.grown(share) for other in later):
             del fitted[task.grown(share)]
         return model.truncated(task.params.max_depth) if share else model
 
     scored = f"{work}/scored"
-    for number, task in enumerate(tasks):
-        k, balancing, params = task.k, task.balancing, task.params
-        model = fit(task, tasks[number + 1:])
-        if cfg.fit_indexer_on == "all":
-            rows = hash_split(data, cfg.train, task.seed).withColumnRenamed("split", "tipo")
-        else:
-            train, test = both_sides(task)
-            rows = train.withColumn("tipo", F.lit("train")).unionByName(test.withColumn("tipo", F.lit("test")))
-        (model.predict(rows, cfg.strategy).select("idn", "label", "p0", "p1", "predicted_label", "tipo")
-         .write.mode("overwrite").parquet(f"{scored}/k={k}/g={task.g}"))
-        plain = "" if balancing == "balanced" else f"{balancing}_"
-        model_path = f"{out}/models/{plain}{params.tag}_{k}" if out else f"{work}/k{k}_g{task.g}/model"
-        levelwise = isinstance(model, LevelwiseEnsembleModel)
-        if levelwise:
-            if out:
-                model.save(model_path)
-            nodes = model.nodes
-        else:
-            nodes = node_table(model, model_path)
-        if "importances" in reports:
-            reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params,
-                                               balancing))
-        if "nodes" in reports:
-            reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params, balancing))
-        if "model" in reports:
-            # Spark ML trees live on the driver already; their text dump is local.
-            lines = (dump_lines(nodes, names) if levelwise else
-                     spark.createDataFrame(list(_text_lines(model.to_debug_string())), DUMP))
-            reports["model"].append(_tag(lines, k, params, balancing))
+    with pool:
+        for number, task in enumerate(tasks):
+            k, balancing, params = task.k, task.balancing, task.params
+            model = fit(task, tasks[number + 1:])
+            if cfg.fit_indexer_on == "all":
+                rows = hash_split(data, cfg.train, task.seed).withColumnRenamed("split", "tipo")
+            else:
+                train, test = both_sides(task)
+                rows = train.withColumn("tipo", F.lit("train")).unionByName(test.withColumn("tipo", F.lit("test")))
+            (model.predict(rows, cfg.strategy).select("idn", "label", "p0", "p1", "predicted_label", "tipo")
+             .write.mode("overwrite").parquet(f"{scored}/k={k}/g={task.g}"))
+            plain = "" if balancing == "balanced" else f"{balancing}_"
+            model_path = f"{out}/models/{plain}{params.tag}_{k}" if out else f"{work}/k{k}_g{task.g}/model"
+            levelwise = isinstance(model, LevelwiseEnsembleModel)
+            if levelwise:
+                if out:
+                    model.save(model_path)
+                nodes = model.nodes
+            else:
+                nodes = node_table(model, model_path)
+            if "importances" in reports:
+                reports["importances"].append(_tag(named_importances(nodes, names, digits=None), k, params,
+                                                   balancing))
+            if "nodes" in reports:
+                reports["nodes"].append(_tag(_node_rows(nodes, levelwise), k, params, balancing))
+            if "model" in reports:
+                # Spark ML trees live on the driver already; their text dump is local.
+                lines = (dump_lines(nodes, names) if levelwise else
+                         spark.createDataFrame(list(_text_lines(model.to_debug_string())), DUMP))
+                reports["model"].append(_tag(lines, k, params, balancing))
     for name, frame in evaluate(spark.read.parquet(scored), points, cfg).items():
         reports[name].append(frame)
     result = {name: reduce(DataFrame.unionByName, frames) for name, frames in reports.items()}

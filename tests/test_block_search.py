@@ -59,3 +59,21 @@ def test_distances_beyond_doubles_measure_all_pairs():
     x, _ = _block("normal", 40)
     row, to = neighbours._candidates(x * 1e200, 0, 40, 3)
     assert len(row) == 40 * 39 and (row != to).all()
+
+
+@pytest.mark.parametrize("skip", [1, -1, 0])
+def test_skipped_class_is_a_neighbour_and_not_searched(skip):
+    x, ids = _block("mixed", 130)
+    y = [None if i % 11 == 0 else 1 if i % 5 == 0 else -1 for i in range(130)]
+    table = pa.table({"_row": pa.array(range(130), pa.int64()), "id": pa.array(ids, pa.int64()),
+                      "y": pa.array(y, pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    whole = {r["_row"]: r["near"] for r in neighbours._search(table, 4).to_pylist()}
+    found = {r["_row"]: r["near"] for r in neighbours._search(table, 4, skip).to_pylist()}
+    assert found == {i: near for i, near in whole.items() if y[i] != skip}
+
+
+def test_a_block_of_one_skipped_class_gives_no_row():
+    x, ids = _block("normal", 9)
+    table = pa.table({"_row": pa.array(range(9), pa.int64()), "id": pa.array(ids, pa.int64()),
+                      "y": pa.array([1] * 9, pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    assert neighbours._search(table, 3, 1).num_rows == 0

@@ -1,11 +1,15 @@
 """Work of bootstraps and growth that must not follow constants of the plan."""
 
+import threading
+
 from pyspark.sql import functions as F
 
-from rarefy.operators import levelwise, sampling
+from rarefy.operators import ensemble, levelwise, neighbours, prefix, sampling
 from rarefy.operators.ensemble import TreeParams
 from rarefy.operators.thresholds import bin_by_tree, feature_thresholds
 from rarefy.operators.votes import combine
+from rarefy.plans import experiment
+from rarefy.sources import fixtures
 
 
 def _rows(spark, n=4000):
@@ -72,3 +76,53 @@ def test_votes_sum_logarithms_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(p1s") == 2
     assert [(round(r.p1, 6), r.n_votes, r.predicted_label) for r in out.orderBy("idn").collect()] == [
         (0.5, 1, -1), (0.5, 1, -1), (0.5, 0, -1)]
+
+
+def test_positions_equal_running_totals_without_a_second_shuffle(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 700)).alias("k"),
+                                    (F.col("id") * 7919 % 3001).alias("id"))
+    own = prefix.positions(rows, ["k", "id"], buckets=16)
+    whole = prefix.running_totals(rows, ["k", "id"], buckets=16)
+    assert sorted(map(tuple, own.select("id", "pos").collect())) == sorted(map(tuple, whole.select("id", "pos").collect()))
+    assert sorted(own.columns) == sorted(whole.columns)
+    # Windows and shuffles of the one-row-a-bucket table only.
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "Exchange hashpartitioning(_bucket" not in plan.split("BroadcastExchange")[0]
+
+
+def test_rows_that_stay_anyway_are_not_searched(spark):
+    rows = spark.range(900).select(F.col("id"), F.when(F.col("id") % 5 == 0, 1).otherwise(-1).alias("y"),
+                                   F.array(*[(F.col("id") * k % 101).cast("double") for k in (1, 7, 13)]).alias("x"),
+                                   F.col("id").alias("_row"))
+    whole = neighbours.nearest_neighbours(rows, 3, block=64, tables=2)
+    part = neighbours.nearest_neighbours(rows, 3, block=64, tables=2, skip=1)
+    want = {r["_row"]: r["near"] for r in whole.collect() if r["_row"] % 5}
+    assert {r["_row"]: r["near"] for r in part.collect()} == want
+
+
+def test_fits_at_once_overlap_and_change_no_report(spark, small_dir, monkeypatch):
+    running, most, lock, own = [0], [0], threading.Lock(), ensemble.BalancedTreeEnsemble.fit
+    both = threading.Barrier(2)
+
+    def fit(self, df):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            if at_once > 1:
+                both.wait(timeout=120)
+            return own(self, df)
+        finally:
+            with lock:
+                running[0] -= 1
+    monkeypatch.setattr(ensemble.BalancedTreeEnsemble, "fit", fit)
+    made = []
+    for at_once in (1, 2):
+        most[0] = 0
+        cfg = experiment.ExperimentConfig(runs=1, impurities=("gini",), depths=(1,), bins=(8,),
+                                          balancings=("balanced", "kmeans"),
+                                          features=["monto", "is_purchase"], reports=("confusion",), fit_at_once=at_once)
+        found = experiment.run_experiment(fixtures.transactions(spark, small_dir), cfg)["confusion"].collect()
+        made.append(sorted(map(str, found)))
+        assert len(found) == 4 and most[0] == at_once
+    assert made[0] == made[1]
