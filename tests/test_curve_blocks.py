@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,11 @@ def test_lists_of_several_spans(monkeypatch):
         gone += curve_blocks._verdicts(table, 3).column("ord").to_pylist()
     near = [sorted(range(30), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j)) for i in range(30)]
     assert gone == [i for i in range(30) if 2 * sum(y[j] != y[i] for j in [j for j in near[i] if j != i][:3]) > 3]
+
+
+def test_packed_tables_have_small_row_groups(spark):
+    rows = spark.range(2000, numPartitions=1).select(F.encode(F.repeat(F.col("id").cast("string"), 3000), "utf-8").alias("b"))
+    out = materialise(rows, group_bytes=1 << 20)
+    (file,) = [f.removeprefix("file:") for f in map(str, out.inputFiles())]
+    found = pq.ParquetFile("/" + file.lstrip("/")).metadata
+    assert found.num_rows == 2000 and found.num_row_groups >= 8
